@@ -250,3 +250,55 @@ SELECT id, {tag('text', 'think')} AS thinking, {tag('text', 'label')} AS predict
 FROM gen"""
 
 ORACLE["strip_lower"] = f"SELECT conv_id, turn, lower({strip('text')}) AS text FROM conversations"
+
+
+# --- nearest neighbours ---------------------------------------------------------
+
+LEAVES = """leaves AS (
+  SELECT vec_id AS id, CAST(label % 2 AS INTEGER) AS label,
+         list_transform(embedding, lambda x: CAST(floor(x * 8) AS INTEGER)) AS leaves
+  FROM embeddings)"""
+
+
+def knn_sql(exclude_self: bool, k: int = 5) -> str:
+    cond = "q.id <> r.id" if exclude_self else "TRUE"
+    return LEAVES + f""",
+pairs AS (
+  SELECT q.id AS qid, r.label AS cls, r.id AS nid, len(q.leaves) AS width,
+    list_sum(list_transform(range(1, len(q.leaves) + 1),
+             lambda i: CASE WHEN q.leaves[i] <> r.leaves[i] THEN 1 ELSE 0 END)) AS cnt
+  FROM leaves q JOIN leaves r ON {cond}),
+nb AS (
+  SELECT qid, CAST(cls AS INTEGER) AS cls, nid, cnt / width AS dist,
+    CAST(row_number() OVER (PARTITION BY qid, cls ORDER BY cnt, nid) AS INTEGER) AS rank
+  FROM pairs QUALIFY rank <= {k})"""
+
+
+ORACLE["knn_leave_one_out"] = f"WITH {knn_sql(True)} SELECT qid, cls, rank, nid, {r6('dist')} AS dist FROM nb"
+ORACLE["knn_query_ref"] = f"WITH {knn_sql(False)} SELECT qid, cls, rank, nid, {r6('dist')} AS dist FROM nb"
+ORACLE["hamming_pairs"] = ORACLE["knn_leave_one_out"]
+ORACLE["class_partition"] = "SELECT vec_id AS id, CAST(label % 2 AS INTEGER) AS label, CAST(label % 2 AS INTEGER) AS cls FROM embeddings"
+ORACLE["topk_per_group"] = """SELECT event_type, event_id, value,
+  CAST(row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) AS INTEGER) AS rank
+FROM events QUALIFY rank <= 5"""
+
+PROPS = """props AS (
+  SELECT doc_id AS nid, CAST(length(text) AS INTEGER) AS n_chars,
+    CAST(len(regexp_extract_all(text, '[^ \t\n\r]+')) AS INTEGER) AS n_words,
+    CAST(length(text) - length(regexp_replace(text, '[0-9]', '', 'g')) AS INTEGER) AS n_digits
+  FROM documents)"""
+
+ORACLE["neighbor_lookup_one"] = f"""WITH {knn_sql(True)}, {PROPS}
+SELECT nb.qid, nb.cls, nb.rank, nb.nid, {r6('nb.dist')} AS dist, p.n_chars, p.n_words, p.n_digits
+FROM nb LEFT JOIN props p ON nb.nid = p.nid"""
+
+ORACLE["neighbor_lookup"] = f"""WITH {knn_sql(True)}, {PROPS}
+SELECT nb.qid, nb.cls,
+  CAST(to_json(list({{'n_chars': p.n_chars, 'n_words': p.n_words, 'n_digits': p.n_digits}} ORDER BY nb.rank)) AS VARCHAR) AS records
+FROM nb LEFT JOIN props p ON nb.nid = p.nid GROUP BY nb.qid, nb.cls"""
+
+ORACLE["neighbor_lists"] = f"""WITH {knn_sql(True)}
+SELECT l.id AS qid,
+  coalesce(string_agg(CAST(nb.nid AS VARCHAR), ',' ORDER BY nb.rank) FILTER (WHERE nb.cls = 1), '') AS approved_neighbors,
+  coalesce(string_agg(CAST(nb.nid AS VARCHAR), ',' ORDER BY nb.rank) FILTER (WHERE nb.cls = 0), '') AS unapproved_neighbors
+FROM leaves l LEFT JOIN nb ON l.id = nb.qid GROUP BY l.id"""

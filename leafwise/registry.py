@@ -238,3 +238,66 @@ def q_extract_tags(spark, sf):
 def q_strip_lower(spark, sf):
     conv = S.table(spark, sf, "conversations")
     return conv.select("conv_id", "turn", T.strip_lower("text").alias("text"))
+
+
+# --- nearest neighbours ---------------------------------------------------------
+
+from leafwise.operators import knn as K  # noqa: E402
+from leafwise.operators.features import text_features  # noqa: E402
+
+
+def _neighbor_props(spark, sf):
+    """Property records of reference rows: text features of the document
+    with the same id."""
+    docs = S.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    return text_features(docs, "id")
+
+
+@register("knn_leave_one_out")
+def q_knn_leave_one_out(spark, sf):
+    return rounded(K.knn_leave_one_out(S.leaf_table(spark, sf), k=5))
+
+
+@register("knn_query_ref")
+def q_knn_query_ref(spark, sf):
+    leaves = S.leaf_table(spark, sf)
+    return rounded(K.knn_query_ref(leaves.select("id", "leaves"), leaves, k=5))
+
+
+@register("hamming_pairs")
+def q_hamming_pairs(spark, sf):
+    leaves = S.leaf_table(spark, sf)
+    nb = K.knn_leave_one_out(leaves, k=5)
+    return rounded(K.neighbor_distances(nb, leaves, leaves))
+
+
+@register("class_partition")
+def q_class_partition(spark, sf):
+    return K.class_partition(S.leaf_table(spark, sf)).select("id", "label", "cls")
+
+
+@register("topk_per_group")
+def q_topk_per_group(spark, sf):
+    ev = S.table(spark, sf, "events").select("event_type", "event_id", "value")
+    return K.top_k_per_group(ev, ["event_type"], [F.col("value"), F.col("event_id")], 5)
+
+
+@register("neighbor_lookup")
+def q_neighbor_lookup(spark, sf):
+    nb = K.knn_leave_one_out(S.leaf_table(spark, sf), k=5)
+    return K.neighbor_records(nb, _neighbor_props(spark, sf), as_json=True)
+
+
+@register("neighbor_lookup_one")
+def q_neighbor_lookup_one(spark, sf):
+    nb = K.knn_leave_one_out(S.leaf_table(spark, sf), k=5)
+    return rounded(K.neighbor_lookup(nb, _neighbor_props(spark, sf)))
+
+
+@register("neighbor_lists")
+def q_neighbor_lists(spark, sf):
+    leaves = S.leaf_table(spark, sf)
+    lists = K.neighbor_lists(K.knn_leave_one_out(leaves, k=5), leaves)
+    as_text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    return lists.select("qid", as_text("approved_neighbors").alias("approved_neighbors"),
+                        as_text("unapproved_neighbors").alias("unapproved_neighbors"))
