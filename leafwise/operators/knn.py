@@ -119,9 +119,9 @@ def knn_per_class(queries: DataFrame, reference: DataFrame, k: int = 5, exclude_
     qb, rb = _blocks(nq, cell_size), _blocks(nr, cell_size)
     # both sides must hash identical key types to meet in the same cell
     q_rep = q.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(qb)).cast("int")).withColumn(
-        "rb", F.explode(F.sequence(F.lit(0), F.lit(rb - 1))).cast("int"))
+        "rb", F.explode(F.sequence(F.lit(0), F.lit(rb - 1))))
     r_rep = r.withColumn("rb", F.pmod(F.xxhash64("id"), F.lit(rb)).cast("int")).withColumn(
-        "qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).cast("int"))
+        "qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1))))
     partial = (
         q_rep.groupBy("qb", "rb")
         .cogroup(r_rep.groupBy("qb", "rb"))

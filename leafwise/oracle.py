@@ -302,3 +302,29 @@ SELECT l.id AS qid,
   coalesce(string_agg(CAST(nb.nid AS VARCHAR), ',' ORDER BY nb.rank) FILTER (WHERE nb.cls = 1), '') AS approved_neighbors,
   coalesce(string_agg(CAST(nb.nid AS VARCHAR), ',' ORDER BY nb.rank) FILTER (WHERE nb.cls = 0), '') AS unapproved_neighbors
 FROM leaves l LEFT JOIN nb ON l.id = nb.qid GROUP BY l.id"""
+
+
+# --- series -----------------------------------------------------------------------
+
+ORACLE["ema"] = f"""WITH RECURSIVE s AS (
+  SELECT event_type AS series, event_id AS seq, CAST(value AS DOUBLE) AS value,
+         row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS i
+  FROM events),
+e(series, i, seq, value, ema) AS (
+  SELECT series, i, seq, value, value FROM s WHERE i = 0
+  UNION ALL
+  SELECT s.series, s.i, s.seq, s.value, 0.05 * s.value + (1 - 0.05) * e.ema
+  FROM e JOIN s ON s.series = e.series AND s.i = e.i + 1)
+SELECT series, seq, {r6('value')} AS value, {r6('ema')} AS ema FROM e"""
+
+ORACLE["reward_series"] = f"""WITH RECURSIVE s AS (
+  SELECT metric, label, event_id, raw, row_number() OVER (PARTITION BY metric ORDER BY ts, event_id) - 1 AS i
+  FROM (SELECT ts, event_id, 'value' AS metric, 'Event value' AS label, CAST(value AS DOUBLE) AS raw FROM events
+        UNION ALL
+        SELECT ts, event_id, 'user_id', 'User id', CAST(user_id AS DOUBLE) FROM events)),
+e(metric, label, i, event_id, raw, smoothed) AS (
+  SELECT metric, label, i, event_id, raw, raw FROM s WHERE i = 0
+  UNION ALL
+  SELECT s.metric, s.label, s.i, s.event_id, s.raw, 0.05 * s.raw + (1 - 0.05) * e.smoothed
+  FROM e JOIN s ON s.metric = e.metric AND s.i = e.i + 1)
+SELECT metric, label, event_id, {r6('raw')} AS raw, {r6('smoothed')} AS smoothed FROM e"""

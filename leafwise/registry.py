@@ -301,3 +301,23 @@ def q_neighbor_lists(spark, sf):
     as_text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
     return lists.select("qid", as_text("approved_neighbors").alias("approved_neighbors"),
                         as_text("unapproved_neighbors").alias("unapproved_neighbors"))
+
+
+# --- series -----------------------------------------------------------------------
+
+from leafwise.operators import series as W  # noqa: E402
+
+EMA_ALPHA = 0.05  # the smoothing the reference applies to its logs
+
+
+@register("ema")
+def q_ema(spark, sf):
+    log = S.log_series_table(spark, sf)
+    return rounded(W.ema(log, "series", ["ts", "seq"], "value", alpha=EMA_ALPHA).drop("ts"))
+
+
+@register("reward_series")
+def q_reward_series(spark, sf):
+    ev = S.table(spark, sf, "events").select("ts", "event_id", "value", "user_id")
+    labels = {"value": "Event value", "user_id": "User id"}
+    return rounded(W.reward_series(ev, ["ts", "event_id"], labels, alpha=EMA_ALPHA).drop("ts"))
