@@ -38,3 +38,202 @@ def featurize_distinct(df: DataFrame, text: str = "text") -> DataFrame:
     distinct = df.select(text).dropDuplicates([text])
     feats = distinct.select(text, *[c.alias(n) for n, c in text_feature_columns(text).items()])
     return feats
+
+
+def featurize(df: DataFrame, key: str, fn=None, schema: str | None = None, mode: str = "failfast",
+              rejects: list | None = None) -> DataFrame:
+    """Per-distinct-key feature job: dedupe, compute once, join back by key.
+
+    ``fn`` is an optional pandas hook ``(pd.Series of keys) -> pd.DataFrame``
+    of the declared ``schema`` (row-aligned), run through ``mapInPandas``
+    once per Arrow batch.  Without a hook the native text features are used.
+    ``mode='quarantine'`` keeps rows whose hook output is all-NULL out of the
+    result and, if ``rejects`` is a list, appends a DataFrame of them to it;
+    ``'failfast'`` lets the hook's exception stop the job.
+    """
+    distinct = df.select(key).where(F.col(key).isNotNull()).dropDuplicates([key])
+    if fn is None:
+        feats = distinct.select(key, *[c.alias(n) for n, c in text_feature_columns(key).items()])
+    else:
+        from pyspark.sql.types import StructType
+
+        out_schema = StructType.fromDDL(f"`{key}` string, {schema}") if schema else None
+
+        def run(batches):
+            import pandas as pd
+
+            for pdf in batches:
+                res = fn(pdf[key]).reset_index(drop=True)
+                yield pd.concat([pdf[[key]].reset_index(drop=True), res], axis=1)
+
+        feats = distinct.mapInPandas(run, out_schema)
+        if mode == "quarantine":
+            value_cols = [c for c in feats.columns if c != key]
+            flags = [F.col(c).isNull().cast("int") for c in value_cols]
+            all_null = (F.least(*flags) if len(flags) > 1 else flags[0]) == 1
+            if rejects is not None:
+                rejects.append(feats.where(all_null).select(key))
+            feats = feats.where(~all_null)
+    return df.join(feats, key, "inner" if mode == "quarantine" else "left")
+
+
+def pandas_text_features(texts):
+    """The native text features computed in pandas (a hook for :func:`featurize`)."""
+    import pandas as pd
+
+    s = texts.astype("string")
+    return pd.DataFrame({
+        "n_chars": s.str.len().astype("int32"),
+        "n_words": s.str.count(r"[^ \t\n\r]+").astype("int32"),
+        "n_digits": s.str.count(r"[0-9]").astype("int32"),
+    })
+
+
+PANDAS_TEXT_SCHEMA = "n_chars int, n_words int, n_digits int"
+
+
+# --- SMILES text expressions -----------------------------------------------
+
+# Fixed value: atom tokens of SMILES text (bracket atoms, two-letter organic
+# atoms first, then one-letter and aromatic organic atoms).
+SMILES_ATOM_PATTERN = r"\[[^\]]+\]|Cl|Br|[BCNOPSFI]|[bcnops]"
+# Fixed value: a bracket atom whose element is hydrogen (not heavy).
+SMILES_HYDROGEN_PATTERN = r"^\[[0-9]*H([^a-z].*)?\]$"
+
+
+def smiles_atoms(c) -> Column:
+    return F.regexp_extract_all(_col(c), F.lit(SMILES_ATOM_PATTERN), 0)
+
+
+def smiles_heavy_atoms(c) -> Column:
+    """Number of non-hydrogen atoms written in a SMILES string (text level)."""
+    return F.size(F.filter(smiles_atoms(c), lambda t: ~t.rlike(SMILES_HYDROGEN_PATTERN))).cast("int")
+
+
+def smiles_formal_charge(c) -> Column:
+    """Sum of the charges written in bracket atoms (``+``, ``++``, ``+3``, ``-``…)."""
+
+    def charge(t):
+        signs = F.regexp_extract(t, r"^\[[^+\-]*([+-]+)([0-9]*)", 1)
+        digits = F.regexp_extract(t, r"^\[[^+\-]*([+-]+)([0-9]*)", 2)
+        mag = F.when(digits == "", F.length(signs)).otherwise(digits.cast("int"))
+        sign = F.when(F.substring(signs, 1, 1) == "-", F.lit(-1)).otherwise(F.lit(1))
+        return F.when(signs == "", F.lit(0)).otherwise(sign * mag)
+
+    brackets = F.filter(smiles_atoms(c), lambda t: t.startswith("["))
+    return F.aggregate(F.transform(brackets, charge), F.lit(0), lambda a, b: a + b).cast("int")
+
+
+# --- pattern catalogue --------------------------------------------------------
+
+# Our text alert catalogue (description, pattern).  Patterns use
+# only syntax Java regex and RE2 read identically: no \b, no \s/\w, no (?i).
+TEXT_ALERTS = [
+    ("email address", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}"),
+    ("web link", r"https?://[^ \t\n\r]+"),
+    ("ipv4 address", r"[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}"),
+    ("phone number", r"[+]?[0-9]{1,3}[ -][0-9]{3}[ -][0-9]{3,4}[ -]?[0-9]{0,4}"),
+    ("long digit run", r"[0-9]{9,}"),
+    ("secret key", r"(api|API|secret|SECRET|token|TOKEN)[_-]?(key|KEY)?[ ]*[=:][ ]*[A-Za-z0-9_-]{8,}"),
+    ("aws key id", r"AKIA[0-9A-Z]{16}"),
+    ("license text", r"(Licensed under|License|LICENSE|Copyright|copyright|SPDX-License-Identifier)"),
+    ("repeated punctuation", r"[!?.]{4,}"),
+    ("html markup", r"<[A-Za-z/][^>]*>"),
+]
+
+
+def catalog_matches(c, catalog=TEXT_ALERTS) -> Column:
+    """Descriptions of every catalogue entry whose pattern occurs in the text.
+
+    A fixed catalogue becomes one array expression (no join, no shuffle);
+    an empty array means no alert.
+    """
+    hits = [F.when(_col(c).rlike(p), F.lit(d)) for d, p in catalog]
+    return F.array_compact(F.array(*hits))
+
+
+def catalog_from_table(catalog_df: DataFrame, max_entries: int = 10_000) -> list[tuple[str, str]]:
+    """Read a (description, pattern) catalogue table into the driver.
+
+    A catalogue is configuration: its size is checked before it is pulled.
+    """
+    n = catalog_df.count()
+    if n > max_entries:
+        raise ValueError(f"catalogue has {n} entries (> {max_entries}); it is expected to be small")
+    return [(r[0], r[1]) for r in catalog_df.select("description", "pattern").collect()]
+
+
+# --- masked mean pooling --------------------------------------------------------
+
+
+def masked_mean_pool(tokens: DataFrame, id_col: str = "id", vec: str = "vec", mask: str = "mask",
+                     as_array: bool = False) -> DataFrame:
+    """Per sequence and dimension: ``Σ v·m / max(Σ m, 1e-9)``.
+
+    Dimensions are exploded and aggregated with ``groupBy(id, dim)`` — partial
+    aggregation on the map side keeps a very long sequence from landing in one
+    task.  ``as_array=True`` reassembles ``(id, pooled array<double>)``.
+    """
+    exploded = tokens.select(id_col, F.col(mask).cast("double").alias("_m"), F.posexplode(vec).alias("dim", "_v"))
+    pooled = exploded.groupBy(id_col, "dim").agg(
+        (F.sum(F.col("_v").cast("double") * F.col("_m")) / F.greatest(F.sum("_m"), F.lit(1e-9))).alias("value")
+    )
+    if not as_array:
+        return pooled.select(id_col, F.col("dim").cast("int").alias("dim"), "value")
+    arr = F.sort_array(F.collect_list(F.struct("dim", "value")))
+    return pooled.groupBy(id_col).agg(F.transform(arr, lambda x: x["value"]).alias("pooled"))
+
+
+# --- forest leaf encoding ------------------------------------------------------
+
+
+def synthetic_forest(spark, trees: int, depth: int, n_features: int) -> DataFrame:
+    """A node table ``(tree, node, feature, threshold, left, right)`` built by
+    rule: complete binary trees, heap-numbered nodes, leaves have NULL feature.
+
+    Internal node ``n`` of tree ``t`` splits feature ``(5t + 3n) % n_features``
+    at ``((n % 5) - 2) / 20``.
+    """
+    n_nodes = 2 ** (depth + 1) - 1
+    n_internal = 2**depth - 1
+    nodes = spark.range(trees * n_nodes).select(
+        (F.col("id") / n_nodes).cast("int").alias("tree"), (F.col("id") % n_nodes).cast("int").alias("node"))
+    internal = F.col("node") < n_internal
+    return nodes.select(
+        "tree", "node",
+        F.when(internal, ((F.col("tree") * 5 + F.col("node") * 3) % n_features).cast("int")).alias("feature"),
+        F.when(internal, ((F.col("node") % 5) - 2) / 20.0).alias("threshold"),
+        F.when(internal, F.col("node") * 2 + 1).cast("int").alias("left"),
+        F.when(internal, F.col("node") * 2 + 2).cast("int").alias("right"),
+    )
+
+
+def forest_leaves(rows: DataFrame, forest: DataFrame, id_col: str = "id", features: str = "features",
+                  max_depth: int | None = None, broadcast_limit: int = 2_000_000, as_array: bool = False) -> DataFrame:
+    """Leaf reached in every tree, for every row: ``(id, tree, leaf)``.
+
+    Each (row, tree) pair walks down ``max_depth`` levels; a level is one
+    equi-join on ``(tree, node)`` against the node table.  The node table is
+    a model (its size does not grow with the data): it is broadcast after a
+    size check, otherwise joined by shuffle.  Split rule: ``x < threshold``
+    goes left, otherwise (NULL included) right; a leaf stays where it is.
+    """
+    n_nodes = forest.count()
+    if max_depth is None:
+        max_depth = int(forest.agg(F.max("node")).first()[0]).bit_length()
+    nodes = forest.select("tree", "node", "feature", "threshold", "left", "right")
+    if n_nodes <= broadcast_limit:
+        nodes = F.broadcast(nodes)
+    tree_ids = forest.select(F.min("tree").alias("lo"), F.max("tree").alias("hi")).first()
+    state = rows.select(id_col, features, F.explode(F.sequence(F.lit(int(tree_ids["lo"])), F.lit(int(tree_ids["hi"])))).alias("tree"))
+    state = state.withColumn("node", F.lit(0))
+    for _ in range(max_depth):
+        step = state.join(nodes, ["tree", "node"], "left")
+        x = F.element_at(F.col(features), F.col("feature") + 1)
+        nxt = F.when(F.col("feature").isNull(), F.col("node")).when(x < F.col("threshold"), F.col("left")).otherwise(F.col("right"))
+        state = step.select(id_col, features, "tree", nxt.cast("int").alias("node"))
+    leaves = state.select(id_col, "tree", F.col("node").alias("leaf"))
+    if not as_array:
+        return leaves
+    arr = F.sort_array(F.collect_list(F.struct("tree", "leaf")))
+    return leaves.groupBy(id_col).agg(F.transform(arr, lambda s: s["leaf"]).alias("leaves"))

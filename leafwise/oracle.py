@@ -328,3 +328,40 @@ e(metric, label, i, event_id, raw, smoothed) AS (
   SELECT s.metric, s.label, s.i, s.event_id, s.raw, 0.05 * s.raw + (1 - 0.05) * e.smoothed
   FROM e JOIN s ON s.metric = e.metric AND s.i = e.i + 1)
 SELECT metric, label, event_id, {r6('raw')} AS raw, {r6('smoothed')} AS smoothed FROM e"""
+
+
+# --- features ---------------------------------------------------------------------
+
+ORACLE["masked_mean_pool"] = f"""WITH t AS (
+  SELECT CAST(label AS BIGINT) AS id, CASE WHEN vec_id % 3 <> 0 THEN 1.0 ELSE 0.0 END AS m,
+         unnest(embedding) AS v, unnest(range(0, len(embedding))) AS dim
+  FROM embeddings)
+SELECT id, CAST(dim AS INTEGER) AS dim, {r6('sum(CAST(v AS DOUBLE) * m) / greatest(sum(m), 1e-9)')} AS value
+FROM t GROUP BY id, dim"""
+
+_T, _D, _NF = 16, 4, 64
+_NODES = 2 ** (_D + 1) - 1
+_INTERNAL = 2 ** _D - 1
+_walk = "0"
+for _ in range(_D):
+    _walk = f"""CASE WHEN ({_walk}) >= {_INTERNAL} THEN ({_walk})
+      WHEN embedding[(t * 5 + ({_walk}) * 3) % {_NF} + 1] < (({_walk}) % 5 - 2) / 20.0 THEN ({_walk}) * 2 + 1
+      ELSE ({_walk}) * 2 + 2 END"""
+ORACLE["forest_leaves"] = f"""SELECT vec_id AS id, CAST(t AS INTEGER) AS tree, CAST(leaf AS INTEGER) AS leaf FROM (
+  SELECT vec_id, t, {_walk} AS leaf
+  FROM embeddings, (SELECT range AS t FROM range({_T})) trees)"""
+
+from leafwise.operators.features import TEXT_ALERTS  # noqa: E402
+
+_alerts = ", ".join(
+    f"CASE WHEN regexp_matches(text, '{p.replace(chr(39), chr(39) * 2)}') THEN '{d}' END" for d, p in TEXT_ALERTS)
+ORACLE["pattern_catalog_match"] = f"""WITH a AS (SELECT doc_id, list_filter([{_alerts}], lambda x: x IS NOT NULL) AS alerts FROM documents)
+SELECT doc_id, CAST(len(alerts) AS INTEGER) AS n_alerts,
+  CASE WHEN len(alerts) = 0 THEN 'None' ELSE array_to_string(alerts, '; ') END AS alerts
+FROM a"""
+
+_FEATS = """CAST(length(text) AS INTEGER) AS n_chars,
+    CAST(len(regexp_extract_all(text, '[^ \t\n\r]+')) AS INTEGER) AS n_words,
+    CAST(length(text) - length(regexp_replace(text, '[0-9]', '', 'g')) AS INTEGER) AS n_digits"""
+ORACLE["featurize_distinct"] = f"SELECT md5(text) AS text_md5, {_FEATS} FROM (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL)"
+ORACLE["featurize_hook"] = f"SELECT doc_id, {_FEATS} FROM documents"

@@ -321,3 +321,63 @@ def q_reward_series(spark, sf):
     ev = S.table(spark, sf, "events").select("ts", "event_id", "value", "user_id")
     labels = {"value": "Event value", "user_id": "User id"}
     return rounded(W.reward_series(ev, ["ts", "event_id"], labels, alpha=EMA_ALPHA).drop("ts"))
+
+
+# --- features ---------------------------------------------------------------------
+
+from leafwise.operators import features as FE  # noqa: E402
+from leafwise.operators import models as MO  # noqa: E402
+
+FOREST_TREES, FOREST_DEPTH = 16, 4  # literal rule-built forest for the leaf encoder
+
+
+@register("masked_mean_pool")
+def q_masked_mean_pool(spark, sf):
+    return rounded(FE.masked_mean_pool(S.token_table(spark, sf)))
+
+
+@register("forest_leaves")
+def q_forest_leaves(spark, sf):
+    emb = S.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("features"))
+    forest = FE.synthetic_forest(spark, FOREST_TREES, FOREST_DEPTH, 64)
+    return FE.forest_leaves(emb, forest, max_depth=FOREST_DEPTH)
+
+
+@register("pattern_catalog_match")
+def q_pattern_catalog_match(spark, sf):
+    docs = S.table(spark, sf, "documents")
+    hits = docs.select("doc_id", FE.catalog_matches("text").alias("alerts"))
+    return hits.select(
+        "doc_id", F.size("alerts").alias("n_alerts"),
+        F.when(F.size("alerts") == 0, F.lit("None")).otherwise(F.array_join("alerts", "; ")).alias("alerts"),
+    )
+
+
+@register("featurize_distinct")
+def q_featurize_distinct(spark, sf):
+    docs = S.table(spark, sf, "documents").select("text")
+    feats = FE.featurize_distinct(docs, "text")
+    return feats.select(F.md5("text").alias("text_md5"), "n_chars", "n_words", "n_digits")
+
+
+@register("featurize_hook")
+def q_featurize_hook(spark, sf):
+    docs = S.table(spark, sf, "documents").select("doc_id", "text")
+    feats = FE.featurize(docs, "text", fn=FE.pandas_text_features, schema=FE.PANDAS_TEXT_SCHEMA)
+    return feats.select("doc_id", "n_chars", "n_words", "n_digits")
+
+
+@register("embed_text")
+def q_embed_text(spark, sf):
+    docs = S.table(spark, sf, "documents").select("doc_id", "text")
+    return MO.embed_text(docs, "text").select("doc_id", F.size("embedding").alias("dim"), "embedding")
+
+
+@register("forest_fit")
+def q_forest_fit(spark, sf):
+    """Fit the boosted forest (reference hyperparameters, fewer trees so the
+    check stays quick) and encode every row as its leaf vector."""
+    emb = S.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding",
+                                                     (F.col("label") % 2).alias("label"))
+    model = MO.fit_forest(emb, n_estimators=8, max_depth=5)
+    return MO.model_leaves(model, emb)
