@@ -365,3 +365,93 @@ _FEATS = """CAST(length(text) AS INTEGER) AS n_chars,
     CAST(length(text) - length(regexp_replace(text, '[0-9]', '', 'g')) AS INTEGER) AS n_digits"""
 ORACLE["featurize_distinct"] = f"SELECT md5(text) AS text_md5, {_FEATS} FROM (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL)"
 ORACLE["featurize_hook"] = f"SELECT doc_id, {_FEATS} FROM documents"
+
+
+# --- prompts, generation, scoring ------------------------------------------------
+
+from leafwise.operators.generate import DEFAULT_SYSTEM_PROMPT, DEFAULT_USER_TEMPLATE  # noqa: E402
+
+
+def _lit(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _template_sql(fields: dict[str, str]) -> str:
+    import re as _re
+
+    parts, pos = [], 0
+    for m in _re.finditer(r"\{(\w+)\}", DEFAULT_USER_TEMPLATE):
+        if m.start() > pos:
+            parts.append(_lit(DEFAULT_USER_TEMPLATE[pos:m.start()]))
+        parts.append(f"coalesce(CAST({fields[m.group(1)]} AS VARCHAR), '')")
+        pos = m.end()
+    if pos < len(DEFAULT_USER_TEMPLATE):
+        parts.append(_lit(DEFAULT_USER_TEMPLATE[pos:]))
+    return " || ".join(parts)
+
+
+CONTEXT = knn_sql(False) + ", " + PROPS + """,
+recs AS (
+  SELECT nb.qid, nb.cls,
+    CAST(to_json(list({'n_chars': p.n_chars, 'n_words': p.n_words, 'n_digits': p.n_digits} ORDER BY nb.rank)) AS VARCHAR) AS records
+  FROM nb LEFT JOIN props p ON nb.nid = p.nid GROUP BY nb.qid, nb.cls),
+ctx AS (
+  SELECT l.id,
+    CAST(to_json({'n_chars': p.n_chars, 'n_words': p.n_words, 'n_digits': p.n_digits}) AS VARCHAR) AS rdkit_properties,
+    coalesce(max(CASE WHEN r.cls = 1 THEN r.records END), '[]') AS similar_approved,
+    coalesce(max(CASE WHEN r.cls = 0 THEN r.records END), '[]') AS similar_unapproved
+  FROM leaves l LEFT JOIN props p ON l.id = p.nid LEFT JOIN recs r ON l.id = r.qid
+  GROUP BY l.id, p.n_chars, p.n_words, p.n_digits)"""
+
+ORACLE["neighbor_context"] = f"WITH {CONTEXT} SELECT * FROM ctx"
+
+ORACLE["build_prompt"] = f"""SELECT conv_id * 1000 + turn AS id, 2 AS n_messages,
+  'system' AS system_role, {_lit(DEFAULT_SYSTEM_PROMPT)} AS system_content,
+  'user' AS user_role, {_template_sql({'features': 'text', 'approved': 'text', 'unapproved': 'text'})} AS user_content
+FROM conversations"""
+
+_GEN_TEXT = ("'<think>' || chr(10) || 'user message of ' || CAST(n AS VARCHAR) || ' characters' || chr(10) || '</think>' || chr(10) "
+             "|| '<label>' || chr(10) || CASE WHEN n % 2 = 0 THEN 'approved' ELSE 'unapproved' END || chr(10) || '</label>' || chr(10) "
+             "|| '<score>' || chr(10) || printf('%.2f', (n % 100) / 100.0) || chr(10) || '</score>'")
+
+ORACLE["batch_generate"] = f"""SELECT id, {_GEN_TEXT} AS generated FROM (
+  SELECT conv_id * 1000 + turn AS id,
+    length({_template_sql({'features': 'text', 'approved': 'text', 'unapproved': 'text'})}) AS n
+  FROM conversations)"""
+
+SCORED = CONTEXT + f""",
+scored AS (
+  SELECT c.*, md5(d.text) AS "SMILES",
+    length({_template_sql({'features': 'c.rdkit_properties', 'approved': 'c.similar_approved', 'unapproved': 'c.similar_unapproved'})}) AS n
+  FROM ctx c JOIN documents d ON c.id = d.doc_id),
+gen AS (SELECT *, {_GEN_TEXT} AS generated FROM scored)"""
+
+ORACLE["score_batch"] = f"""WITH {SCORED}
+SELECT id, "SMILES", {tag('generated', 'think')} AS thinking, {tag('generated', 'label')} AS prediction,
+  {tag('generated', 'score')} AS confidence_score, rdkit_properties, similar_approved, similar_unapproved
+FROM gen"""
+
+ORACLE["assemble_results"] = f"""WITH {SCORED}
+SELECT "SMILES", {tag('generated', 'think')} AS thinking, {tag('generated', 'label')} AS prediction,
+  {tag('generated', 'score')} AS confidence_score, rdkit_properties, similar_approved, similar_unapproved
+FROM gen"""
+ORACLE["sink_results_csv"] = ORACLE["assemble_results"]
+
+# --- files ------------------------------------------------------------------------
+
+ORACLE["scan_train"] = "SELECT vec_id AS id, label FROM embeddings"
+ORACLE["scan_multi_csv"] = f"WITH {MPREDS} SELECT model, doc_id, y_true, y_pred FROM mpreds"
+ORACLE["file_stem"] = f"WITH {MPREDS} SELECT doc_id, model AS stem FROM mpreds"
+ORACLE["scan_csv"] = f"WITH {PREDS} SELECT doc_id, y_true, y_pred FROM preds"
+ORACLE["evaluate_file"] = ORACLE["evaluate_bundle"]
+ORACLE["scan_checkpoints"] = f"WITH {CPREDS} SELECT checkpoint, doc_id, y_true, y_pred FROM cpreds"
+ORACLE["checkpoint_report_files"] = ORACLE["checkpoint_report"]
+ORACLE["union_by_name"] = f"""WITH {PREDS}
+SELECT doc_id, y_true, y_pred, NULL::VARCHAR AS source FROM preds
+UNION ALL SELECT doc_id, NULL, NULL, source FROM documents"""
+ORACLE["scan_log_json"] = "SELECT event_id AS step, value AS reward, CAST(user_id AS DOUBLE) AS correctness FROM events"
+ORACLE["sink_metrics_csv"] = f"""WITH {CKPT_REPORT}
+SELECT CAST(row_number() OVER (ORDER BY checkpoint) - 1 AS BIGINT) AS "index", checkpoint, n AS n_samples,
+  {r6('n / 451.0 * 100.0')} AS valid_percent,
+  {metric_select('checkpoint', ('f1', 'precision', 'recall', 'auc', 'specificity'))}
+FROM c WHERE null_truth = 0"""

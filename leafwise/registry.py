@@ -381,3 +381,169 @@ def q_forest_fit(spark, sf):
                                                      (F.col("label") % 2).alias("label"))
     model = MO.fit_forest(emb, n_estimators=8, max_depth=5)
     return MO.model_leaves(model, emb)
+
+
+# --- prompts, generation, scoring ------------------------------------------------
+
+from leafwise.operators import generate as G  # noqa: E402
+from leafwise.plans import scoring as SC  # noqa: E402
+
+
+def _docs_by_id(spark, sf):
+    return S.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+
+
+def _context(spark, sf):
+    """Neighbour context for every leaf row (queries = reference = the whole table)."""
+    leaves = S.leaf_table(spark, sf)
+    props = text_features(_docs_by_id(spark, sf), "id")
+    return SC.neighbor_context(leaves.select("id", "leaves"), leaves, props, props)
+
+
+@register("neighbor_context")
+def q_neighbor_context(spark, sf):
+    return _context(spark, sf)
+
+
+@register("build_prompt")
+def q_build_prompt(spark, sf):
+    conv = S.table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    p = G.build_prompt(conv, {"features": "text", "approved": "text", "unapproved": "text"})
+    return p.select("id", F.size("prompt").alias("n_messages"),
+                    F.col("prompt")[0]["role"].alias("system_role"), F.col("prompt")[0]["content"].alias("system_content"),
+                    F.col("prompt")[1]["role"].alias("user_role"), F.col("prompt")[1]["content"].alias("user_content"))
+
+
+@register("batch_generate")
+def q_batch_generate(spark, sf):
+    conv = S.table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    p = G.build_prompt(conv, {"features": "text", "approved": "text", "unapproved": "text"})
+    return G.batch_generate(p)
+
+
+@register("score_batch")
+def q_score_batch(spark, sf):
+    ctx = _context(spark, sf)
+    names = _docs_by_id(spark, sf).select("id", F.md5("text").alias("SMILES"))
+    return SC.score_batch(ctx, names)
+
+
+@register("assemble_results")
+def q_assemble_results(spark, sf):
+    return q_score_batch(spark, sf).drop("id")
+
+
+# --- files ------------------------------------------------------------------------
+
+from leafwise.session import scratch_dir  # noqa: E402
+from leafwise.sources import files as FS  # noqa: E402
+
+
+@register("scan_train")
+def q_scan_train(spark, sf):
+    path = scratch_dir(spark, "train")
+    emb = S.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label", F.lit("train").alias("split"))
+    emb.write.mode("overwrite").partitionBy("split").parquet(path)
+    return FS.read_train(spark, path, schema="id long, label int, split string").select("id", "label")
+
+
+def _model_files(spark, sf):
+    root = scratch_dir(spark, "models")
+    FS.write_named_csv(S.model_prediction_table(spark, sf), "model", root)
+    return root
+
+
+@register("scan_multi_csv")
+def q_scan_multi_csv(spark, sf):
+    root = _model_files(spark, sf)
+    return FS.read_prediction_files(spark, root, schema="doc_id long, y_true string, y_pred string")
+
+
+@register("file_stem")
+def q_file_stem(spark, sf):
+    root = _model_files(spark, sf)
+    df = FS.read_csv(spark, f"{root}/*.csv", "doc_id long, y_true string, y_pred string")
+    return df.select("doc_id", FS.file_stem(F.col("_metadata.file_path")).alias("stem"))
+
+
+def _prediction_csv(spark, sf):
+    path = scratch_dir(spark, "predictions")
+    S.prediction_table(spark, sf).write.mode("overwrite").option("header", True).csv(path)
+    return path
+
+
+@register("scan_csv")
+def q_scan_csv(spark, sf):
+    return FS.read_csv(spark, _prediction_csv(spark, sf), "doc_id long, y_true string, y_pred string")
+
+
+@register("evaluate_file")
+def q_evaluate_file(spark, sf):
+    df = FS.read_csv(spark, _prediction_csv(spark, sf), "doc_id long, y_true string, y_pred string")
+    return rounded(R.evaluate_predictions(df))
+
+
+def _checkpoint_files(spark, sf):
+    root = scratch_dir(spark, "checkpoints")
+    ck = S.checkpoint_prediction_table(spark, sf)
+    name = F.when(F.col("checkpoint") == 0, F.lit(FS.BASE_CHECKPOINT_STEM)).otherwise(
+        F.format_string(FS.CHECKPOINT_FILE_FORMAT.replace("{ckpt}", "%d").removesuffix(".csv"), F.col("checkpoint")))
+    FS.write_named_csv(ck.withColumn("file", name).drop("checkpoint"), "file", root)
+    return root
+
+
+@register("scan_checkpoints")
+def q_scan_checkpoints(spark, sf):
+    root = _checkpoint_files(spark, sf)
+    return FS.read_checkpoint_files(spark, root, "doc_id long, y_true string, y_pred string",
+                                    expected=FS.EXPECTED_CHECKPOINTS[:S.CHECKPOINT_GROUPS])
+
+
+@register("checkpoint_report_files")
+def q_checkpoint_report_files(spark, sf):
+    root = _checkpoint_files(spark, sf)
+    ck = FS.read_checkpoint_files(spark, root, "doc_id long, y_true string, y_pred string")
+    return rounded(R.checkpoint_report(ck))
+
+
+@register("union_by_name")
+def q_union_by_name(spark, sf):
+    from leafwise.operators.reshape import union_by_name
+
+    a = S.prediction_table(spark, sf)
+    b = S.table(spark, sf, "documents").select("doc_id", "source")
+    return union_by_name([a, b])
+
+
+LOG_METRICS = ["reward", "rewards/correctness_rewards"]
+
+
+@register("scan_log_json")
+def q_scan_log_json(spark, sf):
+    path = scratch_dir(spark, "log")
+    ev = S.table(spark, sf, "events").select(
+        F.col("event_id").alias("step"), F.col("value").alias("reward"),
+        F.col("user_id").cast("double").alias("rewards/correctness_rewards"))
+    ev.write.mode("overwrite").json(path)
+    return FS.read_training_log(spark, path, LOG_METRICS).select(
+        "step", F.col("reward"), F.col("`rewards/correctness_rewards`").alias("correctness"))
+
+
+@register("sink_results_csv")
+def q_sink_results_csv(spark, sf):
+    path = scratch_dir(spark, "results")
+    ctx = _context(spark, sf)
+    names = _docs_by_id(spark, sf).select("id", F.md5("text").alias("SMILES"))
+    SC.score_batch(ctx, names, save_path=path)
+    schema = ", ".join(f"`{c}` string" for c in SC.RESULT_COLUMNS)
+    return FS.read_csv(spark, path, schema)
+
+
+@register("sink_metrics_csv")
+def q_sink_metrics_csv(spark, sf):
+    path = scratch_dir(spark, "metrics")
+    report = rounded(R.checkpoint_report(S.checkpoint_prediction_table(spark, sf)))
+    FS.write_csv(report, path, index=True, order=["checkpoint"])
+    schema = ("`index` long, checkpoint int, n_samples long, valid_percent double, f1 double, precision double, "
+              "recall double, auc double, specificity double")
+    return FS.read_csv(spark, path, schema)
