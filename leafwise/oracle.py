@@ -455,3 +455,5 @@ SELECT CAST(row_number() OVER (ORDER BY checkpoint) - 1 AS BIGINT) AS "index", c
   {r6('n / 451.0 * 100.0')} AS valid_percent,
   {metric_select('checkpoint', ('f1', 'precision', 'recall', 'auc', 'specificity'))}
 FROM c WHERE null_truth = 0"""
+
+ORACLE["checkpoint_report_stream"] = ORACLE["checkpoint_report"]

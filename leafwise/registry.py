@@ -547,3 +547,17 @@ def q_sink_metrics_csv(spark, sf):
     schema = ("`index` long, checkpoint int, n_samples long, valid_percent double, f1 double, precision double, "
               "recall double, auc double, specificity double")
     return FS.read_csv(spark, path, schema)
+
+
+# --- streaming ----------------------------------------------------------------------
+
+
+@register("checkpoint_report_stream")
+def q_checkpoint_report_stream(spark, sf):
+    from leafwise.streaming.checkpoints import start_checkpoint_report
+
+    root = _checkpoint_files(spark, sf)
+    out = scratch_dir(spark, "stream-report")
+    q = start_checkpoint_report(spark, root, out, schema="doc_id long, y_true string, y_pred string")
+    q.awaitTermination()
+    return rounded(spark.read.parquet(out))
