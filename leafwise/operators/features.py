@@ -126,19 +126,25 @@ def smiles_formal_charge(c) -> Column:
 
 # --- pattern catalogue --------------------------------------------------------
 
-# Our text alert catalogue (description, pattern).  Patterns use
-# only syntax Java regex and RE2 read identically: no \b, no \s/\w, no (?i).
+# Our text alert catalogue (description, pattern, literals).
+# Patterns use only syntax Java regex and RE2 read identically: no \b, no
+# \s/\w, no (?i).  Matching is "occurs anywhere", so a leading run such as
+# the local part of an e-mail address is reduced to one character (same
+# answer, no backtracking over long tokens).  ``literals``: substrings any
+# match must contain — a cheap ``contains`` test that runs before the regex.
 TEXT_ALERTS = [
-    ("email address", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}"),
-    ("web link", r"https?://[^ \t\n\r]+"),
-    ("ipv4 address", r"[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}"),
-    ("phone number", r"[+]?[0-9]{1,3}[ -][0-9]{3}[ -][0-9]{3,4}[ -]?[0-9]{0,4}"),
-    ("long digit run", r"[0-9]{9,}"),
-    ("secret key", r"(api|API|secret|SECRET|token|TOKEN)[_-]?(key|KEY)?[ ]*[=:][ ]*[A-Za-z0-9_-]{8,}"),
-    ("aws key id", r"AKIA[0-9A-Z]{16}"),
-    ("license text", r"(Licensed under|License|LICENSE|Copyright|copyright|SPDX-License-Identifier)"),
-    ("repeated punctuation", r"[!?.]{4,}"),
-    ("html markup", r"<[A-Za-z/][^>]*>"),
+    ("email address", r"[A-Za-z0-9._%+-]@[A-Za-z0-9-]+([.][A-Za-z0-9-]+)*[.][A-Za-z]{2,}", ("@",)),
+    ("web link", r"https?://[^ \t\n\r]+", ("://",)),
+    ("ipv4 address", r"[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}", (".",)),
+    ("phone number", r"[+][0-9]{1,3}[ -]?([(][0-9]{2,4}[)]|[0-9]{2,4})[ -]?[0-9]{3}[ -]?[0-9]{3,4}", ("+",)),
+    ("long digit run", r"[0-9]{12,}", ()),
+    ("secret token", r"(token|secret|password|api_key|apikey)[ ]*[=:][ ]*[\"']?[A-Za-z0-9_-]{16,}",
+     ("token", "secret", "password", "api_key", "apikey")),
+    ("aws key id", r"AKIA[0-9A-Z]{16}", ("AKIA",)),
+    ("license text", r"(Licensed under|License|LICENSE|Copyright|copyright|SPDX-License-Identifier)",
+     ("icense", "ICENSE", "opyright", "SPDX")),
+    ("repeated punctuation", r"[!?.]{4,}", ()),
+    ("html markup", r"<[A-Za-z/][^<>]*>", ("<",)),
 ]
 
 
@@ -146,9 +152,21 @@ def catalog_matches(c, catalog=TEXT_ALERTS) -> Column:
     """Descriptions of every catalogue entry whose pattern occurs in the text.
 
     A fixed catalogue becomes one array expression (no join, no shuffle);
-    an empty array means no alert.
+    an empty array means no alert.  Literal prefilters short-circuit the
+    regex for texts that cannot match.
     """
-    hits = [F.when(_col(c).rlike(p), F.lit(d)) for d, p in catalog]
+    t = _col(c)
+    hits = []
+    for entry in catalog:
+        d, p = entry[0], entry[1]
+        literals = entry[2] if len(entry) > 2 else ()
+        cond = t.rlike(p)
+        if literals:
+            pre = None
+            for lit in literals:
+                pre = t.contains(lit) if pre is None else (pre | t.contains(lit))
+            cond = pre & cond
+        hits.append(F.when(cond, F.lit(d)))
     return F.array_compact(F.array(*hits))
 
 
@@ -160,7 +178,7 @@ def catalog_from_table(catalog_df: DataFrame, max_entries: int = 10_000) -> list
     n = catalog_df.count()
     if n > max_entries:
         raise ValueError(f"catalogue has {n} entries (> {max_entries}); it is expected to be small")
-    return [(r[0], r[1]) for r in catalog_df.select("description", "pattern").collect()]
+    return [(r[0], r[1], ()) for r in catalog_df.select("description", "pattern").collect()]
 
 
 # --- masked mean pooling --------------------------------------------------------

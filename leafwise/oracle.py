@@ -354,7 +354,7 @@ ORACLE["forest_leaves"] = f"""SELECT vec_id AS id, CAST(t AS INTEGER) AS tree, C
 from leafwise.operators.features import TEXT_ALERTS  # noqa: E402
 
 _alerts = ", ".join(
-    f"CASE WHEN regexp_matches(text, '{p.replace(chr(39), chr(39) * 2)}') THEN '{d}' END" for d, p in TEXT_ALERTS)
+    f"CASE WHEN regexp_matches(text, '{p.replace(chr(39), chr(39) * 2)}') THEN '{d}' END" for d, p, _ in TEXT_ALERTS)
 ORACLE["pattern_catalog_match"] = f"""WITH a AS (SELECT doc_id, list_filter([{_alerts}], lambda x: x IS NOT NULL) AS alerts FROM documents)
 SELECT doc_id, CAST(len(alerts) AS INTEGER) AS n_alerts,
   CASE WHEN len(alerts) = 0 THEN 'None' ELSE array_to_string(alerts, '; ') END AS alerts
