@@ -55,15 +55,19 @@ def ema(df: DataFrame, series: str, order: list[str], value: str, alpha: float =
     parts = indexed.withColumn("_part", F.pow(rl, F.col("_j")) * F.sum(alpha * x * F.pow(rl, -F.col("_j"))).over(w))
 
     q = r ** B
-    tails = parts.groupBy(series, "_b").agg(F.max_by("_part", "_j").alias("_t"))
-    from_tails = tails.select(
-        series, F.explode(F.sequence(F.lit(1), F.lit(L))).alias("_m"), "_b", "_t"
-    ).select(series, (F.col("_b") + F.col("_m")).alias("_b"), (F.col("_t") * F.pow(F.lit(q), F.col("_m") - 1)).alias("_c"))
-    firsts = parts.where(F.col("_i") == 0).select(series, x.alias("_x0"))
-    from_first = firsts.select(
-        series, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(L).cast("long"))).alias("_b"), "_x0"
-    ).select(series, "_b", (F.col("_x0") * F.pow(F.lit(q), F.col("_b"))).alias("_c"))
-    carries = from_tails.unionByName(from_first).groupBy(series, "_b").agg(F.sum("_c").alias("_carry"))
+    # One row per block: its tail (last ``part``) and, for block 0, x_0.
+    blocks = parts.groupBy(series, "_b").agg(
+        F.max_by("_part", "_j").alias("_t"), F.min_by(x, "_j").alias("_x0"))
+    # Carry rows it sends forward: T_b·q^(m-1) to block b+m (m = 1..L), and
+    # from block 0 the initial carry x_0·q^m to block m (m = 0..L).
+    m_range = F.sequence(F.lit(1), F.lit(L))
+    to_later = F.transform(m_range, lambda m: F.struct(
+        (F.col("_b") + m).alias("_b"), (F.col("_t") * F.pow(F.lit(q), m - 1)).alias("_c")))
+    from_first = F.transform(F.sequence(F.lit(0), F.lit(L)), lambda m: F.struct(
+        m.cast("long").alias("_b"), (F.col("_x0") * F.pow(F.lit(q), m)).alias("_c")))
+    sent = F.when(F.col("_b") == 0, F.concat(to_later, from_first)).otherwise(to_later)
+    carries = (blocks.select(series, F.inline(sent))
+               .groupBy(series, "_b").agg(F.sum("_c").alias("_carry")))
 
     joined = parts.join(carries, [series, "_b"], "left")
     result = F.col("_part") + F.pow(rl, F.col("_j") + 1) * F.coalesce(F.col("_carry"), F.lit(0.0))

@@ -448,22 +448,26 @@ def q_scan_train(spark, sf):
 
 
 def _model_files(spark, sf):
+    """Model prediction files, partitioned layout (parallel writers)."""
     root = scratch_dir(spark, "models")
-    FS.write_named_csv(S.model_prediction_table(spark, sf), "model", root)
-    return root
+    return FS.write_partitioned_csv(S.model_prediction_table(spark, sf), "model", root)
 
 
 @register("scan_multi_csv")
 def q_scan_multi_csv(spark, sf):
     root = _model_files(spark, sf)
-    return FS.read_prediction_files(spark, root, schema="doc_id long, y_true string, y_pred string")
+    return FS.read_prediction_files(spark, root, schema="doc_id long, y_true string, y_pred string",
+                                    layout="partitioned")
 
 
 @register("file_stem")
 def q_file_stem(spark, sf):
+    """Key of each row from its file path: the stem of the ``model=<name>``
+    directory entry (the partitioned form of a ``<name>.csv`` file)."""
     root = _model_files(spark, sf)
-    df = FS.read_csv(spark, f"{root}/*.csv", "doc_id long, y_true string, y_pred string")
-    return df.select("doc_id", FS.file_stem(F.col("_metadata.file_path")).alias("stem"))
+    df = FS.read_csv(spark, root, "doc_id long, y_true string, y_pred string")
+    parent = F.regexp_extract(F.col("_metadata.file_path"), r"/model=([^/]*)/[^/]*$", 1)
+    return df.select("doc_id", FS.file_stem(F.concat(parent, F.lit(".csv"))).alias("stem"))
 
 
 def _prediction_csv(spark, sf):
@@ -488,21 +492,20 @@ def _checkpoint_files(spark, sf):
     ck = S.checkpoint_prediction_table(spark, sf)
     name = F.when(F.col("checkpoint") == 0, F.lit(FS.BASE_CHECKPOINT_STEM)).otherwise(
         F.format_string(FS.CHECKPOINT_FILE_FORMAT.replace("{ckpt}", "%d").removesuffix(".csv"), F.col("checkpoint")))
-    FS.write_named_csv(ck.withColumn("file", name).drop("checkpoint"), "file", root)
-    return root
+    return FS.write_partitioned_csv(ck.withColumn("file", name).drop("checkpoint"), "file", root)
 
 
 @register("scan_checkpoints")
 def q_scan_checkpoints(spark, sf):
     root = _checkpoint_files(spark, sf)
     return FS.read_checkpoint_files(spark, root, "doc_id long, y_true string, y_pred string",
-                                    expected=FS.EXPECTED_CHECKPOINTS[:S.CHECKPOINT_GROUPS])
+                                    expected=FS.EXPECTED_CHECKPOINTS[:S.CHECKPOINT_GROUPS], layout="partitioned")
 
 
 @register("checkpoint_report_files")
 def q_checkpoint_report_files(spark, sf):
     root = _checkpoint_files(spark, sf)
-    ck = FS.read_checkpoint_files(spark, root, "doc_id long, y_true string, y_pred string")
+    ck = FS.read_checkpoint_files(spark, root, "doc_id long, y_true string, y_pred string", layout="partitioned")
     return rounded(R.checkpoint_report(ck))
 
 
@@ -558,6 +561,7 @@ def q_checkpoint_report_stream(spark, sf):
 
     root = _checkpoint_files(spark, sf)
     out = scratch_dir(spark, "stream-report")
-    q = start_checkpoint_report(spark, root, out, schema="doc_id long, y_true string, y_pred string")
+    q = start_checkpoint_report(spark, root, out, schema="doc_id long, y_true string, y_pred string",
+                                layout="partitioned")
     q.awaitTermination()
     return rounded(spark.read.parquet(out))

@@ -46,27 +46,55 @@ def read_csv(spark: SparkSession, path, schema: str = PREDICTION_SCHEMA, with_fi
     return df
 
 
+def _family(spark: SparkSession, root: str, globs: list[str], schema: str, layout: str, key: str) -> DataFrame:
+    """Rows of a file family with ``key`` = file stem (flat) or the value of
+    the ``key=...`` directory (partitioned, Hive style)."""
+    fields = StructType.fromDDL(schema).fieldNames()
+    if layout == "flat":
+        df = spark.read.option("header", True).schema(schema).csv([f"{root.rstrip('/')}/{g}" for g in globs])
+        return df.select(file_stem(F.col("_metadata.file_name")).alias(key), *fields)
+    if layout == "partitioned":
+        df = spark.read.option("header", True).schema(f"{schema}, `{key}` string").csv(root)
+        return df.select(key, *fields)
+    raise ValueError("layout must be 'flat' or 'partitioned'")
+
+
 def read_prediction_files(spark: SparkSession, root: str, suffixes=("_test", "_val", "_external"),
-                          schema: str = PREDICTION_SCHEMA, key: str = "model") -> DataFrame:
-    """All ``{root}/*{suffix}.csv`` files as one DataFrame keyed by file stem."""
-    paths = [f"{root.rstrip('/')}/*{s}.csv" for s in suffixes]
-    df = spark.read.option("header", True).schema(schema).csv(paths)
-    return df.select(file_stem(F.col("_metadata.file_name")).alias(key), *StructType.fromDDL(schema).fieldNames())
+                          schema: str = PREDICTION_SCHEMA, key: str = "model", layout: str = "flat") -> DataFrame:
+    """All prediction files as one DataFrame keyed by model name.
+
+    ``flat``: the reference's ``{root}/*{suffix}.csv``, key = file stem.
+    ``partitioned``: ``{root}/{key}=<name>/part-*.csv`` (many writers and
+    files per model), filtered to names with a split suffix.
+    """
+    # one glob with alternation: a suffix without files is not an error
+    df = _family(spark, root, ["*{" + ",".join(suffixes) + "}.csv"], schema, layout, key)
+    if layout == "partitioned":
+        cond = None
+        for sfx in suffixes:
+            cond = F.col(key).endswith(sfx) if cond is None else cond | F.col(key).endswith(sfx)
+        df = df.where(cond)
+    return df
+
+
+def checkpoint_of(stem: Column) -> Column:
+    """Checkpoint step from a family file stem (NULL when the name does not fit)."""
+    return F.when(stem == BASE_CHECKPOINT_STEM, F.lit(0)).otherwise(
+        F.regexp_extract(stem, CHECKPOINT_STEM_PATTERN, 1).try_cast("int"))
 
 
 def read_checkpoint_files(spark: SparkSession, root: str, schema: str = PREDICTION_SCHEMA,
-                          expected: list[int] | None = None) -> DataFrame:
+                          expected: list[int] | None = None, layout: str = "flat", key: str = "file") -> DataFrame:
     """The checkpoint family with a ``checkpoint`` column from each file name.
 
     ``zeroshot_base`` is checkpoint 0; other names carry the step before
-    ``_final_setting``.  With ``expected``, missing checkpoints raise (the
-    check aggregates to at most one row per file).
+    ``_final_setting``.  ``partitioned`` reads ``{root}/file=<stem>/…``.
+    With ``expected``, missing checkpoints raise (the check aggregates to at
+    most one row per file).
     """
-    df = read_csv(spark, f"{root.rstrip('/')}/*.csv", schema)
-    stem = file_stem(F.col("_metadata.file_name"))
-    ckpt = F.when(stem == BASE_CHECKPOINT_STEM, F.lit(0)).otherwise(
-        F.regexp_extract(stem, CHECKPOINT_STEM_PATTERN, 1).try_cast("int"))
-    out = df.select(ckpt.alias("checkpoint"), *StructType.fromDDL(schema).fieldNames()).where(F.col("checkpoint").isNotNull())
+    df = _family(spark, root, ["*.csv"], schema, layout, key)
+    out = df.select(checkpoint_of(F.col(key)).alias("checkpoint"), *StructType.fromDDL(schema).fieldNames())
+    out = out.where(F.col("checkpoint").isNotNull())
     if expected is not None:
         seen = {r[0] for r in out.select("checkpoint").distinct().collect()}
         missing = sorted(set(expected) - seen)
@@ -75,6 +103,13 @@ def read_checkpoint_files(spark: SparkSession, root: str, schema: str = PREDICTI
     return out
 
 
+def write_partitioned_csv(df: DataFrame, key: str, root: str, mode: str = "overwrite") -> str:
+    """A file family in the partitioned layout: ``{root}/{key}=<value>/part-*.csv``
+    written by all tasks in parallel (no per-key writer)."""
+    df.write.mode(mode).option("header", True).partitionBy(key).csv(root)
+    return root
+
+
 def read_training_log(spark: SparkSession, path: str, metrics: list[str], multi_line: bool = False) -> DataFrame:
     """Training-log entries as rows ``(pos, step, <metrics>)``.
 
@@ -116,8 +151,9 @@ def write_named_csv(df: DataFrame, key: str, root: str, name_format: str = "{key
 
     Rows are written partitioned by ``key`` with one writer per key, then
     each part file is renamed through the Hadoop file system (metadata only;
-    no data passes through the driver).  For large data prefer the
-    partitioned layout itself: this layout has one writer per file.
+    no data passes through the driver).  A file is one writer by nature, so
+    this is for handing small families to tools that expect the flat
+    layout; at scale use :func:`write_partitioned_csv`.
     """
     spark = df.sparkSession
     staging = root.rstrip("/") + "/_staging"

@@ -15,31 +15,35 @@ from pyspark.sql.streaming import StreamingQuery
 
 from leafwise.plans.reports import checkpoint_report
 from leafwise.session import scratch_dir
-from leafwise.sources.files import BASE_CHECKPOINT_STEM, CHECKPOINT_STEM_PATTERN, PREDICTION_SCHEMA, file_stem
+from leafwise.sources.files import PREDICTION_SCHEMA, checkpoint_of, file_stem
 
 
 def checkpoint_stream(spark: SparkSession, root: str, schema: str = PREDICTION_SCHEMA,
-                      max_files_per_trigger: int | None = None) -> DataFrame:
-    """Streaming rows ``(checkpoint, <schema>)`` from prediction files landing in ``root``."""
-    reader = spark.readStream.option("header", True).schema(schema)
+                      max_files_per_trigger: int | None = None, layout: str = "flat",
+                      key: str = "file") -> DataFrame:
+    """Streaming rows ``(checkpoint, <schema>)`` from prediction files landing in ``root``.
+
+    ``flat``: one file per checkpoint, named like the family; ``partitioned``:
+    ``{root}/file=<stem>/part-*.csv``.
+    """
+    full = f"{schema}, `{key}` string" if layout == "partitioned" else schema
+    reader = spark.readStream.option("header", True).schema(full)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     raw = reader.csv(root)
-    stem = file_stem(F.col("_metadata.file_name"))
-    ckpt = F.when(stem == BASE_CHECKPOINT_STEM, F.lit(0)).otherwise(
-        F.regexp_extract(stem, CHECKPOINT_STEM_PATTERN, 1).try_cast("int"))
-    return raw.withColumn("checkpoint", ckpt).where(F.col("checkpoint").isNotNull())
+    stem = F.col(key) if layout == "partitioned" else file_stem(F.col("_metadata.file_name"))
+    return raw.withColumn("checkpoint", checkpoint_of(stem)).where(F.col("checkpoint").isNotNull())
 
 
 def start_checkpoint_report(spark: SparkSession, root: str, out_path: str, state_path: str | None = None,
                             schema: str = PREDICTION_SCHEMA, available_now: bool = True,
-                            expected_n: int = 451) -> StreamingQuery:
+                            expected_n: int = 451, layout: str = "flat") -> StreamingQuery:
     """Start the incremental report; every trigger overwrites ``out_path`` (parquet).
 
     Progress and aggregation state live under ``state_path`` (default: a
     folder in ``spark.checkpoint.dir``), so a restarted query resumes.
     """
-    report = checkpoint_report(checkpoint_stream(spark, root, schema), expected_n=expected_n)
+    report = checkpoint_report(checkpoint_stream(spark, root, schema, layout=layout), expected_n=expected_n)
 
     def write(batch: DataFrame, _epoch: int) -> None:
         batch.write.mode("overwrite").parquet(out_path)

@@ -48,3 +48,17 @@ def test_csv_sink_with_index(spark, tmp_path):
     write_csv(df, out, index=True, order=["k"])
     back = spark.read.option("header", True).schema("index long, k int, v string").csv(out)
     assert sorted(map(tuple, back.collect())) == [(0, 1, "a"), (1, 2, "b"), (2, 3, "c")]
+
+
+def test_named_and_partitioned_layouts_agree(spark, tmp_path):
+    from leafwise.sources.files import write_named_csv, write_partitioned_csv
+
+    df = spark.createDataFrame([("knn_test", "1", "0"), ("knn_test", "0", "0"), ("svm_val", "1", "1")],
+                               "model string, y_true string, y_pred string")
+    flat = str(tmp_path / "flat")
+    names = write_named_csv(df, "model", flat)
+    assert sorted(n.rsplit("/", 1)[1] for n in names) == ["knn_test.csv", "svm_val.csv"]
+    part = write_partitioned_csv(df.repartition(3), "model", str(tmp_path / "part"))
+    a = sorted(map(tuple, read_prediction_files(spark, flat).collect()))
+    b = sorted(map(tuple, read_prediction_files(spark, part, layout="partitioned").collect()))
+    assert a == b == sorted(map(tuple, df.collect()))
