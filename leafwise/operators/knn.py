@@ -60,6 +60,9 @@ def _cell_kernel(k: int, exclude_self: bool):
         if Q.shape[1] != R.shape[1]:
             raise ValueError(f"leaf vectors differ in length: {Q.shape[1]} vs {R.shape[1]}")
         width = Q.shape[1]
+        acc_type = np.uint16 if width < 65535 else np.int64
+        if Q.max(initial=0) <= 32767 and Q.min(initial=0) >= -32768 and R.max(initial=0) <= 32767 and R.min(initial=0) >= -32768:
+            Q, R = Q.astype(np.int16), R.astype(np.int16)
         rids = rpdf["id"].to_numpy(np.int64)
         rcls = rpdf["cls"].to_numpy(np.int64)
         out = []
@@ -72,11 +75,11 @@ def _cell_kernel(k: int, exclude_self: bool):
             for start in range(0, len(qids), _QUERY_CHUNK):
                 Qs = Q[start:start + _QUERY_CHUNK]
                 qs = qids[start:start + _QUERY_CHUNK]
-                cnt = np.zeros((Qs.shape[0], Rc.shape[0]), dtype=np.int64)
+                cnt = np.zeros((Qs.shape[0], Rc.shape[0]), dtype=acc_type)
                 for t in range(width):
                     cnt += Qs[:, t, None] != Rc[None, :, t]
                 # unique sort key: (count, position in id order)
-                key = cnt * Rc.shape[0] + np.arange(Rc.shape[0])[None, :]
+                key = cnt.astype(np.int64) * Rc.shape[0] + np.arange(Rc.shape[0])[None, :]
                 if exclude_self:
                     key[qs[:, None] == ids_c[None, :]] = np.iinfo(np.int64).max
                 part = np.argpartition(key, kk - 1, axis=1)[:, :kk] if kk < Rc.shape[0] else np.tile(np.arange(Rc.shape[0]), (len(qs), 1))
@@ -97,8 +100,15 @@ def _cell_kernel(k: int, exclude_self: bool):
     return kernel
 
 
-def _blocks(n: int, cell_size: int) -> int:
-    return max(1, math.ceil(n / cell_size))
+MIN_CELL = 64
+
+
+def _blocks(n: int, cell_size: int, min_per_side: int) -> int:
+    """Blocks per side: cells of at most ``cell_size`` rows, and enough cells
+    to occupy the cluster, without cutting below ``MIN_CELL`` rows."""
+    by_size = math.ceil(n / cell_size)
+    most = max(1, math.ceil(n / MIN_CELL))
+    return max(1, by_size, min(min_per_side, most))
 
 
 def knn_per_class(queries: DataFrame, reference: DataFrame, k: int = 5, exclude_self: bool = False,
@@ -115,8 +125,11 @@ def knn_per_class(queries: DataFrame, reference: DataFrame, k: int = 5, exclude_
     q = queries.select(F.col(query_id).cast("long").alias("qid"), F.col(leaves).alias("leaves"))
     r = reference.select(F.col(ref_id).cast("long").alias("id"), class_of(label).alias("cls"),
                          F.col(leaves).alias("leaves"))
-    nq, nr = q.count(), r.count()
-    qb, rb = _blocks(nq, cell_size), _blocks(nr, cell_size)
+    nr = r.count()
+    nq = nr if queries is reference and query_id == ref_id else q.count()
+    parallelism = queries.sparkSession.sparkContext.defaultParallelism
+    per_side = math.ceil(math.sqrt(2 * parallelism))
+    qb, rb = _blocks(nq, cell_size, per_side), _blocks(nr, cell_size, per_side)
     # both sides must hash identical key types to meet in the same cell
     q_rep = q.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(qb)).cast("int")).withColumn(
         "rb", F.explode(F.sequence(F.lit(0), F.lit(rb - 1))))

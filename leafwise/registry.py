@@ -248,9 +248,10 @@ from leafwise.operators.features import text_features  # noqa: E402
 
 def _neighbor_props(spark, sf):
     """Property records of reference rows: text features of the document
-    with the same id."""
+    with the same id (only documents that are reference rows are featurised)."""
     docs = S.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
-    return text_features(docs, "id")
+    ids = S.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"))
+    return text_features(docs.join(ids, "id", "left_semi"), "id")
 
 
 @register("knn_leave_one_out")
@@ -396,7 +397,7 @@ def _docs_by_id(spark, sf):
 def _context(spark, sf):
     """Neighbour context for every leaf row (queries = reference = the whole table)."""
     leaves = S.leaf_table(spark, sf)
-    props = text_features(_docs_by_id(spark, sf), "id")
+    props = _neighbor_props(spark, sf)
     return SC.neighbor_context(leaves.select("id", "leaves"), leaves, props, props)
 
 
