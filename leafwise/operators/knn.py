@@ -190,7 +190,8 @@ def neighbor_records(neighbors: DataFrame, props: DataFrame, key: str = "id", as
     rec = F.struct(F.col("rank"), F.struct(*prop_cols).alias("props"))
     grouped = looked.groupBy("qid", "cls").agg(F.sort_array(F.collect_list(rec)).alias("_r"))
     records = F.transform("_r", lambda x: x["props"])
-    return grouped.select("qid", "cls", (F.to_json(records) if as_json else records).alias("records"))
+    as_text = F.to_json(records, {"ignoreNullFields": "false"})   # keep missing properties explicit
+    return grouped.select("qid", "cls", (as_text if as_json else records).alias("records"))
 
 
 def neighbor_lists(neighbors: DataFrame, queries: DataFrame | None = None, query_id: str = "id") -> DataFrame:

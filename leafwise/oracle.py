@@ -175,7 +175,7 @@ REPORT_NAMES = [("auc", "AUC"), ("f1", "F1-score"), ("recall", "Recall (Sensitiv
 MODEL_REPORT = MODEL_METRICS + f""",
 ranked AS (
   SELECT split, model,
-    row_number() OVER (PARTITION BY split ORDER BY {STANDIN_ORDER_SQL} ASC NULLS LAST, model ASC) AS sort_rank,
+    CAST(row_number() OVER (PARTITION BY split ORDER BY {STANDIN_ORDER_SQL} ASC NULLS LAST, model ASC) AS INTEGER) AS sort_rank,
     CASE WHEN split = 'external' THEN regexp_replace(model, '(_external)$', '')
          ELSE regexp_replace(model, '(_test|_val)$', '') END AS display_name,
     {", ".join(f'round_even({k}, 3) AS "{v}"' for k, v in REPORT_NAMES)}
@@ -193,7 +193,7 @@ ORACLE["mean_score"] = f"""WITH {MODEL_REPORT}
 SELECT split, "Metric", display_name, {r6('avg("Score")')} AS mean_score FROM long GROUP BY split, "Metric", display_name """
 
 ORACLE["custom_order"] = f"""WITH {MODEL_METRICS}
-SELECT split, model, row_number() OVER (PARTITION BY split ORDER BY {STANDIN_ORDER_SQL} ASC NULLS LAST, model ASC) AS sort_rank
+SELECT split, model, CAST(row_number() OVER (PARTITION BY split ORDER BY {STANDIN_ORDER_SQL} ASC NULLS LAST, model ASC) AS INTEGER) AS sort_rank
 FROM mm"""
 
 ORACLE["melt_metrics"] = f"""WITH {MODEL_METRICS}
@@ -397,11 +397,12 @@ recs AS (
   FROM nb LEFT JOIN props p ON nb.nid = p.nid GROUP BY nb.qid, nb.cls),
 ctx AS (
   SELECT l.id,
-    CAST(to_json({'n_chars': p.n_chars, 'n_words': p.n_words, 'n_digits': p.n_digits}) AS VARCHAR) AS rdkit_properties,
+    CASE WHEN p.nid IS NOT NULL
+         THEN CAST(to_json({'n_chars': p.n_chars, 'n_words': p.n_words, 'n_digits': p.n_digits}) AS VARCHAR) END AS rdkit_properties,
     coalesce(max(CASE WHEN r.cls = 1 THEN r.records END), '[]') AS similar_approved,
     coalesce(max(CASE WHEN r.cls = 0 THEN r.records END), '[]') AS similar_unapproved
   FROM leaves l LEFT JOIN props p ON l.id = p.nid LEFT JOIN recs r ON l.id = r.qid
-  GROUP BY l.id, p.n_chars, p.n_words, p.n_digits)"""
+  GROUP BY l.id, p.nid, p.n_chars, p.n_words, p.n_digits)"""
 
 ORACLE["neighbor_context"] = f"WITH {CONTEXT} SELECT * FROM ctx"
 

@@ -29,7 +29,7 @@ def neighbor_context(queries: DataFrame, reference: DataFrame, query_props: Data
         F.max(F.when(F.col("cls") == 0, F.col("records"))).alias("similar_unapproved"),
     )
     own_cols = [c for c in query_props.columns if c != key]
-    own = query_props.select(F.col(key).alias("qid"), F.to_json(F.struct(*own_cols)).alias("rdkit_properties"))
+    own = query_props.select(F.col(key).alias("qid"), F.to_json(F.struct(*own_cols), {"ignoreNullFields": "false"}).alias("rdkit_properties"))
     ids = queries.select(F.col(key).alias("qid"))
     return (
         ids.join(own, "qid", "left").join(lists, "qid", "left")
