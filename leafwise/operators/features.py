@@ -226,17 +226,63 @@ def synthetic_forest(spark, trees: int, depth: int, n_features: int) -> DataFram
     )
 
 
+# Above this many nodes the generated code outgrows a JVM method (codegen
+# falls back to interpretation) and the join walk is faster.
+EXPRESSION_NODE_LIMIT = 128
+
+
+def _tree_expression(nodes: dict, node: int, feats: Column) -> Column:
+    feature, threshold, left, right = nodes[node]
+    if feature is None:
+        return F.lit(node)
+    x = F.element_at(feats, int(feature) + 1)
+    return F.when(x < F.lit(float(threshold)), _tree_expression(nodes, left, feats)).otherwise(
+        _tree_expression(nodes, right, feats))
+
+
+def forest_leaves_by_expression(rows: DataFrame, forest: DataFrame, id_col: str = "id",
+                                features: str = "features", node_limit: int = EXPRESSION_NODE_LIMIT) -> DataFrame:
+    """Small forests: each tree becomes one nested ``CASE`` expression, so the
+    encoding is a single code-generated projection (no explode, no join).
+
+    The node table is a model; its size is checked before it is read into
+    the driver to build the expressions.
+    """
+    n = forest.count()
+    if n > node_limit:
+        raise ValueError(f"forest has {n} nodes (> {node_limit}); use the join walk")
+    by_tree: dict[int, dict] = {}
+    for r in forest.select("tree", "node", "feature", "threshold", "left", "right").collect():
+        by_tree.setdefault(int(r[0]), {})[int(r[1])] = (r[2], r[3], r[4], r[5])
+    feats = F.col(features)
+    trees = sorted(by_tree)
+    leaf_exprs = [_tree_expression(by_tree[t], 0, feats).cast("int") for t in trees]
+    tree_ids = F.array(*[F.lit(t) for t in trees])
+    return rows.select(id_col, F.arrays_zip(tree_ids.alias("tree"), F.array(*leaf_exprs).alias("leaf")).alias("_z")).select(
+        id_col, F.inline("_z"))
+
+
 def forest_leaves(rows: DataFrame, forest: DataFrame, id_col: str = "id", features: str = "features",
-                  max_depth: int | None = None, broadcast_limit: int = 2_000_000, as_array: bool = False) -> DataFrame:
+                  max_depth: int | None = None, broadcast_limit: int = 2_000_000, as_array: bool = False,
+                  method: str = "auto") -> DataFrame:
     """Leaf reached in every tree, for every row: ``(id, tree, leaf)``.
 
-    Each (row, tree) pair walks down ``max_depth`` levels; a level is one
+    ``method='auto'`` compiles forests of at most ``EXPRESSION_NODE_LIMIT``
+    nodes into expressions (:func:`forest_leaves_by_expression`); larger
+    ones (e.g. 589 trees of depth 9) use the join walk ``method='join'``:
+    each (row, tree) pair walks down ``max_depth`` levels; a level is one
     equi-join on ``(tree, node)`` against the node table.  The node table is
     a model (its size does not grow with the data): it is broadcast after a
     size check, otherwise joined by shuffle.  Split rule: ``x < threshold``
     goes left, otherwise (NULL included) right; a leaf stays where it is.
     """
     n_nodes = forest.count()
+    if method == "expression" or (method == "auto" and n_nodes <= EXPRESSION_NODE_LIMIT):
+        leaves = forest_leaves_by_expression(rows, forest, id_col, features)
+        if not as_array:
+            return leaves
+        arr = F.sort_array(F.collect_list(F.struct("tree", "leaf")))
+        return leaves.groupBy(id_col).agg(F.transform(arr, lambda s: s["leaf"]).alias("leaves"))
     if max_depth is None:
         max_depth = int(forest.agg(F.max("node")).first()[0]).bit_length()
     nodes = forest.select("tree", "node", "feature", "threshold", "left", "right")

@@ -47,3 +47,13 @@ def test_masked_mean_pool(spark):
     df = spark.createDataFrame(rows, "id long, pos int, mask int, vec array<float>")
     got = {r["id"]: r["pooled"] for r in masked_mean_pool(df, as_array=True).collect()}
     assert got[1] == [2.0, 3.0] and got[2] == [0.0, 0.0]
+
+
+def test_forest_methods_agree(spark):
+    from leafwise.operators.features import forest_leaves, synthetic_forest
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").selectExpr("vec_id AS id", "embedding AS features")
+    forest = synthetic_forest(spark, 5, 3, 64)
+    a = sorted(map(tuple, forest_leaves(rows, forest, method="expression").collect()))
+    b = sorted(map(tuple, forest_leaves(rows, forest, method="join").collect()))
+    assert a == b and len(a) == 5 * rows.count()
