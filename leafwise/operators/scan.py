@@ -15,6 +15,23 @@ from pyspark.sql import functions as F
 PID = "_pid"
 
 
+MAX_SCAN_PARTITIONS = 200_000
+
+
+def target_partitions(df: DataFrame) -> int:
+    """Partition count for a sort-based step: at least the shuffle setting,
+    and enough that each partition holds about ``spark.sql.files.maxPartitionBytes``
+    of the plan's estimated size (Catalyst statistics, no job is run)."""
+    spark = df.sparkSession
+    base = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        per = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    except Exception:  # noqa: BLE001 - statistics are an estimate; fall back to the setting
+        return base
+    return int(max(base, min(MAX_SCAN_PARTITIONS, -(-size // max(per, 1)))))
+
+
 def range_partitioned(df: DataFrame, keys: list[str], num_partitions: int | None = None) -> DataFrame:
     """Range-partition on ``keys``, checkpoint, and tag rows with the partition id.
 
@@ -27,7 +44,7 @@ def range_partitioned(df: DataFrame, keys: list[str], num_partitions: int | None
 
     spark = df.sparkSession
     checkpoint_root(spark)
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = num_partitions or target_partitions(df)
     ranged = df.repartitionByRange(n, *keys).checkpoint(eager=True)
     return ranged.withColumn(PID, F.spark_partition_id())
 
