@@ -25,7 +25,13 @@ def target_partitions(df: DataFrame) -> int:
     spark = df.sparkSession
     base = int(spark.conf.get("spark.sql.shuffle.partitions"))
     try:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        plan = df._jdf.queryExecution().optimizedPlan()
+        size = int(str(plan.stats().sizeInBytes()))
+        # Without CBO a join's estimate is the product of its inputs; the
+        # sum of the scanned relations bounds non-exploding plans far better.
+        leaves = plan.collectLeaves()
+        scanned = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+        size = min(size, scanned)
         per = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
     except Exception:  # noqa: BLE001 - statistics are an estimate; fall back to the setting
         return base
