@@ -57,3 +57,21 @@ def test_forest_methods_agree(spark):
     a = sorted(map(tuple, forest_leaves(rows, forest, method="expression").collect()))
     b = sorted(map(tuple, forest_leaves(rows, forest, method="join").collect()))
     assert a == b and len(a) == 5 * rows.count()
+
+
+def _length_or_null(keys):
+    import pandas as pd
+
+    return pd.DataFrame({"n": [None if k.startswith("bad") else len(k) for k in keys]}, dtype="Int32")
+
+
+def test_featurize_quarantine_and_failfast(spark):
+    from leafwise.operators.features import featurize
+
+    df = spark.createDataFrame([(1, "ok"), (2, "bad1"), (3, "ok"), (4, "fine!")], "id int, s string")
+    rejects = []
+    good = featurize(df, "s", fn=_length_or_null, schema="n int", mode="quarantine", rejects=rejects)
+    assert sorted(map(tuple, good.select("id", "n").collect())) == [(1, 2), (3, 2), (4, 5)]
+    assert [r[0] for r in rejects[0].collect()] == ["bad1"]
+    kept = featurize(df, "s", fn=_length_or_null, schema="n int")
+    assert sorted(map(tuple, kept.select("id", "n").collect()), key=str) == sorted([(1, 2), (2, None), (3, 2), (4, 5)], key=str)
