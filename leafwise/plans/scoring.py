@@ -40,12 +40,16 @@ def neighbor_context(queries: DataFrame, reference: DataFrame, query_props: Data
 
 
 def extract_answers(generated: DataFrame, text: str = "generated") -> DataFrame:
-    """Three tagged fields, stripped and lower-cased; unreadable → ``n/a``."""
+    """Three tagged fields, stripped and lower-cased; unreadable → ``n/a``.
+
+    ``confidence_score`` stays text (as generated); ``confidence_value`` is
+    its numeric reading (NULL when it is not a number).
+    """
     return generated.withColumns({
         "thinking": extract_tag(text, "think"),
         "prediction": extract_tag(text, "label"),
         "confidence_score": extract_tag(text, "score"),
-    })
+    }).withColumn("confidence_value", F.col("confidence_score").try_cast("double"))
 
 
 def score_batch(context: DataFrame, names: DataFrame, key: str = "id", generator_factory=template_generator_factory,

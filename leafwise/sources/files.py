@@ -110,22 +110,36 @@ def write_partitioned_csv(df: DataFrame, key: str, root: str, mode: str = "overw
     return root
 
 
-def read_training_log(spark: SparkSession, path: str, metrics: list[str], multi_line: bool = False) -> DataFrame:
+def read_training_log(spark: SparkSession, path: str, metrics: list[str], multi_line: bool = False,
+                      on_missing: str = "fail") -> DataFrame:
     """Training-log entries as rows ``(pos, step, <metrics>)``.
 
     ``multi_line=True`` reads trainer-state documents ``{log_history: [...]}``
-    (one small document per run; ``pos`` is the array position).  Otherwise
-    each line is one entry (JSON Lines), which splits across tasks.
+    (one small document per run; ``pos`` is the array position, the log
+    order).  Otherwise each line is one entry (JSON Lines), which splits
+    across tasks.  An entry lacking one of ``metrics`` raises when the rows
+    are computed (``on_missing='fail'``) or is dropped (``'skip'``).
     """
-    fields = ", ".join([f"`{m}` double" for m in metrics])
-    entry = f"step long, {fields}"
     if multi_line:
         struct_fields = ", ".join(["step: bigint", *[f"`{m}`: double" for m in metrics]])
         doc = spark.read.option("multiLine", True).schema(f"log_history array<struct<{struct_fields}>>").json(path)
         exploded = doc.select(F.posexplode("log_history").alias("pos", "e"))
-        return exploded.select("pos", "e.step", *[F.col(f"e.`{m}`").alias(m) for m in metrics])
-    df = spark.read.schema(entry).json(path)
-    return df.select(F.col("step").alias("pos"), "step", *[F.col(f"`{m}`") for m in metrics])
+        rows = exploded.select("pos", "e.step", *[F.col(f"e.`{m}`").alias(m) for m in metrics])
+    else:
+        fields = ", ".join([f"`{m}` double" for m in metrics])
+        df = spark.read.schema(f"step long, {fields}").json(path)
+        rows = df.select(F.col("step").alias("pos"), "step", *[F.col(f"`{m}`") for m in metrics])
+    missing = F.lit(False)
+    for m in metrics:
+        missing = missing | F.col(f"`{m}`").isNull()
+    if on_missing == "skip":
+        return rows.where(~missing)
+    if on_missing == "fail":
+        check = F.when(missing, F.raise_error(F.concat(F.lit("log entry without a metric value at step "),
+                                                        F.col("step").cast("string"))))
+        # the filter evaluates the check on every row, so a bad entry raises
+        return rows.where(check.isNull())
+    raise ValueError("on_missing must be 'fail' or 'skip'")
 
 
 def write_csv(df: DataFrame, path: str, index: bool = False, order: list[str] | None = None,

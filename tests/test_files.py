@@ -62,3 +62,30 @@ def test_named_and_partitioned_layouts_agree(spark, tmp_path):
     a = sorted(map(tuple, read_prediction_files(spark, flat).collect()))
     b = sorted(map(tuple, read_prediction_files(spark, part, layout="partitioned").collect()))
     assert a == b == sorted(map(tuple, df.collect()))
+
+
+def test_training_log_missing_metric(spark, tmp_path):
+    lines = [{"step": 1, "reward": 1.0, "rewards/int_reward_func": 0.5}, {"step": 2, "reward": 2.0}]
+    (tmp_path / "log.jsonl").write_text("\n".join(json.dumps(x) for x in lines))
+    path = str(tmp_path / "log.jsonl")
+    metrics = ["reward", "rewards/int_reward_func"]
+    assert [r["step"] for r in read_training_log(spark, path, metrics, on_missing="skip").collect()] == [1]
+    with pytest.raises(Exception):
+        read_training_log(spark, path, metrics).collect()
+
+
+def test_streaming_report_is_incremental(spark, tmp_path):
+    from leafwise.streaming.checkpoints import start_checkpoint_report
+
+    src = tmp_path / "src"
+    src.mkdir()
+    _write(src / "zeroshot_base.csv", [("approved", "approved"), ("unapproved", "approved")])
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    start_checkpoint_report(spark, str(src), out, state_path=str(state)).awaitTermination()
+    first = {r["checkpoint"]: r["n_samples"] for r in spark.read.parquet(out).collect()}
+    assert first == {0: 2}
+    _write(src / "prediction_df_1.0_0.9_9_500_final_setting.csv", [("approved", "unapproved"), ("approved", "junk")])
+    _write(src / "zeroshot_base_more.csv", [("approved", "approved")])   # not a family name: ignored
+    start_checkpoint_report(spark, str(src), out, state_path=str(state)).awaitTermination()
+    second = {r["checkpoint"]: r["n_samples"] for r in spark.read.parquet(out).collect()}
+    assert second == {0: 2, 500: 1}
