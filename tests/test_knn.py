@@ -69,3 +69,15 @@ def test_bad_label_raises(spark):
     df = spark.createDataFrame([(1, 2, [0]), (2, 0, [1])], "id long, label int, leaves array<int>")
     with pytest.raises((PySparkException, Py4JJavaError, Exception)):
         knn_leave_one_out(df).collect()
+
+
+def test_identical_vectors_one_class(spark):
+    # every row shares every leaf and one class holds all rows: the grid plan
+    # is unaffected (cells are sized by rows, not by leaf popularity)
+    rows = [(i, 1, [3, 3, 3, 3]) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, label int, leaves array<int>")
+    got = knn_leave_one_out(df, k=5, cell_size=64)
+    assert got.count() == 300 * 5
+    first = sorted((r["rank"], r["nid"], r["dist"]) for r in got.where("qid = 0").collect())
+    assert first == [(1, 1, 0.0), (2, 2, 0.0), (3, 3, 0.0), (4, 4, 0.0), (5, 5, 0.0)]
+    assert got.where("cls = 0").count() == 0
