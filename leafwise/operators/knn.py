@@ -47,8 +47,37 @@ def class_partition(df: DataFrame, label: str = "label") -> DataFrame:
     return df.withColumn("cls", class_of(label))
 
 
+# One-hot matrix route: used when the summed per-tree leaf-value span is at
+# most this many columns (bounded memory: chunk x span float32 per side).
+ONEHOT_MAX_COLUMNS = 4096
+
+
+def _onehot_codes(Q: np.ndarray, R: np.ndarray):
+    """Column index of every (row, tree) in a one-hot layout, or None when
+    the layout would be too wide.  Tree ``t`` owns ``span_t`` columns."""
+    both_min = np.minimum(Q.min(axis=0), R.min(axis=0)).astype(np.int64)
+    both_max = np.maximum(Q.max(axis=0), R.max(axis=0)).astype(np.int64)
+    span = both_max - both_min + 1
+    total = int(span.sum())
+    if total > ONEHOT_MAX_COLUMNS or total > 30 * Q.shape[1]:
+        return None
+    offsets = np.concatenate([[0], np.cumsum(span)[:-1]])
+    return total, offsets[None, :] + (Q - both_min[None, :]), offsets[None, :] + (R - both_min[None, :])
+
+
+def _onehot(codes: np.ndarray, width: int) -> np.ndarray:
+    m = np.zeros((codes.shape[0], width), dtype=np.float32)
+    m[np.arange(codes.shape[0])[:, None], codes] = 1.0
+    return m
+
+
 def _cell_kernel(k: int, exclude_self: bool):
-    """Per-cell numpy kernel: distances and the k best per (query, class)."""
+    """Per-cell numpy kernel: distances and the k best per (query, class).
+
+    Mismatch counts come either from a one-hot matrix product
+    (``T − Q₁·R₁ᵀ``, exact in float32 for counts below 2^24; BLAS) when the
+    leaf alphabets are small, or from a per-tree comparison loop.
+    """
 
     def kernel(qpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
         if qpdf.empty or rpdf.empty:
@@ -61,7 +90,11 @@ def _cell_kernel(k: int, exclude_self: bool):
             raise ValueError(f"leaf vectors differ in length: {Q.shape[1]} vs {R.shape[1]}")
         width = Q.shape[1]
         acc_type = np.uint16 if width < 65535 else np.int64
-        if Q.max(initial=0) <= 32767 and Q.min(initial=0) >= -32768 and R.max(initial=0) <= 32767 and R.min(initial=0) >= -32768:
+        codes = _onehot_codes(Q, R) if width < (1 << 24) else None
+        if codes is not None:
+            n_cols, q_codes, r_codes = codes
+            Q1, R1 = _onehot(q_codes, n_cols), _onehot(r_codes, n_cols)
+        elif Q.max(initial=0) <= 32767 and Q.min(initial=0) >= -32768 and R.max(initial=0) <= 32767 and R.min(initial=0) >= -32768:
             Q, R = Q.astype(np.int16), R.astype(np.int16)
         rids = rpdf["id"].to_numpy(np.int64)
         rcls = rpdf["cls"].to_numpy(np.int64)
@@ -70,14 +103,18 @@ def _cell_kernel(k: int, exclude_self: bool):
             cols = np.flatnonzero(rcls == cls)
             if cols.size == 0:
                 continue
-            Rc, ids_c = R[cols], rids[cols]
+            ids_c = rids[cols]
+            Rc = R1[cols] if codes is not None else R[cols]
             kk = min(k, cols.size)
             for start in range(0, len(qids), _QUERY_CHUNK):
-                Qs = Q[start:start + _QUERY_CHUNK]
                 qs = qids[start:start + _QUERY_CHUNK]
-                cnt = np.zeros((Qs.shape[0], Rc.shape[0]), dtype=acc_type)
-                for t in range(width):
-                    cnt += Qs[:, t, None] != Rc[None, :, t]
+                if codes is not None:
+                    cnt = width - np.rint(Q1[start:start + _QUERY_CHUNK] @ Rc.T).astype(np.int64)
+                else:
+                    Qs = Q[start:start + _QUERY_CHUNK]
+                    cnt = np.zeros((Qs.shape[0], Rc.shape[0]), dtype=acc_type)
+                    for t in range(width):
+                        cnt += Qs[:, t, None] != Rc[None, :, t]
                 # unique sort key: (count, position in id order)
                 key = cnt.astype(np.int64) * Rc.shape[0] + np.arange(Rc.shape[0])[None, :]
                 if exclude_self:
