@@ -75,3 +75,19 @@ def test_featurize_quarantine_and_failfast(spark):
     assert [r[0] for r in rejects[0].collect()] == ["bad1"]
     kept = featurize(df, "s", fn=_length_or_null, schema="n int")
     assert sorted(map(tuple, kept.select("id", "n").collect()), key=str) == sorted([(1, 2), (2, None), (3, 2), (4, 5)], key=str)
+
+
+def _length_encoder():
+    import numpy as np
+
+    return lambda texts: np.array([[len(t), t.count("a")] for t in texts], dtype=float)
+
+
+def test_embed_text_default_and_plugin(spark):
+    from leafwise.operators.models import embed_text
+
+    df = spark.createDataFrame([(1, "banana"), (2, "apple"), (3, "banana")], "id int, text string")
+    dflt = {r["id"]: r["embedding"] for r in embed_text(df, dim=16).collect()}
+    assert len(dflt[1]) == 16 and abs(sum(dflt[1]) - 1.0) < 1e-9 and dflt[1] == dflt[3]
+    plug = {r["id"]: r["embedding"] for r in embed_text(df, encoder_factory=_length_encoder, batch_size=1).collect()}
+    assert plug == {1: [6.0, 3.0], 2: [5.0, 1.0], 3: [6.0, 3.0]}
