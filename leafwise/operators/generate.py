@@ -76,15 +76,17 @@ def template_generator_factory(options: dict):
 
 def batch_generate(df: DataFrame, generator_factory=template_generator_factory, prompt: str = "prompt",
                    key: str = "id", out: str = "generated", options: dict | None = None,
-                   batch_size: int = 8) -> DataFrame:
+                   batch_size: int = 8, keep: list[str] | tuple = ()) -> DataFrame:
     """Run a generator over prompts, partition-parallel, via ``mapInPandas``.
 
     ``generator_factory(options)`` is called once per task (load a model
     there); the returned callable maps a list of prompts to a list of texts
-    and is fed ``batch_size`` prompts at a time.
+    and is fed ``batch_size`` prompts at a time.  ``keep`` columns are
+    passed through unchanged (so callers need not join the input back).
     """
     opts = merge_generation_args(**(options or {}))
-    key_type = dict(df.dtypes)[key]
+    types = dict(df.dtypes)
+    keep = [c for c in keep if c not in (key, prompt)]
 
     def run(batches):
         import pandas as pd
@@ -95,6 +97,11 @@ def batch_generate(df: DataFrame, generator_factory=template_generator_factory,
             texts = []
             for i in range(0, len(prompts), batch_size):
                 texts.extend(generate(prompts[i:i + batch_size]))
-            yield pd.DataFrame({key: pdf[key].to_numpy(), out: texts})
-
-    return df.select(key, prompt).mapInPandas(run, f"`{key}` {key_type}, `{out}` string")
+            res = pd.DataFrame({key: pdf[key].to_numpy()})
+            for c in keep:
+                res[c] = pdf[c].to_numpy()
+            res[out] = texts
+            yield res
+
+    schema = ", ".join([f"`{c}` {types[c]}" for c in (key, *keep)] + [f"`{out}` string"])
+    return df.select(key, *keep, prompt).mapInPandas(run, schema)

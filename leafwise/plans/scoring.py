@@ -62,12 +62,11 @@ def score_batch(context: DataFrame, names: DataFrame, key: str = "id", generator
     """
     prompted = build_prompt(context, {"features": "rdkit_properties", "approved": "similar_approved",
                                       "unapproved": "similar_unapproved"}, **prompt_kw)
-    gen = batch_generate(prompted, generator_factory, key=key, options=options)
+    # the context columns ride through the generator: no second neighbour search
+    gen = batch_generate(prompted, generator_factory, key=key, options=options,
+                         keep=["rdkit_properties", "similar_approved", "similar_unapproved"])
     answers = extract_answers(gen)
-    result = (
-        context.join(answers, key).join(names, key)
-        .select(key, *RESULT_COLUMNS)
-    )
+    result = answers.join(names, key).select(key, *RESULT_COLUMNS)
     if save_path:
         from leafwise.sources.files import write_csv
 
