@@ -75,7 +75,29 @@ def prefix_sums(df: DataFrame, by: list[str], order: list[str], values: list[str
 
 def row_index(df: DataFrame, by: list[str], order: list[str], name: str = "idx",
               num_partitions: int | None = None) -> DataFrame:
-    """0-based position of each row within its ``by`` group in ``order``."""
-    one = "_one"
-    out = prefix_sums(df.withColumn(one, F.lit(1).cast("long")), by, order, [one], num_partitions=num_partitions)
-    return out.withColumnRenamed(f"{one}_before", name).drop(one)
+    """0-based position of each row within its ``by`` group in ``order``.
+
+    No window and no second shuffle of the rows: after the range partition,
+    a sort within partitions and the checkpoint, ``monotonically_increasing_id``
+    is ``partition << 33 | position in partition`` and is stable (the
+    checkpoint fixes partitions and their row order).  A small aggregate per
+    (partition, group) gives each group's first position in the partition
+    and the number of its rows in earlier partitions.
+    """
+    from leafwise.session import checkpoint_root
+
+    spark = df.sparkSession
+    checkpoint_root(spark)
+    keys = [*by, *order]
+    n = num_partitions or target_partitions(df)
+    ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).checkpoint(eager=True)
+    mid = F.monotonically_increasing_id()
+    tagged = ranged.withColumn("__mid", mid).withColumns({
+        PID: F.shiftright(F.col("__mid"), 33),
+        "_pos": F.col("__mid").bitwiseAND(F.lit((1 << 33) - 1)),
+    })
+    starts = tagged.groupBy(PID, *by).agg(F.min("_pos").alias("_start"), F.count(F.lit(1)).alias("_n"))
+    w_off = Window.partitionBy(*by).orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = starts.select(PID, *by, "_start", F.coalesce(F.sum("_n").over(w_off), F.lit(0)).alias("_off"))
+    joined = tagged.join(offsets, [PID, *by])
+    return joined.select(*df.columns, (F.col("_off") + F.col("_pos") - F.col("_start")).alias(name))
