@@ -161,9 +161,13 @@ def knn_per_class(queries: DataFrame, reference: DataFrame, k: int = 5, exclude_
     Classes with fewer than ``k`` members give shorter lists; an empty class
     gives no rows.  Labels other than 0/1 raise.
     """
-    q = queries.select(F.col(query_id).cast("long").alias("qid"), F.col(leaves).alias("leaves"))
+    if k < 1:
+        raise ValueError("k must be at least 1")
+    # a row without a leaf vector can neither have nor be a neighbour
+    q = queries.select(F.col(query_id).cast("long").alias("qid"), F.col(leaves).alias("leaves")).where(
+        F.col("leaves").isNotNull())
     r = reference.select(F.col(ref_id).cast("long").alias("id"), class_of(label).alias("cls"),
-                         F.col(leaves).alias("leaves"))
+                         F.col(leaves).alias("leaves")).where(F.col("leaves").isNotNull())
     nr = r.count()
     nq = nr if queries is reference and query_id == ref_id else q.count()
     parallelism = queries.sparkSession.sparkContext.defaultParallelism

@@ -40,11 +40,21 @@ def ema(df: DataFrame, series: str, order: list[str], value: str, alpha: float =
     """Add column ``out``: EMA of ``value`` per ``series`` in ``order``.
 
     ``order`` must be unique within a series.  The result is always double.
+    Rows whose value is NULL are not part of the recurrence (the series
+    continues over them) and are returned with a NULL ``out``.
     """
     if not 0.0 < alpha <= 1.0:
         raise ValueError("alpha must be in (0, 1]")
     if alpha == 1.0:
         return df.withColumn(out, F.col(value).cast("double"))
+    missing = df.where(F.col(value).isNull()).withColumn(out, F.lit(None).cast("double"))
+    smoothed = _ema_present(df.where(F.col(value).isNotNull()), series, order, value, alpha, out, block,
+                            num_partitions)
+    return smoothed.unionByName(missing)
+
+
+def _ema_present(df: DataFrame, series: str, order: list[str], value: str, alpha: float, out: str,
+                 block: int | None, num_partitions: int | None) -> DataFrame:
     r = 1.0 - alpha
     B, L = block_plan(alpha, block)
     x = F.col(value).cast("double")

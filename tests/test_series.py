@@ -36,3 +36,10 @@ def test_integer_input_and_alpha_one(spark):
 def test_alpha_range():
     with pytest.raises(ValueError):
         ema(None, "s", ["i"], "x", alpha=0.0)
+
+
+def test_null_values_skip_the_recurrence(spark):
+    rows = [("a", 0, 2.0), ("a", 1, None), ("a", 2, 4.0)]
+    df = spark.createDataFrame(rows, "s string, i long, x double")
+    got = {r["i"]: r["e"] for r in ema(df, "s", ["i"], "x", alpha=0.5, out="e").collect()}
+    assert got == {0: 2.0, 1: None, 2: 3.0}
