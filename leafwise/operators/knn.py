@@ -168,8 +168,10 @@ def knn_per_class(queries: DataFrame, reference: DataFrame, k: int = 5, exclude_
         F.col("leaves").isNotNull())
     r = reference.select(F.col(ref_id).cast("long").alias("id"), class_of(label).alias("cls"),
                          F.col(leaves).alias("leaves")).where(F.col("leaves").isNotNull())
-    nr = r.count()
-    nq = nr if queries is reference and query_id == ref_id else q.count()
+    # Block sizing needs only an approximate size: counting the inputs as given
+    # reads no column data from Parquet (rows without leaves are included).
+    nr = reference.count()
+    nq = nr if queries is reference else queries.count()
     parallelism = queries.sparkSession.sparkContext.defaultParallelism
     per_side = math.ceil(math.sqrt(2 * parallelism))
     qb, rb = _blocks(nq, cell_size, per_side), _blocks(nr, cell_size, per_side)
