@@ -36,6 +36,34 @@ DEFAULT_CELL = 4096
 _QUERY_CHUNK = 512
 
 
+def pack_leaves(c) -> Column:
+    """``array<int>`` → compact ``binary`` for the replicated shuffle.
+
+    Marker byte 0 then big-endian int16 per tree when every value fits
+    (half the bytes of an int array), else marker 1 then int32.  Built from
+    JVM expressions (``hex``/``unhex``), evaluated once per input row before
+    the rows are replicated to their cells.
+    """
+    c = F.col(c) if isinstance(c, str) else c
+    fits = (F.array_min(c) >= -32768) & (F.array_max(c) <= 32767)
+    h16 = F.array_join(F.transform(c, lambda x: F.lpad(F.hex(F.pmod(x.cast("long"), F.lit(1 << 16))), 4, "0")), "")
+    h32 = F.array_join(F.transform(c, lambda x: F.lpad(F.hex(F.pmod(x.cast("long"), F.lit(1 << 32))), 8, "0")), "")
+    return F.unhex(F.when(fits, F.concat(F.lit("00"), h16)).otherwise(F.concat(F.lit("01"), h32)))
+
+
+def unpack_leaves(blobs) -> np.ndarray:
+    """Inverse of :func:`pack_leaves` for a sequence of blobs → (n, T) int64."""
+    blobs = [bytes(b) for b in blobs]
+    if all(b[:1] == b"\x00" for b in blobs) and len({len(b) for b in blobs}) == 1:
+        width = (len(blobs[0]) - 1) // 2
+        raw = np.frombuffer(b"".join(b[1:] for b in blobs), dtype=">i2")
+        return raw.reshape(len(blobs), width).astype(np.int64)
+    rows = [np.frombuffer(b, dtype=">i2" if b[:1] == b"\x00" else ">i4", offset=1).astype(np.int64) for b in blobs]
+    if len({len(r) for r in rows}) > 1:
+        raise ValueError("leaf vectors differ in length")
+    return np.stack(rows)
+
+
 def class_of(label: str = "label") -> Column:
     """``cls`` = 1 for approved, 0 for unapproved; any other label raises."""
     lab = F.col(label)
@@ -86,8 +114,8 @@ def _cell_kernel(k: int, exclude_self: bool):
             return pd.DataFrame({"qid": [], "cls": [], "nid": [], "cnt": [], "width": []})
         rpdf = rpdf.sort_values("id", kind="stable")
         qids = qpdf["qid"].to_numpy(np.int64)
-        Q = np.stack(qpdf["leaves"].to_numpy()).astype(np.int64, copy=False)
-        R = np.stack(rpdf["leaves"].to_numpy()).astype(np.int64, copy=False)
+        Q = unpack_leaves(qpdf["packed"])
+        R = unpack_leaves(rpdf["packed"])
         if Q.shape[1] != R.shape[1]:
             raise ValueError(f"leaf vectors differ in length: {Q.shape[1]} vs {R.shape[1]}")
         width = Q.shape[1]
@@ -164,10 +192,10 @@ def knn_per_class(queries: DataFrame, reference: DataFrame, k: int = 5, exclude_
     if k < 1:
         raise ValueError("k must be at least 1")
     # a row without a leaf vector can neither have nor be a neighbour
-    q = queries.select(F.col(query_id).cast("long").alias("qid"), F.col(leaves).alias("leaves")).where(
-        F.col("leaves").isNotNull())
-    r = reference.select(F.col(ref_id).cast("long").alias("id"), class_of(label).alias("cls"),
-                         F.col(leaves).alias("leaves")).where(F.col("leaves").isNotNull())
+    q = queries.where(F.col(leaves).isNotNull()).select(
+        F.col(query_id).cast("long").alias("qid"), pack_leaves(leaves).alias("packed"))
+    r = reference.where(F.col(leaves).isNotNull()).select(
+        F.col(ref_id).cast("long").alias("id"), class_of(label).alias("cls"), pack_leaves(leaves).alias("packed"))
     # Block sizing needs only an approximate size: counting the inputs as given
     # reads no column data from Parquet (rows without leaves are included).
     nr = reference.count()

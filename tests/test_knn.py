@@ -81,3 +81,16 @@ def test_identical_vectors_one_class(spark):
     first = sorted((r["rank"], r["nid"], r["dist"]) for r in got.where("qid = 0").collect())
     assert first == [(1, 1, 0.0), (2, 2, 0.0), (3, 3, 0.0), (4, 4, 0.0), (5, 5, 0.0)]
     assert got.where("cls = 0").count() == 0
+
+
+def test_pack_roundtrip(spark):
+    import numpy as np
+
+    from leafwise.operators.knn import pack_leaves, unpack_leaves
+
+    rows = [([0, -1, 32767, -32768],), ([5, 70000, -70000, 3],), ([1, 2, 3, 4],)]
+    df = spark.createDataFrame(rows, "v array<int>")
+    blobs = [r[0] for r in df.select(pack_leaves("v")).collect()]
+    assert len(blobs[0]) == 1 + 2 * 4 and len(blobs[1]) == 1 + 4 * 4
+    assert unpack_leaves(blobs).tolist() == [r[0] for r in rows]
+    assert unpack_leaves([blobs[0], blobs[2]]).tolist() == [rows[0][0], rows[2][0]]
