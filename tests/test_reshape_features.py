@@ -56,7 +56,10 @@ def test_forest_methods_agree(spark):
     forest = synthetic_forest(spark, 5, 3, 64)
     a = sorted(map(tuple, forest_leaves(rows, forest, method="expression").collect()))
     b = sorted(map(tuple, forest_leaves(rows, forest, method="join").collect()))
-    assert a == b and len(a) == 5 * rows.count()
+    c = sorted(map(tuple, forest_leaves(rows, forest, method="numpy").collect()))
+    assert a == b == c and len(a) == 5 * rows.count()
+    arr = {r["id"]: r["leaves"] for r in forest_leaves(rows, forest, method="numpy", as_array=True).collect()}
+    assert all(arr[i][t] == leaf for i, t, leaf in a)
 
 
 def _length_or_null(keys):
