@@ -260,9 +260,9 @@ LEAVES = """leaves AS (
   FROM embeddings)"""
 
 
-def knn_sql(exclude_self: bool, k: int = 5) -> str:
+def knn_sql(exclude_self: bool, k: int = 5, leaves_cte: str | None = None) -> str:
     cond = "q.id <> r.id" if exclude_self else "TRUE"
-    return LEAVES + f""",
+    return (leaves_cte or LEAVES) + f""",
 pairs AS (
   SELECT q.id AS qid, r.label AS cls, r.id AS nid, len(q.leaves) AS width,
     list_sum(list_transform(range(1, len(q.leaves) + 1),
@@ -458,3 +458,12 @@ SELECT CAST(row_number() OVER (ORDER BY checkpoint) - 1 AS BIGINT) AS "index", c
 FROM c WHERE null_truth = 0"""
 
 ORACLE["checkpoint_report_stream"] = ORACLE["checkpoint_report"]
+
+
+FOREST_LEAVES = f"""leaves AS (
+  SELECT id, label, list(leaf ORDER BY tree) AS leaves FROM (
+    SELECT e.vec_id AS id, CAST(e.label % 2 AS INTEGER) AS label, f.tree, f.leaf
+    FROM embeddings e JOIN ({ORACLE["forest_leaves"]}) f ON e.vec_id = f.id)
+  GROUP BY id, label)"""
+
+ORACLE["neighbor_context_forest"] = "WITH " + CONTEXT.replace(knn_sql(False), knn_sql(False, leaves_cte=FOREST_LEAVES), 1) + " SELECT * FROM ctx"

@@ -72,3 +72,20 @@ def score_batch(context: DataFrame, names: DataFrame, key: str = "id", generator
 
         write_csv(result.drop(key), save_path)
     return result
+
+
+def neighbor_context_from_features(queries: DataFrame, reference: DataFrame, forest: DataFrame,
+                                   query_props: DataFrame, ref_props: DataFrame, k: int = 5, key: str = "id",
+                                   features: str = "features", label: str = "label", **knn_kw) -> DataFrame:
+    """Feature vectors → forest leaf codes → neighbour context.
+
+    ``queries``: ``(id, features)``; ``reference``: ``(id, features, label)``;
+    ``forest``: node table.  The leaf encoding runs once per row of each
+    side (not once per query and class, as the reference did).
+    """
+    from leafwise.operators.features import forest_leaves
+
+    q_leaves = forest_leaves(queries.select(key, features), forest, id_col=key, features=features, as_array=True)
+    r_leaves = forest_leaves(reference.select(key, features), forest, id_col=key, features=features, as_array=True)
+    r_leaves = r_leaves.join(reference.select(key, label), key)
+    return neighbor_context(q_leaves, r_leaves, query_props, ref_props, k=k, key=key, **knn_kw)

@@ -566,3 +566,14 @@ def q_checkpoint_report_stream(spark, sf):
                                 layout="partitioned")
     q.awaitTermination()
     return rounded(spark.read.parquet(out))
+
+
+
+@register("neighbor_context_forest")
+def q_neighbor_context_forest(spark, sf):
+    """The whole chain: embedding vectors → forest leaves → neighbours → properties."""
+    emb = S.table(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("id"), F.col("embedding").alias("features"), (F.col("label") % 2).alias("label"))
+    forest = FE.synthetic_forest(spark, FOREST_TREES, FOREST_DEPTH, 64)
+    props = _neighbor_props(spark, sf)
+    return SC.neighbor_context_from_features(emb.select("id", "features"), emb, forest, props, props)
