@@ -104,21 +104,37 @@ def evaluate(df: DataFrame, truth: str = "y_true", pred: str = "y_pred", by=(),
     return out if keep_counts else out.drop(*COUNT_COLS)
 
 
+# A group with at most this many distinct scores is ranked inside one task.
+MAX_LEVELS_IN_ONE_TASK = 2_000_000
+
+
 def roc_auc(df: DataFrame, label: str = "y_true", score: str = "score", by=(),
-            undefined: float | None = None, num_partitions: int | None = None) -> DataFrame:
+            undefined: float | None = None, num_partitions: int | None = None, method: str = "auto",
+            max_levels: int = MAX_LEVELS_IN_ONE_TASK) -> DataFrame:
     """ROC AUC for arbitrary scores (ties get the average rank).
 
     Mann–Whitney form: AUC = Σ_s pos_s·(neg_below_s + neg_s/2) / (P·N).
-    Rows are first reduced to one row per distinct ``(group, score)`` level;
-    ``neg_below`` is a distributed prefix sum over the levels, so a group with
-    very many distinct scores is still spread over many tasks.
+    Rows are first reduced to one row per distinct ``(group, score)`` level.
+    ``neg_below`` is a running sum over the levels: a window per group when
+    one aggregate shows every group has at most ``max_levels`` levels
+    (``'window'``), otherwise a distributed prefix sum that spreads a group
+    with very many distinct scores over many tasks (``'scan'``).
     """
     labelled = df.where(F.col(label).isin(0, 1))
     levels = labelled.groupBy(*by, score).agg(
         F.count_if(F.col(label) == 1).cast("long").alias("pos"),
         F.count_if(F.col(label) == 0).cast("long").alias("neg"),
     )
-    ranked = prefix_sums(levels, list(by), [score], ["neg"], num_partitions=num_partitions)
+    if method == "auto":
+        most = levels.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+        method = "window" if most <= max_levels else "scan"
+    if method == "window":
+        w = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+        ranked = levels.withColumn("neg_before", F.coalesce(F.sum("neg").over(w), F.lit(0)))
+    elif method == "scan":
+        ranked = prefix_sums(levels, list(by), [score], ["neg"], num_partitions=num_partitions)
+    else:
+        raise ValueError("method must be 'auto', 'window' or 'scan'")
     contrib = F.col("pos") * (F.col("neg_before") + F.col("neg") / 2.0)
     agg = ranked.groupBy(*by).agg(
         F.sum(contrib).alias("_u"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"),

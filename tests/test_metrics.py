@@ -68,11 +68,12 @@ def test_labels_and_junk(spark):
         (1.0, 1, 1, 1), (0.0, 0, 0, 0), (1.0, None, 1, 1), (0.0, None, 0, 0), (None, None, 0, None), (None, None, 0, None)]
 
 
-def test_auc_rank_formula_matches_pairwise(spark):
+@pytest.mark.parametrize("method", ["window", "scan"])
+def test_auc_rank_formula_matches_pairwise(spark, method):
     rng = random.Random(7)
     rows = [(g, rng.randint(0, 1), float(rng.randint(0, 30))) for g in range(4) for _ in range(60)]
     df = spark.createDataFrame(rows, "g int, t int, s double")
-    got = {r["g"]: r["auc"] for r in roc_auc(df, "t", "s", by=["g"], num_partitions=3).collect()}
+    got = {r["g"]: r["auc"] for r in roc_auc(df, "t", "s", by=["g"], num_partitions=3, method=method).collect()}
     for g in range(4):
         ps = [s for gg, t, s in rows if gg == g and t == 1]
         ns = [s for gg, t, s in rows if gg == g and t == 0]
