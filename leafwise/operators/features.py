@@ -30,50 +30,53 @@ def text_features(df: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 
 def featurize_distinct(df: DataFrame, text: str = "text") -> DataFrame:
-    """Features computed once per distinct text, then joined back.
+    """``(text_md5, <features>)``: one row per distinct text.
 
-    ``dropDuplicates`` shuffles on the text hash; a text repeated by a third
-    of all rows is still one row after the map-side partial dedup.
+    The native features are cheap per-row expressions, so they are computed
+    map-side and only the 128-bit text digest and the feature values are
+    shuffled for the de-duplication — never the texts.  A text repeated by a
+    third of all rows collapses in the map-side partial dedup.
     """
-    distinct = df.select(text).dropDuplicates([text])
-    feats = distinct.select(text, *[c.alias(n) for n, c in text_feature_columns(text).items()])
-    return feats
+    keyed = df.where(F.col(text).isNotNull()).select(
+        F.md5(F.col(text)).alias("text_md5"), *[c.alias(n) for n, c in text_feature_columns(text).items()])
+    return keyed.dropDuplicates(["text_md5"])
 
 
 def featurize(df: DataFrame, key: str, fn=None, schema: str | None = None, mode: str = "failfast",
               rejects: list | None = None) -> DataFrame:
     """Per-distinct-key feature job: dedupe, compute once, join back by key.
 
-    ``fn`` is an optional pandas hook ``(pd.Series of keys) -> pd.DataFrame``
+    Without ``fn`` the native text features are plain column expressions
+    (no shuffle).  ``fn`` is an optional pandas hook ``(pd.Series of keys) -> pd.DataFrame``
     of the declared ``schema`` (row-aligned), run through ``mapInPandas``
-    once per Arrow batch.  Without a hook the native text features are used.
+    once per Arrow batch over the distinct keys, then joined back.
     ``mode='quarantine'`` keeps rows whose hook output is all-NULL out of the
     result and, if ``rejects`` is a list, appends a DataFrame of them to it;
     ``'failfast'`` lets the hook's exception stop the job.
     """
-    distinct = df.select(key).where(F.col(key).isNotNull()).dropDuplicates([key])
     if fn is None:
-        feats = distinct.select(key, *[c.alias(n) for n, c in text_feature_columns(key).items()])
-    else:
-        from pyspark.sql.types import StructType
-
-        out_schema = StructType.fromDDL(f"`{key}` string, {schema}") if schema else None
-
-        def run(batches):
-            import pandas as pd
-
-            for pdf in batches:
-                res = fn(pdf[key]).reset_index(drop=True)
-                yield pd.concat([pdf[[key]].reset_index(drop=True), res], axis=1)
-
-        feats = distinct.mapInPandas(run, out_schema)
-        if mode == "quarantine":
-            value_cols = [c for c in feats.columns if c != key]
-            flags = [F.col(c).isNull().cast("int") for c in value_cols]
-            all_null = (F.least(*flags) if len(flags) > 1 else flags[0]) == 1
-            if rejects is not None:
-                rejects.append(feats.where(all_null).select(key))
-            feats = feats.where(~all_null)
+        # native features: a projection, no de-duplication or join needed
+        return df.withColumns(text_feature_columns(key))
+    from pyspark.sql.types import StructType
+
+    distinct = df.select(key).where(F.col(key).isNotNull()).dropDuplicates([key])
+    out_schema = StructType.fromDDL(f"`{key}` string, {schema}") if schema else None
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            res = fn(pdf[key]).reset_index(drop=True)
+            yield pd.concat([pdf[[key]].reset_index(drop=True), res], axis=1)
+
+    feats = distinct.mapInPandas(run, out_schema)
+    if mode == "quarantine":
+        value_cols = [c for c in feats.columns if c != key]
+        flags = [F.col(c).isNull().cast("int") for c in value_cols]
+        all_null = (F.least(*flags) if len(flags) > 1 else flags[0]) == 1
+        if rejects is not None:
+            rejects.append(feats.where(all_null).select(key))
+        feats = feats.where(~all_null)
     return df.join(feats, key, "inner" if mode == "quarantine" else "left")
 
 

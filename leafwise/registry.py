@@ -357,8 +357,7 @@ def q_pattern_catalog_match(spark, sf):
 @register("featurize_distinct")
 def q_featurize_distinct(spark, sf):
     docs = S.table(spark, sf, "documents").select("text")
-    feats = FE.featurize_distinct(docs, "text")
-    return feats.select(F.md5("text").alias("text_md5"), "n_chars", "n_words", "n_digits")
+    return FE.featurize_distinct(docs, "text")
 
 
 @register("featurize_hook")
