@@ -180,14 +180,16 @@ def _blocks(n: int, cell_size: int, min_per_side: int) -> int:
 
 def knn_per_class(queries: DataFrame, reference: DataFrame, k: int = 5, exclude_self: bool = False,
                   cell_size: int = DEFAULT_CELL, query_id: str = "id", ref_id: str = "id",
-                  label: str = "label", leaves: str = "leaves") -> DataFrame:
+                  label: str = "label", leaves: str = "leaves", sizes: tuple[int, int] | None = None) -> DataFrame:
     """``k`` nearest reference rows of each class for every query row.
 
     Returns ``(qid long, cls int, rank int, nid long, dist double)`` with
     ``rank`` 1..k ordered by ``(dist, nid)``.  ``exclude_self`` drops only the
     pair with equal ids (exact duplicates under another id stay at 0.0).
     Classes with fewer than ``k`` members give shorter lists; an empty class
-    gives no rows.  Labels other than 0/1 raise.
+    gives no rows.  Labels other than 0/1 raise.  ``sizes`` = (queries,
+    reference) row counts (approximate is fine) spares the two counting
+    scans when the inputs are expensive to compute.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
@@ -198,8 +200,11 @@ def knn_per_class(queries: DataFrame, reference: DataFrame, k: int = 5, exclude_
         F.col(ref_id).cast("long").alias("id"), class_of(label).alias("cls"), pack_leaves(leaves).alias("packed"))
     # Block sizing needs only an approximate size: counting the inputs as given
     # reads no column data from Parquet (rows without leaves are included).
-    nr = reference.count()
-    nq = nr if queries is reference else queries.count()
+    if sizes is not None:
+        nq, nr = sizes
+    else:
+        nr = reference.count()
+        nq = nr if queries is reference else queries.count()
     parallelism = queries.sparkSession.sparkContext.defaultParallelism
     per_side = math.ceil(math.sqrt(2 * parallelism))
     qb, rb = _blocks(nq, cell_size, per_side), _blocks(nr, cell_size, per_side)

@@ -15,7 +15,7 @@ RESULT_COLUMNS = ["SMILES", "thinking", "prediction", "confidence_score", "rdkit
 
 
 def neighbor_context(queries: DataFrame, reference: DataFrame, query_props: DataFrame, ref_props: DataFrame,
-                     k: int = 5, key: str = "id", **knn_kw) -> DataFrame:
+                     k: int = 5, key: str = "id", query_ids: DataFrame | None = None, **knn_kw) -> DataFrame:
     """Per query: its own property record and both neighbour lists, as JSON text.
 
     ``queries``: ``(id, leaves)``; ``reference``: ``(id, label, leaves)``;
@@ -30,7 +30,7 @@ def neighbor_context(queries: DataFrame, reference: DataFrame, query_props: Data
     )
     own_cols = [c for c in query_props.columns if c != key]
     own = query_props.select(F.col(key).alias("qid"), F.to_json(F.struct(*own_cols), {"ignoreNullFields": "false"}).alias("rdkit_properties"))
-    ids = queries.select(F.col(key).alias("qid"))
+    ids = (query_ids if query_ids is not None else queries).select(F.col(key).alias("qid"))
     return (
         ids.join(own, "qid", "left").join(lists, "qid", "left")
         .select(F.col("qid").alias(key), "rdkit_properties",
@@ -88,4 +88,7 @@ def neighbor_context_from_features(queries: DataFrame, reference: DataFrame, for
     q_leaves = forest_leaves(queries.select(key, features), forest, id_col=key, features=features, as_array=True)
     r_leaves = forest_leaves(reference.select(key, features), forest, id_col=key, features=features, as_array=True)
     r_leaves = r_leaves.join(reference.select(key, label), key)
-    return neighbor_context(q_leaves, r_leaves, query_props, ref_props, k=k, key=key, **knn_kw)
+    # grid sizes from the raw inputs: counting the encoded sides would run the walk
+    knn_kw.setdefault("sizes", (queries.count(), reference.count()))
+    return neighbor_context(q_leaves, r_leaves, query_props, ref_props, k=k, key=key,
+                            query_ids=queries.select(key), **knn_kw)
