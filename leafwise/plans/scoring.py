@@ -10,6 +10,7 @@ from leafwise.functions.text import extract_tag
 from leafwise.operators.generate import batch_generate, build_prompt, template_generator_factory
 from leafwise.operators.knn import knn_query_ref, neighbor_records
 
+# The seven columns of the scored result, in order.
 RESULT_COLUMNS = ["SMILES", "thinking", "prediction", "confidence_score", "rdkit_properties",
                   "similar_approved", "similar_unapproved"]
 
