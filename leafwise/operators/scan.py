@@ -101,3 +101,14 @@ def row_index(df: DataFrame, by: list[str], order: list[str], name: str = "idx",
     offsets = starts.select(PID, *by, "_start", F.coalesce(F.sum("_n").over(w_off), F.lit(0)).alias("_off"))
     joined = tagged.join(offsets, [PID, *by])
     return joined.select(*df.columns, (F.col("_off") + F.col("_pos") - F.col("_start")).alias(name))
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin the rows over the cluster when the input has fewer
+    partitions than task slots (e.g. one small file with one row group), so
+    heavy per-row work (regexes over whole texts, feature extraction) uses
+    every core.  Inputs that already have enough splits — any large table —
+    pass through unchanged.  Counting partitions plans the scan; no job runs.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df

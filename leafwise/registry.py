@@ -18,6 +18,7 @@ from leafwise.functions import text as T
 from leafwise.functions.numeric import round_fixed, round_half_even
 from leafwise.operators import metrics as M
 from leafwise.plans import reports as R
+from leafwise.operators.scan import spread
 from leafwise.sources import tables as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -225,7 +226,7 @@ def q_replace_literal(spark, sf):
 
 @register("extract_tags")
 def q_extract_tags(spark, sf):
-    g = S.generated_table(spark, sf)
+    g = spread(S.generated_table(spark, sf))
     return g.select(
         "id",
         T.extract_tag("text", "think").alias("thinking"),
@@ -236,7 +237,7 @@ def q_extract_tags(spark, sf):
 
 @register("strip_lower")
 def q_strip_lower(spark, sf):
-    conv = S.table(spark, sf, "conversations")
+    conv = spread(S.table(spark, sf, "conversations"))
     return conv.select("conv_id", "turn", T.strip_lower("text").alias("text"))
 
 
@@ -251,7 +252,7 @@ def _neighbor_props(spark, sf):
     with the same id (only documents that are reference rows are featurised)."""
     docs = S.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
     ids = S.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"))
-    return text_features(docs.join(ids, "id", "left_semi"), "id")
+    return text_features(spread(docs.join(ids, "id", "left_semi")), "id")
 
 
 @register("knn_leave_one_out")
@@ -346,7 +347,7 @@ def q_forest_leaves(spark, sf):
 
 @register("pattern_catalog_match")
 def q_pattern_catalog_match(spark, sf):
-    docs = S.table(spark, sf, "documents")
+    docs = spread(S.table(spark, sf, "documents"))
     hits = docs.select("doc_id", FE.catalog_matches("text").alias("alerts"))
     return hits.select(
         "doc_id", F.size("alerts").alias("n_alerts"),
@@ -356,20 +357,20 @@ def q_pattern_catalog_match(spark, sf):
 
 @register("featurize_distinct")
 def q_featurize_distinct(spark, sf):
-    docs = S.table(spark, sf, "documents").select("text")
+    docs = spread(S.table(spark, sf, "documents").select("text"))
     return FE.featurize_distinct(docs, "text")
 
 
 @register("featurize_hook")
 def q_featurize_hook(spark, sf):
-    docs = S.table(spark, sf, "documents").select("doc_id", "text")
+    docs = spread(S.table(spark, sf, "documents").select("doc_id", "text"))
     feats = FE.featurize(docs, "text", fn=FE.pandas_text_features, schema=FE.PANDAS_TEXT_SCHEMA)
     return feats.select("doc_id", "n_chars", "n_words", "n_digits")
 
 
 @register("embed_text")
 def q_embed_text(spark, sf):
-    docs = S.table(spark, sf, "documents").select("doc_id", "text")
+    docs = spread(S.table(spark, sf, "documents").select("doc_id", "text"))
     return MO.embed_text(docs, "text").select("doc_id", F.size("embedding").alias("dim"), "embedding")
 
 
