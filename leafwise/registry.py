@@ -16,9 +16,18 @@ from pyspark.sql.types import DoubleType, FloatType
 from leafwise.functions import labels as L
 from leafwise.functions import text as T
 from leafwise.functions.numeric import round_fixed, round_half_even
+from leafwise.operators import features as FE
+from leafwise.operators import generate as G
+from leafwise.operators import knn as K
 from leafwise.operators import metrics as M
-from leafwise.plans import reports as R
+from leafwise.operators import models as MO
+from leafwise.operators import series as W
+from leafwise.operators.features import text_features
 from leafwise.operators.scan import spread
+from leafwise.plans import reports as R
+from leafwise.plans import scoring as SC
+from leafwise.session import scratch_dir
+from leafwise.sources import files as FS
 from leafwise.sources import tables as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -243,8 +252,6 @@ def q_strip_lower(spark, sf):
 
 # --- nearest neighbours ---------------------------------------------------------
 
-from leafwise.operators import knn as K  # noqa: E402
-from leafwise.operators.features import text_features  # noqa: E402
 
 
 def _neighbor_props(spark, sf):
@@ -307,7 +314,6 @@ def q_neighbor_lists(spark, sf):
 
 # --- series -----------------------------------------------------------------------
 
-from leafwise.operators import series as W  # noqa: E402
 
 EMA_ALPHA = 0.05  # the smoothing the reference applies to its logs
 
@@ -327,8 +333,6 @@ def q_reward_series(spark, sf):
 
 # --- features ---------------------------------------------------------------------
 
-from leafwise.operators import features as FE  # noqa: E402
-from leafwise.operators import models as MO  # noqa: E402
 
 FOREST_TREES, FOREST_DEPTH = 16, 4  # literal rule-built forest for the leaf encoder
 
@@ -386,8 +390,6 @@ def q_forest_fit(spark, sf):
 
 # --- prompts, generation, scoring ------------------------------------------------
 
-from leafwise.operators import generate as G  # noqa: E402
-from leafwise.plans import scoring as SC  # noqa: E402
 
 
 def _docs_by_id(spark, sf):
@@ -436,8 +438,6 @@ def q_assemble_results(spark, sf):
 
 # --- files ------------------------------------------------------------------------
 
-from leafwise.session import scratch_dir  # noqa: E402
-from leafwise.sources import files as FS  # noqa: E402
 
 
 @register("scan_train")
