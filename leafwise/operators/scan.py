@@ -109,6 +109,9 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     heavy per-row work (regexes over whole texts, feature extraction) uses
     every core.  Inputs that already have enough splits — any large table —
     pass through unchanged.  Counting partitions plans the scan; no job runs.
+    Apply it to scans and projections of scans: on a plan that already
+    contains a shuffle, asking for the partition count would make adaptive
+    execution run that shuffle early.
     """
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(target) if df.rdd.getNumPartitions() < target else df

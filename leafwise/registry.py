@@ -259,7 +259,7 @@ def _neighbor_props(spark, sf):
     with the same id (only documents that are reference rows are featurised)."""
     docs = S.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
     ids = S.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"))
-    return text_features(spread(docs.join(ids, "id", "left_semi")), "id")
+    return text_features(spread(docs).join(ids, "id", "left_semi"), "id")
 
 
 @register("knn_leave_one_out")
