@@ -37,3 +37,16 @@ def test_readme_flow(spark, tmp_path):
     series = lw.reward_series(log, ["pos"], alpha=0.05)
     assert series.count() == 3 * len(lw.operators.series.REWARD_LABELS)
     assert {r["label"] for r in series.select("label").distinct().collect()} == set(lw.operators.series.REWARD_LABELS.values())
+
+
+def test_command_line_evaluate(tmp_path):
+    import os
+    import subprocess
+    import sys
+
+    _csv(tmp_path / "p.csv", [("approved", "approved"), ("unapproved", "approved")])
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    out = subprocess.run([sys.executable, "-m", "leafwise", "evaluate", str(tmp_path / "p.csv")], cwd=repo,
+                         capture_output=True, text=True, timeout=300)
+    assert out.returncode == 0, out.stderr[-2000:]
+    assert "accuracy" in out.stdout and "0.5" in out.stdout
