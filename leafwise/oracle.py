@@ -8,6 +8,8 @@ as ``round(x * 1e6) / 1e6`` on both sides.
 from __future__ import annotations
 
 from leafwise.functions.text import STRIP_PATTERN
+from leafwise.operators.features import TEXT_ALERTS
+from leafwise.operators.generate import DEFAULT_SYSTEM_PROMPT, DEFAULT_USER_TEMPLATE
 
 ORACLE: dict[str, str] = {}
 
@@ -351,7 +353,6 @@ ORACLE["forest_leaves"] = f"""SELECT vec_id AS id, CAST(t AS INTEGER) AS tree, C
   SELECT vec_id, t, {_walk} AS leaf
   FROM embeddings, (SELECT range AS t FROM range({_T})) trees)"""
 
-from leafwise.operators.features import TEXT_ALERTS  # noqa: E402
 
 _alerts = ", ".join(
     f"CASE WHEN regexp_matches(text, '{p.replace(chr(39), chr(39) * 2)}') THEN '{d}' END" for d, p, _ in TEXT_ALERTS)
@@ -369,7 +370,6 @@ ORACLE["featurize_hook"] = f"SELECT doc_id, {_FEATS} FROM documents"
 
 # --- prompts, generation, scoring ------------------------------------------------
 
-from leafwise.operators.generate import DEFAULT_SYSTEM_PROMPT, DEFAULT_USER_TEMPLATE  # noqa: E402
 
 
 def _lit(x: str) -> str:
