@@ -167,6 +167,130 @@ def _cell_kernel(k: int, exclude_self: bool):
     return kernel
 
 
+def _mismatch_counts(Q: np.ndarray, R: np.ndarray, codes=None) -> np.ndarray:
+    """(len(Q), len(R)) mismatch counts; one-hot product when ``codes`` given."""
+    width = Q.shape[1]
+    if codes is not None:
+        Q1, R1 = codes
+        return width - np.rint(Q1 @ R1.T).astype(np.int64)
+    cnt = np.zeros((Q.shape[0], R.shape[0]), dtype=np.uint16 if width < 65535 else np.int64)
+    for t in range(width):
+        cnt += Q[:, t, None] != R[None, :, t]
+    return cnt.astype(np.int64)
+
+
+def _best_k(cnt: np.ndarray, qids: np.ndarray, rids: np.ndarray, k: int, exclude_self: bool):
+    """Per row of ``cnt``: the ``k`` smallest by (count, id) → (row, col) index arrays.
+
+    Columns must be sorted by id so the column position breaks ties by id.
+    """
+    n_r = cnt.shape[1]
+    key = cnt * n_r + np.arange(n_r)[None, :]
+    if exclude_self:
+        key[qids[:, None] == rids[None, :]] = np.iinfo(np.int64).max
+    kk = min(k, n_r)
+    part = np.argpartition(key, kk - 1, axis=1)[:, :kk] if kk < n_r else np.tile(np.arange(n_r), (len(qids), 1))
+    rows = np.repeat(np.arange(len(qids)), part.shape[1])
+    cols = part.ravel()
+    keep = key[rows, cols] != np.iinfo(np.int64).max
+    return rows[keep], cols[keep]
+
+
+def _symmetric_kernel(k: int):
+    """Leave-one-out cell ``(lo, hi)``: rows of block ``lo`` against rows of
+    block ``hi`` once; the counts serve both directions (the transpose gives
+    the ``hi`` rows' candidates), and a diagonal cell pairs a block with
+    itself, excluding each row's own id."""
+
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({"qid": [], "cls": [], "nid": [], "cnt": [], "width": []})
+        if pdf.empty:
+            return empty
+        pdf = pdf.sort_values("id", kind="stable")
+        lo, hi = int(pdf["lo"].iloc[0]), int(pdf["hi"].iloc[0])
+        a = pdf[pdf["blk"] == lo]
+        c = pdf[pdf["blk"] == hi] if hi != lo else a
+        if a.empty or c.empty:
+            return empty
+        A, C = unpack_leaves(a["packed"]), unpack_leaves(c["packed"])
+        if A.shape[1] != C.shape[1]:
+            raise ValueError(f"leaf vectors differ in length: {A.shape[1]} vs {C.shape[1]}")
+        width = A.shape[1]
+        a_ids, c_ids = a["id"].to_numpy(np.int64), c["id"].to_numpy(np.int64)
+        a_cls, c_cls = a["cls"].to_numpy(np.int64), c["cls"].to_numpy(np.int64)
+        enc = _onehot_codes(A, C) if width < (1 << 24) else None
+        codes = (_onehot(enc[1], enc[0]), _onehot(enc[2], enc[0])) if enc is not None else None
+        out = []
+
+        def emit(qids, rids, cls, rows, cols, cnt):
+            out.append(pd.DataFrame({
+                "qid": qids[rows], "cls": np.full(len(rows), cls, dtype=np.int32), "nid": rids[cols],
+                "cnt": cnt[rows, cols].astype(np.int32), "width": np.full(len(rows), width, dtype=np.int32)}))
+
+        diagonal = hi == lo
+        # candidates for the hi block's rows, gathered from the transposed counts
+        t_rows, t_cols, t_cnt, t_cls = [], [], [], []
+        for start in range(0, len(a_ids), _QUERY_CHUNK):
+            sl = slice(start, start + _QUERY_CHUNK)
+            qa = a_ids[sl]
+            pair = None if codes is None else (codes[0][sl], codes[1])
+            cnt = _mismatch_counts(A[sl], C, pair)          # each count computed once
+            for cls in (0, 1):
+                c_cols = np.flatnonzero(c_cls == cls)
+                if c_cols.size:
+                    sub = cnt[:, c_cols]
+                    rows, cols = _best_k(sub, qa, c_ids[c_cols], k, exclude_self=diagonal)
+                    emit(qa, c_ids[c_cols], cls, rows, cols, sub)
+                if not diagonal:
+                    a_local = np.flatnonzero(a_cls[sl] == cls)
+                    if a_local.size:
+                        subt = cnt[a_local, :].T            # hi rows × this chunk's lo rows of class cls
+                        rows, cols = _best_k(subt, c_ids, a_ids[sl][a_local], k, exclude_self=False)
+                        t_rows.append(rows)
+                        t_cols.append(start + a_local[cols])
+                        t_cnt.append(subt[rows, cols])
+                        t_cls.append(np.full(len(rows), cls))
+        if t_rows:
+            rows, cols, cnts, clss = (np.concatenate(x) for x in (t_rows, t_cols, t_cnt, t_cls))
+            # exact k best per (hi row, class) across the chunks: sort, rank within group
+            order = np.lexsort((a_ids[cols], cnts, clss, rows))
+            rows, cols, cnts, clss = rows[order], cols[order], cnts[order], clss[order]
+            group = np.concatenate([[True], (rows[1:] != rows[:-1]) | (clss[1:] != clss[:-1])])
+            starts = np.maximum.accumulate(np.where(group, np.arange(len(rows)), 0))
+            keep = (np.arange(len(rows)) - starts) < k
+            out.append(pd.DataFrame({
+                "qid": c_ids[rows[keep]], "cls": clss[keep].astype(np.int32), "nid": a_ids[cols[keep]],
+                "cnt": cnts[keep].astype(np.int32), "width": np.full(int(keep.sum()), width, dtype=np.int32)}))
+        return pd.concat(out, ignore_index=True) if out else empty
+
+    return kernel
+
+
+def knn_self_symmetric(leaves_df: DataFrame, k: int = 5, cell_size: int = DEFAULT_CELL, id_col: str = "id",
+                       label: str = "label", leaves: str = "leaves", size: int | None = None) -> DataFrame:
+    """Leave-one-out neighbours using the symmetry of the distance: only
+    cells ``(lo, hi)`` with ``lo ≤ hi`` exist, each row is replicated once per
+    block (not once per block and side), and every count is computed once.
+    Same result as ``knn_per_class(df, df, exclude_self=True)``.
+    """
+    if k < 1:
+        raise ValueError("k must be at least 1")
+    n = size if size is not None else leaves_df.count()
+    parallelism = leaves_df.sparkSession.sparkContext.defaultParallelism
+    blocks = _blocks(n, cell_size, math.ceil(math.sqrt(2 * parallelism)))
+    rows = leaves_df.where(F.col(leaves).isNotNull()).select(
+        F.col(id_col).cast("long").alias("id"), class_of(label).alias("cls"), pack_leaves(leaves).alias("packed"),
+        F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(blocks)).cast("int").alias("blk"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_x")
+    cells = rows.select("*", other).select(
+        "id", "cls", "packed", "blk", F.least("blk", "_x").alias("lo"), F.greatest("blk", "_x").alias("hi"))
+    # a row meets its own block once (x = blk); off-diagonal cells get each row once
+    partial = cells.groupBy("lo", "hi").applyInPandas(_symmetric_kernel(k), NEIGHBOR_SCHEMA)
+    return top_k_per_group(partial, ["qid", "cls"], [F.col("cnt"), F.col("nid")], k).select(
+        "qid", "cls", "rank", "nid", (F.col("cnt").cast("double") / F.col("width")).alias("dist"),
+    )
+
+
 MIN_CELL = 64
 
 
@@ -223,8 +347,20 @@ def knn_per_class(queries: DataFrame, reference: DataFrame, k: int = 5, exclude_
     )
 
 
-def knn_leave_one_out(leaves: DataFrame, k: int = 5, **kw) -> DataFrame:
-    """Every row against all others (itself excluded), per class."""
+def knn_leave_one_out(leaves: DataFrame, k: int = 5, symmetric: bool = True, **kw) -> DataFrame:
+    """Every row against all others (itself excluded), per class.
+
+    ``symmetric=True`` computes each distance once for both rows of a pair
+    (:func:`knn_self_symmetric`); ``False`` runs the general query/reference
+    grid with self-exclusion.
+    """
+    if symmetric:
+        sym_kw = {k2: v for k2, v in kw.items() if k2 in ("cell_size", "label", "leaves")}
+        if "ref_id" in kw or "query_id" in kw:
+            sym_kw["id_col"] = kw.get("ref_id", kw.get("query_id"))
+        if "sizes" in kw:
+            sym_kw["size"] = kw["sizes"][1]
+        return knn_self_symmetric(leaves, k=k, **sym_kw)
     return knn_per_class(leaves, leaves, k=k, exclude_self=True, **kw)
 
 

@@ -31,11 +31,11 @@ def fixture_rows():
     return rows
 
 
-@pytest.mark.parametrize("cell", [7, 16, 1000])
-def test_leave_one_out_matches_brute_force(spark, cell):
+@pytest.mark.parametrize("cell,symmetric", [(7, True), (16, True), (1000, True), (7, False), (16, False)])
+def test_leave_one_out_matches_brute_force(spark, cell, symmetric):
     rows = fixture_rows()
     df = spark.createDataFrame(rows, "id long, label int, leaves array<int>")
-    got = sorted(map(tuple, knn_leave_one_out(df, k=5, cell_size=cell).collect()))
+    got = sorted(map(tuple, knn_leave_one_out(df, k=5, cell_size=cell, symmetric=symmetric).collect()))
     exp = brute_knn([(i, v) for i, _, v in rows], rows, 5, True)
     assert got == exp
     assert any(r[4] == 0.0 and {r[0], r[3]} == {0, 100} for r in got)   # duplicate kept at 0
@@ -94,3 +94,37 @@ def test_pack_roundtrip(spark):
     assert len(blobs[0]) == 1 + 2 * 4 and len(blobs[1]) == 1 + 4 * 4
     assert unpack_leaves(blobs).tolist() == [r[0] for r in rows]
     assert unpack_leaves([blobs[0], blobs[2]]).tolist() == [rows[0][0], rows[2][0]]
+
+
+def test_symmetric_kernel_chunks_match_brute_force(monkeypatch):
+    """The cell kernel in-process with tiny query chunks: the transposed
+    candidates of the hi block are merged across chunks exactly."""
+    import numpy as np
+    import pandas as pd
+
+    from leafwise.operators import knn as K
+
+    monkeypatch.setattr(K, "_QUERY_CHUNK", 7)
+    rng = np.random.default_rng(3)
+    n, width = 60, 5
+    leaves = rng.integers(0, 3, size=(n, width))
+    ids = rng.permutation(1000)[:n].astype(np.int64)
+    cls = rng.integers(0, 2, n)
+    blk = np.where(np.arange(n) < 25, 0, 1)
+
+    def pack(v):
+        return b"\x00" + b"".join(int(x).to_bytes(2, "big", signed=True) for x in v)
+
+    pdf = pd.DataFrame({"id": ids, "cls": cls, "packed": [pack(v) for v in leaves], "blk": blk,
+                        "lo": 0, "hi": 1})
+    got = K._symmetric_kernel(3)(pdf)
+    # merge like the final window: k best per (qid, cls) by (cnt, nid)
+    got = got.sort_values(["qid", "cls", "cnt", "nid"]).groupby(["qid", "cls"]).head(3)
+    got_set = {(int(r.qid), int(r.cls), int(r.nid), int(r.cnt)) for r in got.itertuples()}
+    exp = set()
+    for i in range(n):
+        for c in (0, 1):
+            other = [j for j in range(n) if blk[j] != blk[i] and cls[j] == c]
+            cand = sorted((int((leaves[i] != leaves[j]).sum()), int(ids[j])) for j in other)[:3]
+            exp |= {(int(ids[i]), c, nid, cnt) for cnt, nid in cand}
+    assert got_set == exp
