@@ -110,59 +110,34 @@ def _cell_kernel(k: int, exclude_self: bool):
     """
 
     def kernel(qpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({"qid": [], "cls": [], "nid": [], "cnt": [], "width": []})
         if qpdf.empty or rpdf.empty:
-            return pd.DataFrame({"qid": [], "cls": [], "nid": [], "cnt": [], "width": []})
+            return empty
         rpdf = rpdf.sort_values("id", kind="stable")
         qids = qpdf["qid"].to_numpy(np.int64)
-        Q = unpack_leaves(qpdf["packed"])
-        R = unpack_leaves(rpdf["packed"])
+        Q, R = unpack_leaves(qpdf["packed"]), unpack_leaves(rpdf["packed"])
         if Q.shape[1] != R.shape[1]:
             raise ValueError(f"leaf vectors differ in length: {Q.shape[1]} vs {R.shape[1]}")
         width = Q.shape[1]
-        acc_type = np.uint16 if width < 65535 else np.int64
-        codes = _onehot_codes(Q, R) if width < (1 << 24) else None
-        if codes is not None:
-            n_cols, q_codes, r_codes = codes
-            Q1, R1 = _onehot(q_codes, n_cols), _onehot(r_codes, n_cols)
-        elif Q.max(initial=0) <= 32767 and Q.min(initial=0) >= -32768 and R.max(initial=0) <= 32767 and R.min(initial=0) >= -32768:
-            Q, R = Q.astype(np.int16), R.astype(np.int16)
+        enc = _onehot_codes(Q, R) if width < (1 << 24) else None
+        codes = (_onehot(enc[1], enc[0]), _onehot(enc[2], enc[0])) if enc is not None else None
         rids = rpdf["id"].to_numpy(np.int64)
         rcls = rpdf["cls"].to_numpy(np.int64)
         out = []
-        for cls in (0, 1):
-            cols = np.flatnonzero(rcls == cls)
-            if cols.size == 0:
-                continue
-            ids_c = rids[cols]
-            Rc = R1[cols] if codes is not None else R[cols]
-            kk = min(k, cols.size)
-            for start in range(0, len(qids), _QUERY_CHUNK):
-                qs = qids[start:start + _QUERY_CHUNK]
-                if codes is not None:
-                    cnt = width - np.rint(Q1[start:start + _QUERY_CHUNK] @ Rc.T).astype(np.int64)
-                else:
-                    Qs = Q[start:start + _QUERY_CHUNK]
-                    cnt = np.zeros((Qs.shape[0], Rc.shape[0]), dtype=acc_type)
-                    for t in range(width):
-                        cnt += Qs[:, t, None] != Rc[None, :, t]
-                # unique sort key: (count, position in id order)
-                key = cnt.astype(np.int64) * Rc.shape[0] + np.arange(Rc.shape[0])[None, :]
-                if exclude_self:
-                    key[qs[:, None] == ids_c[None, :]] = np.iinfo(np.int64).max
-                part = np.argpartition(key, kk - 1, axis=1)[:, :kk] if kk < Rc.shape[0] else np.tile(np.arange(Rc.shape[0]), (len(qs), 1))
-                rows = np.repeat(np.arange(len(qs)), part.shape[1])
-                sel = part.ravel()
-                keep = key[rows, sel] != np.iinfo(np.int64).max
+        for start in range(0, len(qids), _QUERY_CHUNK):
+            sl = slice(start, start + _QUERY_CHUNK)
+            qs = qids[sl]
+            cnt = _mismatch_counts(Q[sl], R, None if codes is None else (codes[0][sl], codes[1]))
+            for cls in (0, 1):
+                cols = np.flatnonzero(rcls == cls)
+                if cols.size == 0:
+                    continue
+                sub = cnt[:, cols]
+                rows, sel = _best_k(sub, qs, rids[cols], k, exclude_self)
                 out.append(pd.DataFrame({
-                    "qid": qs[rows][keep],
-                    "cls": np.full(int(keep.sum()), cls, dtype=np.int32),
-                    "nid": ids_c[sel][keep],
-                    "cnt": cnt[rows, sel][keep].astype(np.int32),
-                    "width": np.full(int(keep.sum()), width, dtype=np.int32),
-                }))
-        if not out:
-            return pd.DataFrame({"qid": [], "cls": [], "nid": [], "cnt": [], "width": []})
-        return pd.concat(out, ignore_index=True)
+                    "qid": qs[rows], "cls": np.full(len(rows), cls, dtype=np.int32), "nid": rids[cols][sel],
+                    "cnt": sub[rows, sel].astype(np.int32), "width": np.full(len(rows), width, dtype=np.int32)}))
+        return pd.concat(out, ignore_index=True) if out else empty
 
     return kernel
 
