@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from leafwise.functions.text import extract_tag
 from leafwise.operators.generate import batch_generate, build_prompt, template_generator_factory
-from leafwise.operators.knn import knn_query_ref, neighbor_records
+from leafwise.operators.knn import knn_query_ref, neighbor_lookup
 
 # The seven columns of the scored result, in order.
 RESULT_COLUMNS = ["SMILES", "thinking", "prediction", "confidence_score", "rdkit_properties",
@@ -24,11 +24,16 @@ def neighbor_context(queries: DataFrame, reference: DataFrame, query_props: Data
     both classes (the reference ran it once per class).
     """
     nb = knn_query_ref(queries.select(key, "leaves"), reference, k=k, **knn_kw)
-    recs = neighbor_records(nb, ref_props, key=key, as_json=True)
-    lists = recs.groupBy("qid").agg(
-        F.max(F.when(F.col("cls") == 1, F.col("records"))).alias("similar_approved"),
-        F.max(F.when(F.col("cls") == 0, F.col("records"))).alias("similar_unapproved"),
-    )
+    # one aggregation per query builds both lists (each at most k records)
+    looked = neighbor_lookup(nb, ref_props, key=key)
+    prop_cols = [c for c in ref_props.columns if c != key]
+    rec = F.struct(F.col("rank"), F.struct(*prop_cols).alias("props"))
+
+    def as_json(cls: int):
+        items = F.sort_array(F.collect_list(F.when(F.col("cls") == cls, rec)))
+        return F.to_json(F.transform(items, lambda x: x["props"]), {"ignoreNullFields": "false"})
+
+    lists = looked.groupBy("qid").agg(as_json(1).alias("similar_approved"), as_json(0).alias("similar_unapproved"))
     own_cols = [c for c in query_props.columns if c != key]
     own = query_props.select(F.col(key).alias("qid"), F.to_json(F.struct(*own_cols), {"ignoreNullFields": "false"}).alias("rdkit_properties"))
     ids = (query_ids if query_ids is not None else queries).select(F.col(key).alias("qid"))
