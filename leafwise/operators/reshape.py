@@ -16,16 +16,22 @@ def order_value(col: str, order: dict[str, int]) -> Column:
     return F.create_map(*pairs)[F.col(col)]
 
 
+def rank_by_order(df: DataFrame, col: str, order: dict[str, int], by=(), rank_col: str = "sort_rank") -> DataFrame:
+    """Add ``rank_col``: 1-based position within ``by`` under a user-given
+    order map (unmapped names last, then by name).  Used on report tables
+    (one row per model), so the window partitions are small."""
+    key = order_value(col, order)
+    w = Window.partitionBy(*by).orderBy(key.asc_nulls_last(), F.col(col).asc())
+    return df.withColumn(rank_col, F.row_number().over(w))
+
+
 def custom_order(df: DataFrame, col: str, order: dict[str, int], by=(), rank_col: str = "sort_rank") -> DataFrame:
     """Sort by a user-given order map; unmapped names last, then by name.
 
-    The position is emitted as ``rank_col`` (1-based within ``by``), so the
-    order survives order-insensitive comparison and later shuffles.  Used on
-    report tables (one row per model), so the window partitions are small.
+    The position is also emitted as ``rank_col``, so the order survives
+    order-insensitive comparison and later shuffles.
     """
-    key = order_value(col, order)
-    w = Window.partitionBy(*by).orderBy(key.asc_nulls_last(), F.col(col).asc())
-    return df.withColumn(rank_col, F.row_number().over(w)).orderBy(*by, rank_col)
+    return rank_by_order(df, col, order, by, rank_col).orderBy(*by, rank_col)
 
 
 def ordered_category(col: str, categories: list[str]) -> Column:

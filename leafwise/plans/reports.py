@@ -10,7 +10,7 @@ from leafwise.functions.labels import binarize, is_valid_prediction, map_label,
 from leafwise.functions.numeric import round_half_even
 from leafwise.functions.text import strip_suffix
 from leafwise.operators.metrics import COUNT_COLS, confusion_counts, evaluate, metric_columns
-from leafwise.operators.reshape import custom_order, melt, ordered_category
+from leafwise.operators.reshape import melt, ordered_category, rank_by_order
 
 # Display names and display order of the report metrics.
 REPORT_METRICS = {
@@ -73,7 +73,7 @@ def model_report(df: DataFrame, order: dict[str, dict[str, int]] | None = None,
     wide = model_metrics(df).where(F.col("split").isNotNull())
     wide = wide.select("split", "model", *[round_half_even(k, digits).alias(v) for k, v in REPORT_METRICS.items()])
     flat_order = {name: rank for per_split in order.values() for name, rank in per_split.items()}
-    ranked = custom_order(wide, "model", flat_order, by=["split"])
+    ranked = rank_by_order(wide, "model", flat_order, by=["split"])   # order kept as a column
     display = F.when(F.col("split") == "external", strip_suffix("model", SUFFIX_PATTERNS["external"])).otherwise(
         strip_suffix("model", SUFFIX_PATTERNS["test"])
     )
