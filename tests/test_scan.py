@@ -24,3 +24,15 @@ def test_row_index_exact_under_skew(spark):
     assert hot.where(~F.col("ok")).count() == 0 and hot.count() == 15000
     small = idx.where("g = 'k7'").orderBy("o").select("i").collect()
     assert [r[0] for r in small] == list(range(len(small)))
+
+
+def test_partition_sizing_helpers(spark):
+    from leafwise.operators.scan import spread, target_partitions
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert target_partitions(docs) >= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    slots = spark.sparkContext.defaultParallelism
+    assert docs.rdd.getNumPartitions() < slots
+    assert spread(docs).rdd.getNumPartitions() == slots
+    wide = docs.repartition(slots * 2)
+    assert spread(wide) is wide            # enough splits: unchanged
