@@ -33,8 +33,16 @@ CAPACITY = 4096
 END_ID = 1
 #: Distinct words whose ids a worker remembers; beyond it, it starts anew.
 CACHE = 200_000
+#: A mark that the tokenizer gives one id; words that hold it are encoded alone.
+BAR = "~"
+#: Words encoded in one call.
+JOINED = 10_000
 #: Rounds of the multiplicative weights.
-ROUNDS = 200
+ROUNDS = 1500
+#: Share of a length's pieces that one round covers.
+STEP = 0.25
+#: Tokens in a unit of the pricing program.
+UNIT = 8
 #: Pieces numbered together in one task, on average.
 NUMBERED = 50_000
 
@@ -52,16 +60,34 @@ def tokens_column(path: str, text: str = "text", end_id: int = END_ID) -> Column
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
+        bar = tokenizer.encode(BAR, add_special_tokens=False).ids
         known: dict[bytes, bytes] = {}
         end = np.array([end_id], "<u4").tobytes()
+
+        def one(word: bytes) -> bytes:
+            return np.array(tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+
+        def learn(words: list[bytes]) -> None:
+            """Ids of many words from one call: the words joined by a mark that is one token."""
+            joined = f" {BAR} ".join(w.decode("utf-8", "replace") for w in words)
+            ids = np.array(tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(ids == bar[0]) if len(bar) == 1 else ids[:0]
+            if len(cuts) != len(words) - 1:
+                known.update((w, one(w)) for w in words)
+                return
+            raw, edges = ids.tobytes(), [-1, *cuts.tolist(), len(ids)]
+            for w, lo, hi in zip(words, edges, edges[1:]):
+                known[w] = raw[4 * lo + 4 : 4 * hi]
+
         for texts in batches:
             split = [t.split() for t in texts]
             if len(known) > CACHE:
                 known.clear()
             new = list(set(itertools.chain.from_iterable(split)).difference(known))
-            if new:
-                for w, e in zip(new, tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)):
-                    known[w] = np.array(e.ids, "<u4").tobytes()
+            plain = [w for w in new if BAR.encode() not in w]
+            for i in range(0, len(plain), JOINED):
+                learn(plain[i : i + JOINED])
+            known.update((w, one(w)) for w in new if BAR.encode() in w)
             get = known.__getitem__
             yield pd.Series([b"".join(map(get, words)) + end for words in split], dtype=object)
 
@@ -86,43 +112,67 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
 
 
 def _knapsack(value: np.ndarray, sizes: np.ndarray, capacity: int) -> dict[int, int]:
-    """Items (index -> copies) of most value that fit; each as often as wanted."""
-    best, take = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    upto = np.searchsorted(sizes, np.arange(capacity + 1), side="right")
-    for c in range(1, capacity + 1):
+    """A bin (index -> copies) of nearly the most value: unbounded-knapsack dynamic program in units of ``UNIT``.
+
+    Lengths are rounded up to units, so of all lengths of a unit count only
+    the most valuable can be chosen; room that the rounding leaves goes to a
+    longer piece in the place of the one that then fills the bin exactly.
+    """
+    units, room = -(-sizes // UNIT), capacity // UNIT
+    order = np.lexsort((value, units))
+    last = np.append(np.flatnonzero(np.diff(units[order])), len(order) - 1)
+    item = order[last]  # most valuable index of each unit count
+    item = item[units[item] <= room]
+    size, worth = units[item], value[item]
+    best, take = np.zeros(room + 1), np.full(room + 1, -1)
+    upto = np.searchsorted(size, np.arange(room + 1), side="right")
+    for c in range(1, room + 1):
         best[c] = best[c - 1]
         if k := upto[c]:
-            got = best[c - sizes[:k]] + value[:k]
+            got = best[c - size[:k]] + worth[:k]
             if got[i := int(got.argmax())] > best[c]:
                 best[c], take[c] = got[i], i
     out: dict[int, int] = {}
-    c = capacity
+    c = room
     while c > 0:
         if (i := int(take[c])) < 0:
             c -= 1
         else:
-            out[i] = out.get(i, 0) + 1
-            c -= int(sizes[i])
+            out[int(item[i])] = out.get(int(item[i]), 0) + 1
+            c -= int(size[i])
+    spare = capacity - sum(a * int(sizes[i]) for i, a in out.items())
+    if 0 < spare < UNIT * (1 + sum(out.values())):  # no more than rounding leaves
+        at = {int(s): j for j, s in enumerate(sizes)}
+        swaps = [(value[at[t]] - value[i], i, at[t]) for i in out if (t := int(sizes[i]) + spare) in at and 2 * value[at[t]] >= value[i]]
+        if swaps:
+            _, i, j = max(swaps)
+            out[i] -= 1
+            out = {k: a for k, a in out.items() if a}
+            out[j] = out.get(j, 0) + 1
     return out
 
 
 def fractional_bins(sizes: np.ndarray, need: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[dict[int, int], float]]:
-    """Bins with fractional multiplicities that cover ``need`` about once."""
+    """Bins with fractional multiplicities that cover ``need`` at most once.
+
+    Multiplicative weights: a length's dual price falls exponentially with
+    the share of it that is covered; each round takes the priced bin until a
+    quarter (at least one piece) of one of its lengths is covered.
+    """
     cover = np.zeros(len(sizes))
     found: dict[tuple, float] = {}
-    step = 1.0 / rounds
-    rate = math.log(max(2, len(sizes))) / 0.05
-    total = float((sizes * need).sum()) / capacity
+    rate = math.log(max(2, len(sizes))) / STEP
     for _ in range(rounds):
-        weight = np.exp(-rate * (cover - cover.min()))
-        bin_ = _knapsack(weight / need, sizes, capacity)
-        times = min([total * step, *(need[i] * 0.05 / a for i, a in bin_.items())])
+        if cover.min() >= 1:
+            break
+        weight = np.exp(-np.minimum(rate * (cover - cover.min()), 20)) / need
+        bin_ = _knapsack(weight, sizes, capacity)
+        times = min(max(STEP * need[i], 1.0) / a for i, a in bin_.items())
         key = tuple(sorted(bin_.items()))
         found[key] = found.get(key, 0.0) + times
         for i, a in bin_.items():
             cover[i] += a * times / need[i]
-    scale = 1 / max(1.0, cover.max())
-    return [(dict(k), x * scale) for k, x in found.items()]
+    return [(dict(k), x) for k, x in found.items()]
 
 
 @dataclass

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafwise.llm import bpe, exact_dedup, langid, packing, quality
+from leafwise.llm import bpe, exact_dedup, html_extract, langid, packing, quality, sharding
 from leafwise.llm.common import bound_batches, fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,18 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), keep_ids=False)
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = html_extract.extract_pages(table(spark, sf_dir, "pages"))
+    return got.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = sharding.shard(table(spark, sf_dir, "documents"))
+    return got.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return got.select("doc_id", *quality.BASE, "base_failed", "kept")
@@ -45,7 +57,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op3_best_fit_packing, op7_quality_rules, op8_byte_bpe, op9_exact_dedup, op10_language_id)
+    for f in (op3_best_fit_packing, op4_html_extraction, op6_sharding, op7_quality_rules, op8_byte_bpe, op9_exact_dedup, op10_language_id)
 }
 
 #: Queries that SQL can state.
