@@ -1,13 +1,15 @@
 """Packing token sequences by a configuration linear program.
 
 Only the histogram of piece lengths (at most ``capacity`` numbers) reaches
-the driver.  There the covering program "fewest bins such that every length
-is covered" is solved by multiplicative weights: lengths covered least weigh
-most, and an unbounded-knapsack dynamic program prices the best bin for the
-weights.  The fractional solution is rounded down, and what it leaves is filled
-by bins that take the longest piece that still fits.  A bin pattern used ``m``
-times is one row; a piece finds its bin by arithmetic on its rank among the
-pieces of its length, so no sequence is ever built in one task.
+the driver.  There lengths are classes of ``UNIT`` tokens, and the covering
+program "fewest bins such that every class is covered" is solved by
+multiplicative weights: classes covered least weigh most, and an
+unbounded-knapsack dynamic program prices the best bin for the weights.  The
+fractional solution is rounded down; each of its bins takes the longest real
+lengths of its classes and is topped up by the longest pieces that still fit,
+and so are the bins for what the rounding leaves.  A bin used ``m`` times is
+one entry of the plan; a piece finds its bin by arithmetic on its rank among
+the pieces of its length, so no sequence is ever built in one task.
 
 Edge cases: a NULL or empty text is the end token alone; repeated rows are
 packed as often as they occur; an empty table gives no rows.
@@ -37,12 +39,12 @@ CACHE = 200_000
 BAR = "~"
 #: Words encoded in one call.
 JOINED = 10_000
-#: Rounds of the multiplicative weights.
-ROUNDS = 1500
-#: Share of a length's pieces that one round covers.
-STEP = 0.25
-#: Tokens in a unit of the pricing program.
-UNIT = 8
+#: Rounds of the multiplicative weights, at most.
+ROUNDS = 6000
+#: Share of a class's pieces that one round covers.
+STEP = 0.05
+#: Tokens in a unit; the lengths that round up to the same units are a class of the linear program.
+UNIT = 16
 #: Pieces numbered together in one task, on average.
 NUMBERED = 50_000
 
@@ -111,63 +113,46 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
     )
 
 
-def _knapsack(value: np.ndarray, sizes: np.ndarray, capacity: int) -> dict[int, int]:
-    """A bin (index -> copies) of nearly the most value: unbounded-knapsack dynamic program in units of ``UNIT``.
-
-    Lengths are rounded up to units, so of all lengths of a unit count only
-    the most valuable can be chosen; room that the rounding leaves goes to a
-    longer piece in the place of the one that then fills the bin exactly.
-    """
-    units, room = -(-sizes // UNIT), capacity // UNIT
-    order = np.lexsort((value, units))
-    last = np.append(np.flatnonzero(np.diff(units[order])), len(order) - 1)
-    item = order[last]  # most valuable index of each unit count
-    item = item[units[item] <= room]
-    size, worth = units[item], value[item]
+def _knapsack(value: np.ndarray, room: int) -> dict[int, int]:
+    """The bin (class -> copies) of most value: unbounded-knapsack dynamic program; class c takes c + 1 units of ``room``."""
     best, take = np.zeros(room + 1), np.full(room + 1, -1)
-    upto = np.searchsorted(size, np.arange(room + 1), side="right")
-    for c in range(1, room + 1):
-        best[c] = best[c - 1]
-        if k := upto[c]:
-            got = best[c - size[:k]] + worth[:k]
-            if got[i := int(got.argmax())] > best[c]:
-                best[c], take[c] = got[i], i
+    for r in range(1, room + 1):
+        best[r] = best[r - 1]
+        k = min(r, len(value))
+        got = best[r - 1 :: -1][:k] + value[:k]
+        if got[i := int(got.argmax())] > best[r]:
+            best[r], take[r] = got[i], i
     out: dict[int, int] = {}
-    c = room
-    while c > 0:
-        if (i := int(take[c])) < 0:
-            c -= 1
+    r = room
+    while r > 0:
+        if (i := int(take[r])) < 0:
+            r -= 1
         else:
-            out[int(item[i])] = out.get(int(item[i]), 0) + 1
-            c -= int(size[i])
-    spare = capacity - sum(a * int(sizes[i]) for i, a in out.items())
-    if 0 < spare < UNIT * (1 + sum(out.values())):  # no more than rounding leaves
-        at = {int(s): j for j, s in enumerate(sizes)}
-        swaps = [(value[at[t]] - value[i], i, at[t]) for i in out if (t := int(sizes[i]) + spare) in at and 2 * value[at[t]] >= value[i]]
-        if swaps:
-            _, i, j = max(swaps)
-            out[i] -= 1
-            out = {k: a for k, a in out.items() if a}
-            out[j] = out.get(j, 0) + 1
+            out[i] = out.get(i, 0) + 1
+            r -= i + 1
     return out
 
 
-def fractional_bins(sizes: np.ndarray, need: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[dict[int, int], float]]:
-    """Bins with fractional multiplicities that cover ``need`` at most once.
+def fractional_bins(need: np.ndarray, room: int, rounds: int = ROUNDS) -> list[tuple[dict[int, int], float]]:
+    """Bins over length classes with fractional multiplicities that cover ``need``.
 
-    Multiplicative weights: a length's dual price falls exponentially with
-    the share of it that is covered; each round takes the priced bin until a
-    quarter (at least one piece) of one of its lengths is covered.
+    Multiplicative weights: a class's dual price falls exponentially with
+    the share of it that is covered; each round takes the bin of most value
+    until a further ``STEP`` of one of its classes is covered.
     """
-    cover = np.zeros(len(sizes))
+    wanted = need > 0
+    if not wanted.any():
+        return []
+    cover = np.where(wanted, 0.0, np.inf)
     found: dict[tuple, float] = {}
-    rate = math.log(max(2, len(sizes))) / STEP
+    rate = math.log(max(2, len(need))) / STEP
     for _ in range(rounds):
-        if cover.min() >= 1:
+        least = cover.min()
+        if least >= 1:
             break
-        weight = np.exp(-np.minimum(rate * (cover - cover.min()), 20)) / need
-        bin_ = _knapsack(weight, sizes, capacity)
-        times = min(max(STEP * need[i], 1.0) / a for i, a in bin_.items())
+        price = np.where(wanted, np.exp(-np.minimum(rate * (cover - least), 20)) / np.maximum(need, 1), 0.0)
+        bin_ = _knapsack(price, room)
+        times = min(STEP * need[i] / a for i, a in bin_.items())
         key = tuple(sorted(bin_.items()))
         found[key] = found.get(key, 0.0) + times
         for i, a in bin_.items():
@@ -203,25 +188,50 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUN
             offset += a * int(sizes[i])
         bins += times
 
-    if len(sizes):
-        for bin_, x in sorted(fractional_bins(sizes, left.astype(float), capacity, rounds), key=lambda p: -p[1]):
-            times = min([math.floor(x), *(int(left[i]) // a for i, a in bin_.items())])
-            # a bin that is not nearly full is left to the rest
-            if times > 0 and sum(a * int(sizes[i]) for i, a in bin_.items()) >= capacity - 1:
-                place(bin_, times)
-    while left.any():
-        room, bin_ = capacity, {}
-        i = int(np.flatnonzero(left)[-1])
-        while i >= 0 and room > 0:
-            i = min(i, int(np.searchsorted(sizes, room, side="right")) - 1)
-            while i >= 0 and left[i] == 0:
-                i -= 1
-            if i < 0:
-                break
-            a = min(int(left[i]), room // int(sizes[i]))
-            bin_[i] = a
-            room -= a * int(sizes[i])
+    def longest(limit: int) -> int:
+        """Index of the longest length with pieces left that is at most ``limit``; -1 without one."""
+        i = int(np.searchsorted(sizes, limit, side="right")) - 1
+        while i >= 0 and left[i] == 0:
             i -= 1
+        return i
+
+    def fill(bin_: dict[int, int], room: int) -> dict[int, int]:
+        """The bin with the longest pieces that still fit."""
+        limit = room
+        while room > 0 and (i := longest(min(room, limit))) >= 0:
+            a = min(int(left[i]) - bin_.get(i, 0), room // int(sizes[i]))
+            if a > 0:
+                bin_[i] = bin_.get(i, 0) + a
+                room -= a * int(sizes[i])
+            limit = int(sizes[i]) - 1
+        return bin_
+
+    def concrete(pattern: dict[int, int]) -> dict[int, int] | None:
+        """A bin of real lengths for a bin of classes; None when a class has run out."""
+        bin_, room = {}, capacity
+        for c, a in sorted(pattern.items(), reverse=True):
+            for _ in range(a):
+                i = longest((c + 1) * unit)
+                while i >= 0 and left[i] <= bin_.get(i, 0) and sizes[i] > c * unit:
+                    i = longest(int(sizes[i]) - 1)
+                if i < 0 or sizes[i] <= c * unit:
+                    return None
+                bin_[i] = bin_.get(i, 0) + 1
+                room -= int(sizes[i])
+        return fill(bin_, room)
+
+    unit = min(UNIT, capacity)
+    need = np.zeros(-(-capacity // unit))
+    np.add.at(need, (sizes - 1) // unit, left)
+    # bins of the longest pieces first: short ones are what tops up and what the rest is filled with
+    for pattern, x in sorted(fractional_bins(need, capacity // unit, rounds), key=lambda p: sorted(p[0], reverse=True), reverse=True):
+        wanted = math.floor(x)
+        while wanted > 0 and (bin_ := concrete(pattern)):
+            times = min(wanted, *(int(left[i]) // a for i, a in bin_.items()))
+            place(bin_, times)
+            wanted -= times
+    while left.any():
+        bin_ = fill({}, capacity)
         place(bin_, min(int(left[i]) // a for i, a in bin_.items()))
     return blocks, bins
 

@@ -7,12 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafwise.llm import bpe, exact_dedup, html_extract, langid, packing, quality, sharding
+from leafwise.llm import bpe, exact_dedup, html_extract, jaccard, langid, license_scan, lm, packing, quality, sharding
 from leafwise.llm.common import bound_batches, fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(table(spark, sf_dir, "documents"))
+
+
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), keep_ids=False)
 
@@ -22,6 +30,10 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = sharding.shard(table(spark, sf_dir, "documents"))
     return got.select(
@@ -57,7 +69,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op3_best_fit_packing, op4_html_extraction, op6_sharding, op7_quality_rules, op8_byte_bpe, op9_exact_dedup, op10_language_id)
+    for f in (op1_license_scan, op2_lm_scoring, op3_best_fit_packing, op4_html_extraction, op5_ngram_jaccard, op6_sharding, op7_quality_rules, op8_byte_bpe, op9_exact_dedup, op10_language_id)
 }
 
 #: Queries that SQL can state.
