@@ -40,7 +40,9 @@ COMMON = 0.002
 PRECISION = 0.99
 #: Share of the shorter text's word pairs that a template must share.
 CONFIRM = 0.5
-PENALTY = 0.002
+PENALTY = 0.0002
+#: Weight of a class's rows together, against those of "none".
+WEIGHT = 0.25
 NONE, UNKNOWN = "none", "unknown"
 
 #: Notices by family.
@@ -199,11 +201,13 @@ def fit(spark: SparkSession, docs: DataFrame) -> Model:
     rows = [(t, c) for t, c in notices] + [(t, NONE) for t in OTHERWISE * 4] + [(t, NONE) for t in plain]
     classes = [NONE, *TEMPLATES]
     index = {c: float(i) for i, c in enumerate(classes)}
-    frame = spark.createDataFrame([(i, t, index[c]) for i, (t, c) in enumerate(rows)], "id long, p string, label double")
+    size = {c: sum(y == c for _, y in rows) for c in classes}
+    weight = {c: 1.0 if c == NONE else WEIGHT * size[NONE] / max(size[c], 1) for c in classes}
+    frame = spark.createDataFrame([(i, t, index[c], weight[c]) for i, (t, c) in enumerate(rows)], "id long, p string, label double, weight double")
     frame = frame.withColumn("words", words_of(F.col("p"))).withColumn("grams", features(F.col("words")))
     vectors = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="grams", outputCol="vector").setBinary(True)
-    frame = vectors.transform(frame).select("id", "p", "words", "label", "vector").repartition(1).cache()
-    learner = LogisticRegression(featuresCol="vector", family="multinomial", elasticNetParam=1.0, regParam=PENALTY, maxIter=60, standardization=False)
+    frame = vectors.transform(frame).select("id", "words", "label", "weight", "vector").repartition(1).cache()
+    learner = LogisticRegression(featuresCol="vector", weightCol="weight", family="multinomial", elasticNetParam=1.0, regParam=PENALTY, maxIter=100, standardization=False)
 
     # the threshold: on one frame in six, learnt from the others
     held = F.pmod(F.xxhash64("id"), F.lit(6)) == 0
