@@ -323,7 +323,7 @@ def fit(labelled: DataFrame) -> Model:
 
 def training_rows(spark: SparkSession, pages: DataFrame, page_count: int) -> DataFrame:
     """The labelled pages of ``TRAINING`` (each counted as often as keeps them audible) and a sample of ``pages`` with an article."""
-    times = max(1, min(page_count, SAMPLE) // (4 * len(TRAINING)))
+    times = max(20, min(page_count, SAMPLE) // (4 * len(TRAINING)))
     own = spark.createDataFrame([(bytearray(p.encode()), True, times) for p in TRAINING], "html binary, given boolean, times int")
     rate = min(1.0, SAMPLE / max(page_count, 1))
     draw = F.pmod(F.xxhash64("page_id", F.lit("pages")), F.lit(1_000_000)) / 1_000_000

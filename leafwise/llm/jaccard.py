@@ -309,7 +309,8 @@ def links(members: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> Dat
         spread = big.join(pivots.select("root", "task").distinct(), "root")
         key = ["root", "slice", "task"]
         copies = pivots.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).select(*key, "k", "s")
-        hits = copies.groupBy(*key).cogroup(spread.select(*key, "k", "s").groupBy(*key)).applyInPandas(_link_pivots(percent), "u long, v long")
+        spread = spread.select(*[F.col(c).alias(c) for c in (*key, "k", "s")])  # columns of its own, for the cogroup
+        hits = copies.groupBy(*key).cogroup(spread.groupBy(*key)).applyInPandas(_link_pivots(percent), "u long, v long")
         found = saved(found.unionByName(hits).distinct(), "links")
         comp = components(found).select(F.col("node").alias("k"), F.col("root").alias("comp"))
         done = state.select("root", "k", "done").join(chosen.withColumn("now", F.lit(True)), ["root", "k"], "left").join(comp, "k", "left")
