@@ -173,20 +173,6 @@ def catalog_matches(c, catalog=TEXT_ALERTS) -> Column:
     return F.array_compact(F.array(*hits))
 
 
-def catalog_from_table(catalog_df: DataFrame, max_entries: int = 10_000) -> list[tuple[str, str]]:
-    """Read a (description, pattern) catalogue table into the driver.
-
-    A catalogue is configuration: its size is checked before it is pulled.
-    """
-    n = catalog_df.count()
-    if n > max_entries:
-        raise ValueError(f"catalogue has {n} entries (> {max_entries}); it is expected to be small")
-    return [(r[0], r[1], ()) for r in catalog_df.select("description", "pattern").collect()]
-
-
-# --- masked mean pooling --------------------------------------------------------
-
-
 def masked_mean_pool(tokens: DataFrame, id_col: str = "id", vec: str = "vec", mask: str = "mask",
                      as_array: bool = False) -> DataFrame:
     """Per sequence and dimension: ``Σ v·m / max(Σ m, 1e-9)``.
@@ -229,103 +215,62 @@ def synthetic_forest(spark, trees: int, depth: int, n_features: int) -> DataFram
     )
 
 
-# Above this many nodes the generated code outgrows a JVM method (codegen
-# falls back to interpretation) and the join walk is faster.
-EXPRESSION_NODE_LIMIT = 128
-
-
-def _tree_expression(nodes: dict, node: int, feats: Column) -> Column:
-    feature, threshold, left, right = nodes[node]
-    if feature is None:
-        return F.lit(node)
-    x = F.element_at(feats, int(feature) + 1)
-    return F.when(x < F.lit(float(threshold)), _tree_expression(nodes, left, feats)).otherwise(
-        _tree_expression(nodes, right, feats))
-
-
-def forest_leaves_by_expression(rows: DataFrame, forest: DataFrame, id_col: str = "id",
-                                features: str = "features", node_limit: int = EXPRESSION_NODE_LIMIT) -> DataFrame:
-    """Small forests: each tree becomes one nested ``CASE`` expression, so the
-    encoding is a single code-generated projection (no explode, no join).
-
-    The node table is a model; its size is checked before it is read into
-    the driver to build the expressions.
-    """
-    n = forest.count()
-    if n > node_limit:
-        raise ValueError(f"forest has {n} nodes (> {node_limit}); use the join walk")
-    by_tree: dict[int, dict] = {}
-    for r in forest.select("tree", "node", "feature", "threshold", "left", "right").collect():
-        by_tree.setdefault(int(r[0]), {})[int(r[1])] = (r[2], r[3], r[4], r[5])
-    feats = F.col(features)
-    trees = sorted(by_tree)
-    leaf_exprs = [_tree_expression(by_tree[t], 0, feats).cast("int") for t in trees]
-    tree_ids = F.array(*[F.lit(t) for t in trees])
-    return rows.select(id_col, F.arrays_zip(tree_ids.alias("tree"), F.array(*leaf_exprs).alias("leaf")).alias("_z")).select(
-        id_col, F.inline("_z"))
-
-
+# A node table up to this size is shipped to the executors (about 40 bytes a
+# node); a larger one stays a table and is walked by joins, with the same result.
 NUMPY_NODE_LIMIT = 5_000_000
+NODE_COLUMNS = ["tree", "node", "feature", "threshold", "left", "right"]
 
 
-def forest_leaves_numpy(rows: DataFrame, forest: DataFrame, id_col: str = "id", features: str = "features",
-                        node_limit: int = NUMPY_NODE_LIMIT, as_array: bool = False) -> DataFrame:
-    """Vectorised walk: the node table becomes dense per-tree arrays shipped
-    once per executor (``broadcast``); each Arrow batch of rows walks every
-    tree in numpy (``trees × depth`` array operations per batch).
+def _node_table(forest: DataFrame) -> DataFrame:
+    """The node columns, with ``missing_left`` (where NULL and NaN go; right unless the table says so)."""
+    says = F.coalesce(F.col("missing_left"), F.lit(False)) if "missing_left" in forest.columns else F.lit(False)
+    return forest.select(*NODE_COLUMNS, says.alias("missing_left"))
 
-    Same split rule as :func:`forest_leaves`: ``x < threshold`` left,
-    otherwise (NaN/NULL included) right.
-    """
+
+def _walk_numpy(rows: DataFrame, forest: DataFrame, id_col: str, features: str, as_array: bool) -> DataFrame:
+    """The node table as flat arrays, broadcast once; a batch of rows walks each tree until every row is on a leaf."""
     import numpy as np
 
-    n = forest.count()
-    if n > node_limit:
-        raise ValueError(f"forest has {n} nodes (> {node_limit}); use the join walk")
-    nodes = forest.select("tree", "node", "feature", "threshold", "left", "right").toPandas()
-    trees = np.sort(nodes["tree"].unique())
-    width = int(nodes["node"].max()) + 1
-    t_index = {int(t): i for i, t in enumerate(trees)}
-    feat = np.full((len(trees), width), -1, dtype=np.int64)
-    thr = np.zeros((len(trees), width))
-    left = np.zeros((len(trees), width), dtype=np.int64)
-    right = np.zeros((len(trees), width), dtype=np.int64)
-    ti = nodes["tree"].map(t_index).to_numpy()
-    ni = nodes["node"].to_numpy(np.int64)
+    nodes = _node_table(forest).toPandas().sort_values(["tree", "node"], kind="stable").reset_index(drop=True)
+    tree, node = nodes["tree"].to_numpy(np.int64), nodes["node"].to_numpy(np.int64)
     internal = nodes["feature"].notna().to_numpy()
-    feat[ti[internal], ni[internal]] = nodes["feature"][internal].astype(np.int64)
-    thr[ti[internal], ni[internal]] = nodes["threshold"][internal].astype(float)
-    left[ti[internal], ni[internal]] = nodes["left"][internal].astype(np.int64)
-    right[ti[internal], ni[internal]] = nodes["right"][internal].astype(np.int64)
-    # the longest root-to-leaf path bounds the number of steps
-    depth = int(np.ceil(np.log2(width + 1)))
-    model = rows.sparkSession.sparkContext.broadcast((trees.astype(np.int32), feat, thr, left, right, depth))
+    trees, first = np.unique(tree, return_index=True)
+    at = {(t, n): i for i, (t, n) in enumerate(zip(tree.tolist(), node.tolist()))}
+
+    def target(side: str) -> "np.ndarray":
+        out = np.arange(len(nodes))
+        out[internal] = [at[t, int(n)] for t, n in zip(tree[internal].tolist(), nodes[side][internal])]
+        return out
+
+    feature = np.where(internal, nodes["feature"].fillna(-1).to_numpy(float), -1).astype(np.int64)
+    threshold = nodes["threshold"].fillna(0).to_numpy(float)
+    roots = np.array([at[t, 0] for t in trees.tolist()], np.int64)
+    model = rows.sparkSession.sparkContext.broadcast(
+        (trees.astype(np.int32), roots, feature, threshold, target("left"), target("right"), nodes["missing_left"].to_numpy(bool), node.astype(np.int32)))
     key_type = dict(rows.dtypes)[id_col]
 
     def walk(batches):
         import pandas as pd
 
-        tree_ids, f_, t_, l_, r_, steps = model.value
+        tree_ids, roots_, f_, t_, l_, r_, m_, name = model.value
         for pdf in batches:
             X = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[features]]) if len(pdf) else np.zeros((0, 1))
-            n_rows = len(pdf)
-            rows_idx = np.arange(n_rows)
-            out = np.zeros((n_rows, len(tree_ids)), dtype=np.int32)
-            for k in range(len(tree_ids)):
-                node = np.zeros(n_rows, dtype=np.int64)
-                for _ in range(steps):
-                    f = f_[k, node]
-                    leaf = f < 0
-                    x = X[rows_idx, np.where(leaf, 0, f)]
-                    nxt = np.where(x < t_[k, node], l_[k, node], r_[k, node])
-                    node = np.where(leaf, node, nxt)
-                out[:, k] = node
+            each = np.arange(len(pdf))
+            out = np.zeros((len(pdf), len(tree_ids)), dtype=np.int32)
+            for k, root in enumerate(roots_):
+                at = np.full(len(pdf), root)
+                while (f_[at] >= 0).any():
+                    f = f_[at]
+                    x = X[each, np.maximum(f, 0)]
+                    left = np.where(np.isnan(x), m_[at], x < t_[at])
+                    at = np.where(f < 0, at, np.where(left, l_[at], r_[at]))
+                out[:, k] = name[at]
             if as_array:
                 yield pd.DataFrame({id_col: pdf[id_col].to_numpy(), "leaves": list(out)})
             else:
                 yield pd.DataFrame({
                     id_col: np.repeat(pdf[id_col].to_numpy(), len(tree_ids)),
-                    "tree": np.tile(tree_ids, n_rows),
+                    "tree": np.tile(tree_ids, len(pdf)),
                     "leaf": out.ravel(),
                 })
 
@@ -334,46 +279,44 @@ def forest_leaves_numpy(rows: DataFrame, forest: DataFrame, id_col: str = "id",
     return rows.select(id_col, features).mapInPandas(walk, schema)
 
 
-def forest_leaves(rows: DataFrame, forest: DataFrame, id_col: str = "id", features: str = "features",
-                  max_depth: int | None = None, broadcast_limit: int = 2_000_000, as_array: bool = False,
-                  method: str = "auto") -> DataFrame:
-    """Leaf reached in every tree, for every row: ``(id, tree, leaf)``.
-
-    ``method='auto'`` compiles forests of at most ``EXPRESSION_NODE_LIMIT``
-    nodes into expressions (:func:`forest_leaves_by_expression`), walks
-    forests up to ``NUMPY_NODE_LIMIT`` nodes (589 trees of depth 9 are 0.6 M)
-    vectorised in numpy (:func:`forest_leaves_numpy`), and falls back to the
-    JVM join walk ``method='join'`` beyond that:
-    each (row, tree) pair walks down ``max_depth`` levels; a level is one
-    equi-join on ``(tree, node)`` against the node table.  The node table is
-    a model (its size does not grow with the data): it is broadcast after a
-    size check, otherwise joined by shuffle.  Split rule: ``x < threshold``
-    goes left, otherwise (NULL included) right; a leaf stays where it is.
-    """
-    n_nodes = forest.count()
-    if method == "numpy" or (method == "auto" and EXPRESSION_NODE_LIMIT < n_nodes <= NUMPY_NODE_LIMIT):
-        return forest_leaves_numpy(rows, forest, id_col, features, as_array=as_array)
-    if method == "expression" or (method == "auto" and n_nodes <= EXPRESSION_NODE_LIMIT):
-        leaves = forest_leaves_by_expression(rows, forest, id_col, features)
-        if not as_array:
-            return leaves
-        arr = F.sort_array(F.collect_list(F.struct("tree", "leaf")))
-        return leaves.groupBy(id_col).agg(F.transform(arr, lambda s: s["leaf"]).alias("leaves"))
-    if max_depth is None:
-        max_depth = int(forest.agg(F.max("node")).first()[0]).bit_length()
-    nodes = forest.select("tree", "node", "feature", "threshold", "left", "right")
-    if n_nodes <= broadcast_limit:
-        nodes = F.broadcast(nodes)
-    tree_ids = forest.select(F.min("tree").alias("lo"), F.max("tree").alias("hi")).first()
-    state = rows.select(id_col, features, F.explode(F.sequence(F.lit(int(tree_ids["lo"])), F.lit(int(tree_ids["hi"])))).alias("tree"))
-    state = state.withColumn("node", F.lit(0))
-    for _ in range(max_depth):
-        step = state.join(nodes, ["tree", "node"], "left")
-        x = F.element_at(F.col(features), F.col("feature") + 1)
-        nxt = F.when(F.col("feature").isNull(), F.col("node")).when(x < F.col("threshold"), F.col("left")).otherwise(F.col("right"))
+def forest_depth(forest: DataFrame) -> int:
+    """Edges on the longest path from a root to a leaf, measured level by level along the edges."""
+    nodes = _node_table(forest)
+    level, depth = nodes.where("node = 0").select("tree", "node"), 0
+    while True:
+        inner = level.join(nodes, ["tree", "node"]).where("feature is not null")
+        level = inner.select("tree", F.explode(F.array("left", "right")).alias("node"))
+        if level.isEmpty():
+            return depth
+        depth += 1
+
+
+def _walk_join(rows: DataFrame, forest: DataFrame, id_col: str, features: str, as_array: bool) -> DataFrame:
+    """One equi-join with the node table per level, for forests too large to ship."""
+    nodes = _node_table(forest)
+    state = rows.select(id_col, features).crossJoin(F.broadcast(forest.where("node = 0").select("tree"))).withColumn("node", F.lit(0))
+    for _ in range(forest_depth(forest)):
+        step = state.join(nodes, ["tree", "node"])
+        x = F.element_at(F.col(features), F.col("feature") + 1).cast("double")
+        left = F.when(x.isNull() | F.isnan(x), F.col("missing_left")).otherwise(x < F.col("threshold"))
+        nxt = F.when(F.col("feature").isNull(), F.col("node")).when(left, F.col("left")).otherwise(F.col("right"))
         state = step.select(id_col, features, "tree", nxt.cast("int").alias("node"))
     leaves = state.select(id_col, "tree", F.col("node").alias("leaf"))
     if not as_array:
         return leaves
-    arr = F.sort_array(F.collect_list(F.struct("tree", "leaf")))
+    arr = F.sort_array(F.collect_list(F.struct("tree", "leaf")))  # one entry per tree
     return leaves.groupBy(id_col).agg(F.transform(arr, lambda s: s["leaf"]).alias("leaves"))
+
+
+def forest_leaves(rows: DataFrame, forest: DataFrame, id_col: str = "id", features: str = "features",
+                  as_array: bool = False, node_limit: int = NUMPY_NODE_LIMIT) -> DataFrame:
+    """Leaf reached in every tree, for every row: ``(id, tree, leaf)``, or ``(id, leaves)`` by tree.
+
+    ``forest``: one row per node; the root of each tree is node 0, ids may
+    be numbered in any way and trees may have gaps and any shape.  ``x <
+    threshold`` goes left; NULL and NaN go right unless ``missing_left``.  The
+    model's size does not grow with the data: it is checked, and a table
+    beyond ``node_limit`` is joined instead of shipped, with the same result.
+    """
+    walk = _walk_numpy if forest.count() <= node_limit else _walk_join
+    return walk(rows, forest, id_col, features, as_array)

@@ -76,16 +76,16 @@ def template_generator_factory(options: dict):
 
 def batch_generate(df: DataFrame, generator_factory=template_generator_factory, prompt: str = "prompt",
                    key: str = "id", out: str = "generated", options: dict | None = None,
-                   batch_size: int = 8, keep: list[str] | tuple = (), spread_input: bool = False) -> DataFrame:
+                   batch_size: int = 8, keep: list[str] | tuple = (), partitions: int | None = None) -> DataFrame:
     """Run a generator over prompts, partition-parallel, via ``mapInPandas``.
 
     ``generator_factory(options)`` is called once per task (load a model
     there); the returned callable maps a list of prompts to a list of texts
     and is fed ``batch_size`` prompts at a time.  ``keep`` columns are
     passed through unchanged (so callers need not join the input back).
-    ``spread_input=True`` round-robins a few-partition input over all task
-    slots first — worth it for model-backed generators, whose per-row cost
-    dwarfs the shuffle and worker start-up.
+    The prompts are dealt to ``partitions`` tasks (default: the cluster's
+    task slots) first: a generator's cost per row dwarfs the shuffle, and the
+    plan before it may have left all rows in one task.
     """
     opts = merge_generation_args(**(options or {}))
     types = dict(df.dtypes)
@@ -106,8 +106,6 @@ def batch_generate(df: DataFrame, generator_factory=template_generator_factory,
             res[out] = texts
             yield res
 
-    from leafwise.operators.scan import spread
-
     schema = ", ".join([f"`{c}` {types[c]}" for c in (key, *keep)] + [f"`{out}` string"])
-    src = df.select(key, *keep, prompt)
-    return (spread(src) if spread_input else src).mapInPandas(run, schema)
+    src = df.select(key, *keep, prompt).repartition(partitions or df.sparkSession.sparkContext.defaultParallelism)
+    return src.mapInPandas(run, schema)

@@ -45,6 +45,8 @@ def pack_leaves(c) -> Column:
     the rows are replicated to their cells.
     """
     c = F.col(c) if isinstance(c, str) else c
+    bad = F.exists(c, lambda x: x.isNull()) | (F.size(c) == 0)
+    c = F.when(bad, F.raise_error(F.lit("a leaf vector is empty or has a NULL leaf"))).otherwise(c)
     fits = (F.array_min(c) >= -32768) & (F.array_max(c) <= 32767)
     h16 = F.array_join(F.transform(c, lambda x: F.lpad(F.hex(F.pmod(x.cast("long"), F.lit(1 << 16))), 4, "0")), "")
     h32 = F.array_join(F.transform(c, lambda x: F.lpad(F.hex(F.pmod(x.cast("long"), F.lit(1 << 32))), 8, "0")), "")
@@ -77,7 +79,7 @@ def class_partition(df: DataFrame, label: str = "label") -> DataFrame:
     return df.withColumn("cls", class_of(label))
 
 
-# One-hot matrix route: used when the summed per-tree leaf-value span is at
+# A memory guard without effect on the result.  One-hot matrix route: used when the summed per-tree leaf-value span is at
 # most this many columns (bounded memory: chunk x span float32 per side).
 ONEHOT_MAX_COLUMNS = 4096
 
@@ -260,6 +262,8 @@ def knn_self_symmetric(leaves_df: DataFrame, k: int = 5, cell_size: int = DEFAUL
     cells = rows.select("*", other).select(
         "id", "cls", "packed", "blk", F.least("blk", "_x").alias("lo"), F.greatest("blk", "_x").alias("hi"))
     # a row meets its own block once (x = blk); off-diagonal cells get each row once
+    # work is per cell, not per byte: a count of partitions of its own keeps small cells apart
+    cells = cells.repartition(max(1, min(blocks * (blocks + 1) // 2, 4 * parallelism)), "lo", "hi")
     partial = cells.groupBy("lo", "hi").applyInPandas(_symmetric_kernel(k), NEIGHBOR_SCHEMA)
     return top_k_per_group(partial, ["qid", "cls"], [F.col("cnt"), F.col("nid")], k).select(
         "qid", "cls", "rank", "nid", (F.col("cnt").cast("double") / F.col("width")).alias("dist"),
@@ -277,6 +281,22 @@ def _blocks(n: int, cell_size: int, min_per_side: int) -> int:
     return max(1, by_size, min(min_per_side, most))
 
 
+def _grid(nq: int, nr: int, cell_size: int, cells: int) -> tuple[int, int]:
+    """Blocks of queries and of reference rows: as few as the cell size
+    allows, and a side is split further only while there are fewer than
+    ``cells`` cells, the larger side first (the other side is copied then)."""
+    qb, rb = _blocks(nq, cell_size, 1), _blocks(nr, cell_size, 1)
+    while qb * rb < cells:
+        can_q, can_r = nq / (qb + 1) >= MIN_CELL, nr / (rb + 1) >= MIN_CELL
+        if not (can_q or can_r):
+            break
+        if can_r and (not can_q or nr / rb >= nq / qb):
+            rb += 1
+        else:
+            qb += 1
+    return qb, rb
+
+
 def knn_per_class(queries: DataFrame, reference: DataFrame, k: int = 5, exclude_self: bool = False,
                   cell_size: int = DEFAULT_CELL, query_id: str = "id", ref_id: str = "id",
                   label: str = "label", leaves: str = "leaves", sizes: tuple[int, int] | None = None) -> DataFrame:
@@ -305,16 +325,16 @@ def knn_per_class(queries: DataFrame, reference: DataFrame, k: int = 5, exclude_
         nr = reference.count()
         nq = nr if queries is reference else queries.count()
     parallelism = queries.sparkSession.sparkContext.defaultParallelism
-    per_side = math.ceil(math.sqrt(2 * parallelism))
-    qb, rb = _blocks(nq, cell_size, per_side), _blocks(nr, cell_size, per_side)
+    qb, rb = _grid(nq, nr, cell_size, 2 * parallelism)
+    tasks = max(1, min(qb * rb, 4 * parallelism))
     # both sides must hash identical key types to meet in the same cell
     q_rep = q.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(qb)).cast("int")).withColumn(
         "rb", F.explode(F.sequence(F.lit(0), F.lit(rb - 1))))
     r_rep = r.withColumn("rb", F.pmod(F.xxhash64("id"), F.lit(rb)).cast("int")).withColumn(
         "qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1))))
     partial = (
-        q_rep.groupBy("qb", "rb")
-        .cogroup(r_rep.groupBy("qb", "rb"))
+        q_rep.repartition(tasks, "qb", "rb").groupBy("qb", "rb")
+        .cogroup(r_rep.repartition(tasks, "qb", "rb").groupBy("qb", "rb"))
         .applyInPandas(_cell_kernel(k, exclude_self), NEIGHBOR_SCHEMA)
     )
     return top_k_per_group(partial, ["qid", "cls"], [F.col("cnt"), F.col("nid")], k).select(

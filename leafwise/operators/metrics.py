@@ -42,20 +42,27 @@ POLICIES = {
 COUNT_COLS = ("tn", "fp", "fn", "tp")
 
 
-def confusion_counts(df: DataFrame, truth: str = "y_true", pred: str = "y_pred", by=()) -> DataFrame:
+def confusion_counts(df: DataFrame, truth: str = "y_true", pred: str = "y_pred", by=(),
+                     with_dropped: bool = False) -> DataFrame:
     """TN, FP, FN, TP and n per group; always all four cells, zero-filled.
 
+    ``n`` counts the rows with a readable truth and prediction; only they
+    enter a metric.  ``with_dropped`` adds ``n_dropped``, the other rows.
+
     Inputs are 0/1 integers.  One ``groupBy().agg`` → partial aggregation on
     the map side, so a group holding a third of all rows costs one small
     partial row per task, never a large shuffle of that group.
     """
     t, p = F.col(truth), F.col(pred)
+    readable = F.coalesce(t.isin(0, 1) & p.isin(0, 1), F.lit(False))
+    dropped = [F.count_if(~readable).alias("n_dropped")] if with_dropped else []
     return df.groupBy(*by).agg(
         F.count_if((t == 0) & (p == 0)).alias("tn"),
         F.count_if((t == 0) & (p == 1)).alias("fp"),
         F.count_if((t == 1) & (p == 0)).alias("fn"),
         F.count_if((t == 1) & (p == 1)).alias("tp"),
-        F.count(F.lit(1)).alias("n"),
+        F.count_if(readable).alias("n"),
+        *dropped,
     )
 
 
@@ -104,37 +111,23 @@ def evaluate(df: DataFrame, truth: str = "y_true", pred: str = "y_pred", by=(),
     return out if keep_counts else out.drop(*COUNT_COLS)
 
 
-# A group with at most this many distinct scores is ranked inside one task.
-MAX_LEVELS_IN_ONE_TASK = 2_000_000
-
-
 def roc_auc(df: DataFrame, label: str = "y_true", score: str = "score", by=(),
-            undefined: float | None = None, num_partitions: int | None = None, method: str = "auto",
-            max_levels: int = MAX_LEVELS_IN_ONE_TASK) -> DataFrame:
+            undefined: float | None = None, num_partitions: int | None = None) -> DataFrame:
     """ROC AUC for arbitrary scores (ties get the average rank).
 
     Mann–Whitney form: AUC = Σ_s pos_s·(neg_below_s + neg_s/2) / (P·N).
-    Rows are first reduced to one row per distinct ``(group, score)`` level.
-    ``neg_below`` is a running sum over the levels: a window per group when
-    one aggregate shows every group has at most ``max_levels`` levels
-    (``'window'``), otherwise a distributed prefix sum that spreads a group
-    with very many distinct scores over many tasks (``'scan'``).
+    Rows are first reduced to one row per distinct ``(group, score)`` level;
+    ``neg_below`` is a distributed prefix sum over the levels, so a group with
+    very many distinct scores is spread over many tasks.  Rows with a NULL
+    score or a label other than 0 and 1 are not counted; a NULL group is a
+    group.
     """
-    labelled = df.where(F.col(label).isin(0, 1))
+    labelled = df.where(F.col(label).isin(0, 1) & F.col(score).isNotNull())
     levels = labelled.groupBy(*by, score).agg(
         F.count_if(F.col(label) == 1).cast("long").alias("pos"),
         F.count_if(F.col(label) == 0).cast("long").alias("neg"),
     )
-    if method == "auto":
-        most = levels.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-        method = "window" if most <= max_levels else "scan"
-    if method == "window":
-        w = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-        ranked = levels.withColumn("neg_before", F.coalesce(F.sum("neg").over(w), F.lit(0)))
-    elif method == "scan":
-        ranked = prefix_sums(levels, list(by), [score], ["neg"], num_partitions=num_partitions)
-    else:
-        raise ValueError("method must be 'auto', 'window' or 'scan'")
+    ranked = prefix_sums(levels, list(by), [score], ["neg"], num_partitions=num_partitions)
     contrib = F.col("pos") * (F.col("neg_before") + F.col("neg") / 2.0)
     agg = ranked.groupBy(*by).agg(
         F.sum(contrib).alias("_u"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"),
@@ -145,13 +138,6 @@ def roc_auc(df: DataFrame, label: str = "y_true", score: str = "score", by=(),
     return agg.select(*by, "n_pos", "n_neg", auc.alias("auc"))
 
 
-def group_share(df: DataFrame, by, expected_n: int = 451, name: str = "valid_percent") -> DataFrame:
-    """Group size and its share of a fixed expected size, in percent."""
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_samples")).withColumn(
-        name, F.col("n_samples") / F.lit(float(expected_n)) * 100.0
-    )
-
-
 def confusion_long(counts: DataFrame, by=()) -> DataFrame:
     """Four rows per group ``(true_label, pred_label, count)``, zero cells kept."""
     cells = F.array(

@@ -15,7 +15,19 @@ from pyspark.sql import functions as F
 PID = "_pid"
 
 
-MAX_SCAN_PARTITIONS = 200_000
+def join_groups(left: DataFrame, right: DataFrame, exact: list[str], by: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which a NULL in a ``by`` column is a key like any other.
+
+    Returns the columns of ``left`` and those of ``right`` that are no key.
+    """
+    l, r = left.alias("l"), right.alias("r")
+    cond = F.lit(True)
+    for c in exact:
+        cond &= F.col(f"l.`{c}`") == F.col(f"r.`{c}`")
+    for c in by:
+        cond &= F.col(f"l.`{c}`").eqNullSafe(F.col(f"r.`{c}`"))
+    extra = [c for c in right.columns if c not in (*exact, *by)]
+    return l.join(r, cond, how).select(*[F.col(f"l.`{c}`") for c in left.columns], *[F.col(f"r.`{c}`") for c in extra])
 
 
 def target_partitions(df: DataFrame) -> int:
@@ -35,7 +47,9 @@ def target_partitions(df: DataFrame) -> int:
         per = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
     except Exception:  # noqa: BLE001 - statistics are an estimate; fall back to the setting
         return base
-    return int(max(base, min(MAX_SCAN_PARTITIONS, -(-size // max(per, 1)))))
+    if size >= 1 << 60:  # an input without statistics is given the largest number
+        return base
+    return int(max(base, -(-size // max(per, 1))))
 
 
 def range_partitioned(df: DataFrame, keys: list[str], num_partitions: int | None = None) -> DataFrame:
@@ -66,7 +80,7 @@ def prefix_sums(df: DataFrame, by: list[str], order: list[str], values: list[str
     totals = ranged.groupBy(PID, *by).agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
     w_off = Window.partitionBy(*by).orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(PID, *by, *[F.coalesce(F.sum(f"_t_{v}").over(w_off), F.lit(0)).alias(f"_o_{v}") for v in values])
-    joined = local.join(offsets, [PID, *by])
+    joined = join_groups(local, offsets, [PID], by)
     return joined.select(
         *df.columns,
         *[(F.col(f"_l_{v}") + F.col(f"_o_{v}")).alias(f"{v}{suffix}") for v in values],
@@ -99,7 +113,7 @@ def row_index(df: DataFrame, by: list[str], order: list[str], name: str = "idx",
     starts = tagged.groupBy(PID, *by).agg(F.min("_pos").alias("_start"), F.count(F.lit(1)).alias("_n"))
     w_off = Window.partitionBy(*by).orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
     offsets = starts.select(PID, *by, "_start", F.coalesce(F.sum("_n").over(w_off), F.lit(0)).alias("_off"))
-    joined = tagged.join(offsets, [PID, *by])
+    joined = join_groups(tagged, offsets, [PID], by)
     return joined.select(*df.columns, (F.col("_off") + F.col("_pos") - F.col("_start")).alias(name))
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafwise.operators.reshape import melt
-from leafwise.operators.scan import row_index
+from leafwise.operators.scan import join_groups, row_index
 
 
 def block_plan(alpha: float, block: int | None = None) -> tuple[int, int]:
@@ -35,25 +35,16 @@ def block_plan(alpha: float, block: int | None = None) -> tuple[int, int]:
     return b, lags
 
 
-# A series of at most this many rows may be smoothed inside one task.
-MAX_SERIES_IN_ONE_TASK = 2_000_000
-
-
 def ema(df: DataFrame, series: str, order: list[str], value: str, alpha: float = 0.1, out: str = "ema",
-        block: int | None = None, num_partitions: int | None = None, method: str = "auto",
-        max_series_rows: int = MAX_SERIES_IN_ONE_TASK) -> DataFrame:
+        block: int | None = None, num_partitions: int | None = None) -> DataFrame:
     """Add column ``out``: EMA of ``value`` per ``series`` in ``order``.
 
     ``order`` must be unique within a series.  The result is always double.
     Rows whose value is NULL are not part of the recurrence (the series
-    continues over them) and are returned with a NULL ``out``.
-
-    ``method='auto'`` first checks the size of the largest series (one
-    aggregate).  When it is at most ``max_series_rows``, each series is
-    smoothed in one task by the sequential recurrence (``'sequential'``:
-    ``applyInPandas``; exactly the reference's arithmetic).  Otherwise the
-    distributed blocked plan runs (``'blocked'``), which never gathers a
-    series.
+    continues over them) and are returned with a NULL ``out``.  The rows of
+    a NULL ``series`` are one series.  One plan serves series of any length;
+    its sums are taken block by block, so the last digits may differ from a
+    loop's.
     """
     if not 0.0 < alpha <= 1.0:
         raise ValueError("alpha must be in (0, 1]")
@@ -61,40 +52,7 @@ def ema(df: DataFrame, series: str, order: list[str], value: str, alpha: float =
         return df.withColumn(out, F.col(value).cast("double"))
     missing = df.where(F.col(value).isNull()).withColumn(out, F.lit(None).cast("double"))
     present = df.where(F.col(value).isNotNull())
-    if method == "auto":
-        largest = present.groupBy(series).count().agg(F.max("count")).first()[0] or 0
-        method = "sequential" if largest <= max_series_rows else "blocked"
-    if method == "sequential":
-        smoothed = _ema_sequential(present, series, order, value, alpha, out)
-    elif method == "blocked":
-        smoothed = _ema_present(present, series, order, value, alpha, out, block, num_partitions)
-    else:
-        raise ValueError("method must be 'auto', 'sequential' or 'blocked'")
-    return smoothed.unionByName(missing)
-
-
-def _ema_sequential(df: DataFrame, series: str, order: list[str], value: str, alpha: float, out: str) -> DataFrame:
-    """One task per series (size checked by the caller): sort, then the recurrence."""
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
-    schema = StructType([*df.schema.fields, StructField(out, DoubleType())])
-    r = 1.0 - alpha
-
-    def smooth(pdf):
-        import numpy as np
-
-        pdf = pdf.sort_values(order, kind="stable")
-        xs = pdf[value].to_numpy(dtype=np.float64)
-        e = np.empty_like(xs)
-        if len(xs):
-            e[0] = xs[0]
-            acc = xs[0]
-            for i in range(1, len(xs)):
-                acc = alpha * xs[i] + r * acc
-                e[i] = acc
-        return pdf.assign(**{out: e})
-
-    return df.groupBy(series).applyInPandas(smooth, schema)
+    return _ema_present(present, series, order, value, alpha, out, block, num_partitions).unionByName(missing)
 
 
 def _ema_present(df: DataFrame, series: str, order: list[str], value: str, alpha: float, out: str,
@@ -123,7 +81,7 @@ def _ema_present(df: DataFrame, series: str, order: list[str], value: str, alpha
     carries = (blocks.select(series, F.inline(sent))
                .groupBy(series, "_b").agg(F.sum("_c").alias("_carry")))
 
-    joined = parts.join(carries, [series, "_b"], "left")
+    joined = join_groups(parts, carries, ["_b"], [series], "left")
     result = F.col("_part") + F.pow(rl, F.col("_j") + 1) * F.coalesce(F.col("_carry"), F.lit(0.0))
     return joined.select(*df.columns, result.alias(out))
 

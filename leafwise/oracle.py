@@ -452,10 +452,18 @@ SELECT doc_id, y_true, y_pred, NULL::VARCHAR AS source FROM preds
 UNION ALL SELECT doc_id, NULL, NULL, source FROM documents"""
 ORACLE["scan_log_json"] = "SELECT event_id AS step, value AS reward, CAST(user_id AS DOUBLE) AS correctness FROM events"
 ORACLE["sink_metrics_csv"] = f"""WITH {CKPT_REPORT}
-SELECT CAST(row_number() OVER (ORDER BY checkpoint) - 1 AS BIGINT) AS "index", checkpoint, n AS n_samples,
+SELECT checkpoint, n AS n_samples,
   {r6('n / 451.0 * 100.0')} AS valid_percent,
   {metric_select('checkpoint', ('f1', 'precision', 'recall', 'auc', 'specificity'))}
 FROM c WHERE null_truth = 0"""
+ORACLE["scan_multi_csv_flat"] = ORACLE["scan_multi_csv"]
+ORACLE["scan_checkpoints_flat"] = ORACLE["scan_checkpoints"]
+ORACLE["scan_log_nested"] = """SELECT CAST(row_number() OVER (PARTITION BY strftime(ts, '%Y%m%d%H') ORDER BY event_id) - 1 AS INTEGER) AS pos,
+  event_id AS step, value AS reward, CAST(user_id AS DOUBLE) AS correctness FROM events"""
+ORACLE["sink_split_tables"] = f"""WITH rep AS ({ORACLE["model_report"]})
+SELECT CAST(row_number() OVER (PARTITION BY split ORDER BY model, "Metric") - 1 AS BIGINT) AS "index", model, "Metric", "Score", split
+FROM rep"""
+ORACLE["forest_export"] = "SELECT vec_id AS id, true AS agrees, true AS all_trees FROM embeddings"
 
 ORACLE["checkpoint_report_stream"] = ORACLE["checkpoint_report"]
 

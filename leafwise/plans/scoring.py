@@ -74,8 +74,13 @@ def score_batch(context: DataFrame, names: DataFrame, key: str = "id", generator
     answers = extract_answers(gen)
     result = answers.join(names, key).select(key, *RESULT_COLUMNS)
     if save_path:
+        from leafwise.session import scratch_dir
         from leafwise.sources.files import write_csv
 
+        # one generation per row: the written rows are those returned
+        kept = scratch_dir(result.sparkSession, "scored")
+        result.write.parquet(kept)
+        result = result.sparkSession.read.schema(result.schema).parquet(kept)
         write_csv(result.drop(key), save_path)
     return result
 
@@ -93,7 +98,7 @@ def neighbor_context_from_features(queries: DataFrame, reference: DataFrame, for
 
     q_leaves = forest_leaves(queries.select(key, features), forest, id_col=key, features=features, as_array=True)
     r_leaves = forest_leaves(reference.select(key, features), forest, id_col=key, features=features, as_array=True)
-    r_leaves = r_leaves.join(reference.select(key, label), key)
+    r_leaves = r_leaves.join(reference.select(key, label), key)  # ids and labels only
     # grid sizes from the raw inputs: counting the encoded sides would run the walk
     knn_kw.setdefault("sizes", (queries.count(), reference.count()))
     return neighbor_context(q_leaves, r_leaves, query_props, ref_props, k=k, key=key,

@@ -259,7 +259,11 @@ def _neighbor_props(spark, sf):
     with the same id (only documents that are reference rows are featurised)."""
     docs = S.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
     ids = S.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"))
-    return text_features(spread(docs).join(ids, "id", "left_semi"), "id")
+    # only the texts that are needed are dealt out; both uses of the records read what is written here
+    wanted = docs.join(ids, "id", "left_semi").repartition(spark.sparkContext.defaultParallelism)
+    path = scratch_dir(spark, "props")
+    text_features(wanted, "id").write.parquet(path)
+    return spark.read.parquet(path)
 
 
 @register("knn_leave_one_out")
@@ -346,7 +350,7 @@ def q_masked_mean_pool(spark, sf):
 def q_forest_leaves(spark, sf):
     emb = S.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("features"))
     forest = FE.synthetic_forest(spark, FOREST_TREES, FOREST_DEPTH, 64)
-    return FE.forest_leaves(emb, forest, max_depth=FOREST_DEPTH)
+    return FE.forest_leaves(emb, forest)
 
 
 @register("pattern_catalog_match")
@@ -384,8 +388,42 @@ def q_forest_fit(spark, sf):
     check stays quick) and encode every row as its leaf vector."""
     emb = S.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding",
                                                      (F.col("label") % 2).alias("label"))
-    model = MO.fit_forest(emb, n_estimators=8, max_depth=5)
-    return MO.model_leaves(model, emb)
+    return MO.model_leaves(_small_forest(emb), emb)
+
+
+def _small_forest(emb):
+    return MO.fit_forest(emb, n_estimators=8, max_depth=5)
+
+
+@register("forest_export")
+def q_forest_export(spark, sf):
+    """A fitted forest against its exported node table: the walk must reach the leaves the model names."""
+    emb = S.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding",
+                                                     (F.col("label") % 2).alias("label"))
+    model = _small_forest(emb)
+    nodes = MO.forest_table(model, scratch_dir(spark, "forest"))
+    walked = FE.forest_leaves(emb.select("id", F.col("embedding").alias("features")), nodes)
+    named = walked.join(F.broadcast(nodes.select("tree", F.col("node").alias("leaf"), F.col("leaf").alias("name"))), ["tree", "leaf"])
+    per_tree = MO.model_leaves(model, emb).select("id", F.posexplode("leaves").alias("tree", "want"))
+    return per_tree.join(named, ["id", "tree"], "left").groupBy("id").agg(
+        F.bool_and(F.coalesce(F.col("name") == F.col("want"), F.lit(False))).alias("agrees"),
+        (F.count(F.lit(1)) == len(model.trees)).alias("all_trees"))
+
+
+@register("strings_to_neighbors")
+def q_strings_to_neighbors(spark, sf):
+    """Strings to neighbours in one job: embed the texts, fit a forest on the labelled ones, encode, search."""
+    docs = S.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    labels = S.table(spark, sf, "labels").select(F.col("doc_id").alias("id"), F.col("quality").cast("int").alias("label"))
+    emb = MO.embed_text(docs.join(labels, "id"), "text").select("id", "embedding", "label")
+    path = scratch_dir(spark, "embedded")
+    emb.write.parquet(path)
+    emb = spark.read.parquet(path)
+    nodes = MO.forest_table(_small_forest(emb), scratch_dir(spark, "forest"))
+    leaves = FE.forest_leaves(emb.select("id", F.col("embedding").alias("features")), nodes, as_array=True)
+    leaves = leaves.join(emb.select("id", "label"), "id")
+    found = K.knn_query_ref(leaves.select("id", "leaves"), leaves, k=5)
+    return rounded(found)
 
 
 # --- prompts, generation, scoring ------------------------------------------------
@@ -466,11 +504,28 @@ def q_file_stem(spark, sf):
     """Key of each row from its file path: the stem of the ``model=<name>``
     directory entry (the partitioned form of a ``<name>.csv`` file)."""
     root = _model_files(spark, sf)
-    df = FS.read_csv(spark, root, "doc_id long, y_true string, y_pred string")
+    df = spark.read.option("header", True).schema("doc_id long, y_true string, y_pred string, model string").csv(root)
     parent = F.regexp_extract(F.col("_metadata.file_path"), r"/model=([^/]*)/[^/]*$", 1)
     return df.select("doc_id", FS.file_stem(F.concat(parent, F.lit(".csv"))).alias("stem"))
 
 
+@register("scan_multi_csv_flat")
+def q_scan_multi_csv_flat(spark, sf):
+    """One file per model, columns in another order and with one more: the flat layout."""
+    root = scratch_dir(spark, "models-flat")
+    rows = S.model_prediction_table(spark, sf)
+    FS.write_named_csv(rows.select("model", F.lit("a, \"b\"").alias("note"), "y_pred", "doc_id", "y_true"), "model", root)
+    return FS.read_prediction_files(spark, root, schema="doc_id long, y_true string, y_pred string")
+
+
+@register("scan_checkpoints_flat")
+def q_scan_checkpoints_flat(spark, sf):
+    root = scratch_dir(spark, "checkpoints-flat")
+    FS.write_named_csv(_named_checkpoints(spark, sf), "file", root)
+    return FS.read_checkpoint_files(spark, root, "doc_id long, y_true string, y_pred string",
+                                    expected=FS.EXPECTED_CHECKPOINTS[:S.CHECKPOINT_GROUPS])
+
+
 def _prediction_csv(spark, sf):
     path = scratch_dir(spark, "predictions")
     S.prediction_table(spark, sf).write.mode("overwrite").option("header", True).csv(path)
@@ -488,12 +543,15 @@ def q_evaluate_file(spark, sf):
     return rounded(R.evaluate_predictions(df))
 
 
-def _checkpoint_files(spark, sf):
-    root = scratch_dir(spark, "checkpoints")
+def _named_checkpoints(spark, sf):
     ck = S.checkpoint_prediction_table(spark, sf)
     name = F.when(F.col("checkpoint") == 0, F.lit(FS.BASE_CHECKPOINT_STEM)).otherwise(
-        F.format_string(FS.CHECKPOINT_FILE_FORMAT.replace("{ckpt}", "%d").removesuffix(".csv"), F.col("checkpoint")))
-    return FS.write_partitioned_csv(ck.withColumn("file", name).drop("checkpoint"), "file", root)
+        F.format_string(FS.CHECKPOINT_FILE_FORMAT.format(setting=FS.DECODING_SETTING, ckpt="%d").removesuffix(".csv"), F.col("checkpoint")))
+    return ck.withColumn("file", name).drop("checkpoint")
+
+
+def _checkpoint_files(spark, sf):
+    return FS.write_partitioned_csv(_named_checkpoints(spark, sf), "file", scratch_dir(spark, "checkpoints"))
 
 
 @register("scan_checkpoints")
@@ -533,6 +591,33 @@ def q_scan_log_json(spark, sf):
         "step", F.col("reward"), F.col("`rewards/correctness_rewards`").alias("correctness"))
 
 
+@register("scan_log_nested")
+def q_scan_log_nested(spark, sf):
+    """Trainer-state documents with a nested log: one file per run (here: hour), positions in log order."""
+    path = scratch_dir(spark, "log-nested")
+    ev = S.table(spark, sf, "events").withColumn("run", F.date_format("ts", "yyyyMMddHH"))
+    entry = F.struct(F.col("event_id").alias("step"), F.col("value").alias("reward"),
+                     F.col("user_id").cast("double").alias("rewards/correctness_rewards"))
+    ev.groupBy("run").agg(F.sort_array(F.collect_list(entry)).alias("log_history")).write.partitionBy("run").json(path)
+    return FS.read_training_log(spark, path, LOG_METRICS, multi_line=True).select(
+        "pos", "step", "reward", F.col("`rewards/correctness_rewards`").alias("correctness"))
+
+
+@register("sink_split_tables")
+def q_sink_split_tables(spark, sf):
+    """The model table of each split as a file of its own, with index; read back by name."""
+    report = rounded(R.model_report(S.model_prediction_table(spark, sf)))
+    schema = "`index` long, model string, Metric string, Score double"
+    out = None
+    for split in ("test", "val", "external"):
+        path = scratch_dir(spark, f"split-{split}")
+        rows = report.where(F.col("split") == split).select("model", "Metric", "Score")
+        FS.write_csv(rows, path, index=True, order=["model", "Metric"])
+        got = FS.read_csv(spark, path, schema).withColumn("split", F.lit(split))
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
 @register("sink_results_csv")
 def q_sink_results_csv(spark, sf):
     path = scratch_dir(spark, "results")
@@ -540,15 +625,15 @@ def q_sink_results_csv(spark, sf):
     names = _docs_by_id(spark, sf).select("id", F.md5("text").alias("SMILES"))
     SC.score_batch(ctx, names, save_path=path)
     schema = ", ".join(f"`{c}` string" for c in SC.RESULT_COLUMNS)
-    return FS.read_csv(spark, path, schema)
+    return FS.read_csv(spark, path, schema, multi_line=True)
 
 
 @register("sink_metrics_csv")
 def q_sink_metrics_csv(spark, sf):
     path = scratch_dir(spark, "metrics")
     report = rounded(R.checkpoint_report(S.checkpoint_prediction_table(spark, sf)))
-    FS.write_csv(report, path, index=True, order=["checkpoint"])
-    schema = ("`index` long, checkpoint int, n_samples long, valid_percent double, f1 double, precision double, "
+    FS.write_csv(report, path)
+    schema = ("checkpoint int, n_samples long, valid_percent double, f1 double, precision double, "
               "recall double, auc double, specificity double")
     return FS.read_csv(spark, path, schema)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -40,21 +41,30 @@ def get_session(master: str | None = None, app: str = "leafwise", **conf) -> Spa
     return spark
 
 
+_LOCAL_ROOTS: dict[str, str] = {}
+
+
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
+    """The shared folder for intermediate data.
 
-    The cluster's setting always wins; a private folder is chosen only when
-    the setting is absent (local tests), and is then registered on the
-    session so ``DataFrame.checkpoint()`` uses the same place.
+    ``spark.checkpoint.dir`` names it; else the directory the application set
+    with ``setCheckpointDir`` is used.  Only a local master may go without:
+    one private folder is then made per application.  On a cluster the
+    executors could not see such a folder, so the setting must be there.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    current = sc._jsc.sc().getCheckpointDir()
+    if not root and current.isDefined():
+        return current.get()
     if not root:
-        root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not root:
-        import tempfile
-
-        root = tempfile.mkdtemp(prefix="leafwise-ckpt-")
-    spark.sparkContext.setCheckpointDir(root)
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if sc.applicationId not in _LOCAL_ROOTS:
+            _LOCAL_ROOTS[sc.applicationId] = tempfile.mkdtemp(prefix="leafwise-ckpt-")
+        root = _LOCAL_ROOTS[sc.applicationId]
+    if not current.isDefined():
+        sc.setCheckpointDir(root)
     return root
 
 

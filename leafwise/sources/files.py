@@ -8,6 +8,9 @@ is one DataFrame with a key column and one scan.
 
 from __future__ import annotations
 
+import csv
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -15,8 +18,8 @@ from pyspark.sql.types import StructType
 PREDICTION_SCHEMA = "y_true string, y_pred string"
 # The checkpoint family's file names.
 BASE_CHECKPOINT_STEM = "zeroshot_base"
-CHECKPOINT_FILE_FORMAT = "prediction_df_1.0_0.9_9_{ckpt}_final_setting.csv"
-CHECKPOINT_STEM_PATTERN = r"_(\d+)_final_setting$"
+CHECKPOINT_FILE_FORMAT = "prediction_df_{setting}_{ckpt}_final_setting.csv"
+DECODING_SETTING = "1.0_0.9_9"
 EXPECTED_CHECKPOINTS = [0, *range(500, 15000, 500)]
 
 
@@ -38,27 +41,104 @@ def read_train(spark: SparkSession, path: str, schema: str | None = None, fmt: s
     return df.where(F.col("split") == split) if split and "split" in df.columns else df
 
 
-def read_csv(spark: SparkSession, path, schema: str = PREDICTION_SCHEMA, with_file: bool = False) -> DataFrame:
-    """CSV with header and a declared schema; ``with_file`` adds ``file_name``."""
-    df = spark.read.option("header", True).option("mode", "PERMISSIVE").schema(schema).csv(path)
-    if with_file:
-        df = df.withColumn("file_name", F.col("_metadata.file_name"))
-    return df
+def list_files(spark: SparkSession, path) -> list[str]:
+    """Data files under paths or globs (hidden and marker files left out): a listing, no data is read."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for p in [path] if isinstance(path, str) else path:
+        hp = jvm.org.apache.hadoop.fs.Path(p)
+        fs = hp.getFileSystem(conf)
+        for status in fs.globStatus(hp) or []:
+            files = fs.listFiles(status.getPath(), True)
+            while files.hasNext():
+                f = files.next()
+                name = f.getPath().getName()
+                if f.getLen() and name[0] not in "._":
+                    out.append(f.getPath().toString())
+    return sorted(out)
+
+
+def _header(spark: SparkSession, file: str) -> tuple[str, ...]:
+    """Column names in the first line of a CSV file."""
+    jvm = spark.sparkContext._jvm
+    hp = jvm.org.apache.hadoop.fs.Path(file)
+    stream = hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(hp)
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
+    try:
+        return tuple(next(csv.reader([(reader.readLine() or "").lstrip("\ufeff")]), []))
+    finally:
+        reader.close()
+
+
+def _csv_by_name(spark: SparkSession, files: list[str], schema: str, multi_line: bool = False,
+                 base: str | None = None, key: str | None = None) -> DataFrame:
+    """The named columns of CSV files whose headers may differ in order and hold more.
+
+    Files with the same header are one scan.  ``key`` is a partition column
+    under ``base``.  A file without one of the columns raises.
+    """
+    fields = StructType.fromDDL(schema).fields
+    keyed = [*fields, *(StructType.fromDDL(f"`{key}` string").fields if key else [])]
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for f in files:
+        by_header.setdefault(_header(spark, f), []).append(f)
+    out = None
+    for header, group in by_header.items():
+        missing = [f.name for f in fields if f.name not in header]
+        if missing:
+            raise ValueError(f"columns {missing} are missing in {group[0]}: its header is {list(header)}")
+        # place of each wanted column; the others get names that cannot clash
+        places = {name: header.index(name) for name in (f.name for f in fields)}
+        raw = StructType.fromDDL(", ".join(f"`_c{i}` string" for i in range(len(header))) + (f", `{key}` string" if key else ""))
+        reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line).option("mode", "PERMISSIVE")
+        rows = (reader.option("basePath", base) if base else reader).schema(raw).csv(group)
+        cols = [F.col(f"_c{places[f.name]}").try_cast(f.dataType).alias(f.name) for f in fields]
+        got = rows.select(*cols, *([F.col(key)] if key else []), F.col("_metadata.file_path").alias("_file"))
+        out = got if out is None else out.unionByName(got)
+    if out is None:
+        empty = StructType([*keyed, *StructType.fromDDL("_file string").fields])
+        return spark.createDataFrame([], empty)
+    return out
 
 
-def _family(spark: SparkSession, root: str, globs: list[str], schema: str, layout: str, key: str) -> DataFrame:
+def read_csv(spark: SparkSession, path, schema: str = PREDICTION_SCHEMA, with_file: bool = False,
+             multi_line: bool = False) -> DataFrame:
+    """The columns of ``schema``, by name, of CSV files with a header; ``with_file`` adds ``file_name``.
+
+    Quotes inside a value are doubled, as most writers do.  ``multi_line``
+    reads values that span lines (such a file is one task's work).
+    """
+    df = _csv_by_name(spark, list_files(spark, path), schema, multi_line)
+    name = F.regexp_extract("_file", r"([^/]*)$", 1)
+    return df.withColumn("file_name", F.url_decode(name)).drop("_file") if with_file else df.drop("_file")
+
+
+def _family(spark: SparkSession, root: str, globs: list[str], schema: str, layout: str, key: str,
+            multi_line: bool = False) -> DataFrame:
     """Rows of a file family with ``key`` = file stem (flat) or the value of
     the ``key=...`` directory (partitioned, Hive style)."""
     fields = StructType.fromDDL(schema).fieldNames()
+    root = root.rstrip("/")
     if layout == "flat":
-        df = spark.read.option("header", True).schema(schema).csv([f"{root.rstrip('/')}/{g}" for g in globs])
-        return df.select(file_stem(F.col("_metadata.file_name")).alias(key), *fields)
+        df = _csv_by_name(spark, list_files(spark, [f"{root}/{g}" for g in globs]), schema, multi_line)
+        return df.select(file_stem(F.url_decode("_file")).alias(key), *fields)
     if layout == "partitioned":
-        df = spark.read.option("header", True).schema(f"{schema}, `{key}` string").csv(root)
+        df = _csv_by_name(spark, list_files(spark, root), schema, multi_line, base=root, key=key)
         return df.select(key, *fields)
     raise ValueError("layout must be 'flat' or 'partitioned'")
 
 
+def family_names(spark: SparkSession, root: str, layout: str = "flat", key: str = "file") -> list[str]:
+    """Keys of a family's files, from the listing."""
+    files = list_files(spark, root.rstrip("/") + ("/*.csv" if layout == "flat" else ""))
+    if layout == "flat":
+        names = [f.rsplit("/", 1)[1].rsplit(".", 1)[0] for f in files]
+    else:
+        names = [part[len(key) + 1:] for f in files for part in f.split("/") if part.startswith(f"{key}=")]
+    return sorted({_unescape(n) for n in names})
+
+
 def read_prediction_files(spark: SparkSession, root: str, suffixes=("_test", "_val", "_external"),
                           schema: str = PREDICTION_SCHEMA, key: str = "model", layout: str = "flat") -> DataFrame:
     """All prediction files as one DataFrame keyed by model name.
@@ -77,36 +157,49 @@ def read_prediction_files(spark: SparkSession, root: str, suffixes=("_test", "_v
     return df
 
 
-def checkpoint_of(stem: Column) -> Column:
-    """Checkpoint step from a family file stem (NULL when the name does not fit)."""
-    return F.when(stem == BASE_CHECKPOINT_STEM, F.lit(0)).otherwise(
-        F.regexp_extract(stem, CHECKPOINT_STEM_PATTERN, 1).try_cast("int"))
+def checkpoint_of(stem: Column, setting: str = DECODING_SETTING, steps: list[int] | None = None) -> Column:
+    """Checkpoint step from a family file stem; NULL when the name does not
+    fit, is of another decoding setting, or of a step not in ``steps``."""
+    pattern = "^" + re.escape(CHECKPOINT_FILE_FORMAT.removesuffix(".csv").format(setting=setting, ckpt="@")).replace("@", r"(\d+)") + "$"
+    step = F.when(stem == BASE_CHECKPOINT_STEM, F.lit(0)).otherwise(F.regexp_extract(stem, pattern, 1).try_cast("int"))
+    return F.when(step.isin(EXPECTED_CHECKPOINTS if steps is None else steps), step)
 
 
 def read_checkpoint_files(spark: SparkSession, root: str, schema: str = PREDICTION_SCHEMA,
-                          expected: list[int] | None = None, layout: str = "flat", key: str = "file") -> DataFrame:
+                          expected: list[int] | None = None, layout: str = "flat", key: str = "file",
+                          setting: str = DECODING_SETTING, steps: list[int] | None = None) -> DataFrame:
     """The checkpoint family with a ``checkpoint`` column from each file name.
 
-    ``zeroshot_base`` is checkpoint 0; other names carry the step before
-    ``_final_setting``.  ``partitioned`` reads ``{root}/file=<stem>/…``.
-    With ``expected``, missing checkpoints raise (the check aggregates to at
-    most one row per file).
+    ``zeroshot_base`` is checkpoint 0; other names carry the decoding setting
+    and the step.  ``partitioned`` reads ``{root}/file=<stem>/…``.  With
+    ``expected``, checkpoints without a file raise (a file with only a
+    header is there); the check reads the listing only.
     """
     df = _family(spark, root, ["*.csv"], schema, layout, key)
-    out = df.select(checkpoint_of(F.col(key)).alias("checkpoint"), *StructType.fromDDL(schema).fieldNames())
-    out = out.where(F.col("checkpoint").isNotNull())
+    out = df.select(checkpoint_of(F.col(key), setting, steps).alias("checkpoint"), *StructType.fromDDL(schema).fieldNames())
     if expected is not None:
-        seen = {r[0] for r in out.select("checkpoint").distinct().collect()}
-        missing = sorted(set(expected) - seen)
+        names = set(family_names(spark, root, layout, key))
+        stem = CHECKPOINT_FILE_FORMAT.removesuffix(".csv")
+        missing = sorted(c for c in expected if (BASE_CHECKPOINT_STEM if c == 0 else stem.format(setting=setting, ckpt=c)) not in names)
         if missing:
             raise FileNotFoundError(f"checkpoint files missing for {missing}")
-    return out
+    return out.where(F.col("checkpoint").isNotNull())
+
+
+def _csv_writer(df: DataFrame, mode: str):
+    """CSV that any reader takes: quotes doubled, white space kept."""
+    return (df.write.mode(mode).option("header", True).option("escape", '"')
+            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
 
 
-def write_partitioned_csv(df: DataFrame, key: str, root: str, mode: str = "overwrite") -> str:
+def write_partitioned_csv(df: DataFrame, key: str, root: str, mode: str = "overwrite", writers: int = 8) -> str:
     """A file family in the partitioned layout: ``{root}/{key}=<value>/part-*.csv``
-    written by all tasks in parallel (no per-key writer)."""
-    df.write.mode(mode).option("header", True).partitionBy(key).csv(root)
+    with at most ``writers`` files per key (the rows of a key are dealt to as
+    many tasks, so neither a hot key waits for one writer nor every task
+    writes a file per key)."""
+    deal = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns if c != key]), F.lit(writers))
+    dealt = df.withColumn("_deal", deal).repartition(F.col(key), F.col("_deal")).drop("_deal")
+    _csv_writer(dealt, mode).partitionBy(key).csv(root)
     return root
 
 
@@ -156,7 +249,7 @@ def write_csv(df: DataFrame, path: str, index: bool = False, order: list[str] |
 
         out = row_index(out.withColumn("_g", F.lit(0)), ["_g"], order or out.columns, name="index").drop("_g")
         out = out.select("index", *[c for c in out.columns if c != "index"])
-    out.write.mode(mode).option("header", True).csv(path)
+    _csv_writer(out, mode).csv(path)
 
 
 def write_named_csv(df: DataFrame, key: str, root: str, name_format: str = "{key}.csv") -> list[str]:
@@ -171,7 +264,7 @@ def write_named_csv(df: DataFrame, key: str, root: str, name_format: str = "{key
     """
     spark = df.sparkSession
     staging = root.rstrip("/") + "/_staging"
-    df.repartition(key).write.mode("overwrite").option("header", True).partitionBy(key).csv(staging)
+    _csv_writer(df.repartition(key), "overwrite").partitionBy(key).csv(staging)
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     Path = jvm.org.apache.hadoop.fs.Path

@@ -27,7 +27,8 @@ def checkpoint_stream(spark: SparkSession, root: str, schema: str = PREDICTION_S
     ``{root}/file=<stem>/part-*.csv``.
     """
     full = f"{schema}, `{key}` string" if layout == "partitioned" else schema
-    reader = spark.readStream.option("header", True).schema(full)
+    # a stream has no listing to take headers from: names that are not in the declared places raise
+    reader = spark.readStream.option("header", True).option("enforceSchema", False).option("escape", '"').schema(full)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     raw = reader.csv(root)

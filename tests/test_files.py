@@ -89,3 +89,38 @@ def test_streaming_report_is_incremental(spark, tmp_path):
     start_checkpoint_report(spark, str(src), out, state_path=str(state)).awaitTermination()
     second = {r["checkpoint"]: r["n_samples"] for r in spark.read.parquet(out).collect()}
     assert second == {0: 2, 500: 1}
+
+
+def test_columns_are_read_by_name(spark, tmp_path):
+    (tmp_path / "a_test.csv").write_text("y_pred,y_true\n0,1\n")
+    (tmp_path / "b_test.csv").write_text(',smiles,y_true,y_pred\n0,"C,C",0,1\n')
+    got = sorted(map(tuple, read_prediction_files(spark, str(tmp_path)).collect()))
+    assert got == [("a_test", "1", "0"), ("b_test", "0", "1")]
+    (tmp_path / "c_test.csv").write_text("truth,y_pred\n0,1\n")
+    with pytest.raises(ValueError, match="y_true"):
+        read_prediction_files(spark, str(tmp_path))
+
+
+def test_quotes_and_newlines_survive(spark, tmp_path):
+    import pandas as pd
+
+    from leafwise.sources.files import read_csv
+
+    rows = [(1, 'he said "no"\nand left, twice'), (2, "  spaces  "), (3, "back\\slash")]
+    frame = pd.DataFrame(rows, columns=["k", "v"])
+    frame.to_csv(tmp_path / "p.csv", index=True)
+    got = sorted(map(tuple, read_csv(spark, str(tmp_path / "p.csv"), "k long, v string", multi_line=True).collect()))
+    assert got == rows
+    out = str(tmp_path / "out")
+    write_csv(spark.createDataFrame(rows, "k long, v string").coalesce(1), out)
+    part = next(p for p in os.listdir(out) if p.endswith(".csv"))
+    assert pd.read_csv(os.path.join(out, part)).equals(frame)
+
+
+def test_checkpoints_of_other_settings_are_left_out(spark, tmp_path):
+    _write(tmp_path / "zeroshot_base.csv", [(1, 1)])
+    _write(tmp_path / "prediction_df_1.0_0.9_9_500_final_setting.csv", [])   # header only: present
+    _write(tmp_path / "prediction_df_0.5_0.9_9_1000_final_setting.csv", [(1, 1)])
+    _write(tmp_path / "prediction_df_1.0_0.9_9_15500_final_setting.csv", [(1, 1)])
+    assert [r[0] for r in read_checkpoint_files(spark, str(tmp_path), expected=[0, 500]).collect()] == [0]
+    assert sorted(r[0] for r in read_checkpoint_files(spark, str(tmp_path), setting="0.5_0.9_9").collect()) == [0, 1000]

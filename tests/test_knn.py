@@ -128,3 +128,20 @@ def test_symmetric_kernel_chunks_match_brute_force(monkeypatch):
             cand = sorted((int((leaves[i] != leaves[j]).sum()), int(ids[j])) for j in other)[:3]
             exp |= {(int(ids[i]), c, nid, cnt) for cnt, nid in cand}
     assert got_set == exp
+
+
+def test_grid_copies_the_large_side_once():
+    from leafwise.operators.knn import _grid
+
+    qb, rb = _grid(3000, 10**9, 4096, 2000)
+    assert qb == 1 and rb >= 2000
+    qb, rb = _grid(2000, 2000, 4096, 16)
+    assert 8 <= qb * rb <= 32
+
+
+def test_null_leaf_raises(spark):
+    from leafwise.operators.knn import knn_leave_one_out
+
+    rows = spark.createDataFrame([(0, 0, [1, None, 3]), (1, 0, [1, 3, 3])], "id long, label int, leaves array<int>")
+    with pytest.raises(Exception, match="NULL leaf"):
+        knn_leave_one_out(rows, k=1).collect()

@@ -68,15 +68,17 @@ def test_labels_and_junk(spark):
         (1.0, 1, 1, 1), (0.0, 0, 0, 0), (1.0, None, 1, 1), (0.0, None, 0, 0), (None, None, 0, None), (None, None, 0, None)]
 
 
-@pytest.mark.parametrize("method", ["window", "scan"])
-def test_auc_rank_formula_matches_pairwise(spark, method):
+def test_auc_rank_formula_matches_pairwise(spark):
     rng = random.Random(7)
-    rows = [(g, rng.randint(0, 1), float(rng.randint(0, 30))) for g in range(4) for _ in range(60)]
+    groups = [0, 1, 2, None]
+    rows = [(g, rng.randint(0, 1), float(rng.randint(0, 30))) for g in groups for _ in range(60)]
+    rows += [(0, 1, None), (0, None, 3.0)]   # no score, no label: not counted
     df = spark.createDataFrame(rows, "g int, t int, s double")
-    got = {r["g"]: r["auc"] for r in roc_auc(df, "t", "s", by=["g"], num_partitions=3, method=method).collect()}
-    for g in range(4):
-        ps = [s for gg, t, s in rows if gg == g and t == 1]
-        ns = [s for gg, t, s in rows if gg == g and t == 0]
+    got = {r["g"]: r["auc"] for r in roc_auc(df, "t", "s", by=["g"], num_partitions=3).collect()}
+    assert set(got) == set(groups)
+    for g in groups:
+        ps = [s for gg, t, s in rows if gg == g and t == 1 and s is not None]
+        ns = [s for gg, t, s in rows if gg == g and t == 0 and s is not None]
         exp = sum((a > b) + 0.5 * (a == b) for a in ps for b in ns) / (len(ps) * len(ns))
         assert math.isclose(got[g], exp)
 
@@ -102,3 +104,12 @@ def test_metrics_invariant_under_repartition(spark):
 def test_half_even_rounding(spark):
     df = spark.createDataFrame([(0.0005,), (0.0015,), (0.1235,)], "x double")
     assert [r[0] for r in df.select(round_half_even("x", 3)).collect()] == [0.0, 0.002, 0.124]
+
+
+def test_rows_without_truth_are_dropped_and_counted(spark):
+    from leafwise.operators.metrics import confusion_counts
+
+    df = spark.createDataFrame([(1, 1), (0, 0), (None, 1), (None, 0)], "t int, p int")
+    row = evaluate(df, "t", "p").first()
+    assert row["accuracy"] == 1.0 and row["n"] == 2
+    assert confusion_counts(df, "t", "p", with_dropped=True).first()["n_dropped"] == 2

@@ -25,3 +25,23 @@ def test_confidence_kept_as_text(spark):
     df = spark.createDataFrame([(1, "<score> 0.75 </score>"), (2, "<score>high</score>")], "id int, generated string")
     got = {r["id"]: (r["confidence_score"], r["confidence_value"]) for r in extract_answers(df).collect()}
     assert got == {1: ("0.75", 0.75), 2: ("high", None)}
+
+
+def test_saved_scores_are_the_returned_ones(spark, tmp_path):
+    import uuid
+
+    from leafwise.plans.scoring import RESULT_COLUMNS, score_batch
+    from leafwise.sources.files import read_csv
+
+    def random_factory(options):
+        return lambda prompts: [f"<think>{uuid.uuid4()}</think><label>approved</label><score>1</score>" for _ in prompts]
+
+    ctx = spark.createDataFrame([(i, "{}", "[]", "[]") for i in range(20)],
+                                "id long, rdkit_properties string, similar_approved string, similar_unapproved string")
+    names = spark.createDataFrame([(i, f"s{i}") for i in range(20)], "id long, SMILES string")
+    out = str(tmp_path / "scores")
+    got = score_batch(ctx, names, generator_factory=random_factory, save_path=out)
+    schema = ", ".join(f"`{c}` string" for c in RESULT_COLUMNS)
+    returned = {(r["SMILES"], r["thinking"]) for r in got.collect()}
+    assert returned == {(r["SMILES"], r["thinking"]) for r in read_csv(spark, out, schema, multi_line=True).collect()}
+    assert len(returned) == 20

@@ -1,3 +1,4 @@
+import pytest
 import math
 
 from pyspark.sql import functions as F
@@ -49,17 +50,55 @@ def test_masked_mean_pool(spark):
     assert got[1] == [2.0, 3.0] and got[2] == [0.0, 0.0]
 
 
-def test_forest_methods_agree(spark):
-    from leafwise.operators.features import forest_leaves, synthetic_forest
-
-    rows = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").selectExpr("vec_id AS id", "embedding AS features")
-    forest = synthetic_forest(spark, 5, 3, 64)
-    a = sorted(map(tuple, forest_leaves(rows, forest, method="expression").collect()))
-    b = sorted(map(tuple, forest_leaves(rows, forest, method="join").collect()))
-    c = sorted(map(tuple, forest_leaves(rows, forest, method="numpy").collect()))
-    assert a == b == c and len(a) == 5 * rows.count()
-    arr = {r["id"]: r["leaves"] for r in forest_leaves(rows, forest, method="numpy", as_array=True).collect()}
-    assert all(arr[i][t] == leaf for i, t, leaf in a)
+def _walk(nodes, tree, x):
+    """Leaf of one row by following the edges."""
+    by = {n[1]: n for n in nodes if n[0] == tree}
+    at = 0
+    while by[at][2] is not None:
+        _, _, f, cut, left, right = by[at]
+        at = left if x[f] is not None and x[f] < cut else right
+    return at
+
+
+FORESTS = {
+    # a chain to the right, numbered in pre-order: node 2i splits, 2i + 1 is its left leaf
+    "chain": [(0, 2 * i, 0, float(i), 2 * i + 1, 2 * i + 2) for i in range(9)] + [(0, 2 * i + 1, None, None, None, None) for i in range(9)] + [(0, 18, None, None, None, None)],
+    # pre-order numbering and gaps between tree ids and node ids
+    "gaps": [(0, 0, 1, 0.5, 1, 40), (0, 1, 0, -1.0, 2, 3), (0, 2, None, None, None, None), (0, 3, None, None, None, None), (0, 40, None, None, None, None),
+             (5, 0, None, None, None, None), (9, 0, 0, 3.0, 7, 4), (9, 7, None, None, None, None), (9, 4, None, None, None, None)],
+}
+
+
+@pytest.mark.parametrize("name", sorted(FORESTS))
+def test_forest_leaves_on_any_tree(spark, name):
+    from leafwise.operators.features import forest_depth, forest_leaves
+
+    nodes = FORESTS[name]
+    forest = spark.createDataFrame(nodes, "tree int, node int, feature int, threshold double, left int, right int")
+    xs = [[-5.0, 0.0], [100.0, 100.0], [4.5, 0.5], [None, None]]
+    rows = spark.createDataFrame(list(enumerate(xs)), "id long, features array<double>")
+    want = {(i, t, _walk(nodes, t, x)) for i, x in enumerate(xs) for t in {n[0] for n in nodes}}
+    for limit in (10**6, 0):   # shipped, joined
+        assert {tuple(r) for r in forest_leaves(rows, forest, node_limit=limit).collect()} == want
+        arrays = forest_leaves(rows, forest, as_array=True, node_limit=limit).collect()
+        assert {(r["id"], t, leaf) for r in arrays for t, leaf in zip(sorted({n[0] for n in nodes}), r["leaves"])} == want
+    assert forest_depth(forest) == (9 if name == "chain" else 2)
+
+
+def test_forest_dump(spark, tmp_path):
+    import json
+
+    from leafwise.operators.features import forest_leaves
+    from leafwise.operators.models import read_forest_dump
+
+    leaf = lambda i: {"nodeid": i, "leaf": 0.1}
+    dump = [{"nodeid": 0, "split": "f1", "split_condition": 2.0, "yes": 1, "no": 2, "missing": 1, "children": [leaf(1), leaf(2)]}, leaf(0)]
+    (tmp_path / "dump.json").write_text(json.dumps(dump, indent=1))
+    forest = read_forest_dump(spark, str(tmp_path / "dump.json"))
+    rows = spark.createDataFrame([(0, [0.0, 1.0]), (1, [0.0, 2.0]), (2, [0.0, None])], "id long, features array<double>")
+    for limit in (10, 0):
+        got = {r["id"]: r["leaves"] for r in forest_leaves(rows, forest, as_array=True, node_limit=limit).collect()}
+        assert got == {0: [1, 0], 1: [2, 0], 2: [1, 0]}
 
 
 def _length_or_null(keys):

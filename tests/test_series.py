@@ -18,8 +18,7 @@ def test_blocked_ema_matches_loop(spark, n, block, alpha):
     rng = random.Random(n)
     rows = [(s, i, rng.uniform(-50, 50)) for s in ("a", "b") for i in range(n)]
     df = spark.createDataFrame(rows, "s string, i long, x double")
-    got = {(r["s"], r["i"]): r["e"] for r in ema(df, "s", ["i"], "x", alpha=alpha, out="e", block=block, num_partitions=3,
-                                                  method="blocked").collect()}
+    got = {(r["s"], r["i"]): r["e"] for r in ema(df, "s", ["i"], "x", alpha=alpha, out="e", block=block, num_partitions=3).collect()}
     for s in ("a", "b"):
         xs = [x for ss, _, x in rows if ss == s]
         for i, e in enumerate(loop_ema(xs, alpha)):
@@ -46,16 +45,11 @@ def test_null_values_skip_the_recurrence(spark):
     assert got == {0: 2.0, 1: None, 2: 3.0}
 
 
-@pytest.mark.parametrize("method", ["sequential", "blocked", "auto"])
-def test_methods_agree(spark, method):
-    rng = random.Random(9)
-    rows = [(s, i, rng.uniform(-5, 5)) for s in ("a", "b", "c") for i in range(120)]
+def test_null_series_is_a_series(spark):
+    rows = [(s, i, float(i + k)) for k, s in enumerate(("a", None)) for i in range(40)]
     df = spark.createDataFrame(rows, "s string, i long, x double")
-    got = {(r["s"], r["i"]): r["e"] for r in ema(df, "s", ["i"], "x", alpha=0.05, out="e", block=16, method=method).collect()}
-    for s in ("a", "b", "c"):
-        xs = [x for ss, _, x in rows if ss == s]
-        for i, e in enumerate(loop_ema(xs, 0.05)):
-            if method == "blocked":
-                assert math.isclose(got[(s, i)], e, rel_tol=1e-12, abs_tol=1e-12)
-            else:
-                assert got[(s, i)] == e        # the sequential path is bit-identical to the loop
+    got = {(r["s"], r["i"]): r["e"] for r in ema(df, "s", ["i"], "x", alpha=0.05, out="e", block=16, num_partitions=3).collect()}
+    assert len(got) == 80
+    for s in ("a", None):
+        for i, e in enumerate(loop_ema([x for t, _, x in rows if t == s], 0.05)):
+            assert math.isclose(got[(s, i)], e, rel_tol=1e-12)
