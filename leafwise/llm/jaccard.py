@@ -44,7 +44,7 @@ from leafwise.llm.components import components
 PERCENT = 85
 WORDS = 4
 #: log2 of the slots of the count table.
-TABLE_BITS = 18
+TABLE_BITS = 20
 SLICE = 4096
 #: log2 of the bits that tell which documents' sets are needed; others may pass, none is missed.
 FILTER_BITS = 23
@@ -144,7 +144,7 @@ def signatures(docs: DataFrame, table: np.ndarray, percent: int = PERCENT, words
     return rows.mapInPandas(sign, "doc_id long, k long, n long, prefix binary").withColumn("doc_id", F.nullif(F.col("doc_id"), F.lit(NO_ID)))
 
 
-def _postings(texts: DataFrame) -> DataFrame:
+def _postings(signed: DataFrame) -> DataFrame:
     """(token, k, n) of every prefix shingle."""
 
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -154,14 +154,14 @@ def _postings(texts: DataFrame) -> DataFrame:
             if sum(times):
                 yield pd.DataFrame({"token": np.concatenate(tokens), "k": np.repeat(pdf["k"].to_numpy(), times), "n": np.repeat(pdf["n"].to_numpy(), times)})
 
-    return texts.select("k", "n", "prefix").mapInPandas(explode, "token long, k long, n long")
+    return signed.select("k", "n", "prefix").mapInPandas(explode, "token long, k long, n long")
 
 
-def clusters(texts: DataFrame, percent: int = PERCENT) -> DataFrame:
+def clusters(signed: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(node, root): texts that may be linked, by cluster; a text that shares no rare shingle is absent."""
-    postings = _postings(texts)
-    shared = postings.groupBy("token").count().where("count > 1").select("token")
-    held = saved(postings.join(shared, "token", "left_semi"), "shared")
+    postings = _postings(signed)
+    shared = postings.groupBy("token").agg(F.min("k").alias("a"), F.max("k").alias("b")).where("a <> b").select("token")
+    held = saved(postings.join(shared, "token", "left_semi").dropDuplicates(["token", "k"]), "shared")
     # bands a little wider than the bound, so that sizes within it are in the same band or the next
     band = F.floor(F.log(F.col("n")) / F.log(F.lit(100.0 / (percent - 0.5))))
     # neighbouring bands meet under the upper one's name
@@ -172,7 +172,7 @@ def clusters(texts: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int = WORDS) -> DataFrame:
-    """(k, s): the shingle sets of the documents ``wanted`` (doc_id, k).
+    """``wanted`` (doc_id, k, ...) with s, the shingle set of the document.
 
     A bitmap of fixed size over hashed ids spares other documents the work;
     what passes it by chance goes in the join.
@@ -203,7 +203,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int = WORDS) -> Data
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), bit.alias("b"), text_bytes().alias("t"))
     sets = rows.where("doc_id is not null").mapInPandas(shingle, "doc_id long, k long, s binary")
-    return wanted.join(sets, ["doc_id", "k"]).select("k", "s").dropDuplicates(["k"])
+    return wanted.join(sets, ["doc_id", "k"]).dropDuplicates(["doc_id", "k"])  # rows may repeat
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -271,24 +271,21 @@ def _link_pivots(percent: int):
     return link
 
 
-def links(members: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+def links(docs: DataFrame, wanted: DataFrame, percent: int = PERCENT, words: int = WORDS, block: int = BLOCK) -> DataFrame:
     """Edges (u, v) that connect exactly what the links connect.
 
-    ``members``: k, root (its cluster) and s (its set), written.
+    ``wanted``: doc_id, k, root (its cluster) and size (of the cluster), written.
     """
-    sizes = saved(members.groupBy("root").count(), "cluster_sizes")
-    small = members.join(sizes.where(F.col("count") <= block), "root", "left_semi")
-    bins = parts_for(members.count(), TOGETHER)
-    dealt = small.withColumn("bin", F.pmod(F.xxhash64("root"), F.lit(bins)))
-    edges = saved(dealt.groupBy("bin").applyInPandas(_link_small(percent), "u long, v long"), "links")
+    bins = parts_for(wanted.count(), TOGETHER)
+    small = shingle_sets(docs, wanted.where(F.col("size") <= block), words).withColumn("bin", F.pmod(F.xxhash64("root"), F.lit(bins)))
+    edges = saved(small.select("bin", "root", "k", "s").groupBy("bin").applyInPandas(_link_small(percent), "u long, v long"), "links")
 
-    large = sizes.where(F.col("count") > block)
+    large = wanted.where(F.col("size") > block)
     if large.isEmpty():
         return edges
-    slices = F.greatest(F.lit(1), F.ceil(F.col("count") / block)).cast("int")
-    big = saved(
-        members.join(large, "root").withColumn("slice", F.pmod(F.xxhash64("k"), slices)).select("root", "k", "s", "slice", slices.alias("slices")), "large_clusters"
-    )
+    slices = F.ceil(F.col("size") / block).cast("int")
+    big = shingle_sets(docs, large, words).withColumn("slice", F.pmod(F.xxhash64("k"), slices))
+    big = saved(big.select("root", "k", "s", "slice", slices.alias("slices")), "large_clusters")
     state = big.select("root", "k").withColumn("done", F.lit(False)).withColumn("comp", F.col("k"))
     found, batch = edges.limit(0), 1
     while True:
@@ -325,14 +322,13 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, bl
     total = signed.count()
     texts = saved(
         signed.where("n > 0 and doc_id is not null").groupBy("k").agg(
-            F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies")
+            F.first("n").alias("n"), F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies")
         ), "texts",
     )
-    cluster = saved(clusters(texts, percent), "clusters").withColumnRenamed("node", "k")
-    wanted = texts.join(cluster, "k").select(F.col("first_id").alias("doc_id"), "k")
-    sets = shingle_sets(docs, saved(wanted, "wanted"), words)
-    members = saved(cluster.join(sets, "k"), "members")
-    comp = components(links(members, percent, block)).withColumnRenamed("node", "k")
+    cluster = saved(clusters(signed.where("n > 0 and doc_id is not null"), percent), "clusters").withColumnRenamed("node", "k")
+    sizes = cluster.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+    wanted = texts.join(cluster, "k").join(sizes, "root").select(F.col("first_id").alias("doc_id"), "k", "root", "size")
+    comp = components(links(docs, saved(wanted, "wanted"), percent, words, block)).withColumnRenamed("node", "k")
     least = comp.join(texts.select("k", "first_id"), "k").groupBy("root").agg(F.min("first_id").alias("component_id"))
     linked_texts = comp.join(least, "root").select("k", "component_id")
     # texts with copies or links; every other document is its own component
