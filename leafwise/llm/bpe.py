@@ -1,12 +1,12 @@
 """Byte-level BPE, encoded with a rank queue over a hierarchical bitmap.
 
-The symbols of a pre-token form a doubly linked list.  Each merge rank that
-occurs has a bucket of list positions; a bitmap of 64-way words tells which
-buckets are not empty, and find-first-set from the root leads to the lowest
-rank.  All positions of that rank are merged left to right; positions whose
-pair has changed since they were queued are stale and skipped.  Every merge
-queues two new pairs at most, so a pre-token of n bytes costs O(n) queue
-operations however long it is.
+The symbols of the pre-tokens form a doubly linked list, cut between
+pre-tokens.  Each merge rank that occurs has a bucket of list positions; a
+bitmap of 64-way words tells which buckets are not empty, and find-first-set
+from the root leads to the lowest rank.  All positions of that rank are
+merged at once, left to right; positions whose pair has changed since they
+were queued are stale and skipped.  Every merge queues two new pairs at most,
+so n bytes cost O(n) queue entries however long a pre-token is.
 
 Edge cases: NULL text is empty; no ids decode to no bytes; repeated rows and
 extra columns change nothing.
@@ -15,8 +15,7 @@ extra columns change nothing.
 from __future__ import annotations
 
 import base64
-import hashlib
-from collections import deque
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,10 +29,12 @@ from leafwise.llm.common import bound_batches, text_bytes
 #: Pre-tokens (of at most CACHED bytes) whose ids a worker remembers; beyond it, it starts anew.
 CACHE = 200_000
 CACHED = 64
+#: Texts in a batch: the more pre-tokens share the queue, the fewer steps each costs.
+ROWS = 2000
 
 
 class RankQueue:
-    """Positions by merge rank; the lowest rank comes first, its positions in the order of the text."""
+    """Arrays of positions by merge rank; the lowest rank comes first."""
 
     def __init__(self, ranks: int):
         self.levels = []
@@ -43,14 +44,14 @@ class RankQueue:
             self.levels.append([0] * n)
             if n == 1:
                 break
-        self.buckets: dict[int, list[int]] = {}
+        self.buckets: dict[int, list[np.ndarray]] = {}
 
-    def push(self, rank: int, position: int) -> None:
+    def push(self, rank: int, positions: np.ndarray) -> None:
         bucket = self.buckets.get(rank)
         if bucket is not None:
-            bucket.append(position)
+            bucket.append(positions)
             return
-        self.buckets[rank] = [position]
+        self.buckets[rank] = [positions]
         for level in self.levels:
             word, bit = rank >> 6, 1 << (rank & 63)
             old = level[word]
@@ -59,8 +60,22 @@ class RankQueue:
                 return
             rank = word
 
-    def pop(self) -> tuple[int, list[int]] | None:
-        """Lowest rank and its positions, removed; None when empty."""
+    def push_all(self, ranks: np.ndarray, positions: np.ndarray) -> None:
+        """Positions into the buckets of their ranks; a rank below 0 is none."""
+        some = ranks >= 0
+        ranks, positions = ranks[some], positions[some]
+        if not len(ranks):
+            return
+        order = np.argsort(ranks, kind="stable")
+        ranks, positions = ranks[order], positions[order]
+        first = np.flatnonzero(ranks[1:] != ranks[:-1]) + 1
+        lo = 0
+        for hi, rank in zip([*first.tolist(), len(ranks)], ranks[np.append(0, first)].tolist()):
+            self.push(rank, positions[lo:hi])
+            lo = hi
+
+    def pop(self) -> tuple[int, np.ndarray] | None:
+        """Lowest rank and its positions, once each in the order of the text, removed; None when empty."""
         if not self.buckets:
             return None
         at = 0
@@ -73,62 +88,86 @@ class RankQueue:
             if level[at >> 6]:
                 break
             at >>= 6
-        return rank, self.buckets.pop(rank)
+        return rank, np.unique(np.concatenate(self.buckets.pop(rank)))
 
 
 class Codec:
+    """Encoder and decoder for the ranks of a vocabulary (bytes -> id, which is also the merge rank)."""
+
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.pieces = {i: b for b, i in ranks.items()}
-        self.single = [ranks[bytes([b])] for b in range(256)]
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         self.queue = RankQueue(max(ranks.values()) + 1)
+        # every way to make a piece of two others: (left id, right id) -> rank
+        pairs = {
+            (ranks[t[:k]] << 32) | ranks[t[k:]]: i for t, i in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks
+        }
+        self.keys = np.array(sorted(pairs), np.int64)
+        self.made = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of the merge of two symbols, -1 without one."""
+        key = (left << 32) | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.made[at], -1)
+
+    def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids (little-endian 32-bit, as bytes) of every pre-token.
+
+        All pre-tokens lie in one list of symbols, cut between them, and share
+        the queue: merges of different pre-tokens do not touch, and each
+        pre-token sees its own merges in the order of their ranks.
+        """
+        whole = [self.ranks.get(p) for p in pieces]
+        todo = [p for p, w in zip(pieces, whole) if w is None]
+        symbol = self.single[np.frombuffer(b"".join(todo), np.uint8)]
+        n = len(symbol)
+        ends = np.cumsum([len(p) for p in todo], dtype=np.int64)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after[ends - 1] = n  # n: nothing follows
+        before[(ends - [len(p) for p in todo]).astype(np.int64)] = -1
+        alive = np.ones(n, bool)
+        queue = self.queue
+        left = np.flatnonzero(after < n)
+        queue.push_all(self._rank(symbol[left], symbol[after[left]]), left)
+        while (found := queue.pop()) is not None:
+            rank, at = found
+            at = at[alive[at]]
+            at = at[after[at] < n]
+            # stale entries: the pair there is another one by now
+            at = at[self._rank(symbol[at], symbol[after[at]]) == rank]
+            if not len(at):
+                continue
+            right = after[at]
+            if len(at) > 1 and (chain := right[:-1] == at[1:]).any():
+                # in a run of overlapping pairs every second one is merged, from the left
+                place = np.arange(len(at))
+                start = np.maximum.accumulate(np.where(np.append(False, chain), 0, place))
+                take = (place - start) % 2 == 0
+                at, right = at[take], right[take]
+            follow = after[right]
+            symbol[at], after[at], alive[right] = rank, follow, False
+            has = follow < n
+            before[follow[has]] = at[has]
+            prior = before[at]
+            some = prior >= 0
+            l, r = np.concatenate([prior[some], at[has]]), np.concatenate([at[some], follow[has]])
+            queue.push_all(self._rank(symbol[l], symbol[r]), l)
+        ids = symbol[alive].astype("<u4").tobytes()
+        cuts = np.append(0, np.cumsum(alive))[ends].tolist() if n else []
+        out, lo, k = [], 0, 0
+        for w in whole:
+            if w is not None:
+                out.append(w.to_bytes(4, "little"))
+            else:
+                out.append(ids[4 * lo : 4 * cuts[k]])
+                lo, k = cuts[k], k + 1
+        return out
 
     def encode_piece(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
-        ranks = self.ranks
-        whole = ranks.get(piece)
-        if whole is not None:
-            return [whole]
-        n = len(piece)
-        if n < 2:
-            return [self.single[b] for b in piece]
-        # symbol at i spans piece[i:after[i]]; before[i] is where the previous one starts
-        after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), bytearray(b"\x01" * n)
-        queue, get = self.queue, ranks.get
-        for i in range(n - 1):
-            rank = get(piece[i : i + 2])
-            if rank is not None:
-                queue.push(rank, i)
-        while (found := queue.pop()) is not None:
-            rank, places = found
-            text = self.pieces[rank]
-            size = len(text)
-            pending = deque(sorted(set(places)))
-            while pending:
-                i = pending.popleft()
-                if not alive[i]:
-                    continue
-                j = after[i]
-                if j >= n or after[j] - i != size or piece[i : i + size] != text:
-                    continue  # stale: the pair at i is another one by now
-                k = after[j]
-                after[i], alive[j] = k, 0
-                if k < n:
-                    before[k] = i
-                    right = get(piece[i : after[k]])
-                    if right is not None:
-                        queue.push(right, i)
-                h = before[i]
-                if h >= 0:
-                    left = get(piece[h:k])
-                    if left is not None:
-                        queue.push(left, h)
-        out, i = [], 0
-        while i < n:
-            j = after[i]
-            out.append(self.single[piece[i]] if j == i + 1 else ranks[piece[i:j]])
-            i = j
-        return out
+        return np.frombuffer(self.encode_pieces([piece])[0], "<u4").tolist()
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.pieces.__getitem__, ids))
@@ -148,23 +187,16 @@ def encode_column(path: str, pattern: str, text: str = "text") -> Column:
 
         codec, find = Codec(load_ranks(path)), regex.compile(pattern).findall
         known: dict[str, bytes] = {}
-
-        def ids_of(piece: str) -> bytes:
-            got = known.get(piece)
-            if got is None:
-                raw = piece.encode()
-                got = np.array(codec.encode_piece(raw), "<u4").tobytes()
-                if len(raw) <= CACHED:
-                    known[piece] = got
-            return got
-
         for texts in batches:
-            out = []
-            for t in texts:
-                if len(known) > CACHE:
-                    known.clear()
-                out.append(b"".join(map(ids_of, find(t.decode("utf-8", "replace")))))
-            yield pd.Series(out, dtype=object)
+            split = [find(t.decode("utf-8", "replace")) for t in texts]
+            if len(known) > CACHE:
+                known.clear()
+            new = list(set(itertools.chain.from_iterable(split)).difference(known))
+            known.update(zip(new, codec.encode_pieces([p.encode() for p in new])))
+            yield pd.Series([b"".join(map(known.__getitem__, pieces)) for pieces in split], dtype=object)
+            for p in new:
+                if len(p) > CACHED:
+                    del known[p]
 
     return encode(text_bytes(text))
 
@@ -184,11 +216,7 @@ def decode_column(path: str, ids: Column) -> Column:
 
 def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """doc_id, ids (binary) and decoded (binary) of every document."""
-    bound_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession, ROWS)
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
     got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), encode_column(path, pattern or public_tokenizers.PATTERN).alias("ids"))
     return got.withColumn("decoded", decode_column(path, F.col("ids")))
-
-
-def sha256_hex(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()
