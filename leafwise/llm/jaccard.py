@@ -49,10 +49,11 @@ SLICE = 4096
 #: log2 of the bits that tell which documents' sets are needed; others may pass, none is missed.
 FILTER_BITS = 23
 #: Members of a cluster that are one block; a larger cluster goes by pivots.
-BLOCK = 256
-#: Pivots in a task, and shingles in a slice of the product.
+BLOCK = 2048
+#: Pivots in a task, members in a slice of a large cluster, and numbers in a slice of an incidence matrix.
 PIVOTS = 128
-COLUMNS = 8192
+MEMBERS = 256
+CELLS = 1 << 22
 #: Distinct words whose hashes a worker remembers; beyond it, it starts anew.
 CACHE = 200_000
 NO_ID = -(2**63)
@@ -206,27 +207,41 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int = WORDS) -> Data
     return wanted.join(sets, ["doc_id", "k"]).dropDuplicates(["doc_id", "k"])  # rows may repeat
 
 
-def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections of two blocks of sets: the product of their incidence matrices, slice by slice."""
-    sizes_l, sizes_r = [len(x) for x in left], [len(x) for x in right]
-    column, at = np.unique(np.concatenate(left + right), return_inverse=True)
-    row = np.repeat(np.arange(len(left) + len(right)), sizes_l + sizes_r)
+def overlaps(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> np.ndarray:
+    """Sizes of all intersections of two blocks of sets (or of one with itself).
+
+    The product of the incidence matrices, slice by slice; a shingle that
+    only one set holds has no part in it.
+    """
+    sets = left + (right or [])
+    column, at, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    common = np.flatnonzero(held > 1)
+    place = np.full(len(column), -1)
+    place[common] = np.arange(len(common))
+    at = place[at]
+    row, at = row[at >= 0], at[at >= 0]
     order = np.argsort(at, kind="stable")
     at, row = at[order], row[order]
-    total = np.zeros((len(left), len(right)), np.float32)
-    for lo in range(0, len(column), COLUMNS):
-        a, b = np.searchsorted(at, [lo, lo + COLUMNS])
-        x = np.zeros((len(left) + len(right), min(COLUMNS, len(column) - lo)), np.float32)
+    m = len(left)
+    total = np.zeros((m, len(right) if right is not None else m), np.float32)
+    step = max(256, CELLS // len(sets))
+    for lo in range(0, len(common), step):
+        a, b = np.searchsorted(at, [lo, lo + step])
+        x = np.zeros((len(sets), min(step, len(common) - lo)), np.float32)
         x[row[a:b], at[a:b] - lo] = 1
-        total += x[: len(left)] @ x[len(left) :].T
-    return np.rint(total).astype(np.int64)
+        total += x[:m] @ (x[m:] if right is not None else x).T
+    got = np.rint(total).astype(np.int64)
+    if right is None:
+        np.fill_diagonal(got, [len(x) for x in left])
+    return got
 
 
-def linked(left: list[np.ndarray], right: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
-    """Which pairs of two blocks reach the threshold."""
-    a, b = np.array([len(x) for x in left])[:, None], np.array([len(x) for x in right])[None, :]
+def linked(left: list[np.ndarray], right: list[np.ndarray] | None = None, percent: int = PERCENT) -> np.ndarray:
+    """Which pairs of two blocks (or of one) reach the threshold."""
+    size = [np.array([len(x) for x in y]) for y in (left, left if right is None else right)]
     inter = overlaps(left, right)
-    return (100 * inter >= percent * (a + b - inter)) & (inter > 0)
+    return (100 * inter >= percent * (size[0][:, None] + size[1][None, :] - inter)) & (inter > 0)
 
 
 def _sets(col: pd.Series) -> list[np.ndarray]:
@@ -239,7 +254,7 @@ def _link_small(percent: int):
         for _, block in pdf.groupby("root", sort=False):
             k, sets = block["k"].to_numpy(), _sets(block["s"])
             label = np.arange(len(k))
-            for i, j in zip(*np.nonzero(np.triu(linked(sets, sets, percent), 1))):
+            for i, j in zip(*np.nonzero(np.triu(linked(sets, None, percent), 1))):
                 if label[i] != label[j]:
                     label[label == label[j]] = label[i]
             for x in np.unique(label):
@@ -283,7 +298,7 @@ def links(docs: DataFrame, wanted: DataFrame, percent: int = PERCENT, words: int
     large = wanted.where(F.col("size") > block)
     if large.isEmpty():
         return edges
-    slices = F.ceil(F.col("size") / block).cast("int")
+    slices = F.ceil(F.col("size") / MEMBERS).cast("int")
     big = shingle_sets(docs, large, words).withColumn("slice", F.pmod(F.xxhash64("k"), slices))
     big = saved(big.select("root", "k", "s", "slice", slices.alias("slices")), "large_clusters")
     state = big.select("root", "k").withColumn("done", F.lit(False)).withColumn("comp", F.col("k"))

@@ -55,9 +55,10 @@ def result(df):
     return {tuple(r) for r in df.collect()}
 
 
-@pytest.mark.parametrize("block,pivots", [(256, 128), (3, 2)])
+@pytest.mark.parametrize("block,pivots", [(2048, 128), (3, 2)])
 def test_matches_brute_force(spark, monkeypatch, block, pivots):
     monkeypatch.setattr(jaccard, "PIVOTS", pivots)
+    monkeypatch.setattr(jaccard, "MEMBERS", 3)
     rows = corpus(groups=12 if block > 3 else 4)
     got = result(jaccard.jaccard_join(spark.createDataFrame(rows, SCHEMA), block=block))
     assert got == brute(rows)
@@ -74,6 +75,7 @@ def test_overlaps():
     a = [np.array([1, 2, 3], np.uint64), np.array([5], np.uint64)]
     b = [np.array([2, 3, 9], np.uint64), np.array([5, 7], np.uint64), np.array([1], np.uint64)]
     assert jaccard.overlaps(a, b).tolist() == [[2, 0, 1], [0, 1, 0]]
+    assert jaccard.overlaps(a + b).tolist() == [[3, 0, 2, 0, 1], [0, 1, 0, 1, 0], [2, 0, 3, 0, 0], [0, 1, 0, 2, 0], [1, 0, 0, 0, 1]]
 
 
 def test_components(spark):
