@@ -11,13 +11,14 @@ by shingles.  The product is taken in blocks that can hold a link:
    one of them, which gives clusters that no link leaves.
 3. A cluster is a block: overlaps accumulate over slices of its shingles, and
    pairs below the bound that follows from their sizes are discarded.  A
-   cluster too large for one block is multiplied against pivots, a slice of
-   members per task; members that the pivots link are one component, and only
-   members outside the largest component become pivots in later rounds, until
-   every one of them has been multiplied against all members.
-
-So no link between different texts is lost, no pair of documents is a row,
-and a group of copies or near copies costs its size, not its square.
+   cluster too large for one block is multiplied against pivots first, a slice
+   of members per task; members that the pivots link are one component, and
+   only members outside the largest component are then multiplied against the
+   texts that share a rare shingle with them.
+
+So no link between different texts is lost, only texts outside a cluster's
+largest component are ever rows of pairs, and a group of copies or near
+copies costs its size, not its square.
 Shingles and texts are told apart by 64-bit hashes.
 
 Edge cases: NULL or blank text has no shingles and links with nothing; fewer
@@ -54,6 +55,8 @@ BLOCK = 2048
 PIVOTS = 128
 MEMBERS = 256
 CELLS = 1 << 22
+#: Tasks over which the partners of one text are spread.
+SALTS = 8
 #: Distinct words whose hashes a worker remembers; beyond it, it starts anew.
 CACHE = 200_000
 NO_ID = -(2**63)
@@ -158,8 +161,8 @@ def _postings(signed: DataFrame) -> DataFrame:
     return signed.select("k", "n", "prefix").mapInPandas(explode, "token long, k long, n long")
 
 
-def clusters(signed: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(node, root): texts that may be linked, by cluster; a text that shares no rare shingle is absent."""
+def clusters(signed: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """(token, k, n) of shared rare shingles, and (node, root): texts that may be linked, by cluster."""
     postings = _postings(signed)
     shared = postings.groupBy("token").agg(F.min("k").alias("a"), F.max("k").alias("b")).where("a <> b").select("token")
     held = saved(postings.join(shared, "token", "left_semi").dropDuplicates(["token", "k"]), "shared")
@@ -169,7 +172,7 @@ def clusters(signed: DataFrame, percent: int = PERCENT) -> DataFrame:
     banded = held.withColumn("band", F.explode(F.array(band, band + 1)))
     hubs = banded.groupBy("token", "band").agg(F.min("k").alias("hub"))
     edges = banded.join(hubs, ["token", "band"]).where("k <> hub").select(F.col("k").alias("u"), F.col("hub").alias("v")).distinct()
-    return components(edges)
+    return held, components(edges)
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int = WORDS) -> DataFrame:
@@ -286,10 +289,24 @@ def _link_pivots(percent: int):
     return link
 
 
-def links(docs: DataFrame, wanted: DataFrame, percent: int = PERCENT, words: int = WORDS, block: int = BLOCK) -> DataFrame:
+def _link_pairs(percent: int):
+    def link(own: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+        sets = dict(zip(own["k"].tolist(), _sets(own["s"]))) if len(pairs) else {}
+        u, v = [], []
+        for k, block in pairs.groupby("k", sort=False) if len(pairs) else []:
+            hit = linked([sets[k]], _sets(block["s"]), percent)[0]
+            v += block["other"].to_numpy()[hit].tolist()
+            u += [k] * int(hit.sum())
+        return pd.DataFrame({"u": np.array(u, np.int64), "v": np.array(v, np.int64)})
+
+    return link
+
+
+def links(docs: DataFrame, wanted: DataFrame, held: DataFrame, percent: int = PERCENT, words: int = WORDS, block: int = BLOCK) -> DataFrame:
     """Edges (u, v) that connect exactly what the links connect.
 
-    ``wanted``: doc_id, k, root (its cluster) and size (of the cluster), written.
+    ``wanted``: doc_id, k, root (its cluster) and size (of the cluster); ``held``:
+    token, k, n of the rare shingles that texts share. Both written.
     """
     bins = parts_for(wanted.count(), TOGETHER)
     small = shingle_sets(docs, wanted.where(F.col("size") <= block), words).withColumn("bin", F.pmod(F.xxhash64("root"), F.lit(bins)))
@@ -302,32 +319,36 @@ def links(docs: DataFrame, wanted: DataFrame, percent: int = PERCENT, words: int
     big = shingle_sets(docs, large, words).withColumn("slice", F.pmod(F.xxhash64("k"), slices))
     big = saved(big.select("root", "k", "s", "slice", slices.alias("slices")), "large_clusters")
     state = big.select("root", "k").withColumn("done", F.lit(False)).withColumn("comp", F.col("k"))
-    found, batch = edges.limit(0), 1
-    while True:
-        # those outside their cluster's largest component that have not been pivots
-        top = (
-            state.groupBy("root", "comp").count().groupBy("root").agg(F.max(F.struct("count", "comp")).alias("top"))
-            .where("top.count > 1").select("root", F.col("top.comp").alias("comp"), F.lit(True).alias("largest"))
-        )
-        open_ = state.where("not done").join(top, ["root", "comp"], "left").where("largest is null").select("root", "k")
-        waiting = saved(open_.join(open_.groupBy("root").agg(F.count(F.lit(1)).alias("open")), "root"), "waiting")
-        if waiting.isEmpty():
-            return edges.unionByName(found)
-        # all of a few, else `batch` tasks of pivots per cluster, about, drawn by hash
-        draw = F.pmod(F.xxhash64("k", F.lit(f"turn{batch}")), F.lit(1 << 30)) / float(1 << 30)
-        chosen = saved(waiting.where((F.col("open") <= PIVOTS) | (draw < batch * PIVOTS / F.col("open"))).select("root", "k"), "pivots")
-        task = F.pmod(F.xxhash64("k", F.lit("task")), F.lit(batch))
-        pivots = saved(big.join(chosen, ["root", "k"], "left_semi").withColumn("task", task), "pivot_sets")
-        spread = big.join(pivots.select("root", "task").distinct(), "root")
-        key = ["root", "slice", "task"]
-        copies = pivots.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).select(*key, "k", "s")
-        spread = spread.select(*[F.col(c).alias(c) for c in (*key, "k", "s")])  # columns of its own, for the cogroup
-        hits = copies.groupBy(*key).cogroup(spread.groupBy(*key)).applyInPandas(_link_pivots(percent), "u long, v long")
-        found = saved(found.unionByName(hits).distinct(), "links")
-        comp = components(found).select(F.col("node").alias("k"), F.col("root").alias("comp"))
-        done = state.select("root", "k", "done").join(chosen.withColumn("now", F.lit(True)), ["root", "k"], "left").join(comp, "k", "left")
-        state = saved(done.select("root", "k", (F.col("done") | F.col("now").isNotNull()).alias("done"), F.coalesce("comp", "k").alias("comp")), "state")
-        batch *= 2
+    # about PIVOTS members of each cluster, drawn by hash, against all its members
+    draw = F.pmod(F.xxhash64("k", F.lit("turn")), F.lit(1 << 30)) / float(1 << 30)
+    chosen = saved(large.where(draw < F.lit(PIVOTS) / F.col("size")).select("root", "k"), "pivots")
+    pivots = big.join(chosen, ["root", "k"], "left_semi").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    key = ["root", "slice"]
+    members = big.select(*[F.col(c).alias(c) for c in (*key, "k", "s")])  # columns of its own, for the cogroup
+    hits = pivots.select(*key, "k", "s").groupBy(*key).cogroup(members.groupBy(*key)).applyInPandas(_link_pivots(percent), "u long, v long")
+    found = saved(hits.distinct(), "pivot_links")
+    comp = components(found).select(F.col("node").alias("k"), F.col("root").alias("comp"))
+    state = large.select("root", "k").join(chosen.withColumn("done", F.lit(True)), ["root", "k"], "left").join(comp, "k", "left")
+    state = saved(state.select("root", "k", F.coalesce("done", F.lit(False)).alias("done"), F.coalesce("comp", "k").alias("comp")), "state")
+
+    # those outside their cluster's largest component that were no pivots, with every text that shares a rare shingle
+    top = (
+        state.groupBy("root", "comp").count().groupBy("root").agg(F.max(F.struct("count", "comp")).alias("top"))
+        .where("top.count > 1").select("root", F.col("top.comp").alias("comp"), F.lit(True).alias("largest"))
+    )
+    stray = state.join(top, ["root", "comp"], "left").select("k", (~F.col("done") & F.col("largest").isNull()).alias("stray"))
+    post = saved(held.join(stray, "k"), "stray_postings")
+    x, y = post.where("stray").alias("x"), post.alias("y")
+    near = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
+    once = (F.col("x.k") != F.col("y.k")) & (~F.col("y.stray") | (F.col("x.k") < F.col("y.k")))
+    pairs = x.join(y, F.col("x.token") == F.col("y.token")).where(near & once).select(F.col("x.k").alias("k"), F.col("y.k").alias("other")).distinct()
+    bins = parts_for(wanted.count(), TOGETHER)
+    salt = F.pmod(F.xxhash64("other"), F.lit(SALTS))
+    dealt = pairs.join(big.select(F.col("k").alias("other"), "s"), "other").withColumn("bin", F.pmod(F.xxhash64("k"), F.lit(bins)) * SALTS + salt)
+    own = big.join(stray.where("stray"), "k").select("k", "s", F.pmod(F.xxhash64("k"), F.lit(bins)).alias("b"))
+    own = own.select("k", "s", F.explode(F.sequence(F.col("b") * SALTS, F.col("b") * SALTS + (SALTS - 1))).alias("bin"))
+    rest = own.groupBy("bin").cogroup(dealt.select("bin", F.col("k").alias("k"), "other", F.col("s").alias("s")).groupBy("bin")).applyInPandas(_link_pairs(percent), "u long, v long")
+    return edges.unionByName(found).unionByName(saved(rest, "stray_links"))
 
 
 def jaccard_join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, block: int = BLOCK) -> DataFrame:
@@ -340,10 +361,11 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, bl
             F.first("n").alias("n"), F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies")
         ), "texts",
     )
-    cluster = saved(clusters(signed.where("n > 0 and doc_id is not null"), percent), "clusters").withColumnRenamed("node", "k")
+    held, cluster = clusters(signed.where("n > 0 and doc_id is not null"), percent)
+    cluster = saved(cluster, "clusters").withColumnRenamed("node", "k")
     sizes = cluster.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
     wanted = texts.join(cluster, "k").join(sizes, "root").select(F.col("first_id").alias("doc_id"), "k", "root", "size")
-    comp = components(links(docs, saved(wanted, "wanted"), percent, words, block)).withColumnRenamed("node", "k")
+    comp = components(links(docs, saved(wanted, "wanted"), held, percent, words, block)).withColumnRenamed("node", "k")
     least = comp.join(texts.select("k", "first_id"), "k").groupBy("root").agg(F.min("first_id").alias("component_id"))
     linked_texts = comp.join(least, "root").select("k", "component_id")
     # texts with copies or links; every other document is its own component
