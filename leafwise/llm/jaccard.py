@@ -12,9 +12,13 @@ by shingles.  The product is taken in blocks that can hold a link:
 3. A cluster is a block: overlaps accumulate over slices of its shingles, and
    pairs below the bound that follows from their sizes are discarded.  A
    cluster too large for one block is multiplied against pivots first, a slice
-   of members per task; members that the pivots link are one component, and
-   only members outside the largest component are then multiplied against the
-   texts that share a rare shingle with them.
+   of members per task; members that the pivots link are one component.
+   Members outside the largest component are then multiplied against the
+   texts of other components that share a rare shingle with them.  Before
+   their sets move, pairs go whose parity bitmaps differ in more places than
+   the sets of a linked pair can (each place that differs is an element of
+   only one of the two sets); then each text is tried with one of its
+   partners, and last the pairs that still join two components.
 
 So no link between different texts is lost, only texts outside a cluster's
 largest component are ever rows of pairs, and a group of copies or near
@@ -35,7 +39,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafwise.llm.common import attach_groups, bound_batches, mix64, parts_for, saved, text_bytes
@@ -55,8 +59,8 @@ BLOCK = 2048
 PIVOTS = 128
 MEMBERS = 256
 CELLS = 1 << 22
-#: Tasks over which the partners of one text are spread.
-SALTS = 8
+#: Pairs of texts that a task holds at once, on average.
+PAIRS = 200
 #: Distinct words whose hashes a worker remembers; beyond it, it starts anew.
 CACHE = 200_000
 NO_ID = -(2**63)
@@ -289,6 +293,41 @@ def _link_pivots(percent: int):
     return link
 
 
+def _parity(s: bytes) -> bytes:
+    """Bitmap of at least one place per element: the places that an odd number of elements hash to."""
+    h = np.frombuffer(s, np.uint64)
+    size = 1 << max(6, (len(h) - 1).bit_length())
+    return np.packbits((np.bincount((h & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8)).tobytes()
+
+
+def parity(s: str) -> Column:
+    """The parity bitmap of the sets in column ``s``."""
+
+    @F.pandas_udf("binary")
+    def bitmap(sets: pd.Series) -> pd.Series:
+        return sets.map(_parity)
+
+    return bitmap(s)
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """Places in which two parity bitmaps differ, the larger one folded: no more than the elements of only one set."""
+    x, y = sorted((np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)), key=len)
+    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum())
+
+
+def may_link(percent: int):
+    """Whether two texts (bitmaps, and the sum of their sizes) can reach the threshold."""
+
+    @F.pandas_udf("boolean")
+    def may(a: pd.Series, b: pd.Series, total: pd.Series) -> pd.Series:
+        differ = np.fromiter((differing(x, y) for x, y in zip(a, b)), np.int64, len(a))
+        both = total.to_numpy()
+        return pd.Series((both - differ) * (100 + percent) >= 2 * percent * both)
+
+    return may
+
+
 def _link_pairs(percent: int):
     def link(own: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
         sets = dict(zip(own["k"].tolist(), _sets(own["s"]))) if len(pairs) else {}
@@ -317,7 +356,7 @@ def links(docs: DataFrame, wanted: DataFrame, held: DataFrame, percent: int = PE
         return edges
     slices = F.ceil(F.col("size") / MEMBERS).cast("int")
     big = shingle_sets(docs, large, words).withColumn("slice", F.pmod(F.xxhash64("k"), slices))
-    big = saved(big.select("root", "k", "s", "slice", slices.alias("slices")), "large_clusters")
+    big = saved(big.select("root", "k", "s", "slice", slices.alias("slices"), parity("s").alias("bits")), "large_clusters")
     state = big.select("root", "k").withColumn("done", F.lit(False)).withColumn("comp", F.col("k"))
     # about PIVOTS members of each cluster, drawn by hash, against all its members
     draw = F.pmod(F.xxhash64("k", F.lit("turn")), F.lit(1 << 30)) / float(1 << 30)
@@ -336,19 +375,35 @@ def links(docs: DataFrame, wanted: DataFrame, held: DataFrame, percent: int = PE
         state.groupBy("root", "comp").count().groupBy("root").agg(F.max(F.struct("count", "comp")).alias("top"))
         .where("top.count > 1").select("root", F.col("top.comp").alias("comp"), F.lit(True).alias("largest"))
     )
-    stray = state.join(top, ["root", "comp"], "left").select("k", (~F.col("done") & F.col("largest").isNull()).alias("stray"))
+    stray = state.join(top, ["root", "comp"], "left").select("k", "comp", (~F.col("done") & F.col("largest").isNull()).alias("stray"))
     post = saved(held.join(stray, "k"), "stray_postings")
     x, y = post.where("stray").alias("x"), post.alias("y")
     near = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
-    once = (F.col("x.k") != F.col("y.k")) & (~F.col("y.stray") | (F.col("x.k") < F.col("y.k")))
-    pairs = x.join(y, F.col("x.token") == F.col("y.token")).where(near & once).select(F.col("x.k").alias("k"), F.col("y.k").alias("other")).distinct()
-    bins = parts_for(wanted.count(), TOGETHER)
-    salt = F.pmod(F.xxhash64("other"), F.lit(SALTS))
-    dealt = pairs.join(big.select(F.col("k").alias("other"), "s"), "other").withColumn("bin", F.pmod(F.xxhash64("k"), F.lit(bins)) * SALTS + salt)
-    own = big.join(stray.where("stray"), "k").select("k", "s", F.pmod(F.xxhash64("k"), F.lit(bins)).alias("b"))
-    own = own.select("k", "s", F.explode(F.sequence(F.col("b") * SALTS, F.col("b") * SALTS + (SALTS - 1))).alias("bin"))
-    rest = own.groupBy("bin").cogroup(dealt.select("bin", F.col("k").alias("k"), "other", F.col("s").alias("s")).groupBy("bin")).applyInPandas(_link_pairs(percent), "u long, v long")
-    return edges.unionByName(found).unionByName(saved(rest, "stray_links"))
+    once = (F.col("x.comp") != F.col("y.comp")) & (~F.col("y.stray") | (F.col("x.k") < F.col("y.k")))
+    pairs = x.join(y, F.col("x.token") == F.col("y.token")).where(near & once)
+    pairs = pairs.select(F.col("x.k").alias("k"), F.col("y.k").alias("other"), (F.col("x.n") + F.col("y.n")).alias("total")).distinct()
+    maps = big.select("k", F.col("bits").alias("a"))
+    pairs = pairs.join(maps, "k").join(maps.toDF("other", "b"), "other").where(may_link(percent)("a", "b", "total"))
+    pairs = saved(pairs.select("k", "other"), "stray_pairs")
+    # one partner of each text first: what that joins needs no further pair
+    first = saved(pairs.groupBy("k").agg(F.max("other").alias("other")), "first_pairs")
+    found = found.unionByName(_linked_pairs(first, big, percent, "first_links"))
+    comp = saved(components(found), "stray_components")
+    for c in ("k", "other"):
+        pairs = pairs.join(comp.toDF(c, f"{c}_comp"), c, "left")
+    apart = pairs.join(first, ["k", "other"], "left_anti").where("coalesce(k_comp, k) <> coalesce(other_comp, other)")
+    rest = _linked_pairs(saved(apart.select("k", "other"), "apart_pairs"), big, percent, "stray_links")
+    return edges.unionByName(found).unionByName(rest)
+
+
+def _linked_pairs(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
+    """Edges (u, v) for the pairs (k, other) that are links; ``pairs`` and ``sets`` (k, s) written."""
+    bins = parts_for(pairs.count(), PAIRS, 1)
+    dealt = pairs.select("k", "other", F.pmod(F.xxhash64("k", "other"), F.lit(bins)).alias("bin"))
+    own = sets.select("k", "s").join(dealt.select("k", "bin").distinct(), "k").groupBy("bin")
+    others = dealt.join(sets.select(F.col("k").alias("other"), F.col("s").alias("t")), "other")
+    others = others.select(F.col("bin").alias("bin"), F.col("k").alias("k"), "other", F.col("t").alias("s")).groupBy("bin")
+    return saved(own.cogroup(others).applyInPandas(_link_pairs(percent), "u long, v long"), name)
 
 
 def jaccard_join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, block: int = BLOCK) -> DataFrame:

@@ -83,3 +83,14 @@ def test_components(spark):
     got = {tuple(r) for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {(i, 0) for i in range(31)} | {(100, 100), (150, 100), (200, 100)}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_bitmaps_never_exceed_the_difference():
+    rng = np.random.default_rng(5)
+    for n, m, shared in [(1, 1, 0), (1, 1, 1), (60, 70, 55), (64, 65, 60), (3000, 3300, 2900), (500, 4200, 490)]:
+        common = rng.integers(0, 2**64, shared, np.uint64)
+        a = np.unique(np.concatenate([common, rng.integers(0, 2**64, n - shared, np.uint64)]))
+        b = np.unique(np.concatenate([common, rng.integers(0, 2**64, m - shared, np.uint64)]))
+        differ = jaccard.differing(jaccard._parity(a.tobytes()), jaccard._parity(b.tobytes()))
+        assert differ <= len(np.setxor1d(a, b))
+        assert (differ == 0) == (shared == n == m)
