@@ -1,7 +1,7 @@
 """Licence notices by a trained paragraph classifier.
 
 A paragraph is a line of a text.  Sparse features (words, pairs and triples
-of words that hold a word which ordinary paragraphs lack) go into a
+of words that hold a word of the notices) go into a
 multinomial logistic regression with an L1 penalty over licence families, "unknown"
 (a licence of no known family) and "none".  A family is believed when its
 probability reaches a threshold calibrated on held-out paragraphs, and it is
@@ -15,8 +15,10 @@ Spark's own (JVM) estimators.
 
 Training rows: the notices below, and as "none" a bounded sample of the
 corpus's paragraphs (about ``SAMPLE``, chosen by a hash of the id; lines with
-a word of the trade are left out of it) plus a few sentences that use such
-words otherwise.
+a word of the trade, or that look like a template, are left out of it) plus a
+few sentences that use such words otherwise.  The feature words are those of
+the notices but for ``GRAMMAR``, so they do not hang on how often a corpus
+repeats a notice.
 
 Edge cases: NULL or empty text has no paragraphs; rows repeat as often as the
 input's do; an empty table gives no rows; extra columns are ignored.
@@ -25,6 +27,7 @@ input's do; an empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import itertools
+import re
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel
@@ -34,8 +37,6 @@ from pyspark.sql import functions as F
 
 #: Corpus paragraphs used as "none", about.
 SAMPLE = 3000
-#: Share of ordinary paragraphs that may hold a feature word.
-COMMON = 0.002
 #: Precision that the calibrated threshold must reach on held-out paragraphs.
 PRECISION = 0.99
 #: Share of the shorter text's word pairs that a template must share.
@@ -49,6 +50,7 @@ NONE, UNKNOWN = "none", "unknown"
 TEMPLATES = {
     "mit": [
         "Released under the MIT License",
+        "Released under MIT",
         "This project is licensed under the terms of the MIT license",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction",
         "SPDX-License-Identifier: MIT",
@@ -125,6 +127,13 @@ OTHERWISE = [
     "Copies of the form are distributed at the door, and rights of way follow.",
 ]
 
+#: Words of the notices that tell nothing alone ("mit" is a German preposition).
+GRAMMAR = {
+    "the", "of", "to", "and", "a", "in", "is", "this", "that", "for", "by", "or", "at", "be", "it", "with", "on", "as", "are", "an", "you", "may", "not", "all", "no", "any",
+    "only", "from", "our", "can", "has", "have", "its", "should", "nor", "neither", "between", "along",
+    "mit",
+}
+
 PARAGRAPH_WORD = r"[^a-z0-9]+"
 
 
@@ -158,6 +167,38 @@ def _python_features(text: str) -> set[str]:
     return {" ".join(w[i : i + n]) for n in (1, 2, 3) for i in range(len(w) - n + 1)}
 
 
+def with_openings(templates: list[str]) -> list[str]:
+    """Templates, and the first clause of each as a short notice of its own."""
+    openings = [re.split(r"[.;:,](?= )", t)[0] for t in templates]
+    return [*templates, *(x for x in openings if x not in templates and len(x.split()) > 2)]
+
+
+def cue_words() -> list[str]:
+    """The words that make a feature of words, pairs and triples; fixed by the notices."""
+    trade = {w for ts in TEMPLATES.values() for t in ts for w in _python_words(t)}
+    return sorted(w for w in trade if len(w) > 1 and w not in GRAMMAR)
+
+
+def template_share(words: Column, templates: list[str]) -> Column:
+    """Largest share of the shorter text's word pairs that a template shares with a paragraph."""
+    own = F.array_distinct(grams(words, 2))
+    shared = F.lit(0.0)
+    for t in templates:
+        pairs = sorted({" ".join(x) for x in itertools.pairwise(_python_words(t))})
+        lit = F.array(*map(F.lit, pairs))
+        shared = F.greatest(shared, F.size(F.array_intersect(own, lit)) / F.greatest(F.least(F.size(own), F.lit(len(pairs))), F.lit(1)))
+    return shared
+
+
+def like_template(words: Column) -> Column:
+    """A paragraph that a template would confirm, or that holds three words of one in a row, two of them cues."""
+    cues = set(cue_words())
+    every = [t for ts in TEMPLATES.values() for t in ts]
+    triples = {x for t in every for w in [_python_words(t)] for x in zip(w, w[1:], w[2:]) if sum(y in cues for y in x) > 1}
+    holds = F.arrays_overlap(grams(words, 3), F.array(*[F.lit(" ".join(x)) for x in sorted(triples)]))
+    return holds | (template_share(words, every) >= CONFIRM)
+
+
 class Model:
     """Vectoriser, classifier, threshold and the words without which there are no features."""
 
@@ -178,23 +219,16 @@ class Model:
 
 
 def fit(spark: SparkSession, docs: DataFrame) -> Model:
-    notices = [(frame.format(t), family) for family, ts in TEMPLATES.items() for t in ts for frame in FRAMES]
-    trade = {w for ts in TEMPLATES.values() for t in ts for w in _python_words(t)}
+    notices = [(frame.format(t), family) for family, ts in TEMPLATES.items() for t in with_openings(ts) for frame in FRAMES]
     rate = min(1.0, SAMPLE / 4 / max(1, docs.count()))
     draw = F.pmod(F.xxhash64("doc_id", F.lit("license")), F.lit(1_000_000)) / 1_000_000
     heavy = F.array(*[F.lit(w) for w in ("license", "licence", "licensed", "copyright", "spdx")])
     sample = paragraphs(docs.where(draw < rate)).select(F.substring("p", 1, 2000).alias("p"))
-    sample = sample.where(~F.arrays_overlap(words_of(F.col("p")), heavy)).limit(3 * SAMPLE).collect()  # bounded by the limit
+    sample = sample.withColumn("words", words_of(F.col("p"))).where(~F.arrays_overlap("words", heavy) & ~like_template(F.col("words")))
+    sample = sample.select("p").limit(3 * SAMPLE).collect()  # bounded by the limit
     plain = [r["p"] for r in sample]
 
-    # feature words: words of the notices that ordinary paragraphs (nearly) lack
-    seen: dict[str, int] = {}
-    for p in plain:
-        for w in set(_python_words(p)) & trade:
-            seen[w] = seen.get(w, 0) + 1
-    bar = COMMON * max(len(plain), 1)
-    grammar = {"the", "of", "to", "and", "a", "in", "is", "this", "that", "for", "by", "or", "at", "be", "it", "with", "on", "as", "are", "an", "you", "may", "not", "all", "no", "any"}
-    cues = sorted(w for w in trade if seen.get(w, 0) <= bar and len(w) > 1 and w not in grammar)
+    cues = cue_words()
     known = set(cues)
     vocabulary = sorted({f for t, _ in notices for f in _python_features(t) if known & set(f.split())})
 
@@ -237,16 +271,9 @@ def license_scan(docs: DataFrame) -> DataFrame:
     scored = model.score(rows.where(F.arrays_overlap("words", cues)).select("doc_id", "paragraph", "words"))
     found = scored.where((F.col("probability") + 0.0) > F.col("p_none"))
 
-    pairs = {
-        family: [sorted({" ".join(x) for x in itertools.pairwise(_python_words(t))}) for t in ts] for family, ts in TEMPLATES.items()
-    }
-    own = F.array_distinct(grams(F.col("words"), 2))
     shared = F.lit(0.0)
-    for family, templates in pairs.items():
-        for t in templates:
-            lit = F.array(*map(F.lit, t))
-            score = F.size(F.array_intersect(own, lit)) / F.greatest(F.least(F.size(own), F.lit(len(t))), F.lit(1))
-            shared = F.greatest(shared, F.when(F.col("family") == family, score).otherwise(0.0))
+    for family, templates in TEMPLATES.items():
+        shared = F.when(F.col("family") == family, template_share(F.col("words"), templates)).otherwise(shared)
     found = found.withColumn("similarity", shared)
     believed = (F.col("family") != UNKNOWN) & (F.col("probability") >= model.threshold) & (F.col("similarity") >= CONFIRM)
     return found.select(

@@ -308,6 +308,16 @@ def test_license_scan(spark):
     assert found == {(0, 1): "mit", (1, 0): "apache", (2, 0): "gpl", (3, 0): "cc-by-nc"}
 
 
+def test_license_scan_frequent_notices(spark):
+    notices = ["All rights reserved.", "Released under CC0 1.0", "Released under CC BY 4.0", "Permission is hereby granted", "Redistribution and use in source and binary forms"]
+    texts = [f"plain words {i} and more of them in a row\n{notices[i % 5]}" for i in range(200)]
+    texts += [f"ein satz {i} mit mehr worten" for i in range(40)]
+    got = license_scan.license_scan(docs(spark, texts)).collect()
+    assert sorted((r["doc_id"], r["paragraph"]) for r in got) == [(i, 1) for i in range(200)]
+    families = ["proprietary", "cc0", "cc-by", "mit", "bsd"]
+    assert all(r["family"] == families[r["doc_id"] % 5] for r in got)
+
+
 # registry and pipeline --------------------------------------------------------------------------
 
 
