@@ -14,6 +14,10 @@ from leafwise.llm import exact_dedup, jaccard, langid, packing, quality
 from leafwise.llm.common import bound_batches, fold, saved, table
 
 
+#: Near copies: similarity in per cent, and words in a shingle (op5's query has its own).
+NEAR_PERCENT, NEAR_WORDS = 80, 5
+
+
 def _having(docs: DataFrame, keep: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id is in ``keep``; columns as they were."""
     return docs.join(keep.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
@@ -41,7 +45,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, that with the smallest doc_id."""
-    return _having(docs, jaccard.jaccard_join(docs).where("doc_id = component_id"))
+    return _having(docs, jaccard.jaccard_join(docs, percent=NEAR_PERCENT, words=NEAR_WORDS).where("doc_id = component_id"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
