@@ -1,4 +1,4 @@
-"""Stages of the corpus pipeline: near copies by brute force."""
+"""Stages of the corpus pipeline: rows without an id, shared ids, repeated rows, and near copies by brute force."""
 
 import collections
 import itertools
@@ -7,6 +7,7 @@ import random
 import corpus_pipeline
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+SF = "/root/testdata/sf0.001"
 
 
 def docs(spark, rows):
@@ -23,6 +24,27 @@ def prose(seed, n=60):
     return [f"{rng.choice('abcdefgh')}{rng.randrange(300)}" for _ in range(n)]
 
 
+def test_rules_judge_rows(spark):
+    good, bad = " ".join(prose(1)), "too short"
+    got = corpus_pipeline.rules(spark, docs(spark, [(None, good), (None, bad), (7, good), (7, bad), (8, good)]), SF)
+    assert left(got) == {(None, good): 1, (7, good): 1, (8, good): 1}
+
+
+def test_exact_judges_rows(spark):
+    rows = [(None, "alone"), (None, "alone"), (None, "b"), (3, "B"), (5, "c"), (5, "d"), (9, "d"), (6, "e"), (6, "e"), (6, "e")]
+    assert left(corpus_pipeline.exact(spark, docs(spark, rows), SF)) == {(None, "alone"): 1, (3, "B"): 1, (5, "c"): 1, (9, "d"): 1, (6, "e"): 1}
+
+
+def test_near_judges_rows(spark):
+    a, b, c = (prose(s, 120) for s in (2, 3, 4))
+    close = lambda w: [*w[:50], "x", *w[51:]]
+    text = " ".join
+    rows = [(None, text(a)), (None, text(close(a))), (4, text(b)), (4, text(c)), (2, text(close(b))), (None, text(close(c)))]
+    got = left(corpus_pipeline.near(spark, docs(spark, rows), SF))
+    one = [k for k in got if k[1] in (text(a), text(close(a)))]
+    assert len(one) == 1 and got == {one[0]: 1, (2, text(close(b))): 1, (4, text(c)): 1}
+
+
 def test_near_matches_brute_force(spark):
     rng = random.Random(5)
     rows = []
@@ -50,5 +72,5 @@ def test_near_matches_brute_force(spark):
             old, new = max(root[x], root[y]), min(root[x], root[y])
             root = {k: new if v == old else v for k, v in root.items()}
     assert between >= 10
-    got = left(corpus_pipeline.near(spark, docs(spark, rows), ""))
+    got = left(corpus_pipeline.near(spark, docs(spark, rows), SF))
     assert got == {r: 1 for r in rows if root[r[0]] == r[0]}
