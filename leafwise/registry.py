@@ -384,14 +384,15 @@ def q_embed_text(spark, sf):
 
 @register("forest_fit")
 def q_forest_fit(spark, sf):
-    """Fit the boosted forest (reference hyperparameters, fewer trees so the
-    check stays quick) and encode every row as its leaf vector."""
+    """Fit the boosted forest (reference hyperparameters, fewer and lower trees:
+    see ``_small_forest``) and encode every row as its leaf vector."""
     emb = S.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding",
                                                      (F.col("label") % 2).alias("label"))
     return MO.model_leaves(_small_forest(emb), emb)
 
 
 def _small_forest(emb):
+    """8 trees of depth 5 so that the check stays quick; the shipped forest has 589 of depth 9."""
     return MO.fit_forest(emb, n_estimators=8, max_depth=5)
 
 
@@ -412,18 +413,18 @@ def q_forest_export(spark, sf):
 
 @register("strings_to_neighbors")
 def q_strings_to_neighbors(spark, sf):
-    """Strings to neighbours in one job: embed the texts, fit a forest on the labelled ones, encode, search."""
+    """Strings to neighbours in one job: embed all texts, fit a forest on the labelled ones, encode, and
+    search every text among the labelled ones other than itself.  A NULL text has no embedding."""
     docs = S.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
     labels = S.table(spark, sf, "labels").select(F.col("doc_id").alias("id"), F.col("quality").cast("int").alias("label"))
-    emb = MO.embed_text(docs.join(labels, "id"), "text").select("id", "embedding", "label")
     path = scratch_dir(spark, "embedded")
-    emb.write.parquet(path)
+    MO.embed_text(docs, "text").where("embedding is not null").select("id", "embedding").write.parquet(path)
     emb = spark.read.parquet(path)
-    nodes = MO.forest_table(_small_forest(emb), scratch_dir(spark, "forest"))
-    leaves = FE.forest_leaves(emb.select("id", F.col("embedding").alias("features")), nodes, as_array=True)
-    leaves = leaves.join(emb.select("id", "label"), "id")
-    found = K.knn_query_ref(leaves.select("id", "leaves"), leaves, k=5)
-    return rounded(found)
+    nodes = MO.forest_table(_small_forest(emb.join(labels, "id")), scratch_dir(spark, "forest"))
+    path = scratch_dir(spark, "leaves")
+    FE.forest_leaves(emb.select("id", F.col("embedding").alias("features")), nodes, as_array=True).write.parquet(path)
+    leaves = spark.read.parquet(path)
+    return rounded(K.knn_per_class(leaves, leaves.join(labels, "id"), k=5, exclude_self=True))
 
 
 # --- prompts, generation, scoring ------------------------------------------------

@@ -145,3 +145,17 @@ def test_null_leaf_raises(spark):
     rows = spark.createDataFrame([(0, 0, [1, None, 3]), (1, 0, [1, 3, 3])], "id long, label int, leaves array<int>")
     with pytest.raises(Exception, match="NULL leaf"):
         knn_leave_one_out(rows, k=1).collect()
+
+
+def test_strings_to_neighbors_searches_every_text(spark, tmp_path):
+    from leafwise.registry import QUERIES
+
+    rows = [(i, None if i == 39 else f"text {'abcdefgh'[i % 8] * 5} number {i}") for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, i // 2 % 2) for i in range(0, 30, 2)] + [(i, 1) for i in (31, 33)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = QUERIES["strings_to_neighbors"](spark, str(tmp_path)).collect()
+    assert {r["qid"] for r in got} == set(range(39))
+    assert {r["nid"] for r in got} <= {*range(0, 30, 2), 31, 33}
+    assert all(r["qid"] != r["nid"] for r in got)
+    counts = {q: sum(r["qid"] == q for r in got) for q in range(39)}
+    assert set(counts.values()) == {10}
