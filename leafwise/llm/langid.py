@@ -5,8 +5,8 @@ three characters, letters lower-cased, everything else one blank).  Document
 frequencies are counted over all labelled training rows; the centroids of a
 language come from spherical k-means over a bounded, documented sample of its
 rows.  A text takes the language of the centroid with the largest cosine and
-is rejected when that cosine is below what the language's own training texts
-reach.
+is rejected when that cosine is below ``SLACK`` times what all but the share
+``REJECT`` of the language's own training rows reach, counted over all of them.
 
 Edge cases: NULL text, or one without a letter, is ``und`` with score 0 and
 rejected; with no labelled row at all every text is ``und``; ties between
@@ -36,8 +36,10 @@ CENTROIDS = 3
 ROUNDS = 8
 #: Share of a language's own training texts that rejection may cost.
 REJECT = 0.001
-#: Distance kept below the least cosine of that share.
+#: Factor on that quantile: distance kept below it.
 SLACK = 0.8
+#: The quantile's rank is off by at most a row in so many.
+RANKS = 100_000
 
 
 @cache
@@ -136,21 +138,41 @@ def fit(train: DataFrame) -> Model:
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
         got = [v for t in pdf["text"] if (v := vector(t.decode("utf-8", "replace"), idf)) is not None]
         if not got:
-            return pd.DataFrame({"lang": [], "least": [], "centroid": []})
+            return pd.DataFrame({"lang": [], "centroid": []})
         x = np.stack(got)
         c = _kmeans(x, CENTROIDS, ROUNDS)
-        least = float(np.quantile((x @ c.T).max(axis=1), REJECT)) * SLACK
-        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "least": least, "centroid": [r.astype(np.float32).tobytes() for r in c]})
+        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "centroid": [r.astype(np.float32).tobytes() for r in c]})
 
-    got = sample.groupBy("lang").applyInPandas(cluster, "lang string, least double, centroid binary").toPandas()
+    got = sample.groupBy("lang").applyInPandas(cluster, "lang string, centroid binary").toPandas()
     got = got.sort_values(["lang", "centroid"], kind="stable")
     langs = sorted(set(got["lang"]))
-    least = got.groupby("lang")["least"].first()
-    return Model(
+    model = Model(
         langs, got["lang"].map(langs.index).to_numpy(int),
         np.stack([np.frombuffer(c, np.float32) for c in got["centroid"]]) if langs else np.zeros((0, WIDTH), np.float32),
-        idf, least.reindex(langs).to_numpy(float),
+        idf, np.zeros(len(langs)),
     )
+    cosines = rows.select("lang", own_cosine(model).alias("c"))
+    least = cosines.groupBy("lang").agg(F.percentile_approx("c", REJECT, RANKS).alias("least")).collect()  # one row per language
+    for r in least:
+        if r["lang"] in langs:
+            model.least[langs.index(r["lang"])] = r["least"] * SLACK
+    return model
+
+
+def own_cosine(model: Model) -> Column:
+    """Largest cosine of a row's ``text`` (bytes) with a centroid of its own ``lang``; NULL without a letter."""
+
+    @F.pandas_udf("double")
+    def cosine(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        own = {x: model.centroids[model.owner == i] for i, x in enumerate(model.langs)}
+        for texts, langs in batches:
+            out = []
+            for t, lang in zip(texts, langs):
+                v = vector(t.decode("utf-8", "replace"), model.idf) if lang in own else None
+                out.append(None if v is None else float((own[lang] @ v).max()))
+            yield pd.Series(out, dtype="float64")
+
+    return cosine("text", "lang")
 
 
 def predict_column(model: Model, text: str = "text") -> Column:

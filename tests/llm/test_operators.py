@@ -183,6 +183,16 @@ def test_language_without_labels(spark):
     assert docs(spark, ["abc"]).select(langid.predict_column(model).alias("p")).first()["p"]["lang_pred"] == "und"
 
 
+def test_language_cutoff_counts_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE", 20)
+    texts = [f"the cat sat on the mat near house {i}" for i in range(300)]
+    texts[7] = "the zq xj vw kq zx qj"  # one row in 300 is unlike the rest
+    model = langid.fit(docs(spark, texts).selectExpr("doc_id as id", "text", "lang"))
+    cosines = [float((model.centroids @ langid.vector(t, model.idf)).max()) for t in texts]
+    assert min(cosines) == cosines[7] < 0.9 * sorted(cosines)[1]
+    assert model.least.tolist() == pytest.approx([langid.SLACK * cosines[7]])
+
+
 # language model ---------------------------------------------------------------------------------
 
 
