@@ -166,7 +166,8 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     placed = rows.select("doc_id", "size", "text_crc32", "tie", leaf.cast("int").alias("shard"))
 
     buckets = parts_for(n, NUMBERED)
-    dealt = placed.withColumn("deal", F.pmod("tie", F.lit(buckets)))
+    # by the id too: a large group of equal texts is no one task's
+    dealt = placed.withColumn("deal", F.pmod(F.xxhash64("tie", "doc_id"), F.lit(buckets)))
     before = (
         dealt.groupBy("shard", "deal").count()
         .withColumn("before", F.sum("count").over(W.partitionBy("shard").orderBy("deal")) - F.col("count")).drop("count")

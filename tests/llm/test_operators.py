@@ -302,6 +302,17 @@ def test_sharding_equal_texts_only(spark):
     assert sorted(collections.Counter(r["shard"] for r in got).values()) == [50] * 8
 
 
+def test_sharding_deals_equal_texts(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "NUMBERED", 10)
+    shards = collections.defaultdict(list)
+    for r in sharding.shard(docs(spark, ["same text"] * 400)).collect():
+        shards[r["shard"]].append((r["slot"], r["doc_id"]))
+    for got in shards.values():
+        assert [s for s, _ in sorted(got)] == list(range(50))
+        ids = [i for _, i in sorted(got)]
+        assert sum(a > b for a, b in zip(ids, ids[1:])) > 5  # ids ascend within a task's rows only
+
+
 # licences ---------------------------------------------------------------------------------------
 
 
