@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafwise.llm import bpe, exact_dedup, html_extract, jaccard, langid, license_scan, lm, packing, quality, sharding
+from leafwise.llm import bpe, clustering, exact_dedup, html_extract, jaccard, langid, license_scan, lm, packing, quality, sharding, vector_codes
 from leafwise.llm.common import bound_batches, fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,9 +67,20 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "held_out", "p.lang_pred", "p.score", "p.rejected")
 
 
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.centroid_report(*clustering.cluster(table(spark, sf_dir, "embeddings")))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.code_report(*vector_codes.vector_codes(table(spark, sf_dir, "embeddings")))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_license_scan, op2_lm_scoring, op3_best_fit_packing, op4_html_extraction, op5_ngram_jaccard, op6_sharding, op7_quality_rules, op8_byte_bpe, op9_exact_dedup, op10_language_id)
+    for f in (
+        op1_license_scan, op2_lm_scoring, op3_best_fit_packing, op4_html_extraction, op5_ngram_jaccard, op6_sharding, op7_quality_rules,
+        op8_byte_bpe, op9_exact_dedup, op10_language_id, op12_centroid_clustering, op13_vector_codes,
+    )
 }
 
 #: Queries that SQL can state.
