@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafwise.llm import bpe, clustering, exact_dedup, html_extract, jaccard, langid, license_scan, lm, packing, quality, sharding, vector_codes
+from leafwise.llm import bpe, clustering, exact_dedup, html_extract, jaccard, langid, license_scan, line_quality, lm, packing, quality, sharding, vector_codes
 from leafwise.llm.common import bound_batches, fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,6 +67,13 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "held_out", "p.lang_pred", "p.score", "p.rejected")
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = line_quality.fit(docs.where(fold("doc_id") != 0), table(spark, sf_dir, "labels"))
+    got = docs.select("doc_id", (fold("doc_id") == 0).alias("held_out"), line_quality.score_column(model).alias("score"))
+    return got.withColumn("predicted", (F.col("score") >= line_quality.CUTOFF).cast("int"))
+
+
 def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.centroid_report(*clustering.cluster(table(spark, sf_dir, "embeddings")))
 
@@ -79,7 +86,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_license_scan, op2_lm_scoring, op3_best_fit_packing, op4_html_extraction, op5_ngram_jaccard, op6_sharding, op7_quality_rules,
-        op8_byte_bpe, op9_exact_dedup, op10_language_id, op12_centroid_clustering, op13_vector_codes,
+        op8_byte_bpe, op9_exact_dedup, op10_language_id, op11_quality_classifier, op12_centroid_clustering, op13_vector_codes,
     )
 }
 
