@@ -2,19 +2,31 @@
 
 Plan
 ----
-All (query, reference) distances are needed for an exact answer, but they are
-never materialised as rows.  The two inputs are cut into blocks by a hash of
-their ids; each (query block, reference block) cell is one ``cogroup`` group
-holding at most ``cell_size`` rows per side.  A vectorised numpy kernel
-computes the cell's distance matrix and emits only the ``k`` best rows per
-(query, class).  A final ``row_number() <= k`` window (planned with a partial
-``WindowGroupLimit``) merges the per-cell lists.
-
-* Work is balanced by construction: cells are sized by row counts and ids
-  are hashed, so a dominant class or a popular leaf changes nothing.
-* Shuffle volume is ``Nq·Nr/cell_size`` rows per side, a ``1/cell_size``
-  fraction of the distance work.
-* Ties are broken deterministically by neighbour id: ``(dist, nid)``.
+1. **Collapse.**  Rows with the same leaf vector have the same distances, so
+   each distinct vector stands for all its rows.  Ties are broken by id, hence
+   a vector needs only the ``k + 1`` smallest ids of each class (one spare for
+   a row that leaves itself out).  Ids are gathered in parts, so that is
+   bounded however often a vector repeats.
+2. **Index** (``method="index"``, or where the grid would copy rows more
+   often).  Vectors are posted under (position, leaf) tokens.  A query reads
+   the posting lists of its rarest tokens, ``p`` positions within a budget of
+   candidates.  A vector in none of these lists differs in at least ``p``
+   positions, so the query is settled once its k-th best count is below ``p``;
+   when all positions were read, whatever shares no leaf is at distance 1 and
+   the smallest ids fill up.  Copies per row are bounded by the tokens of a
+   vector and do not grow with the number of rows.
+3. **Grid**, for queries that the index leaves open, and for inputs so small
+   that it copies less.  Vectors are cut into hash blocks; each (query block,
+   reference block) cell is one group holding at most ``cell_size`` rows a
+   side.  Shuffle volume is ``Nq·Nr/cell_size`` rows per side.
+
+In both, a numpy kernel computes a cell's counts and emits only the ``k + 1``
+best members per (query, class); ``row_number() <= k`` with a partial
+``WindowGroupLimit`` merges the lists, which are then handed to every row of
+the vector.  No pair of rows is ever materialised.
+
+Rows without an id or a leaf vector neither have nor are neighbours.  Ids are
+unique in the reference, but for rows repeated whole, which count once.
 """
 
 from __future__ import annotations
@@ -27,13 +39,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafwise.functions.arrays import hamming_distance
+from leafwise.session import scratch_dir
 
 CLASS_NAMES = {1: "approved", 0: "unapproved"}
-NEIGHBOR_SCHEMA = "qid long, cls int, nid long, cnt int, width int"
+# qv: query vector; qid: its smallest query id; nid: neighbour's id; cnt: unequal positions of width
+NEIGHBOR_SCHEMA = "qv long, qid long, cls int, nid long, cnt int, width int"
 # Rows per side of one cell: replication (shuffle) is N/cell per row, the
 # per-cell work cell²·T.  4096 keeps a cell near a few seconds for 589 trees.
 DEFAULT_CELL = 4096
+# Ids of one vector that are gathered together, about.
+GATHERED = 65536
 _QUERY_CHUNK = 512
+# Index: longest posting list that is read, candidates read per query at most
+# (settling decides what they were worth), and the most tokens whose counts
+# are shipped to the executors (16 bytes each; beyond it the grid is used).
+LIST_LIMIT = 4096
+CANDIDATES = 16384
+TOKEN_LIMIT = 5_000_000
 
 
 def pack_leaves(c) -> Column:
@@ -103,43 +125,100 @@ def _onehot(codes: np.ndarray, width: int) -> np.ndarray:
     return m
 
 
-def _cell_kernel(k: int, exclude_self: bool):
-    """Per-cell numpy kernel: distances and the k best per (query, class).
+class _Members:
+    """The vectors of a cell that have members of one class: columns by their smallest id, and all their ids."""
 
-    Mismatch counts come either from a one-hot matrix product
+    def __init__(self, lists) -> None:
+        lens = np.array([0 if x is None else len(x) for x in lists], np.int64)
+        cols = np.flatnonzero(lens)
+        first = np.array([lists[i][0] for i in cols], np.int64)
+        self.cols = cols[np.argsort(first, kind="stable")]
+        self.lens = lens[self.cols]
+        self.starts = np.cumsum(self.lens) - self.lens
+        self.ids = np.concatenate([np.asarray(lists[i], np.int64) for i in self.cols]) if len(cols) else np.zeros(0, np.int64)
+
+    def best(self, cnt: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, id, count) of the ``k`` best members of every row of ``cnt`` [query, vector], by count and id.
+
+        Only members of the ``k`` best vectors (by count and smallest id) can
+        be among them.
+        """
+        if not len(self.cols):
+            return (np.zeros(0, np.int64),) * 3
+        sub = cnt[:, self.cols]
+        rows, cols = _best_k(sub, k)
+        return self.expand(rows, cols, sub[rows, cols], k)
+
+    def expand(self, rows, cols, cnt, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        lens = self.lens[cols]
+        if (lens == 1).all():
+            return rows, self.ids[self.starts[cols]], cnt
+        at = np.repeat(self.starts[cols] - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())
+        return _cut(np.repeat(rows, lens), self.ids[at], np.repeat(cnt, lens), k)
+
+
+def _cut(rows, ids, cnt, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` smallest by (count, id) of every row."""
+    order = np.lexsort((ids, cnt, rows))
+    rows, ids, cnt = rows[order], ids[order], cnt[order]
+    new = np.r_[True, rows[1:] != rows[:-1]]
+    keep = np.arange(len(rows)) - np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0)) < k
+    return rows[keep], ids[keep], cnt[keep]
+
+
+def _best_k(cnt: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per row of ``cnt``: the ``k`` smallest by (count, column), as (row, column) index arrays."""
+    n = cnt.shape[1]
+    if k >= n:
+        return np.repeat(np.arange(len(cnt)), n), np.tile(np.arange(n), len(cnt))
+    key = cnt.astype(np.int64) * n + np.arange(n)[None, :]
+    part = np.argpartition(key, k - 1, axis=1)[:, :k]
+    return np.repeat(np.arange(len(cnt)), k), part.ravel()
+
+
+_NOTHING = {"qv": [], "qid": [], "cls": [], "nid": [], "cnt": [], "width": []}
+
+
+def _found(query: tuple, rows, cls: int, nid, cnt, width: int) -> pd.DataFrame:
+    qv, qid = query
+    return pd.DataFrame({"qv": qv[rows], "qid": qid[rows], "cls": np.full(len(nid), cls, np.int32), "nid": nid, "cnt": cnt.astype(np.int32), "width": np.full(len(nid), width, np.int32)})
+
+
+def _named(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and smallest query ids of a cell's query vectors (a vector without a query has none)."""
+    return pdf["qv"].to_numpy(np.int64), pdf["qid"].to_numpy(np.int64)
+
+
+def _counter(Q: np.ndarray, R: np.ndarray):
+    """Mismatch counts of a chunk of rows of ``Q`` against ``R``: by one-hot matrix product
     (``T − Q₁·R₁ᵀ``, exact in float32 for counts below 2^24; BLAS) when the
-    leaf alphabets are small, or from a per-tree comparison loop.
-    """
+    leaf alphabets are small, else by a per-tree comparison loop."""
+    if Q.shape[1] != R.shape[1]:
+        raise ValueError(f"leaf vectors differ in length: {Q.shape[1]} vs {R.shape[1]}")
+    enc = _onehot_codes(Q, R) if Q.shape[1] < (1 << 24) else None
+    if enc is None:
+        return lambda sl: _mismatch_counts(Q[sl], R)
+    q1, r1 = _onehot(enc[1], enc[0]), _onehot(enc[2], enc[0])
+    return lambda sl: _mismatch_counts(Q[sl], R, (q1[sl], r1))
+
+
+def _cell_kernel(k: int):
+    """Per-cell kernel: queries (qv, qid, packed) against vectors (vector, list1, list0)."""
 
     def kernel(qpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"qid": [], "cls": [], "nid": [], "cnt": [], "width": []})
         if qpdf.empty or rpdf.empty:
-            return empty
-        rpdf = rpdf.sort_values("id", kind="stable")
-        qids = qpdf["qid"].to_numpy(np.int64)
-        Q, R = unpack_leaves(qpdf["packed"]), unpack_leaves(rpdf["packed"])
-        if Q.shape[1] != R.shape[1]:
-            raise ValueError(f"leaf vectors differ in length: {Q.shape[1]} vs {R.shape[1]}")
-        width = Q.shape[1]
-        enc = _onehot_codes(Q, R) if width < (1 << 24) else None
-        codes = (_onehot(enc[1], enc[0]), _onehot(enc[2], enc[0])) if enc is not None else None
-        rids = rpdf["id"].to_numpy(np.int64)
-        rcls = rpdf["cls"].to_numpy(np.int64)
+            return pd.DataFrame(_NOTHING)
+        query = _named(qpdf)
+        Q, R = unpack_leaves(qpdf["packed"]), unpack_leaves(rpdf["vector"])
+        counts = _counter(Q, R)
+        members = {c: _Members(rpdf[f"list{c}"].to_numpy()) for c in (0, 1)}
         out = []
-        for start in range(0, len(qids), _QUERY_CHUNK):
-            sl = slice(start, start + _QUERY_CHUNK)
-            qs = qids[sl]
-            cnt = _mismatch_counts(Q[sl], R, None if codes is None else (codes[0][sl], codes[1]))
-            for cls in (0, 1):
-                cols = np.flatnonzero(rcls == cls)
-                if cols.size == 0:
-                    continue
-                sub = cnt[:, cols]
-                rows, sel = _best_k(sub, qs, rids[cols], k, exclude_self)
-                out.append(pd.DataFrame({
-                    "qid": qs[rows], "cls": np.full(len(rows), cls, dtype=np.int32), "nid": rids[cols][sel],
-                    "cnt": sub[rows, sel].astype(np.int32), "width": np.full(len(rows), width, dtype=np.int32)}))
-        return pd.concat(out, ignore_index=True) if out else empty
+        for start in range(0, len(qpdf), _QUERY_CHUNK):
+            cnt = counts(slice(start, start + _QUERY_CHUNK))
+            for cls, m in members.items():
+                rows, ids, c = m.best(cnt, k)
+                out.append(_found(query, start + rows, cls, ids, c, Q.shape[1]))
+        return pd.concat(out, ignore_index=True)
 
     return kernel
 
@@ -156,120 +235,46 @@ def _mismatch_counts(Q: np.ndarray, R: np.ndarray, codes=None) -> np.ndarray:
     return cnt.astype(np.int64)
 
 
-def _best_k(cnt: np.ndarray, qids: np.ndarray, rids: np.ndarray, k: int, exclude_self: bool):
-    """Per row of ``cnt``: the ``k`` smallest by (count, id) → (row, col) index arrays.
-
-    Columns must be sorted by id so the column position breaks ties by id.
-    """
-    n_r = cnt.shape[1]
-    key = cnt * n_r + np.arange(n_r)[None, :]
-    if exclude_self:
-        key[qids[:, None] == rids[None, :]] = np.iinfo(np.int64).max
-    kk = min(k, n_r)
-    part = np.argpartition(key, kk - 1, axis=1)[:, :kk] if kk < n_r else np.tile(np.arange(n_r), (len(qids), 1))
-    rows = np.repeat(np.arange(len(qids)), part.shape[1])
-    cols = part.ravel()
-    keep = key[rows, cols] != np.iinfo(np.int64).max
-    return rows[keep], cols[keep]
-
-
 def _symmetric_kernel(k: int):
-    """Leave-one-out cell ``(lo, hi)``: rows of block ``lo`` against rows of
+    """Leave-one-out cell ``(lo, hi)``: vectors of block ``lo`` against those of
     block ``hi`` once; the counts serve both directions (the transpose gives
-    the ``hi`` rows' candidates), and a diagonal cell pairs a block with
-    itself, excluding each row's own id."""
+    the ``hi`` vectors' candidates), and a diagonal cell pairs a block with
+    itself."""
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"qid": [], "cls": [], "nid": [], "cnt": [], "width": []})
         if pdf.empty:
-            return empty
-        pdf = pdf.sort_values("id", kind="stable")
+            return pd.DataFrame(_NOTHING)
         lo, hi = int(pdf["lo"].iloc[0]), int(pdf["hi"].iloc[0])
         a = pdf[pdf["blk"] == lo]
         c = pdf[pdf["blk"] == hi] if hi != lo else a
         if a.empty or c.empty:
-            return empty
+            return pd.DataFrame(_NOTHING)
         A, C = unpack_leaves(a["packed"]), unpack_leaves(c["packed"])
-        if A.shape[1] != C.shape[1]:
-            raise ValueError(f"leaf vectors differ in length: {A.shape[1]} vs {C.shape[1]}")
         width = A.shape[1]
-        a_ids, c_ids = a["id"].to_numpy(np.int64), c["id"].to_numpy(np.int64)
-        a_cls, c_cls = a["cls"].to_numpy(np.int64), c["cls"].to_numpy(np.int64)
-        enc = _onehot_codes(A, C) if width < (1 << 24) else None
-        codes = (_onehot(enc[1], enc[0]), _onehot(enc[2], enc[0])) if enc is not None else None
+        counts = _counter(A, C)
+        a_query, c_query = _named(a), _named(c)
+        c_members = {x: _Members(c[f"ids{x}"].to_numpy()) for x in (0, 1)}
+        a_lists = {x: a[f"ids{x}"].to_numpy() for x in (0, 1)}
         out = []
-
-        def emit(qids, rids, cls, rows, cols, cnt):
-            out.append(pd.DataFrame({
-                "qid": qids[rows], "cls": np.full(len(rows), cls, dtype=np.int32), "nid": rids[cols],
-                "cnt": cnt[rows, cols].astype(np.int32), "width": np.full(len(rows), width, dtype=np.int32)}))
-
-        diagonal = hi == lo
-        # candidates for the hi block's rows, gathered from the transposed counts
-        t_rows, t_cols, t_cnt, t_cls = [], [], [], []
-        for start in range(0, len(a_ids), _QUERY_CHUNK):
+        # candidates for the hi block's vectors, gathered from the transposed counts
+        back: dict[int, list] = {0: [], 1: []}
+        for start in range(0, len(a), _QUERY_CHUNK):
             sl = slice(start, start + _QUERY_CHUNK)
-            qa = a_ids[sl]
-            pair = None if codes is None else (codes[0][sl], codes[1])
-            cnt = _mismatch_counts(A[sl], C, pair)          # each count computed once
-            for cls in (0, 1):
-                c_cols = np.flatnonzero(c_cls == cls)
-                if c_cols.size:
-                    sub = cnt[:, c_cols]
-                    rows, cols = _best_k(sub, qa, c_ids[c_cols], k, exclude_self=diagonal)
-                    emit(qa, c_ids[c_cols], cls, rows, cols, sub)
-                if not diagonal:
-                    a_local = np.flatnonzero(a_cls[sl] == cls)
-                    if a_local.size:
-                        subt = cnt[a_local, :].T            # hi rows × this chunk's lo rows of class cls
-                        rows, cols = _best_k(subt, c_ids, a_ids[sl][a_local], k, exclude_self=False)
-                        t_rows.append(rows)
-                        t_cols.append(start + a_local[cols])
-                        t_cnt.append(subt[rows, cols])
-                        t_cls.append(np.full(len(rows), cls))
-        if t_rows:
-            rows, cols, cnts, clss = (np.concatenate(x) for x in (t_rows, t_cols, t_cnt, t_cls))
-            # exact k best per (hi row, class) across the chunks: sort, rank within group
-            order = np.lexsort((a_ids[cols], cnts, clss, rows))
-            rows, cols, cnts, clss = rows[order], cols[order], cnts[order], clss[order]
-            group = np.concatenate([[True], (rows[1:] != rows[:-1]) | (clss[1:] != clss[:-1])])
-            starts = np.maximum.accumulate(np.where(group, np.arange(len(rows)), 0))
-            keep = (np.arange(len(rows)) - starts) < k
-            out.append(pd.DataFrame({
-                "qid": c_ids[rows[keep]], "cls": clss[keep].astype(np.int32), "nid": a_ids[cols[keep]],
-                "cnt": cnts[keep].astype(np.int32), "width": np.full(int(keep.sum()), width, dtype=np.int32)}))
-        return pd.concat(out, ignore_index=True) if out else empty
+            cnt = counts(sl)                                # each count computed once
+            for cls, m in c_members.items():
+                rows, ids, n = m.best(cnt, k)
+                out.append(_found(a_query, start + rows, cls, ids, n, width))
+                if hi != lo:
+                    back[cls].append(_Members(a_lists[cls][sl]).best(cnt.T, k))
+        for cls, parts in back.items():
+            if parts:                                       # the k best over the chunks
+                rows, ids, n = _cut(*(np.concatenate(x) for x in zip(*parts)), k)
+                out.append(_found(c_query, rows, cls, ids, n, width))
+        return pd.concat(out, ignore_index=True)
 
     return kernel
 
 
-def knn_self_symmetric(leaves_df: DataFrame, k: int = 5, cell_size: int = DEFAULT_CELL, id_col: str = "id",
-                       label: str = "label", leaves: str = "leaves", size: int | None = None) -> DataFrame:
-    """Leave-one-out neighbours using the symmetry of the distance: only
-    cells ``(lo, hi)`` with ``lo ≤ hi`` exist, each row is replicated once per
-    block (not once per block and side), and every count is computed once.
-    Same result as ``knn_per_class(df, df, exclude_self=True)``.
-    """
-    if k < 1:
-        raise ValueError("k must be at least 1")
-    n = size if size is not None else leaves_df.count()
-    parallelism = leaves_df.sparkSession.sparkContext.defaultParallelism
-    blocks = _blocks(n, cell_size, math.ceil(math.sqrt(2 * parallelism)))
-    rows = leaves_df.where(F.col(leaves).isNotNull()).select(
-        F.col(id_col).cast("long").alias("id"), class_of(label).alias("cls"), pack_leaves(leaves).alias("packed"),
-        F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(blocks)).cast("int").alias("blk"))
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_x")
-    cells = rows.select("*", other).select(
-        "id", "cls", "packed", "blk", F.least("blk", "_x").alias("lo"), F.greatest("blk", "_x").alias("hi"))
-    # a row meets its own block once (x = blk); off-diagonal cells get each row once
-    # work is per cell, not per byte: a count of partitions of its own keeps small cells apart
-    cells = cells.repartition(max(1, min(blocks * (blocks + 1) // 2, 4 * parallelism)), "lo", "hi")
-    partial = cells.groupBy("lo", "hi").applyInPandas(_symmetric_kernel(k), NEIGHBOR_SCHEMA)
-    return top_k_per_group(partial, ["qid", "cls"], [F.col("cnt"), F.col("nid")], k).select(
-        "qid", "cls", "rank", "nid", (F.col("cnt").cast("double") / F.col("width")).alias("dist"),
-    )
-
-
 MIN_CELL = 64
 
 
@@ -297,66 +302,282 @@ def _grid(nq: int, nr: int, cell_size: int, cells: int) -> tuple[int, int]:
     return qb, rb
 
 
+def collapse(queries: DataFrame | None, reference: DataFrame, keep: int, size: int) -> DataFrame:
+    """One row per distinct leaf vector, written once: qv (its number), packed, qid (smallest query id, NULL without a
+    query), qn (query ids, at least 2 if there are more), ids1 and ids0 (its ``keep`` smallest reference ids by class).
+
+    ``queries`` (id, packed) and ``reference`` (id, cls, packed); None: the
+    reference's rows are the queries.  Rows repeated whole become one id.  Ids
+    are gathered by vector and a part of the ids first, so that no group
+    holds more than about ``GATHERED`` of ``size`` rows however hot a vector is.
+    """
+    rows = reference.select("id", "cls", "packed")
+    if queries is not None:
+        rows = rows.unionByName(queries.select("id", F.lit(2).alias("cls"), "packed"))
+    keep = max(keep, 2)
+    classes = (1, 0) if queries is None else (1, 0, 2)
+    parts = math.ceil(size / GATHERED)
+    least = lambda ids: F.slice(F.sort_array(ids), 1, keep)
+    found = rows.groupBy("packed", *([_block("id", parts).alias("part")] if parts > 1 else [])).agg(
+        *(least(F.collect_set(F.when(F.col("cls") == c, F.col("id")))).alias(f"ids{c}") for c in classes))
+    if parts > 1:
+        found = found.groupBy("packed").agg(*(least(F.flatten(F.collect_list(f"ids{c}"))).alias(f"ids{c}") for c in classes))
+    own = F.col("ids2") if queries is not None else F.sort_array(F.concat("ids1", "ids0"))
+    return _saved(found.select(
+        F.monotonically_increasing_id().alias("qv"), "packed", F.get(own, F.lit(0)).alias("qid"), F.size(own).alias("qn"), "ids1", "ids0"), "leaf_vectors")
+
+
+def _saved(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again: numbers stay, lineage is cut."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _block(column: str, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(blocks)).cast("int")
+
+
+def _grid_self(vectors: DataFrame, n: int, k: int, cell_size: int) -> DataFrame:
+    """Candidates of all vectors among themselves, each pair of blocks once."""
+    parallelism = vectors.sparkSession.sparkContext.defaultParallelism
+    blocks = _blocks(n, cell_size, math.ceil(math.sqrt(2 * parallelism)))
+    rows = vectors.select("qv", "qid", "packed", "ids1", "ids0", _block("qv", blocks).alias("blk"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_x")
+    cells = rows.select("*", other).select("qv", "qid", "packed", "ids1", "ids0", "blk", F.least("blk", "_x").alias("lo"), F.greatest("blk", "_x").alias("hi"))
+    # a row meets its own block once (x = blk); off-diagonal cells get each row once
+    # work is per cell, not per byte: a count of partitions of its own keeps small cells apart
+    cells = cells.repartition(max(1, min(blocks * (blocks + 1) // 2, 4 * parallelism)), "lo", "hi")
+    return cells.groupBy("lo", "hi").applyInPandas(_symmetric_kernel(k), NEIGHBOR_SCHEMA)
+
+
+def _reference_columns() -> list[Column]:
+    """The reference side of a cogroup under names of its own: both sides may come from one table."""
+    return [F.col(a).alias(b) for a, b in (("packed", "vector"), ("ids1", "list1"), ("ids0", "list0"))]
+
+
+def _grid_pairs(queries: DataFrame, vectors: DataFrame, nq: int, nr: int, k: int, cell_size: int) -> DataFrame:
+    """Candidates of the query vectors (qv, qid, packed) among all vectors."""
+    parallelism = queries.sparkSession.sparkContext.defaultParallelism
+    qb, rb = _grid(nq, nr, cell_size, 2 * parallelism)
+    tasks = max(1, min(qb * rb, 4 * parallelism))
+    # both sides must hash identical key types to meet in the same cell
+    q = queries.select("qv", "qid", "packed", _block("qv", qb).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(rb - 1))).alias("rb"))
+    r = vectors.select(*_reference_columns(), _block("qv", rb).alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("qb"))
+    return (
+        q.repartition(tasks, "qb", "rb").groupBy("qb", "rb")
+        .cogroup(r.repartition(tasks, "qb", "rb").groupBy("qb", "rb"))
+        .applyInPandas(_cell_kernel(k), NEIGHBOR_SCHEMA)
+    )
+
+
+def _lists(candidates: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best of every (query vector, class): qv, cls, qid, near (array of cnt, nid in order), width."""
+    best = top_k_per_group(candidates, ["qv", "cls"], [F.col("cnt"), F.col("nid")], k)
+    return best.groupBy("qv", "cls").agg(F.first("qid").alias("qid"), F.sort_array(F.collect_list(F.struct("cnt", "nid"))).alias("near"), F.first("width").alias("width"))
+
+
+# --- index ---------------------------------------------------------------------
+
+
+def _tokens(packed) -> np.ndarray:
+    """(position, leaf) of every vector as one number [vector, position]."""
+    leaves = unpack_leaves(packed)
+    return (np.arange(leaves.shape[1], dtype=np.int64) << 32)[None, :] | (leaves & 0xFFFFFFFF)
+
+
+def _token_counts(batches):
+    for pdf in batches:
+        if len(pdf):
+            token, n = np.unique(_tokens(pdf["packed"]), return_counts=True)
+            yield pd.DataFrame({"token": token, "n": n})
+
+
+def _shipped(counts: DataFrame, value: str, limit: int):
+    """A token table as sorted arrays broadcast to the executors, or None beyond ``limit`` rows."""
+    if counts.count() > limit:
+        return None
+    pdf = counts.toPandas().sort_values("token")
+    return counts.sparkSession.sparkContext.broadcast((pdf["token"].to_numpy(np.int64), pdf[value].to_numpy(np.int64)))
+
+
+def _looked_up(table, token: np.ndarray) -> np.ndarray:
+    """The value of every token, 0 where there is none."""
+    keys, values = table
+    if not len(keys):
+        return np.zeros(token.shape, np.int64)
+    at = np.minimum(np.searchsorted(keys, token), len(keys) - 1)
+    return np.where(keys[at] == token, values[at], 0)
+
+
+def _read_plan(counts, list_limit: int, candidates: int):
+    """Of every query: the number of positions it reads (rarest first), their tokens that have postings, and its length."""
+
+    @F.pandas_udf("read int, width int, tokens array<long>")
+    def plan(packed: pd.Series) -> pd.DataFrame:
+        if not len(packed):
+            return pd.DataFrame({"read": [], "width": [], "tokens": []})
+        token = _tokens(packed)
+        n = _looked_up(counts.value, token)
+        order = np.argsort(n, axis=1, kind="stable")
+        token, n = np.take_along_axis(token, order, 1), np.take_along_axis(n, order, 1)
+        fits = (n <= list_limit) & (np.cumsum(n, axis=1) <= candidates)
+        read = fits.sum(axis=1)               # n is in order, so what fits is a prefix
+        used = fits & (n > 0)
+        return pd.DataFrame({"read": read.astype(np.int32), "width": np.full(len(token), token.shape[1], np.int32), "tokens": [t[u] for t, u in zip(token, used)]})
+
+    return plan
+
+
+def _posted(used):
+    """Of every vector: its tokens that some query reads, each as (token, part) for every part of the token's queries."""
+
+    @F.pandas_udf("array<struct<token:long,part:int>>")
+    def post(packed: pd.Series) -> pd.Series:
+        out = []
+        if len(packed):
+            token = _tokens(packed)
+            parts = _looked_up(used.value, token)
+            for t, p in zip(token, parts):
+                out.append([{"token": int(x), "part": i} for x, n in zip(t[p > 0], p[p > 0]) for i in range(n)])
+        return pd.Series(out, dtype=object)
+
+    return post
+
+
+def _index(queries: DataFrame, vectors: DataFrame, nq: int, k: int, cell_size: int, list_limit: int, candidates: int) -> DataFrame | None:
+    """qv, qid, packed, open (not settled), near1, near0, width of every query vector; None when the tokens are too many."""
+    counts = vectors.select("packed").mapInPandas(_token_counts, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    shipped = _shipped(_saved(counts, "token_counts"), "n", TOKEN_LIMIT)
+    if shipped is None:
+        return None
+    plan = _read_plan(shipped, list_limit, candidates)
+    plans = _saved(queries.select("qv", "qid", "packed", plan("packed").alias("p")).select("qv", "qid", "packed", "p.*"), "index_plans")
+    asked = plans.select("qv", "qid", "packed", F.explode("tokens").alias("token"))
+    # queries of one token are dealt to parts of a cell's size
+    used = asked.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / cell_size).cast("long").alias("parts"))
+    shipped_used = _shipped(_saved(used, "token_parts"), "parts", TOKEN_LIMIT)
+    # a task computes about as many counts as a full cell of the grid
+    tasks = max(4 * queries.sparkSession.sparkContext.defaultParallelism, math.ceil(nq * candidates / DEFAULT_CELL**2))
+    q = asked.join(used, "token") if len(shipped_used.value[1]) and shipped_used.value[1].max() > 1 else asked.withColumn("parts", F.lit(1).cast("long"))
+    q = q.select("qv", "qid", "packed", "token", F.pmod(F.xxhash64("qv"), F.col("parts")).cast("int").alias("part"))
+    r = vectors.select(*_reference_columns(), F.explode(_posted(shipped_used)("packed")).alias("t")).select("vector", "list1", "list0", "t.*")
+    found = (
+        q.repartition(tasks, "token", "part").groupBy("token", "part")
+        .cogroup(r.repartition(tasks, "token", "part").groupBy("token", "part"))
+        .applyInPandas(_cell_kernel(k), NEIGHBOR_SCHEMA)
+    )
+    lists = _lists(found.dropDuplicates(["qv", "cls", "nid", "cnt"]), k)
+    by_class = lists.groupBy("qv").pivot("cls", [1, 0]).agg(F.first("near")).toDF("qv", "near1", "near0")
+    out = plans.drop("tokens").join(by_class, "qv", "left")
+    closed = F.lit(True)
+    for c in (1, 0):
+        # the smallest ids of the class: what shares no leaf with a query that read all its positions
+        ids = [r[0] for r in vectors.select(F.explode(f"ids{c}").alias("id")).orderBy("id").limit(2 * k).collect()]
+        have = F.coalesce(F.col(f"near{c}"), F.array().cast("array<struct<cnt:int,nid:bigint>>"))
+        known = F.transform(have, lambda x: x["nid"])
+        far = F.filter(F.array(*map(F.lit, ids)).cast("array<bigint>"), lambda x: ~F.array_contains(known, x)) if ids else F.array().cast("array<bigint>")
+        filled = F.slice(F.concat(have, F.transform(far, lambda x: F.struct(F.col("width").alias("cnt"), x.alias("nid")))), 1, k)
+        out = out.withColumn(f"near{c}", F.when((F.col("read") == F.col("width")) & (F.size(have) < k), filled).otherwise(have))
+        full = (F.size(f"near{c}") == k) & (F.element_at(f"near{c}", -1)["cnt"] < F.col("read"))
+        # fewer ids than k in all: the list is whole when it holds every one
+        every = (F.size(f"near{c}") == len(ids)) if len(ids) < k else F.lit(False)
+        closed = closed & ((F.col("read") == F.col("width")) | F.coalesce(full, F.lit(False)) | every)
+    return _saved(out.withColumn("open", ~closed).drop("read"), "index_lists")
+
+
+# --- whole searches --------------------------------------------------------------
+
+
+def _search(rows: DataFrame | None, reference: DataFrame, k: int, exclude_self: bool, cell_size: int, method: str,
+            symmetric: bool, list_limit: int, candidates: int, size: int) -> DataFrame:
+    """Neighbours of ``rows`` (id, packed; None: of the reference's own rows) among ``reference`` (id, cls, packed)."""
+    if method not in ("auto", "grid", "index"):
+        raise ValueError("method must be 'auto', 'grid' or 'index'")
+    if k < 1:
+        raise ValueError("k must be at least 1")
+    keep = k + 1 if exclude_self else k
+    everything = collapse(rows, reference, keep, size)
+    vectors = everything.where((F.size("ids1") > 0) | (F.size("ids0") > 0))
+    queries = everything.where("qid is not null")
+    has = (F.size("ids1") > 0) | (F.size("ids0") > 0)
+    stats = everything.agg(
+        F.count(F.when(has, 1)).alias("nr"), F.count("qid").alias("nq"), F.sum("qn").alias("rows"),
+        F.first(F.length("packed")).alias("bytes")).first()
+    nr, nq = stats["nr"], stats["nq"]
+    width = max(1, (stats["bytes"] or 1) // 2)
+    if method == "auto":
+        # copies of a row: one per block of the other side, or one per token
+        method = "index" if max(nq, nr) / cell_size > width else "grid"
+    settled = None
+    todo, left = queries, nq
+    if method == "index" and nr and nq:
+        settled = _index(queries, vectors, nq, keep, cell_size, list_limit, candidates)
+        if settled is not None:
+            todo = settled.where("open")
+            left = todo.count()
+    if symmetric and rows is None and left == nq:
+        near = _lists(_grid_self(vectors, nr, keep, cell_size), keep)
+    elif left or settled is None:
+        near = _lists(_grid_pairs(todo, vectors, left, nr, keep, cell_size), keep)
+    else:
+        near = None
+    if settled is not None and left < nq:
+        done = settled.where(~F.col("open"))
+        done = [done.where(F.size(f"near{c}") > 0).select("qv", F.lit(c).alias("cls"), "qid", F.col(f"near{c}").alias("near"), "width") for c in (1, 0)]
+        done = done[0].unionByName(done[1])
+        near = done if near is None else near.unionByName(done)
+    # every row of a vector takes its list; without repeated rows the vector's own row is all there is
+    if stats["rows"] == nq:
+        per_row = near
+    else:
+        own = rows if rows is not None else reference
+        listed = near.join(queries.select("qv", "packed"), "qv").drop("qv", "qid")
+        per_row = own.select(F.col("id").alias("qid"), "packed").join(listed, "packed")
+    mine = F.filter("near", lambda x: x["nid"] != F.col("qid")) if exclude_self else F.col("near")
+    ranked = per_row.select("qid", "cls", "width", F.posexplode(F.slice(mine, 1, k)).alias("at", "n"))
+    return ranked.select(
+        "qid", "cls", (F.col("at") + 1).alias("rank"), F.col("n")["nid"].alias("nid"),
+        (F.col("n")["cnt"].cast("double") / F.col("width")).alias("dist"))
+
+
+def _leaf_rows(df: DataFrame, id_col: str, leaves: str, *more: Column) -> DataFrame:
+    """Rows that have an id and a leaf vector: id, packed and more."""
+    there = F.col(id_col).isNotNull() & F.col(leaves).isNotNull()
+    return df.where(there).select(F.col(id_col).cast("long").alias("id"), *more, pack_leaves(leaves).alias("packed"))
+
+
 def knn_per_class(queries: DataFrame, reference: DataFrame, k: int = 5, exclude_self: bool = False,
                   cell_size: int = DEFAULT_CELL, query_id: str = "id", ref_id: str = "id",
-                  label: str = "label", leaves: str = "leaves", sizes: tuple[int, int] | None = None) -> DataFrame:
+                  label: str = "label", leaves: str = "leaves", method: str = "auto",
+                  list_limit: int = LIST_LIMIT, candidates: int = CANDIDATES, sizes: tuple[int, int] | None = None) -> DataFrame:
     """``k`` nearest reference rows of each class for every query row.
 
     Returns ``(qid long, cls int, rank int, nid long, dist double)`` with
     ``rank`` 1..k ordered by ``(dist, nid)``.  ``exclude_self`` drops only the
     pair with equal ids (exact duplicates under another id stay at 0.0).
     Classes with fewer than ``k`` members give shorter lists; an empty class
-    gives no rows.  Labels other than 0/1 raise.  ``sizes`` = (queries,
-    reference) row counts (approximate is fine) spares the two counting
-    scans when the inputs are expensive to compute.
+    gives no rows.  Labels other than 0/1 raise.  ``method``: ``index``,
+    ``grid`` or ``auto`` (whichever copies rows less); the result is the same.
+    ``sizes`` = (queries, reference) row counts, approximate, spares counting
+    inputs that are expensive to compute.
     """
-    if k < 1:
-        raise ValueError("k must be at least 1")
-    # a row without a leaf vector can neither have nor be a neighbour
-    q = queries.where(F.col(leaves).isNotNull()).select(
-        F.col(query_id).cast("long").alias("qid"), pack_leaves(leaves).alias("packed"))
-    r = reference.where(F.col(leaves).isNotNull()).select(
-        F.col(ref_id).cast("long").alias("id"), class_of(label).alias("cls"), pack_leaves(leaves).alias("packed"))
-    # Block sizing needs only an approximate size: counting the inputs as given
-    # reads no column data from Parquet (rows without leaves are included).
-    if sizes is not None:
-        nq, nr = sizes
-    else:
-        nr = reference.count()
-        nq = nr if queries is reference else queries.count()
-    parallelism = queries.sparkSession.sparkContext.defaultParallelism
-    qb, rb = _grid(nq, nr, cell_size, 2 * parallelism)
-    tasks = max(1, min(qb * rb, 4 * parallelism))
-    # both sides must hash identical key types to meet in the same cell
-    q_rep = q.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(qb)).cast("int")).withColumn(
-        "rb", F.explode(F.sequence(F.lit(0), F.lit(rb - 1))))
-    r_rep = r.withColumn("rb", F.pmod(F.xxhash64("id"), F.lit(rb)).cast("int")).withColumn(
-        "qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1))))
-    partial = (
-        q_rep.repartition(tasks, "qb", "rb").groupBy("qb", "rb")
-        .cogroup(r_rep.repartition(tasks, "qb", "rb").groupBy("qb", "rb"))
-        .applyInPandas(_cell_kernel(k, exclude_self), NEIGHBOR_SCHEMA)
-    )
-    return top_k_per_group(partial, ["qid", "cls"], [F.col("cnt"), F.col("nid")], k).select(
-        "qid", "cls", "rank", "nid", (F.col("cnt").cast("double") / F.col("width")).alias("dist"),
-    )
+    nq, nr = sizes or (queries.count(), reference.count())
+    r = _leaf_rows(reference, ref_id, leaves, class_of(label).alias("cls"))
+    return _search(_leaf_rows(queries, query_id, leaves), r, k, exclude_self, cell_size, method, False, list_limit, candidates, nq + nr)
 
 
-def knn_leave_one_out(leaves: DataFrame, k: int = 5, symmetric: bool = True, **kw) -> DataFrame:
+def knn_leave_one_out(leaves_df: DataFrame, k: int = 5, symmetric: bool = True, cell_size: int = DEFAULT_CELL, id_col: str = "id",
+                      label: str = "label", leaves: str = "leaves", method: str = "auto",
+                      list_limit: int = LIST_LIMIT, candidates: int = CANDIDATES, size: int | None = None) -> DataFrame:
     """Every row against all others (itself excluded), per class.
 
-    ``symmetric=True`` computes each distance once for both rows of a pair
-    (:func:`knn_self_symmetric`); ``False`` runs the general query/reference
-    grid with self-exclusion.
+    ``symmetric=True`` lets a grid compute each distance once for both
+    vectors of a pair; ``False`` runs the general query/reference grid.
     """
-    if symmetric:
-        sym_kw = {k2: v for k2, v in kw.items() if k2 in ("cell_size", "label", "leaves")}
-        if "ref_id" in kw or "query_id" in kw:
-            sym_kw["id_col"] = kw.get("ref_id", kw.get("query_id"))
-        if "sizes" in kw:
-            sym_kw["size"] = kw["sizes"][1]
-        return knn_self_symmetric(leaves, k=k, **sym_kw)
-    return knn_per_class(leaves, leaves, k=k, exclude_self=True, **kw)
+    rows = _leaf_rows(leaves_df, id_col, leaves, class_of(label).alias("cls"))
+    size = leaves_df.count() if size is None else size
+    return _search(None, rows, k, True, cell_size, method, symmetric, list_limit, candidates, size)
 
 
 def knn_query_ref(queries: DataFrame, reference: DataFrame, k: int = 5, **kw) -> DataFrame:

@@ -278,6 +278,10 @@ nb AS (
 
 ORACLE["knn_leave_one_out"] = f"WITH {knn_sql(True)} SELECT qid, cls, rank, nid, {r6('dist')} AS dist FROM nb"
 ORACLE["knn_query_ref"] = f"WITH {knn_sql(False)} SELECT qid, cls, rank, nid, {r6('dist')} AS dist FROM nb"
+ORACLE["knn_index_leave_one_out"] = ORACLE["knn_leave_one_out"]
+ORACLE["knn_index_query_ref"] = ORACLE["knn_query_ref"]
+ORACLE["knn_repeated_vectors"] = ORACLE["knn_leave_one_out"].replace("FROM leaves q JOIN leaves r", "FROM short q JOIN short r", 1).replace(
+    LEAVES, LEAVES + ",\nshort AS (SELECT id, label, list_slice(leaves, 1, 4) AS leaves FROM leaves)", 1)
 ORACLE["hamming_pairs"] = ORACLE["knn_leave_one_out"]
 ORACLE["class_partition"] = "SELECT vec_id AS id, CAST(label % 2 AS INTEGER) AS label, CAST(label % 2 AS INTEGER) AS cls FROM embeddings"
 ORACLE["topk_per_group"] = """SELECT event_type, event_id, value,

@@ -99,7 +99,7 @@ def neighbor_context_from_features(queries: DataFrame, reference: DataFrame, for
     q_leaves = forest_leaves(queries.select(key, features), forest, id_col=key, features=features, as_array=True)
     r_leaves = forest_leaves(reference.select(key, features), forest, id_col=key, features=features, as_array=True)
     r_leaves = r_leaves.join(reference.select(key, label), key)  # ids and labels only
-    # grid sizes from the raw inputs: counting the encoded sides would run the walk
+    # sizes of the raw inputs: counting the encoded sides would run the walk
     knn_kw.setdefault("sizes", (queries.count(), reference.count()))
     return neighbor_context(q_leaves, r_leaves, query_props, ref_props, k=k, key=key,
                             query_ids=queries.select(key), **knn_kw)

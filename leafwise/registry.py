@@ -277,6 +277,25 @@ def q_knn_query_ref(spark, sf):
     return rounded(K.knn_query_ref(leaves.select("id", "leaves"), leaves, k=5))
 
 
+@register("knn_index_leave_one_out")
+def q_knn_index_leave_one_out(spark, sf):
+    """The same search through posting lists, with the grid for what they leave open."""
+    return rounded(K.knn_leave_one_out(S.leaf_table(spark, sf), k=5, method="index"))
+
+
+@register("knn_index_query_ref")
+def q_knn_index_query_ref(spark, sf):
+    leaves = S.leaf_table(spark, sf)
+    return rounded(K.knn_query_ref(leaves.select("id", "leaves"), leaves, k=5, method="index"))
+
+
+@register("knn_repeated_vectors")
+def q_knn_repeated_vectors(spark, sf):
+    """Leaf vectors cut to their first four positions: most rows repeat another's vector."""
+    leaves = S.leaf_table(spark, sf).withColumn("leaves", F.slice("leaves", 1, 4))
+    return rounded(K.knn_leave_one_out(leaves, k=5))
+
+
 @register("hamming_pairs")
 def q_hamming_pairs(spark, sf):
     leaves = S.leaf_table(spark, sf)

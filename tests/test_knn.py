@@ -115,12 +115,12 @@ def test_symmetric_kernel_chunks_match_brute_force(monkeypatch):
     def pack(v):
         return b"\x00" + b"".join(int(x).to_bytes(2, "big", signed=True) for x in v)
 
-    pdf = pd.DataFrame({"id": ids, "cls": cls, "packed": [pack(v) for v in leaves], "blk": blk,
-                        "lo": 0, "hi": 1})
+    lists = {c: [[int(i)] if x == c else [] for i, x in zip(ids, cls)] for c in (0, 1)}
+    pdf = pd.DataFrame({"qv": ids, "qid": ids, "packed": [pack(v) for v in leaves], "ids1": lists[1], "ids0": lists[0], "blk": blk, "lo": 0, "hi": 1})
     got = K._symmetric_kernel(3)(pdf)
-    # merge like the final window: k best per (qid, cls) by (cnt, nid)
-    got = got.sort_values(["qid", "cls", "cnt", "nid"]).groupby(["qid", "cls"]).head(3)
-    got_set = {(int(r.qid), int(r.cls), int(r.nid), int(r.cnt)) for r in got.itertuples()}
+    # merge like the final window: k best per (query, cls) by (cnt, nid)
+    got = got.sort_values(["qv", "cls", "cnt", "nid"]).groupby(["qv", "cls"]).head(3)
+    got_set = {(int(r.qv), int(r.cls), int(r.nid), int(r.cnt)) for r in got.itertuples()}
     exp = set()
     for i in range(n):
         for c in (0, 1):
@@ -159,3 +159,84 @@ def test_strings_to_neighbors_searches_every_text(spark, tmp_path):
     assert all(r["qid"] != r["nid"] for r in got)
     counts = {q: sum(r["qid"] == q for r in got) for q in range(39)}
     assert set(counts.values()) == {10}
+
+
+SCHEMA = "id long, label int, leaves array<int>"
+
+
+def near_copies(n, width, alphabet, seed=2, centres=6):
+    """Vectors scattered around a few centres, so that some neighbours are near."""
+    rng = random.Random(seed)
+    at = [[rng.randrange(alphabet) for _ in range(width)] for _ in range(centres)]
+    return [(i, rng.randrange(2), [x if rng.random() < 0.8 else rng.randrange(alphabet) for x in rng.choice(at)]) for i in range(n)]
+
+
+@pytest.mark.parametrize("alphabet,list_limit,candidates", [(500, 4096, 16384), (500, 30, 60), (5, 12, 100), (40, 1, 5), (3, 0, 0)])
+def test_index_matches_brute_force(spark, alphabet, list_limit, candidates):
+    rows = near_copies(80, 9, alphabet)
+    rows += [(200, 1, [alphabet + i for i in range(9)]), (201, 0, [-5] * 9), (202, 1, rows[0][2]), (203, 0, rows[0][2])]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = knn_leave_one_out(df, k=4, cell_size=16, method="index", list_limit=list_limit, candidates=candidates)
+    assert sorted(map(tuple, got.collect())) == brute_knn([(i, v) for i, _, v in rows], rows, 4, True)
+    queries = [(1000 + i, v) for i, _, v in near_copies(30, 9, alphabet, seed=3)] + [(1, rows[0][2]), (5000, [9999] * 9)]
+    q = spark.createDataFrame(queries, "id long, leaves array<int>")
+    got = knn_query_ref(q, df, k=3, cell_size=16, method="index", list_limit=list_limit, candidates=candidates)
+    assert sorted(map(tuple, got.collect())) == brute_knn(queries, rows, 3, False)
+
+
+def test_index_settles_near_queries_and_leaves_far_ones(spark):
+    from leafwise.operators import knn as K
+
+    rows = near_copies(120, 12, 1000)
+    base = spark.createDataFrame(rows, SCHEMA).select("id", K.class_of().alias("cls"), K.pack_leaves("leaves").alias("packed"))
+    vectors = K.collapse(None, base, 3, 10**6)
+    out = K._index(vectors, vectors, vectors.count(), 3, 64, 12, 24)
+    assert 0 < out.where("open").count() < out.count()
+    whole = K._index(vectors, vectors, vectors.count(), 3, 64, 10**6, 10**6)
+    assert whole.where("open").count() == 0
+
+
+@pytest.mark.parametrize("method", ["grid", "index"])
+def test_repeated_vectors_are_searched_once(spark, method, monkeypatch):
+    from leafwise.operators import knn as K
+
+    monkeypatch.setattr(K, "GATHERED", 50)      # ids of one vector come together in parts
+    base = near_copies(12, 6, 4)
+    rows = [(10**15 + 7 * i, i % 2, base[i % 12][2]) for i in range(240)]     # 95 % repeats
+    df = spark.createDataFrame(rows, SCHEMA)
+    packed = df.select("id", K.class_of().alias("cls"), K.pack_leaves("leaves").alias("packed"))
+    vectors = K.collapse(None, packed, 6, 240).collect()
+    assert len(vectors) == len({tuple(v) for _, _, v in base}) and max(len(r["ids1"]) for r in vectors) <= 6
+    got = knn_leave_one_out(df, k=5, method=method)
+    assert sorted(map(tuple, got.collect())) == brute_knn([(i, v) for i, _, v in rows], rows, 5, True)
+    q = df.where("label = 1").select("id", "leaves")
+    got = knn_query_ref(q, df, k=2, method=method)
+    assert sorted(map(tuple, got.collect())) == brute_knn([(i, v) for i, c, v in rows if c == 1], rows, 2, False)
+
+
+@pytest.mark.parametrize("method", ["grid", "index"])
+def test_null_and_large_ids(spark, method):
+    big = 2**53 + 1
+    rows = [(big, 1, [1, 2, 3]), (big + 1, 1, [1, 2, 3]), (big + 2, 0, [1, 2, 4]), (7, 0, [9, 9, 9]), (big + 4, 1, [1, 5, 3])]
+    with_null = [*rows, (None, 1, [1, 2, 3]), (8, 0, None), (None, 0, None)]
+    df = spark.createDataFrame(with_null, SCHEMA)
+    got = sorted(map(tuple, knn_leave_one_out(df, k=2, method=method).collect()))
+    assert got == brute_knn([(i, v) for i, _, v in rows], rows, 2, True)
+    got = sorted(map(tuple, knn_query_ref(df, df, k=2, method=method).collect()))
+    assert got == brute_knn([(i, v) for i, _, v in rows], rows, 2, False)
+
+
+def test_rows_repeated_whole_count_once(spark):
+    rows = [(1, 1, [1, 1]), (2, 1, [1, 1]), (3, 0, [1, 2]), (4, 0, [3, 3])]
+    df = spark.createDataFrame([*rows, *[rows[0]] * 9, *[rows[2]] * 4], SCHEMA)
+    got = set(map(tuple, knn_leave_one_out(df, k=2).collect()))
+    assert got == set(brute_knn([(i, v) for i, _, v in rows], rows, 2, True))
+
+
+@pytest.mark.parametrize("method", ["grid", "index"])
+def test_empty_sides(spark, method):
+    none = spark.createDataFrame([], SCHEMA)
+    some = spark.createDataFrame([(1, 1, [1, 2])], SCHEMA)
+    for q, r in ((none, some), (some, none), (none, none)):
+        assert knn_query_ref(q, r, method=method).count() == 0
+    assert knn_leave_one_out(none, method=method).count() == knn_leave_one_out(some, method=method).count() == 0
