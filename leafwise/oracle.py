@@ -345,6 +345,25 @@ ORACLE["masked_mean_pool"] = f"""WITH t AS (
 SELECT id, CAST(dim AS INTEGER) AS dim, {r6('sum(CAST(v AS DOUBLE) * m) / greatest(sum(m), 1e-9)')} AS value
 FROM t GROUP BY id, dim"""
 
+ORACLE["embed_text"] = f"""WITH w AS (
+  SELECT doc_id, unnest(regexp_extract_all(text, '[^ \\t\\n\\r]+')) AS word FROM documents),
+c AS (SELECT doc_id, CAST('0x' || substr(md5(word), 1, 8) AS BIGINT) % 64 AS dim, count(*) AS n FROM w GROUP BY ALL),
+t AS (SELECT doc_id, sum(n) AS total FROM c GROUP BY doc_id)
+SELECT d.doc_id, CAST(r.dim AS INTEGER) AS dim, {r6("coalesce(c.n, 0) / coalesce(t.total, 1)")} AS value
+FROM documents d CROSS JOIN (SELECT unnest(range(0, 64)) AS dim) r
+LEFT JOIN t ON d.doc_id = t.doc_id LEFT JOIN c ON d.doc_id = c.doc_id AND r.dim = c.dim
+WHERE d.text IS NOT NULL"""
+
+ORACLE["pattern_catalog_large"] = """WITH b AS (SELECT regexp_extract_all(text, '[A-Za-z0-9]+') AS w FROM benchmark),
+p AS (SELECT w, unnest(range(1, len(w))) AS i FROM b),
+cat AS (SELECT DISTINCT w[i] AS a, w[i + 1] AS b FROM p),
+hit AS (
+  SELECT d.doc_id, cat.a || ' ' || cat.b AS name FROM documents d JOIN cat
+  ON contains(d.text, cat.a) AND contains(d.text, cat.b) AND regexp_matches(d.text, cat.a || '[ ,.]+' || cat.b)),
+g AS (SELECT doc_id, CAST(count(*) AS INTEGER) AS n_matches, string_agg(name, ';' ORDER BY name) AS matches FROM hit GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_matches, 0) AS n_matches, coalesce(matches, '') AS matches
+FROM documents d LEFT JOIN g USING (doc_id)"""
+
 _T, _D, _NF = 16, 4, 64
 _NODES = 2 ** (_D + 1) - 1
 _INTERNAL = 2 ** _D - 1
@@ -358,6 +377,8 @@ ORACLE["forest_leaves"] = f"""SELECT vec_id AS id, CAST(t AS INTEGER) AS tree, C
   FROM embeddings, (SELECT range AS t FROM range({_T})) trees)"""
 
 
+ORACLE["forest_leaves_small"] = f"SELECT * FROM ({ORACLE['forest_leaves']}) WHERE tree < 5"
+
 _alerts = ", ".join(
     f"CASE WHEN regexp_matches(text, '{p.replace(chr(39), chr(39) * 2)}') THEN '{d}' END" for d, p, _ in TEXT_ALERTS)
 ORACLE["pattern_catalog_match"] = f"""WITH a AS (SELECT doc_id, list_filter([{_alerts}], lambda x: x IS NOT NULL) AS alerts FROM documents)
@@ -424,6 +445,8 @@ ORACLE["batch_generate"] = f"""SELECT id, {_GEN_TEXT} AS generated FROM (
     length({_template_sql({'features': 'text', 'approved': 'text', 'unapproved': 'text'})}) AS n
   FROM conversations)"""
 
+ORACLE["batch_generate_resumed"] = ORACLE["batch_generate"]
+
 SCORED = CONTEXT + f""",
 scored AS (
   SELECT c.*, md5(d.text) AS "SMILES",

@@ -358,6 +358,7 @@ def q_reward_series(spark, sf):
 
 
 FOREST_TREES, FOREST_DEPTH = 16, 4  # literal rule-built forest for the leaf encoder
+SMALL_FOREST_TREES = 5
 
 
 @register("masked_mean_pool")
@@ -372,6 +373,13 @@ def q_forest_leaves(spark, sf):
     return FE.forest_leaves(emb, forest)
 
 
+@register("forest_leaves_small")
+def q_forest_leaves_small(spark, sf):
+    """A forest that fits a column expression: no Python worker."""
+    emb = S.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("features"))
+    return FE.forest_leaves(emb, FE.synthetic_forest(spark, SMALL_FOREST_TREES, FOREST_DEPTH, 64))
+
+
 @register("pattern_catalog_match")
 def q_pattern_catalog_match(spark, sf):
     docs = spread(S.table(spark, sf, "documents"))
@@ -382,6 +390,18 @@ def q_pattern_catalog_match(spark, sf):
     )
 
 
+@register("pattern_catalog_large")
+def q_pattern_catalog_large(spark, sf):
+    """Every pair of neighbouring plain words of the benchmark items as a pattern, searched in all documents."""
+    words = F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+"), 0)
+    pairs = S.table(spark, sf, "benchmark").select(F.explode(F.arrays_zip(words.alias("a"), F.slice(words, 2, 1 << 20).alias("b"))).alias("p"))
+    pairs = pairs.select("p.*").where("a is not null and b is not null").distinct()
+    catalog = pairs.select(F.concat_ws(" ", "a", "b").alias("name"), F.concat("a", F.lit("[ ,.]+"), "b").alias("pattern"), F.array("a").alias("literals"))
+    docs = spread(S.table(spark, sf, "documents").select("doc_id", "text"))
+    found = FE.catalog_search(docs, catalog)
+    return found.select("doc_id", F.size("matches").alias("n_matches"), F.array_join("matches", ";").alias("matches"))
+
+
 @register("featurize_distinct")
 def q_featurize_distinct(spark, sf):
     docs = spread(S.table(spark, sf, "documents").select("text"))
@@ -398,7 +418,7 @@ def q_featurize_hook(spark, sf):
 @register("embed_text")
 def q_embed_text(spark, sf):
     docs = spread(S.table(spark, sf, "documents").select("doc_id", "text"))
-    return MO.embed_text(docs, "text").select("doc_id", F.size("embedding").alias("dim"), "embedding")
+    return rounded(MO.embed_text(docs, "text").select("doc_id", F.posexplode("embedding").alias("dim", "value")))
 
 
 @register("forest_fit")
@@ -482,6 +502,16 @@ def q_batch_generate(spark, sf):
     return G.batch_generate(p)
 
 
+@register("batch_generate_resumed")
+def q_batch_generate_resumed(spark, sf):
+    """A job that finds a third of its answers in its store and generates the rest."""
+    conv = S.table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    p = G.build_prompt(conv, {"features": "text", "approved": "text", "unapproved": "text"})
+    store = scratch_dir(spark, "answers")
+    G.batch_generate(p.where(F.col("id") % 3 == 0), store=store, chunks=2)
+    return G.batch_generate(p, store=store, chunks=4)
+
+
 @register("score_batch")
 def q_score_batch(spark, sf):
     ctx = _context(spark, sf)
@@ -521,12 +551,11 @@ def q_scan_multi_csv(spark, sf):
 
 @register("file_stem")
 def q_file_stem(spark, sf):
-    """Key of each row from its file path: the stem of the ``model=<name>``
-    directory entry (the partitioned form of a ``<name>.csv`` file)."""
-    root = _model_files(spark, sf)
-    df = spark.read.option("header", True).schema("doc_id long, y_true string, y_pred string, model string").csv(root)
-    parent = F.regexp_extract(F.col("_metadata.file_path"), r"/model=([^/]*)/[^/]*$", 1)
-    return df.select("doc_id", FS.file_stem(F.concat(parent, F.lit(".csv"))).alias("stem"))
+    """Key of each row from the name of the file it lies in: one file per model."""
+    root = scratch_dir(spark, "stems")
+    FS.write_named_csv(S.model_prediction_table(spark, sf), "model", root)
+    df = FS.read_csv(spark, root, "doc_id long", with_file=True)
+    return df.select("doc_id", FS.file_stem(F.col("file_name")).alias("stem"))
 
 
 @register("scan_multi_csv_flat")

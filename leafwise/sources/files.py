@@ -9,12 +9,15 @@ is one DataFrame with a key column and one scan.
 from __future__ import annotations
 
 import csv
+import json
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from leafwise.sources.csv_source import CsvFamily, opens
+
 PREDICTION_SCHEMA = "y_true string, y_pred string"
 # The checkpoint family's file names.
 BASE_CHECKPOINT_STEM = "zeroshot_base"
@@ -31,39 +34,58 @@ def file_stem(path: Column) -> Column:
 
 def read_train(spark: SparkSession, path: str, schema: str | None = None, fmt: str = "parquet",
                split: str | None = "train") -> DataFrame:
-    """A labelled dataset; ``split`` selects a partition value (pruned at scan)."""
-    reader = spark.read.format(fmt)
-    if schema:
-        reader = reader.schema(schema)
+    """A labelled dataset; ``split`` selects a partition value (pruned at scan).
+
+    CSV columns are taken by name; ``schema`` names those that are wanted.
+    """
     if fmt == "csv":
-        reader = reader.option("header", True)
-    df = reader.load(path)
+        if not schema:
+            raise ValueError("CSV needs a schema")
+        df = read_csv(spark, path, schema)
+    else:
+        reader = spark.read.format(fmt)
+        df = (reader.schema(schema) if schema else reader).load(path)
     return df.where(F.col("split") == split) if split and "split" in df.columns else df
 
 
-def list_files(spark: SparkSession, path) -> list[str]:
-    """Data files under paths or globs (hidden and marker files left out): a listing, no data is read."""
+def _hidden(name: str) -> bool:
+    """Names that Spark's readers pass over: marker and temporary files and folders."""
+    return name.startswith(".") or name.startswith("_") and "=" not in name
+
+
+def list_files(spark: SparkSession, path) -> list[tuple[str, int]]:
+    """(path, bytes) of the data files under paths or globs, a listing: no data is read.
+
+    Nothing in a hidden or temporary folder below them is a data file.
+    """
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     out = []
     for p in [path] if isinstance(path, str) else path:
         hp = jvm.org.apache.hadoop.fs.Path(p)
         fs = hp.getFileSystem(conf)
-        for status in fs.globStatus(hp) or []:
+        # a path that is there is meant literally, whatever signs it holds
+        found = [fs.getFileStatus(hp)] if fs.exists(hp) else fs.globStatus(hp) or []
+        for status in found:
+            root = status.getPath().toString()
             files = fs.listFiles(status.getPath(), True)
             while files.hasNext():
                 f = files.next()
-                name = f.getPath().getName()
-                if f.getLen() and name[0] not in "._":
-                    out.append(f.getPath().toString())
+                name = f.getPath().toString()
+                below = name[len(root):].strip("/").split("/") if name != root else [f.getPath().getName()]
+                if f.getLen() and not any(map(_hidden, below)):
+                    out.append((name, f.getLen()))
     return sorted(out)
 
 
 def _header(spark: SparkSession, file: str) -> tuple[str, ...]:
-    """Column names in the first line of a CSV file."""
+    """Column names in the first line of a CSV file, decompressed by its ending."""
     jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
     hp = jvm.org.apache.hadoop.fs.Path(file)
-    stream = hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(hp)
+    stream = hp.getFileSystem(conf).open(hp)
+    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(hp)
+    stream = stream if codec is None else codec.createInputStream(stream)
     reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
     try:
         return tuple(next(csv.reader([(reader.readLine() or "").lstrip("\ufeff")]), []))
@@ -71,37 +93,64 @@ def _header(spark: SparkSession, file: str) -> tuple[str, ...]:
         reader.close()
 
 
-def _csv_by_name(spark: SparkSession, files: list[str], schema: str, multi_line: bool = False,
-                 base: str | None = None, key: str | None = None) -> DataFrame:
-    """The named columns of CSV files whose headers may differ in order and hold more.
+def _literal(path: str) -> str:
+    """The path with every sign that would be a pattern escaped."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
 
-    Files with the same header are one scan.  ``key`` is a partition column
-    under ``base``.  A file without one of the columns raises.
+def _by_scan(spark: SparkSession, files: list[str], names: list[str], multi_line: bool, key: str | None) -> DataFrame:
+    """The named columns (c0, c1, ...) and ``_file`` by Spark's own reader, one scan per distinct header.
+
+    For stores that only Spark opens; the driver reads the headers.
     """
-    fields = StructType.fromDDL(schema).fields
-    keyed = [*fields, *(StructType.fromDDL(f"`{key}` string").fields if key else [])]
     by_header: dict[tuple[str, ...], list[str]] = {}
     for f in files:
         by_header.setdefault(_header(spark, f), []).append(f)
     out = None
     for header, group in by_header.items():
-        missing = [f.name for f in fields if f.name not in header]
+        missing = [n for n in names if n not in header]
         if missing:
             raise ValueError(f"columns {missing} are missing in {group[0]}: its header is {list(header)}")
-        # place of each wanted column; the others get names that cannot clash
-        places = {name: header.index(name) for name in (f.name for f in fields)}
-        raw = StructType.fromDDL(", ".join(f"`_c{i}` string" for i in range(len(header))) + (f", `{key}` string" if key else ""))
+        # the columns get names that cannot clash
+        raw = StructType.fromDDL(", ".join(f"`h{i}` string" for i in range(len(header))))
         reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line).option("mode", "PERMISSIVE")
-        rows = (reader.option("basePath", base) if base else reader).schema(raw).csv(group)
-        cols = [F.col(f"_c{places[f.name]}").try_cast(f.dataType).alias(f.name) for f in fields]
-        got = rows.select(*cols, *([F.col(key)] if key else []), F.col("_metadata.file_path").alias("_file"))
+        rows = reader.schema(raw).csv([_literal(f) for f in group])
+        path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+        got = rows.select(*[F.col(f"h{header.index(n)}").alias(f"c{i}") for i, n in enumerate(names)], path.alias("_file"))
         out = got if out is None else out.unionByName(got)
-    if out is None:
-        empty = StructType([*keyed, *StructType.fromDDL("_file string").fields])
-        return spark.createDataFrame([], empty)
+    if key:
+        value = F.regexp_extract("_file", f"/{re.escape(key)}=([^/]*)/[^/]*$", 1)
+        value = F.url_decode(F.replace(value, F.lit("+"), F.lit("%2B")))
+        out = out.withColumn("_key", F.when(value != "__HIVE_DEFAULT_PARTITION__", value))
     return out
 
 
+def _csv_by_name(spark: SparkSession, files: list[tuple[str, int]], schema: str, multi_line: bool = False,
+                 key: str | None = None) -> DataFrame:
+    """The named columns of CSV files whose headers may differ in order and hold more, with ``_file``.
+
+    ``key`` is the value of the ``key=...`` folder a file lies in.  Headers
+    are read where the rows are, on the executors; a file without one of the
+    columns raises when it is read.
+    """
+    fields = StructType.fromDDL(schema).fields
+    if not files:
+        more = f", `{key}` string" if key else ""
+        empty = StructType([*fields, *StructType.fromDDL("_file string" + more).fields])
+        return spark.createDataFrame([], empty)
+    names = [f.name for f in fields]
+    if all(opens(f) for f, _ in files):
+        spark.dataSource.register(CsvFamily)
+        per = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+        reader = spark.read.format(CsvFamily.name()).option("files", json.dumps(files)).option("fields", json.dumps(names))
+        reader = reader.option("bytes", per).option("multiline", multi_line)
+        rows = (reader.option("key", key) if key else reader).load()
+    else:
+        rows = _by_scan(spark, [f for f, _ in files], names, multi_line, key)
+    cols = [F.col(f"c{i}").try_cast(f.dataType).alias(f.name) for i, f in enumerate(fields)]
+    return rows.select(*cols, "_file", *([F.col("_key").alias(key)] if key else []))
+
+
 def read_csv(spark: SparkSession, path, schema: str = PREDICTION_SCHEMA, with_file: bool = False,
              multi_line: bool = False) -> DataFrame:
     """The columns of ``schema``, by name, of CSV files with a header; ``with_file`` adds ``file_name``.
@@ -110,8 +159,7 @@ def read_csv(spark: SparkSession, path, schema: str = PREDICTION_SCHEMA, with_fi
     reads values that span lines (such a file is one task's work).
     """
     df = _csv_by_name(spark, list_files(spark, path), schema, multi_line)
-    name = F.regexp_extract("_file", r"([^/]*)$", 1)
-    return df.withColumn("file_name", F.url_decode(name)).drop("_file") if with_file else df.drop("_file")
+    return df.withColumn("file_name", F.regexp_extract("_file", r"([^/]*)$", 1)).drop("_file") if with_file else df.drop("_file")
 
 
 def _family(spark: SparkSession, root: str, globs: list[str], schema: str, layout: str, key: str,
@@ -122,21 +170,19 @@ def _family(spark: SparkSession, root: str, globs: list[str], schema: str, layou
     root = root.rstrip("/")
     if layout == "flat":
         df = _csv_by_name(spark, list_files(spark, [f"{root}/{g}" for g in globs]), schema, multi_line)
-        return df.select(file_stem(F.url_decode("_file")).alias(key), *fields)
+        return df.select(file_stem(F.col("_file")).alias(key), *fields)
     if layout == "partitioned":
-        df = _csv_by_name(spark, list_files(spark, root), schema, multi_line, base=root, key=key)
+        df = _csv_by_name(spark, list_files(spark, root), schema, multi_line, key=key)
         return df.select(key, *fields)
     raise ValueError("layout must be 'flat' or 'partitioned'")
 
 
 def family_names(spark: SparkSession, root: str, layout: str = "flat", key: str = "file") -> list[str]:
     """Keys of a family's files, from the listing."""
-    files = list_files(spark, root.rstrip("/") + ("/*.csv" if layout == "flat" else ""))
+    files = [f for f, _ in list_files(spark, root.rstrip("/") + ("/*.csv" if layout == "flat" else ""))]
     if layout == "flat":
-        names = [f.rsplit("/", 1)[1].rsplit(".", 1)[0] for f in files]
-    else:
-        names = [part[len(key) + 1:] for f in files for part in f.split("/") if part.startswith(f"{key}=")]
-    return sorted({_unescape(n) for n in names})
+        return sorted({f.rsplit("/", 1)[1].rsplit(".", 1)[0] for f in files})
+    return sorted({_unescape(part[len(key) + 1:]) for f in files for part in f.split("/") if part.startswith(f"{key}=")})
 
 
 def read_prediction_files(spark: SparkSession, root: str, suffixes=("_test", "_val", "_external"),
@@ -203,6 +249,21 @@ def write_partitioned_csv(df: DataFrame, key: str, root: str, mode: str = "overw
     return root
 
 
+def _with_place(scan: DataFrame) -> DataFrame:
+    """``pos``: a row's place in its file, 0-based, from its place in its split and the rows of earlier splits.
+
+    A scan reads the rows of a split in order and in one task, so the row
+    numbers of a split are consecutive; only one row per split is aggregated
+    and joined.
+    """
+    meta = F.col("_metadata")
+    rows = scan.withColumns({"_id": F.monotonically_increasing_id(), "_path": meta["file_path"], "_block": meta["file_block_start"]})
+    splits = rows.groupBy("_path", "_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("_path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).drop("_first", "_n")
+    return rows.join(splits, ["_path", "_block"]).withColumn("pos", F.col("_id") + F.col("_before"))
+
+
 def read_training_log(spark: SparkSession, path: str, metrics: list[str], multi_line: bool = False,
                       on_missing: str = "fail") -> DataFrame:
     """Training-log entries as rows ``(pos, step, <metrics>)``.
@@ -210,7 +271,7 @@ def read_training_log(spark: SparkSession, path: str, metrics: list[str], multi_
     ``multi_line=True`` reads trainer-state documents ``{log_history: [...]}``
     (one small document per run; ``pos`` is the array position, the log
     order).  Otherwise each line is one entry (JSON Lines), which splits
-    across tasks.  An entry lacking one of ``metrics`` raises when the rows
+    across tasks; ``pos`` is its place in its file.  An entry lacking one of ``metrics`` raises when the rows
     are computed (``on_missing='fail'``) or is dropped (``'skip'``).
     """
     if multi_line:
@@ -221,7 +282,7 @@ def read_training_log(spark: SparkSession, path: str, metrics: list[str], multi_
     else:
         fields = ", ".join([f"`{m}` double" for m in metrics])
         df = spark.read.schema(f"step long, {fields}").json(path)
-        rows = df.select(F.col("step").alias("pos"), "step", *[F.col(f"`{m}`") for m in metrics])
+        rows = _with_place(df).select("pos", "step", *[F.col(f"`{m}`") for m in metrics])
     missing = F.lit(False)
     for m in metrics:
         missing = missing | F.col(f"`{m}`").isNull()
