@@ -49,35 +49,79 @@ def featurize(df: DataFrame, key: str, fn=None, schema: str | None = None, mode:
     Without ``fn`` the native text features are plain column expressions
     (no shuffle).  ``fn`` is an optional pandas hook ``(pd.Series of keys) -> pd.DataFrame``
     of the declared ``schema`` (row-aligned), run through ``mapInPandas``
-    once per Arrow batch over the distinct keys, then joined back.
-    ``mode='quarantine'`` keeps rows whose hook output is all-NULL out of the
-    result and, if ``rejects`` is a list, appends a DataFrame of them to it;
-    ``'failfast'`` lets the hook's exception stop the job.
+    once per Arrow batch over the distinct keys.  Its output is written once,
+    with a status, so both what is kept and what is rejected come from one
+    evaluation.  Keys meet by a 128-bit digest and travel once, to the hook;
+    a key that many rows share is joined by broadcast.
+
+    ``mode='failfast'`` lets the hook's exception stop the job.
+    ``mode='quarantine'`` keeps rows whose hook output is all-NULL, or whose
+    key makes the hook raise, out of the result and, if ``rejects`` is a
+    list, appends a DataFrame ``(key, reason)`` of them to it.  A NULL key
+    has no features: NULL columns, or left out under quarantine.
     """
     if fn is None:
         # native features: a projection, no de-duplication or join needed
         return df.withColumns(text_feature_columns(key))
+    if mode not in ("failfast", "quarantine"):
+        raise ValueError("mode must be 'failfast' or 'quarantine'")
     from pyspark.sql.types import StructType
 
-    distinct = df.select(key).where(F.col(key).isNotNull()).dropDuplicates([key])
-    out_schema = StructType.fromDDL(f"`{key}` string, {schema}") if schema else None
+    from leafwise.operators.scan import attach
+    from leafwise.session import scratch_dir
+
+    spark = df.sparkSession
+    out_schema = StructType.fromDDL(schema)
+    names = out_schema.fieldNames()
+    quarantine = mode == "quarantine"
+    keyed = df.withColumn("__digest", F.md5(F.col(key).cast("string").cast("binary")))
+    distinct = keyed.where(F.col(key).isNotNull()).groupBy("__digest").agg(F.first(key).alias("__key"), F.count(F.lit(1)).alias("__rows"))
 
     def run(batches):
         import pandas as pd
 
         for pdf in batches:
-            res = fn(pdf[key]).reset_index(drop=True)
-            yield pd.concat([pdf[[key]].reset_index(drop=True), res], axis=1)
-
-    feats = distinct.mapInPandas(run, out_schema)
-    if mode == "quarantine":
-        value_cols = [c for c in feats.columns if c != key]
-        flags = [F.col(c).isNull().cast("int") for c in value_cols]
-        all_null = (F.least(*flags) if len(flags) > 1 else flags[0]) == 1
+            reason = None
+            try:
+                res = fn(pdf["__key"]).reset_index(drop=True)
+            except Exception:                 # the batch holds a bad key: find it
+                if not quarantine:
+                    raise
+                res, reason = _one_by_one(fn, pdf["__key"], names)
+            out = pd.concat([pdf.reset_index(drop=True), res[names]], axis=1)
+            out["__status"] = [None] * len(out) if reason is None else reason
+            yield out
+
+    more = "`__digest` string, `__key` " + distinct.schema["__key"].dataType.simpleString() + ", `__rows` long"
+    path = scratch_dir(spark, "features")
+    distinct.mapInPandas(run, f"{more}, {schema}, `__status` string").write.parquet(path)
+    feats = spark.read.parquet(path)
+    if quarantine:
+        empty = F.lit(True)
+        for n in names:
+            empty = empty & F.col(f"`{n}`").isNull()
+        status = F.coalesce("__status", F.when(empty, F.lit("no output")))
         if rejects is not None:
-            rejects.append(feats.where(all_null).select(key))
-        feats = feats.where(~all_null)
-    return df.join(feats, key, "inner" if mode == "quarantine" else "left")
+            rejects.append(feats.where(status.isNotNull()).select(F.col("__key").alias(key), status.alias("reason")))
+        feats = feats.where(status.isNull())
+    feats = feats.drop("__key", "__status")
+    joined = attach(keyed, feats, "__digest", "__rows", "inner" if quarantine else "left")
+    return joined.select(*df.columns, *names)
+
+
+def _one_by_one(fn, keys, names: list[str]):
+    """The hook on each key alone: its output, NULL where it raises, and the reason why."""
+    import pandas as pd
+
+    rows, reasons = [], []
+    for i in range(len(keys)):
+        try:
+            rows.append(fn(keys.iloc[i : i + 1]).reset_index(drop=True)[names])
+            reasons.append(None)
+        except Exception as e:  # noqa: BLE001 - the reason is reported with the key
+            rows.append(pd.DataFrame([[None] * len(names)], columns=names))
+            reasons.append(f"{type(e).__name__}: {e}")
+    return pd.concat(rows, ignore_index=True), reasons
 
 
 def pandas_text_features(texts):
@@ -173,22 +217,105 @@ def catalog_matches(c, catalog=TEXT_ALERTS) -> Column:
     return F.array_compact(F.array(*hits))
 
 
+#: Entries of a catalogue that is shipped to every worker, at most.
+CATALOG_LIMIT = 200_000
+
+
+def catalog_search(df: DataFrame, catalog: DataFrame, text: str = "text", out: str = "matches") -> DataFrame:
+    """``df`` plus ``out``: names of the entries of a large catalogue that occur in each text, sorted.
+
+    ``catalog``: (name, pattern, literals array<string>); every match of a
+    pattern must contain one of its literals, an entry without literals is
+    tried on every text.  One automaton over all literals reads a text once;
+    only the patterns whose literal was met are then searched.  Patterns are
+    searched anywhere in the text and should use syntax that all engines
+    read alike.  The catalogue is a model, not data: its size is checked and
+    it is broadcast.  NULL text has NULL matches; a NULL pattern matches
+    nothing.
+    """
+    from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+
+    rows = catalog.where("pattern is not null").select("name", "pattern", "literals").limit(CATALOG_LIMIT + 1).collect()
+    if len(rows) > CATALOG_LIMIT:
+        raise ValueError(f"a catalogue of more than {CATALOG_LIMIT} entries is not a catalogue: join it as a table")
+    entries = df.sparkSession.sparkContext.broadcast([(r["name"], r["pattern"], [x for x in r["literals"] or [] if x]) for r in rows])
+    schema = StructType([*df.schema.fields, StructField(out, ArrayType(StringType()))])
+
+    def run(batches):
+        matcher = _matcher(entries.value)
+        for batch in batches:
+            import pyarrow as pa
+
+            found = [None if t is None else matcher(t) for t in batch.column(text).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.string()))], names=[*batch.schema.names, out])
+
+    return df.mapInArrow(run, schema)
+
+
+def _matcher(entries: list):
+    """Names of all entries that occur in a text: literals by automaton, then their patterns."""
+    import re
+
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton()
+    always = []
+    for i, (_, _, literals) in enumerate(entries):
+        if not literals:
+            always.append(i)
+        for literal in literals:
+            automaton.add_word(literal, [*automaton.get(literal, []), i])
+    automaton.make_automaton()
+    compiled: dict[int, re.Pattern] = {}      # a pattern is compiled when its literal is first met
+
+    def search(text: str) -> list[str]:
+        met = set(always)
+        if len(automaton):
+            for _, hits in automaton.iter(text):
+                met.update(hits)
+        names = set()
+        for i in met:
+            if i not in compiled:
+                compiled[i] = re.compile(entries[i][1], re.ASCII)
+            if compiled[i].search(text):
+                names.add(entries[i][0])
+        return sorted(names)
+
+    return search
+
+
+def pool(rows: DataFrame, by: str, vector: Column, weight: Column) -> DataFrame:
+    """``(by, pooled array<double>)``: sum of vectors over sum of weights (at least 1e-9), per group.
+
+    One buffer of the vector's length per group and task (``Summarizer``,
+    combined before the shuffle): a group of any size sends one row per task.
+    """
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    parts = rows.select(F.col(by), vector.alias("__v"), weight.alias("__w")).where("__v is not null")
+    sums = parts.groupBy(by).agg(Summarizer.sum(F.col("__v")).alias("__s"), F.sum("__w").alias("__n"))
+    total = F.greatest(F.col("__n"), F.lit(1e-9))
+    return sums.select(by, F.transform(vector_to_array("__s"), lambda x: x / total).alias("pooled"))
+
+
 def masked_mean_pool(tokens: DataFrame, id_col: str = "id", vec: str = "vec", mask: str = "mask",
                      as_array: bool = False) -> DataFrame:
     """Per sequence and dimension: ``Σ v·m / max(Σ m, 1e-9)``.
 
-    Dimensions are exploded and aggregated with ``groupBy(id, dim)`` — partial
-    aggregation on the map side keeps a very long sequence from landing in one
-    task.  ``as_array=True`` reassembles ``(id, pooled array<double>)``.
+    Vectors are added up whole, see :func:`pool`; all vectors must have one
+    length.  A NULL vector is no token, a NULL component counts as 0, a NULL
+    mask masks its token.  ``as_array=True`` gives ``(id, pooled array<double>)``,
+    else one row per dimension.
     """
-    exploded = tokens.select(id_col, F.col(mask).cast("double").alias("_m"), F.posexplode(vec).alias("dim", "_v"))
-    pooled = exploded.groupBy(id_col, "dim").agg(
-        (F.sum(F.col("_v").cast("double") * F.col("_m")) / F.greatest(F.sum("_m"), F.lit(1e-9))).alias("value")
-    )
-    if not as_array:
-        return pooled.select(id_col, F.col("dim").cast("int").alias("dim"), "value")
-    arr = F.sort_array(F.collect_list(F.struct("dim", "value")))
-    return pooled.groupBy(id_col).agg(F.transform(arr, lambda x: x["value"]).alias("pooled"))
+    from pyspark.ml.functions import array_to_vector
+
+    m = F.coalesce(F.col(mask).cast("double"), F.lit(0.0))
+    weighted = array_to_vector(F.transform(vec, lambda x: F.coalesce(x.cast("double"), F.lit(0.0)) * m))
+    pooled = pool(tokens.where(F.col(vec).isNotNull()), id_col, weighted, m)
+    if as_array:
+        return pooled
+    return pooled.select(id_col, F.posexplode("pooled").alias("dim", "value"))
 
 
 # --- forest leaf encoding ------------------------------------------------------
@@ -215,8 +342,12 @@ def synthetic_forest(spark, trees: int, depth: int, n_features: int) -> DataFram
     )
 
 
-# A node table up to this size is shipped to the executors (about 40 bytes a
-# node); a larger one stays a table and is walked by joins, with the same result.
+# How a forest is walked follows from its size; the result is the same.  Up to
+# EXPRESSION_NODES nodes it is a column expression (the JVM compiles generated
+# methods up to 8,000 bytes, about 50 go on a node); up to NUMPY_NODE_LIMIT
+# nodes the table is shipped to Python workers (about 40 bytes a node); a
+# larger one stays a table and is walked by joins.
+EXPRESSION_NODES = 160
 NUMPY_NODE_LIMIT = 5_000_000
 NODE_COLUMNS = ["tree", "node", "feature", "threshold", "left", "right"]
 
@@ -227,6 +358,49 @@ def _node_table(forest: DataFrame) -> DataFrame:
     return forest.select(*NODE_COLUMNS, says.alias("missing_left"))
 
 
+def _walk_expression(rows: DataFrame, forest: DataFrame, id_col: str, features: str, as_array: bool) -> DataFrame:
+    """Every tree as nested conditions over the features: no Python worker and no shuffle."""
+    nodes: dict[int, dict[int, object]] = {}
+    for r in _node_table(forest).collect():
+        nodes.setdefault(r["tree"], {})[r["node"]] = r
+
+    # a missing feature becomes NaN, which is greater than every number and so goes right by itself
+    used = sorted({n["feature"] for tree in nodes.values() for n in tree.values() if n["feature"] is not None})
+    value = lambda f: F.coalesce(F.get(F.col(features), F.lit(f)).cast("double"), F.lit(float("nan")))
+    known = rows.select(id_col, *[value(f).alias(f"__x{f}") for f in used])
+
+    def leaf(tree: dict, at: int) -> Column:
+        n = tree[at]
+        if n["feature"] is None:
+            return F.lit(at)
+        x = F.col(f"__x{n['feature']}")
+        left = x < F.lit(n["threshold"])
+        return F.when(F.isnan(x) | left if n["missing_left"] else left, leaf(tree, n["left"])).otherwise(leaf(tree, n["right"]))
+
+    trees = sorted(nodes)
+    leaves = [leaf(nodes[t], 0).cast("int") for t in trees]
+    if as_array:
+        return known.select(id_col, F.array(*leaves).alias("leaves"))
+    pairs = F.array(*[F.struct(F.lit(t).cast("int").alias("tree"), x.alias("leaf")) for t, x in zip(trees, leaves)])
+    return known.select(id_col, F.inline(pairs))
+
+
+def _matrix(vectors, width: int):
+    """An Arrow column of feature vectors as rows of ``width``, NaN where a vector is NULL, short or has a NULL."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    lens = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = pc.cast(vectors.flatten(), pa.float64()).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(lens)), lens)
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(lens) - lens, lens)
+    out = np.full((len(lens), width), np.nan)
+    used = place < width
+    out[row[used], place[used]] = flat[used]
+    return out
+
+
 def _walk_numpy(rows: DataFrame, forest: DataFrame, id_col: str, features: str, as_array: bool) -> DataFrame:
     """The node table as flat arrays, broadcast once; a batch of rows walks each tree until every row is on a leaf."""
     import numpy as np
@@ -250,33 +424,34 @@ def _walk_numpy(rows: DataFrame, forest: DataFrame, id_col: str, features: str,
     key_type = dict(rows.dtypes)[id_col]
 
     def walk(batches):
-        import pandas as pd
+        import pyarrow as pa
 
         tree_ids, roots_, f_, t_, l_, r_, m_, name = model.value
-        for pdf in batches:
-            X = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[features]]) if len(pdf) else np.zeros((0, 1))
-            each = np.arange(len(pdf))
-            out = np.zeros((len(pdf), len(tree_ids)), dtype=np.int32)
+        width = max(1, int(f_.max(initial=-1)) + 1)
+        for batch in batches:
+            n, ids = batch.num_rows, batch.column(0)
+            X = _matrix(batch.column(1), width)
+            each = np.arange(n)
+            out = np.zeros((n, len(tree_ids)), dtype=np.int32)
             for k, root in enumerate(roots_):
-                at = np.full(len(pdf), root)
+                at = np.full(n, root)
                 while (f_[at] >= 0).any():
                     f = f_[at]
                     x = X[each, np.maximum(f, 0)]
                     left = np.where(np.isnan(x), m_[at], x < t_[at])
                     at = np.where(f < 0, at, np.where(left, l_[at], r_[at]))
                 out[:, k] = name[at]
+            leaf = pa.array(out.ravel())
             if as_array:
-                yield pd.DataFrame({id_col: pdf[id_col].to_numpy(), "leaves": list(out)})
+                ends = pa.array(np.arange(n + 1, dtype=np.int32) * len(tree_ids))
+                yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(ends, leaf)], names=[id_col, "leaves"])
             else:
-                yield pd.DataFrame({
-                    id_col: np.repeat(pdf[id_col].to_numpy(), len(tree_ids)),
-                    "tree": np.tile(tree_ids, len(pdf)),
-                    "leaf": out.ravel(),
-                })
+                again = ids.take(pa.array(np.repeat(each, len(tree_ids))))
+                yield pa.RecordBatch.from_arrays([again, pa.array(np.tile(tree_ids, n)), leaf], names=[id_col, "tree", "leaf"])
 
     schema = (f"`{id_col}` {key_type}, leaves array<int>" if as_array
               else f"`{id_col}` {key_type}, tree int, leaf int")
-    return rows.select(id_col, features).mapInPandas(walk, schema)
+    return rows.select(id_col, features).mapInArrow(walk, schema)
 
 
 def forest_depth(forest: DataFrame) -> int:
@@ -292,31 +467,39 @@ def forest_depth(forest: DataFrame) -> int:
 
 
 def _walk_join(rows: DataFrame, forest: DataFrame, id_col: str, features: str, as_array: bool) -> DataFrame:
-    """One equi-join with the node table per level, for forests too large to ship."""
+    """One equi-join with the node table per level, for forests too large to ship; rows are told apart by number."""
+    from leafwise.session import scratch_dir
+
     nodes = _node_table(forest)
-    state = rows.select(id_col, features).crossJoin(F.broadcast(forest.where("node = 0").select("tree"))).withColumn("node", F.lit(0))
+    path = scratch_dir(rows.sparkSession, "forest_rows")
+    rows.select(id_col, features, F.monotonically_increasing_id().alias("__row")).write.parquet(path)
+    numbered = rows.sparkSession.read.parquet(path)
+    state = numbered.crossJoin(F.broadcast(forest.where("node = 0").select("tree"))).withColumn("node", F.lit(0))
     for _ in range(forest_depth(forest)):
         step = state.join(nodes, ["tree", "node"])
-        x = F.element_at(F.col(features), F.col("feature") + 1).cast("double")
+        x = F.get(F.col(features), F.col("feature")).cast("double")
         left = F.when(x.isNull() | F.isnan(x), F.col("missing_left")).otherwise(x < F.col("threshold"))
         nxt = F.when(F.col("feature").isNull(), F.col("node")).when(left, F.col("left")).otherwise(F.col("right"))
-        state = step.select(id_col, features, "tree", nxt.cast("int").alias("node"))
-    leaves = state.select(id_col, "tree", F.col("node").alias("leaf"))
+        state = step.select("__row", id_col, features, "tree", nxt.cast("int").alias("node"))
+    leaves = state.select("__row", id_col, "tree", F.col("node").alias("leaf"))
     if not as_array:
-        return leaves
+        return leaves.drop("__row")
     arr = F.sort_array(F.collect_list(F.struct("tree", "leaf")))  # one entry per tree
-    return leaves.groupBy(id_col).agg(F.transform(arr, lambda s: s["leaf"]).alias("leaves"))
+    return leaves.groupBy("__row").agg(F.first(id_col).alias(id_col), F.transform(arr, lambda s: s["leaf"]).alias("leaves")).drop("__row")
 
 
 def forest_leaves(rows: DataFrame, forest: DataFrame, id_col: str = "id", features: str = "features",
-                  as_array: bool = False, node_limit: int = NUMPY_NODE_LIMIT) -> DataFrame:
+                  as_array: bool = False, node_limit: int = NUMPY_NODE_LIMIT, expression_nodes: int = EXPRESSION_NODES) -> DataFrame:
     """Leaf reached in every tree, for every row: ``(id, tree, leaf)``, or ``(id, leaves)`` by tree.
 
     ``forest``: one row per node; the root of each tree is node 0, ids may
     be numbered in any way and trees may have gaps and any shape.  ``x <
-    threshold`` goes left; NULL and NaN go right unless ``missing_left``.  The
-    model's size does not grow with the data: it is checked, and a table
-    beyond ``node_limit`` is joined instead of shipped, with the same result.
+    threshold`` goes left; NULL and NaN, features beyond a vector's end and
+    all features of a NULL vector are missing, and go right unless
+    ``missing_left``.  Rows with equal ids are rows of their own.  The model's
+    size does not grow with the data: it is checked, and decides between a
+    column expression, a walk in Python workers and joins, with one result.
     """
-    walk = _walk_numpy if forest.count() <= node_limit else _walk_join
+    size = forest.count()
+    walk = _walk_expression if size <= expression_nodes else _walk_numpy if size <= node_limit else _walk_join
     return walk(rows, forest, id_col, features, as_array)

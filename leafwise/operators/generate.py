@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 # Decoding defaults of the reference predictor.
 DEFAULT_GENERATION_ARGS = {"temperature": 1.0, "max_length": 4096, "top_p": 0.9, "top_k": 9}
@@ -76,8 +78,9 @@ def template_generator_factory(options: dict):
 
 def batch_generate(df: DataFrame, generator_factory=template_generator_factory, prompt: str = "prompt",
                    key: str = "id", out: str = "generated", options: dict | None = None,
-                   batch_size: int = 8, keep: list[str] | tuple = (), partitions: int | None = None) -> DataFrame:
-    """Run a generator over prompts, partition-parallel, via ``mapInPandas``.
+                   batch_size: int = 8, keep: list[str] | tuple = (), partitions: int | None = None,
+                   store: str | None = None, chunks: int = 16) -> DataFrame:
+    """Run a generator over prompts, partition-parallel, via ``mapInArrow``.
 
     ``generator_factory(options)`` is called once per task (load a model
     there); the returned callable maps a list of prompts to a list of texts
@@ -86,26 +89,76 @@ def batch_generate(df: DataFrame, generator_factory=template_generator_factory,
     The prompts are dealt to ``partitions`` tasks (default: the cluster's
     task slots) first: a generator's cost per row dwarfs the shuffle, and the
     plan before it may have left all rows in one task.
+
+    With ``store`` the job can be resumed: answers are kept in that folder by
+    a digest of prompt and options, each distinct prompt is answered once,
+    and the work is committed in ``chunks`` parts.  A job that is started
+    again with the same folder generates only what is missing there.  A NULL
+    prompt is answered as an empty one.
     """
     opts = merge_generation_args(**(options or {}))
-    types = dict(df.dtypes)
     keep = [c for c in keep if c not in (key, prompt)]
+    tasks = partitions or df.sparkSession.sparkContext.defaultParallelism
+    if store is None:
+        src = df.select(key, *keep, prompt).repartition(tasks)
+        return _generated(src, generator_factory, opts, prompt, out, batch_size).drop(prompt)
+    _fill_store(df, generator_factory, opts, prompt, out, batch_size, tasks, store, chunks)
+    from leafwise.operators.scan import attach
+    from leafwise.session import scratch_dir
+
+    spark = df.sparkSession
+    keyed = df.select(key, *keep, _prompt_digest(prompt, opts).alias("__digest"))
+    counted = scratch_dir(spark, "prompt_rows")
+    keyed.groupBy("__digest").agg(F.count(F.lit(1)).alias("__rows")).write.parquet(counted)
+    answers = spark.read.parquet(store).select("__digest", F.col("answer").alias(out)).dropDuplicates(["__digest"])
+    return attach(keyed, answers.join(spark.read.parquet(counted), "__digest"), "__digest", "__rows").select(key, *keep, out)
+
+
+def _prompt_digest(prompt: str, opts: dict) -> Column:
+    """Names an answer: the prompt and the settings it is generated with."""
+    settings = json.dumps(opts, sort_keys=True, default=str)
+    return F.sha2(F.concat(F.lit(settings), F.lit("\n"), F.coalesce(F.to_json(prompt), F.lit(""))), 256)
+
+
+def _generated(src: DataFrame, generator_factory, opts: dict, prompt: str, out: str, batch_size: int) -> DataFrame:
+    """``src`` plus the generator's answer to each prompt; other columns pass as they are, NULL and large ids included."""
+    schema = StructType([*src.schema.fields, StructField(out, StringType())])
 
     def run(batches):
-        import pandas as pd
+        import pyarrow as pa
 
         generate = generator_factory(opts)
-        for pdf in batches:
-            prompts = [[{"role": m["role"], "content": m["content"]} for m in p] for p in pdf[prompt]]
+        for batch in batches:
+            prompts = [p if p is not None else [{"role": "user", "content": ""}] for p in batch.column(prompt).to_pylist()]
             texts = []
             for i in range(0, len(prompts), batch_size):
                 texts.extend(generate(prompts[i:i + batch_size]))
-            res = pd.DataFrame({key: pdf[key].to_numpy()})
-            for c in keep:
-                res[c] = pdf[c].to_numpy()
-            res[out] = texts
-            yield res
-
-    schema = ", ".join([f"`{c}` {types[c]}" for c in (key, *keep)] + [f"`{out}` string"])
-    src = df.select(key, *keep, prompt).repartition(partitions or df.sparkSession.sparkContext.defaultParallelism)
-    return src.mapInPandas(run, schema)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, out])
+
+    return src.mapInArrow(run, schema)
+
+
+def _fill_store(df: DataFrame, generator_factory, opts: dict, prompt: str, out: str, batch_size: int, tasks: int,
+                store: str, chunks: int) -> None:
+    """Answer the distinct prompts that ``store`` lacks, one committed chunk after the other."""
+    from leafwise.session import scratch_dir
+
+    spark = df.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(store)
+    there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    wanted = df.groupBy(_prompt_digest(prompt, opts).alias("__digest")).agg(F.first(prompt).alias(prompt))
+    if there:
+        done = spark.read.schema("__digest string, answer string").parquet(store)
+        wanted = wanted.join(done.select("__digest"), "__digest", "left_anti")
+    todo = scratch_dir(spark, "prompts")
+    chunk = F.pmod(F.xxhash64("__digest"), F.lit(chunks)).cast("int")
+    wanted.withColumn("__chunk", chunk).repartition("__chunk").write.partitionBy("__chunk").parquet(todo)
+    schema = StructType([StructField("__digest", StringType()), StructField(prompt, df.schema[prompt].dataType), StructField("__chunk", IntegerType())])
+    missing = spark.read.schema(schema).parquet(todo)
+    for i in range(chunks):
+        some = missing.where(F.col("__chunk") == i).select("__digest", prompt)
+        if not some.isEmpty():
+            answers = _generated(some.repartition(tasks), generator_factory, opts, prompt, "answer", batch_size)
+            answers.select("__digest", "answer").write.mode("append").parquet(store)
+    if not there and missing.isEmpty():       # no prompts at all: an empty store
+        spark.createDataFrame([], "__digest string, answer string").write.mode("append").parquet(store)

@@ -30,6 +30,26 @@ def join_groups(left: DataFrame, right: DataFrame, exact: list[str], by: list[st
     return l.join(r, cond, how).select(*[F.col(f"l.`{c}`") for c in left.columns], *[F.col(f"r.`{c}`") for c in extra])
 
 
+#: A group of this many rows, or of 1/HEAVY of all, is joined by broadcast.
+HEAVY = 1000
+
+
+def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, how: str = "left") -> DataFrame:
+    """``rows`` joined with one row per ``key`` of ``groups`` (written before), hot keys without a skewed shuffle.
+
+    ``size`` counts a group's rows.  At most ``HEAVY`` groups hold that share
+    of the rows, so those few are broadcast; the others join by shuffle.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    bar = F.lit(max(HEAVY, total / HEAVY))
+    side, few = groups.where(F.col(size) < bar).drop(size), groups.where(F.col(size) >= bar).drop(size)
+    if few.isEmpty():
+        return rows.join(side, key, how)
+    hot = rows.join(F.broadcast(few), key)
+    rest = rows.join(F.broadcast(few.select(key)), key, "left_anti")
+    return hot.unionByName(rest.join(side, key, how))
+
+
 def target_partitions(df: DataFrame) -> int:
     """Partition count for a sort-based step: at least the shuffle setting,
     and enough that each partition holds about ``spark.sql.files.maxPartitionBytes``

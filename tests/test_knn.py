@@ -147,9 +147,14 @@ def test_null_leaf_raises(spark):
         knn_leave_one_out(rows, k=1).collect()
 
 
-def test_strings_to_neighbors_searches_every_text(spark, tmp_path):
+def test_strings_to_neighbors_searches_every_text(spark, tmp_path, monkeypatch):
+    from leafwise.operators import knn as K
     from leafwise.registry import QUERIES
 
+    sides = []
+    whole = K.knn_per_class
+    monkeypatch.setattr(K, "knn_per_class", lambda q, r, **kw: (sides.extend([q, r]), whole(q, r, **kw))[1])
+
     rows = [(i, None if i == 39 else f"text {'abcdefgh'[i % 8] * 5} number {i}") for i in range(40)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(i, i // 2 % 2) for i in range(0, 30, 2)] + [(i, 1) for i in (31, 33)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
@@ -159,6 +164,11 @@ def test_strings_to_neighbors_searches_every_text(spark, tmp_path):
     assert all(r["qid"] != r["nid"] for r in got)
     counts = {q: sum(r["qid"] == q for r in got) for q in range(39)}
     assert set(counts.values()) == {10}
+    # brute force on the leaves that were written
+    queries = [(r["id"], r["leaves"]) for r in sides[0].collect()]
+    known = [(r["id"], r["label"], r["leaves"]) for r in sides[1].collect()]
+    want = [(q, c, k, n, round(d * 1e6) / 1e6) for q, c, k, n, d in brute_knn(queries, known, 5, True)]
+    assert sorted((r["qid"], r["cls"], r["rank"], r["nid"], r["dist"]) for r in got) == want
 
 
 SCHEMA = "id long, label int, leaves array<int>"
