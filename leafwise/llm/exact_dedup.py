@@ -15,18 +15,19 @@ rows that repeat both text and the winning doc_id are the same row and all
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
+import string
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafwise.llm.common import attach_groups, bound_batches, mix64, parts_for, saved, text_bytes
+from leafwise.llm.common import attach_groups, mix64, parts_for, saved
 
 #: Digests in a bucket, on average; a bucket is what one task builds or looks up at a time.
 BUCKET = 4096
+#: Buckets in a task, on average.
+BUCKETS = 16
 #: Digests that share a displacement, on average.
 GROUP = 4
 
@@ -35,22 +36,26 @@ GROUP_SCHEMA = "digest binary, keep_id long, group_size long, member boolean"
 
 
 def digest_column(text: str = "text") -> Column:
-    """SHA-256 of the text with A-Z (only) lower-cased."""
-
-    @F.pandas_udf("binary")
-    def digest(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([hashlib.sha256(t.lower()).digest() for t in texts], dtype=object)
-
-    return digest(text_bytes(text))
+    """SHA-256 of the text with A-Z (only) lower-cased; NULL is the empty text."""
+    low = F.translate(F.coalesce(F.col(text).cast("string"), F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
+    return F.unhex(F.sha2(low, 256))
 
 
 def digests(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, digest."""
-    bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest_column().alias("digest"))
 
 
+def _by_bucket(keyed: DataFrame, buckets: int) -> DataFrame:
+    """Rows dealt by bucket to tasks of about ``BUCKETS`` buckets, at least as many tasks as slots.
+
+    The count is given: sizes in bytes would have the few small rows of an
+    index land in a few tasks, while building a bucket is the work.
+    """
+    slots = keyed.sparkSession.sparkContext.defaultParallelism
+    return keyed.repartition(min(buckets, max(2 * slots, parts_for(buckets, BUCKETS))), "bucket")
+
+
 def _bucket(n: int):
     head = F.conv(F.hex(F.substring("digest", 1, 7)), 16, 10).cast("long")
     return F.pmod(head, F.lit(n)).alias("bucket")
@@ -136,7 +141,7 @@ def groups_of(rows: DataFrame) -> DataFrame:
 def build_index(history: DataFrame, buckets: int) -> DataFrame:
     """The slot tables of a history of digests: one row per bucket, to be written and reused."""
     keyed = groups_of(history).select(_bucket(buckets), "digest", "keep_id", "group_size")
-    return keyed.groupBy("bucket").applyInPandas(_build, INDEX_SCHEMA)
+    return _by_bucket(keyed, buckets).groupBy("bucket").applyInPandas(_build, INDEX_SCHEMA)
 
 
 def _look_up(index: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
@@ -166,7 +171,8 @@ def _look_up(index: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
 def resolve(new: DataFrame, index: DataFrame, buckets: int) -> DataFrame:
     """Groups over history and new rows together: digest, keep_id, group_size, member."""
     keyed = groups_of(new).select(_bucket(buckets), "digest", "keep_id", "group_size")
-    return index.groupBy("bucket").cogroup(keyed.groupBy("bucket")).applyInPandas(_look_up, GROUP_SCHEMA)
+    old, fresh = (_by_bucket(x, buckets).groupBy("bucket") for x in (index, keyed))
+    return old.cogroup(fresh).applyInPandas(_look_up, GROUP_SCHEMA)
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
