@@ -17,6 +17,7 @@ from __future__ import annotations
 import base64
 import itertools
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -29,8 +30,8 @@ from leafwise.llm.common import bound_batches, text_bytes
 #: Pre-tokens (of at most CACHED bytes) whose ids a worker remembers; beyond it, it starts anew.
 CACHE = 200_000
 CACHED = 64
-#: Texts in a batch: the more pre-tokens share the queue, the fewer steps each costs.
-ROWS = 2000
+#: Bytes of text whose pre-tokens are held and share the queue: the more, the fewer steps each costs.
+TOGETHER = 2_000_000
 
 
 class RankQueue:
@@ -178,25 +179,57 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def encode_column(path: str, pattern: str, text: str = "text") -> Column:
-    """Token ids (little-endian 32-bit, as binary) of a text."""
+def _parts(texts: Iterator[bytes]) -> Iterator[list[bytes]]:
+    """Texts in runs of about ``TOGETHER`` bytes (a longer text is a run of its own)."""
+    held, size = [], 0
+    for t in texts:
+        if held and size + len(t) > TOGETHER:
+            yield held
+            held, size = [], 0
+        held.append(t)
+        size += len(t)
+    if held:
+        yield held
 
-    @F.pandas_udf("binary")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+
+class Memory:
+    """Ids of whole texts; remembers those of short pre-tokens."""
+
+    def __init__(self, codec: Codec, pattern: str):
         import regex
 
-        codec, find = Codec(load_ranks(path)), regex.compile(pattern).findall
-        known: dict[str, bytes] = {}
-        for texts in batches:
-            split = [find(t.decode("utf-8", "replace")) for t in texts]
+        self.codec, self.find, self.known = codec, regex.compile(pattern).findall, {}
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Ids (little-endian 32-bit, as bytes) of every text; pre-tokens are held for ``TOGETHER`` bytes of text at a time."""
+        out, known = [], self.known
+        for part in _parts(iter(texts)):
+            split = [self.find(t.decode("utf-8", "replace")) for t in part]
             if len(known) > CACHE:
                 known.clear()
             new = list(set(itertools.chain.from_iterable(split)).difference(known))
-            known.update(zip(new, codec.encode_pieces([p.encode() for p in new])))
-            yield pd.Series([b"".join(map(known.__getitem__, pieces)) for pieces in split], dtype=object)
+            known.update(zip(new, self.codec.encode_pieces([p.encode() for p in new])))
+            out += [b"".join(map(known.__getitem__, pieces)) for pieces in split]
             for p in new:
                 if len(p) > CACHED:
                     del known[p]
+        return out
+
+
+@cache
+def _codec(path: str) -> Codec:
+    """One per worker process, for all its tasks."""
+    return Codec(load_ranks(path))
+
+
+def encode_column(path: str, pattern: str, text: str = "text") -> Column:
+    """Token ids (little-endian 32-bit, as binary) of a text."""
+
+    @F.pandas_udf("binary")
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        memory = Memory(_codec(path), pattern)
+        for texts in batches:
+            yield pd.Series(memory.encode(list(texts)), dtype=object)
 
     return encode(text_bytes(text))
 
@@ -206,17 +239,30 @@ def decode_column(path: str, ids: Column) -> Column:
 
     @F.pandas_udf("binary")
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        pieces = {i: b for b, i in load_ranks(path).items()}
-        get = pieces.__getitem__
+        codec = _codec(path)
         for series in batches:
-            yield pd.Series([b"".join(map(get, np.frombuffer(x, "<u4").tolist())) for x in series], dtype=object)
+            yield pd.Series([codec.decode(np.frombuffer(x, "<u4").tolist()) for x in series], dtype=object)
 
     return decode(ids)
 
 
+def round_trip_column(path: str, pattern: str, text: str = "text") -> Column:
+    """struct(ids, decoded) of a text, from one worker: :func:`encode_column`, then :func:`decode_column` of its ids."""
+
+    @F.pandas_udf("ids binary, decoded binary")
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        codec = _codec(path)
+        memory = Memory(codec, pattern)
+        for texts in batches:
+            ids = memory.encode(list(texts))
+            yield pd.DataFrame({"ids": ids, "decoded": [codec.decode(np.frombuffer(x, "<u4").tolist()) for x in ids]}, dtype=object)
+
+    return both(text_bytes(text))
+
+
 def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """doc_id, ids (binary) and decoded (binary) of every document."""
-    bound_batches(docs.sparkSession, ROWS)
+    bound_batches(docs.sparkSession)
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), encode_column(path, pattern or public_tokenizers.PATTERN).alias("ids"))
-    return got.withColumn("decoded", decode_column(path, F.col("ids")))
+    both = round_trip_column(path, pattern or public_tokenizers.PATTERN)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), both.alias("both")).select("doc_id", "both.ids", "both.decoded")
