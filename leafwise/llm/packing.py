@@ -21,6 +21,7 @@ import itertools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -33,8 +34,9 @@ from leafwise.llm.common import bound_batches, parts_for, saved, text_bytes
 
 CAPACITY = 4096
 END_ID = 1
-#: Distinct words whose ids a worker remembers; beyond it, it starts anew.
-CACHE = 200_000
+#: Distinct words (of at most CACHED bytes) whose ids a worker remembers; beyond it, it starts anew.
+CACHE = 1_000_000
+CACHED = 64
 #: A mark that the tokenizer gives one id; words that hold it are encoded alone.
 BAR = "~"
 #: Words encoded in one call.
@@ -53,49 +55,71 @@ def tokens_column(path: str, text: str = "text", end_id: int = END_ID) -> Column
     """Token ids (little-endian 32-bit, as binary) of a text, the end id last.
 
     The tokenizer never joins characters across white space, so its ids for
-    a word hold wherever the word stands, and are looked up once per word.
+    a word hold wherever the word stands, and are looked up once per word and
+    worker process.  As the tokenizer itself does, the strings of its special
+    tokens in a text are those tokens.
     """
 
     @F.pandas_udf("binary")
     def tokenize(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        bar = tokenizer.encode(BAR, add_special_tokens=False).ids
-        known: dict[bytes, bytes] = {}
+        words = _words(path)
         end = np.array([end_id], "<u4").tobytes()
-
-        def one(word: bytes) -> bytes:
-            return np.array(tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
-
-        def learn(words: list[bytes]) -> None:
-            """Ids of many words from one call: the words joined by a mark that is one token."""
-            joined = f" {BAR} ".join(w.decode("utf-8", "replace") for w in words)
-            ids = np.array(tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(ids == bar[0]) if len(bar) == 1 else ids[:0]
-            if len(cuts) != len(words) - 1:
-                known.update((w, one(w)) for w in words)
-                return
-            raw, edges = ids.tobytes(), [-1, *cuts.tolist(), len(ids)]
-            for w, lo, hi in zip(words, edges, edges[1:]):
-                known[w] = raw[4 * lo + 4 : 4 * hi]
-
         for texts in batches:
-            split = [t.split() for t in texts]
-            if len(known) > CACHE:
-                known.clear()
-            new = list(set(itertools.chain.from_iterable(split)).difference(known))
-            plain = [w for w in new if BAR.encode() not in w]
-            for i in range(0, len(plain), JOINED):
-                learn(plain[i : i + JOINED])
-            known.update((w, one(w)) for w in new if BAR.encode() in w)
-            get = known.__getitem__
-            yield pd.Series([b"".join(map(get, words)) + end for words in split], dtype=object)
+            yield pd.Series([ids + end for ids in words.encode(list(texts))], dtype=object)
 
     return tokenize(text_bytes(text))
 
 
+class Words:
+    """Ids of whole texts, word by word, and of the words seen so far."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        bar = self.tokenizer.encode(BAR, add_special_tokens=False).ids
+        self.bar = bar[0] if len(bar) == 1 else None
+        self.known: dict[bytes, bytes] = {}
+
+    def one(self, word: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def learn(self, words: list[bytes]) -> None:
+        """Ids of many words from one call: the words joined by a mark that is one token."""
+        known = self.known
+        joined = f" {BAR} ".join(w.decode("utf-8", "replace") for w in words)
+        ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+        cuts = np.flatnonzero(ids == self.bar) if self.bar is not None else ids[:0]
+        if len(cuts) != len(words) - 1:
+            known.update((w, self.one(w)) for w in words)
+            return
+        raw, edges = ids.tobytes(), [-1, *cuts.tolist(), len(ids)]
+        for w, lo, hi in zip(words, edges, edges[1:]):
+            known[w] = raw[4 * lo + 4 : 4 * hi]
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        known = self.known
+        split = [t.split() for t in texts]
+        if len(known) > CACHE:
+            known.clear()
+        new = list(set(itertools.chain.from_iterable(split)).difference(known))
+        plain = [w for w in new if BAR.encode() not in w]
+        for i in range(0, len(plain), JOINED):
+            self.learn(plain[i : i + JOINED])
+        known.update((w, self.one(w)) for w in new if BAR.encode() in w)
+        out = [b"".join(map(known.__getitem__, words)) for words in split]
+        for w in new:
+            if len(w) > CACHED:
+                del known[w]
+        return out
+
+
+@cache
+def _words(path: str) -> Words:
+    """One per worker process: what one task has learnt serves the next."""
+    return Words(path)
+
+
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids; only documents over ``capacity`` are cut."""
     bound_batches(docs.sparkSession)
