@@ -14,8 +14,9 @@ to the next label; elements above any label are unlabelled for training.
 that mark their article themselves.
 
 Edge cases: NULL html is empty and has empty text; unclosed, stray and
-deeply nested tags are accepted; repeated rows and extra columns change
-nothing.  White space includes the no-break space.  ``<br>`` is white space.
+deeply nested tags are accepted; very long pages are read whole, in time
+linear in their length; an empty table gives no rows; repeated rows and extra
+columns change nothing.  White space includes the no-break space.  ``<br>`` is white space.
 """
 
 from __future__ import annotations
@@ -61,9 +62,8 @@ CLOSES = {
     "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select"}),
 }
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S
-)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+SIGN = re.compile("[>\"']")
 ATTRIBUTE = re.compile(r"""(class|id|role|data-main)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WORD = re.compile(r"[a-z]+")
 
@@ -81,6 +81,57 @@ class Tree:
     link_len: list[int] = field(default_factory=list)
 
 
+class Scanner:
+    """The comments, declarations and tags of a page one after the other, in time linear in the page.
+
+    A tag ends at the first ">" outside quotes; where quotes never end so, at
+    the first ">" of all.  Quotes from which no such end is reached are
+    remembered: no later tag follows them again.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.astray: set[int] = set()
+
+    def tag_end(self, pos: int) -> int:
+        """The ">" that ends the tag whose attributes start at ``pos``."""
+        page, way, at = self.page, [], pos
+        while (m := SIGN.search(page, at)) is not None:
+            i = m.start()
+            if page[i] == ">":
+                return i
+            if i in self.astray:
+                break
+            way.append(i)
+            at = page.find(page[i], i + 1) + 1
+            if not at:
+                break
+        self.astray.update(way)
+        return page.find(">", pos)
+
+    def next(self, pos: int) -> tuple[int, int, str, bool, str] | None:
+        """The next one from ``pos``: start, end, name ("" if no tag), whether it closes, attributes."""
+        page = self.page
+        while (lt := page.find("<", pos)) >= 0:
+            if page.startswith("<!--", lt):
+                end = page.find("-->", lt + 4)
+                return lt, len(page) if end < 0 else end + 3, "", False, ""
+            if lt > self.last:                # no tag ends any more; a comment may still begin
+                lt = page.find("<!--", lt)
+                if lt < 0:
+                    return None
+                pos = lt
+                continue
+            if page[lt + 1 : lt + 2] in ("!", "?"):
+                return lt, page.find(">", lt) + 1, "", False, ""
+            closes = page.startswith("/", lt + 1)
+            if (m := NAME.match(page, lt + 1 + closes)) is not None:
+                end = self.tag_end(m.end())
+                return lt, end + 1, m[0].lower(), closes, page[m.end() : end]
+            pos = lt + 1
+        return None
+
+
 def parse(page: str) -> Tree:
     """The tree of block elements of a page, with its blocks of text."""
     t = Tree()
@@ -98,10 +149,16 @@ def parse(page: str) -> Tree:
     root = node(-1, "#root", "")
     # open elements: (tag, node that holds their text, inside hidden, inside a link)
     stack = [("#root", root, False, False)]
-    open_count: dict[str, int] = {}
+    # depths of the open elements by tag, and of those that are blocks
+    depths: dict[str, list[int]] = {}
+    blocks = [0]
+    scanner = Scanner(page)
     run: list[str] = []
     pos = 0
 
+    def deepest(tags) -> int:
+        return max((depths[x][-1] for x in tags if depths.get(x)), default=0)
+
     def flush() -> None:
         text = " ".join(html.unescape("".join(run)).split())
         run.clear()
@@ -113,7 +170,8 @@ def parse(page: str) -> Tree:
             tag = stack[-1][0]
             if tag not in INLINE:
                 flush()
-            open_count[tag] -= 1
+                blocks.pop()
+            depths[tag].pop()
             stack.pop()
 
     def add_text(raw: str) -> None:
@@ -126,26 +184,22 @@ def parse(page: str) -> Tree:
                 t.link_len[holder] += n
 
     while pos < len(page):
-        m = TOKEN.search(page, pos)
-        if m is None:
+        found = scanner.next(pos)
+        if found is None:
             add_text(page[pos:])
             break
-        if m.start() > pos:
-            add_text(page[pos : m.start()])
-        pos = m.end()
-        name = (m[2] or m[5] or "").lower()
+        start, end, name, closes, attrs = found
+        if start > pos:
+            add_text(page[pos:start])
+        pos = end
         if not name:
             continue
-        if m[1] or m[4]:  # closing
-            if open_count.get(name):
-                depth = len(stack) - 1
-                while stack[depth][0] != name:
-                    depth -= 1
-                close_to(depth)
+        if closes:
+            if depths.get(name):
+                close_to(depths[name][-1])
             elif name not in INLINE:
                 flush()
             continue
-        attrs = m[3] or m[6] or ""
         if name == "br":
             run.append(" ")
             continue
@@ -155,23 +209,18 @@ def parse(page: str) -> Tree:
             continue
         if name not in INLINE:
             flush()
-            if open_count.get("p"):
-                depth = len(stack) - 1
-                while depth > 0 and (stack[depth][0] in INLINE):
-                    depth -= 1
-                if stack[depth][0] == "p":
-                    close_to(depth)
-            if name in CLOSES and any(open_count.get(x) for x in CLOSES[name][0]):
-                shut, barrier = CLOSES[name]
-                depth = len(stack) - 1
-                while depth > 0 and stack[depth][0] not in shut and stack[depth][0] not in barrier:
-                    depth -= 1
-                if stack[depth][0] in shut:
-                    close_to(depth)
+            if stack[blocks[-1]][0] == "p":
+                close_to(blocks[-1])
+            if name in CLOSES:
+                shut, barrier = map(deepest, CLOSES[name])
+                if shut > barrier:
+                    close_to(shut)
         holder = stack[-1][1] if name in INLINE else node(stack[-1][1], name, attrs)
         hidden = stack[-1][2] or name in RAW
+        if name not in INLINE:
+            blocks.append(len(stack))
+        depths.setdefault(name, []).append(len(stack))
         stack.append((name, holder, hidden, stack[-1][3] or name == "a"))
-        open_count[name] = open_count.get(name, 0) + 1
         if name in LITERAL:
             end = re.compile(f"</{name}", re.I).search(page, pos)
             pos = end.start() if end else len(page)
