@@ -7,13 +7,18 @@ upper bound of its false-rejection rate stays within the rule's share of
 ``ALPHA``; the first failure ends the sequence.  Testing in a fixed order
 needs no correction along the ladder, and the error rate ``DELTA`` is divided
 by the number of strata and rules (Bonferroni).  So with probability
-1 - DELTA no stratum loses more than ALPHA of its good documents.  A rule
-that cannot be certified in a stratum rejects nothing there.
+1 - DELTA no stratum loses more than ALPHA of its good texts to these rules.
+The base rule (few words, repeated windows) is fixed beforehand, has no such
+bound, and rejects beside them.  Copies are no independent draws: equal texts
+of a stratum count once.  A rule that cannot be certified in a stratum
+rejects nothing there.
 
 Edge cases: NULL text has no words and fails the base rule; documents without
 a label are not used for calibration, nor are ids labelled both ways; strata
 not seen in calibration reject by the base rule only; an empty label table
-certifies nothing.
+certifies nothing; an empty table of documents gives no rows; repeated rows
+get equal verdicts, as a verdict follows from the text and its stratum; very
+long texts are read whole; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -113,15 +118,15 @@ def upper_bound(k: int, n: int, delta: float) -> float:
 def calibrate(measured: DataFrame, labels: DataFrame) -> dict[str, dict[str, float]]:
     """Certified cutoffs: stratum -> rule -> cutoff.
 
-    ``measured`` has doc_id, stratum and the ratios; ``labels`` doc_id and
-    quality (1 good).  Only counts per stratum and cutoff reach the driver.
+    ``measured`` has doc_id, stratum, h (hash of the text) and the ratios;
+    ``labels`` doc_id and quality (1 good).  Only counts per stratum and cutoff reach the driver.
     """
     label = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("q"))
         .groupBy("doc_id").agg(F.min("q").alias("q"), F.max("q").alias("q_most"))
         .where("q = 1 and q_most = 1").select("doc_id")
     )
-    good = measured.join(label, "doc_id", "left_semi")
+    good = measured.select("doc_id", "stratum", "h", *LADDERS).join(label, "doc_id", "left_semi").dropDuplicates(["stratum", "h"])
     over = [F.sum((F.col(r) > c).cast("long")).alias(f"{r}_{i}") for r, cs in LADDERS.items() for i, c in enumerate(cs)]
     rows = good.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *over).collect()
     share, error = ALPHA / len(LADDERS), DELTA / max(1, len(LADDERS) * len(rows))
@@ -152,15 +157,20 @@ def stratum_column() -> Column:
     return F.coalesce(F.col("lang").cast("string"), F.lit(""))
 
 
+def text_hash() -> Column:
+    """Tells texts apart (64 bits; NULL as empty)."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
 def measure(docs: DataFrame) -> DataFrame:
-    """Measures of every document, written once: doc_id, stratum and the columns of ``STRUCT``."""
+    """Measures of every document, written once: doc_id, stratum, h and the columns of ``STRUCT``."""
     bound_batches(docs.sparkSession)
-    got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), stratum_column().alias("stratum"), measures_column().alias("m"))
-    return saved(got.select("doc_id", "stratum", "m.*"), "quality")
+    got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), stratum_column().alias("stratum"), text_hash().alias("h"), measures_column().alias("m"))
+    return saved(got.select("doc_id", "stratum", "h", "m.*"), "quality")
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Measures, base_failed and kept for every document."""
     measured = measure(docs)
     base, kept = verdict(calibrate(measured, labels), F.col("stratum"), F.col)
-    return measured.withColumns({"base_failed": base, "kept": kept})
+    return measured.drop("h").withColumns({"base_failed": base, "kept": kept})
