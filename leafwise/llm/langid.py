@@ -10,8 +10,8 @@ is rejected when that cosine is below ``SLACK`` times what all but the share
 
 Edge cases: NULL text, or one without a letter, is ``und`` with score 0 and
 rejected; with no labelled row at all every text is ``und``; ties between
-centroids go to the language first in order; repeated rows and extra columns
-change nothing.
+centroids go to the language first in order; very long texts are read whole;
+an empty table gives no rows; repeated rows and extra columns change nothing.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from leafwise.llm.common import bound_batches, text_bytes
 
 #: Hashed n-gram features.
 WIDTH = 8192
-#: Labelled rows per language from which its centroids are fitted, about (chosen by a hash of the id).
+#: Labelled rows per language from which its centroids are fitted, about (chosen by a hash of id and text).
 SAMPLE = 1000
 CENTROIDS = 3
 ROUNDS = 8
@@ -132,8 +132,9 @@ def fit(train: DataFrame) -> Model:
 
     per_lang = rows.groupBy("lang").count().collect()  # one row per language
     rate = F.create_map(*[F.lit(x) for r in per_lang for x in (r["lang"], min(1.0, SAMPLE / r["count"]))])
-    draw = F.pmod(F.xxhash64("id", F.lit("langid")), F.lit(1_000_000)) / 1_000_000
-    sample = rows.where(draw < rate[F.col("lang")])
+    # by id and text, and of rows repeated whole one: no id and no copy brings its whole group into a task
+    draw = F.pmod(F.xxhash64("id", "text", F.lit("langid")), F.lit(1_000_000)) / 1_000_000
+    sample = rows.where(draw < rate[F.col("lang")]).dropDuplicates(["lang", "text"])
 
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
         got = [v for t in pdf["text"] if (v := vector(t.decode("utf-8", "replace"), idf)) is not None]
