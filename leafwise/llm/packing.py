@@ -11,8 +11,9 @@ and so are the bins for what the rounding leaves.  A bin used ``m`` times is
 one entry of the plan; a piece finds its bin by arithmetic on its rank among
 the pieces of its length, so no sequence is ever built in one task.
 
-Edge cases: a NULL or empty text is the end token alone; repeated rows are
-packed as often as they occur; an empty table gives no rows.
+Edge cases: a NULL or empty text is the end token alone; repeated rows, and
+rows of one or no doc_id, are packed each by itself; very long texts are cut
+into pieces; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -303,5 +304,6 @@ def pack_documents(docs: DataFrame, path: str | None = None, keep_ids: bool = Tr
     token ids travel along, so that a sequence can be written by sorting on
     sequence_id and offset.
     """
-    got = pieces(docs, path).withColumn("ids_crc32", F.crc32("ids"))
-    return pack(saved(got if keep_ids else got.drop("ids"), "pieces"), ["doc_id", "piece"])
+    got = pieces(docs, path).withColumns({"ids_crc32": F.crc32("ids"), "row": F.monotonically_increasing_id()})
+    # rows are told apart by number: many may share an id
+    return pack(saved(got if keep_ids else got.drop("ids"), "pieces"), ["doc_id", "piece", "row"]).drop("row")
