@@ -8,8 +8,9 @@ merged at once, left to right; positions whose pair has changed since they
 were queued are stale and skipped.  Every merge queues two new pairs at most,
 so n bytes cost O(n) queue entries however long a pre-token is.
 
-Edge cases: NULL text is empty; no ids decode to no bytes; repeated rows and
-extra columns change nothing.
+Edge cases: NULL text is empty; no ids decode to no bytes; very long texts are
+encoded whole; an empty table gives no rows; repeated rows and extra columns
+change nothing.
 """
 
 from __future__ import annotations
