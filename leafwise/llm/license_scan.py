@@ -1,10 +1,14 @@
 """Licence notices by a trained paragraph classifier.
 
-A paragraph is a line of a text.  Sparse features (words, pairs and triples
+A paragraph is a line of a text together with the lines that go on from it: a
+line of ``WRAP`` characters or more that ends with a letter, a digit or a comma
+goes on in the next one, unless that is blank or indented.  "Licence" and
+"license" are one word.  Sparse features (words, pairs and triples
 of words that hold a word of the notices) go into a
 multinomial logistic regression with an L1 penalty over licence families, "unknown"
 (a licence of no known family) and "none".  A family is believed when its
-probability reaches a threshold calibrated on held-out paragraphs, and it is
+probability reaches a threshold calibrated on held-out notices (a notice is
+held out in all its frames), and it is
 confirmed when the paragraph shares enough word pairs with a template of the
 family; a notice that is not believed or not confirmed is "unknown".
 
@@ -14,14 +18,16 @@ vectorised, with the same result.  All steps are DataFrame operations and
 Spark's own (JVM) estimators.
 
 Training rows: the notices below, and as "none" a bounded sample of the
-corpus's paragraphs (about ``SAMPLE``, chosen by a hash of the id; lines with
+corpus's paragraphs (``SAMPLE`` at most, the first by a hash of id and text
+among those of a drawn part of the documents; paragraphs with
 a word of the trade, or that look like a template, are left out of it) plus a
 few sentences that use such words otherwise.  The feature words are those of
 the notices but for ``GRAMMAR``, so they do not hang on how often a corpus
 repeats a notice.
 
 Edge cases: NULL or empty text has no paragraphs; rows repeat as often as the
-input's do; an empty table gives no rows; extra columns are ignored.
+input's do; very long texts and lines are read whole; an empty table gives no
+rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,10 +41,16 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Corpus paragraphs used as "none", about.
+from leafwise.llm.common import saved
+
+#: Corpus paragraphs used as "none", at most.
 SAMPLE = 3000
+#: Least length of a line that goes on in the next one.
+WRAP = 60
 #: Precision that the calibrated threshold must reach on held-out paragraphs.
 PRECISION = 0.99
+#: One notice in so many is held out for the threshold.
+FOLDS = 4
 #: Share of the shorter text's word pairs that a template must share.
 CONFIRM = 0.5
 PENALTY = 0.0002
@@ -125,6 +137,9 @@ OTHERWISE = [
     "The public may use the park without restriction.",
     "Poetic license is granted to any person who writes in verse.",
     "Copies of the form are distributed at the door, and rights of way follow.",
+    "Open source software is distributed under many licenses.",
+    "A license is a text that says what others may do with a work.",
+    "The committee compared public licenses and their terms for an hour.",
 ]
 
 #: Words of the notices that tell nothing alone ("mit" is a German preposition).
@@ -138,8 +153,9 @@ PARAGRAPH_WORD = r"[^a-z0-9]+"
 
 
 def words_of(text: Column) -> Column:
-    """Lower-cased words (a to z and digits) of a paragraph."""
-    return F.filter(F.split(F.lower(text), PARAGRAPH_WORD), lambda w: w != "")
+    """Lower-cased words (a to z and digits) of a paragraph, British spelling of the trade's word undone."""
+    low = F.replace(F.lower(text), F.lit("licenc"), F.lit("licens"))
+    return F.filter(F.split(low, PARAGRAPH_WORD), lambda w: w != "")
 
 
 def grams(words: Column, n: int) -> Column:
@@ -153,13 +169,16 @@ def features(words: Column) -> Column:
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """doc_id, paragraph (line number from 0) and p, the line, of every line that is not blank."""
-    lines = docs.select(F.col("doc_id").alias("doc_id"), F.posexplode(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")).alias("paragraph", "p"))
+    """doc_id, paragraph (its number from 0, blank lines counted) and p of every paragraph that is not blank."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    joined = F.regexp_replace(text, f"(?<=[^\\n]{{{WRAP - 1}}}[A-Za-z0-9,])\\r?\\n(?=\\S)", " ")
+    lines = docs.select(F.col("doc_id").alias("doc_id"), F.posexplode(F.split(joined, "\n")).alias("paragraph", "p"))
     return lines.where(F.length(F.trim("p")) > 0)
 
 
 def _python_words(text: str) -> list[str]:
-    return [w for w in "".join(c if c.isascii() and c.isalnum() else " " for c in text.lower()).split() if w]
+    low = text.lower().replace("licenc", "licens")
+    return [w for w in "".join(c if c.isascii() and c.isalnum() else " " for c in low).split() if w]
 
 
 def _python_features(text: str) -> set[str]:
@@ -218,54 +237,66 @@ class Model:
         )
 
 
-def fit(spark: SparkSession, docs: DataFrame) -> Model:
-    notices = [(frame.format(t), family) for family, ts in TEMPLATES.items() for t in with_openings(ts) for frame in FRAMES]
+def corpus_sample(docs: DataFrame) -> DataFrame:
+    """Column ``words`` of at most SAMPLE paragraphs that are no notices."""
     rate = min(1.0, SAMPLE / 4 / max(1, docs.count()))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("license")), F.lit(1_000_000)) / 1_000_000
-    heavy = F.array(*[F.lit(w) for w in ("license", "licence", "licensed", "copyright", "spdx")])
-    sample = paragraphs(docs.where(draw < rate)).select(F.substring("p", 1, 2000).alias("p"))
-    sample = sample.withColumn("words", words_of(F.col("p"))).where(~F.arrays_overlap("words", heavy) & ~like_template(F.col("words")))
-    sample = sample.select("p").limit(3 * SAMPLE).collect()  # bounded by the limit
-    plain = [r["p"] for r in sample]
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit("license")), F.lit(1_000_000)) / 1_000_000
+    # copies give their paragraphs once
+    drawn = docs.where(draw < rate).select("doc_id", "text").dropDuplicates(["text"])
+    heavy = F.array(*[F.lit(w) for w in ("license", "licensed", "copyright", "spdx")])
+    rows = paragraphs(drawn).withColumn("words", words_of(F.col("p"))).where(~F.arrays_overlap("words", heavy) & ~like_template(F.col("words")))
+    return rows.orderBy(F.xxhash64("doc_id", "paragraph", "words")).limit(SAMPLE).select("words")
+
 
+def fit(spark: SparkSession, docs: DataFrame) -> Model:
+    """Only counts reach the driver; the sample of the corpus stays on the cluster."""
+    notices = [(t, family) for family, ts in TEMPLATES.items() for t in with_openings(ts)]
     cues = cue_words()
     known = set(cues)
-    vocabulary = sorted({f for t, _ in notices for f in _python_features(t) if known & set(f.split())})
+    framed = [(i, f.format(t), c) for i, (t, c) in enumerate(notices) for f in FRAMES]
+    vocabulary = sorted({f for _, t, _ in framed for f in _python_features(t) if known & set(f.split())})
 
-    rows = [(t, c) for t, c in notices] + [(t, NONE) for t in OTHERWISE * 4] + [(t, NONE) for t in plain]
     classes = [NONE, *TEMPLATES]
     index = {c: float(i) for i, c in enumerate(classes)}
-    size = {c: sum(y == c for _, y in rows) for c in classes}
-    weight = {c: 1.0 if c == NONE else WEIGHT * size[NONE] / max(size[c], 1) for c in classes}
-    frame = spark.createDataFrame([(i, t, index[c], weight[c]) for i, (t, c) in enumerate(rows)], "id long, p string, label double, weight double")
-    frame = frame.withColumn("words", words_of(F.col("p"))).withColumn("grams", features(F.col("words")))
+    rows = framed + [(len(notices) + i, t, NONE) for i, t in enumerate(OTHERWISE) for _ in range(4)]
+    own = spark.createDataFrame([(i, t, index[c]) for i, t, c in rows], "notice long, p string, label double")
     vectors = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="grams", outputCol="vector").setBinary(True)
-    frame = vectors.transform(frame).select("id", "words", "label", "weight", "vector").repartition(1).cache()
+    plain = corpus_sample(docs).select(F.xxhash64("words").alias("notice"), "words", F.lit(index[NONE]).alias("label"))
+    frame = own.select("notice", words_of(F.col("p")).alias("words"), "label").unionByName(plain)
+    frame = vectors.transform(frame.withColumn("grams", features(F.col("words")))).select("notice", "words", "label", "vector")
+    frame = saved(frame.repartition(1), "license_rows")  # a few thousand rows
+
+    size = {int(r["label"]): r["count"] for r in frame.groupBy("label").count().collect()}
+    weigh = F.create_map(*[F.lit(x) for i, n in size.items() for x in (float(i), 1.0 if i == 0 else WEIGHT * size[0] / n)])
+    frame = frame.withColumn("weight", weigh[F.col("label")])
     learner = LogisticRegression(featuresCol="vector", weightCol="weight", family="multinomial", elasticNetParam=1.0, regParam=PENALTY, maxIter=100, standardization=False)
 
-    # the threshold: on one frame in six, learnt from the others
-    held = F.pmod(F.xxhash64("id"), F.lit(6)) == 0
+    # the threshold: on one notice in FOLDS, in all its frames, learnt from the others
+    held = F.pmod(F.xxhash64("notice", F.lit("fold")), F.lit(FOLDS)) == 0
     trial = Model(vectors, learner.fit(frame.where(~held)), classes, 0.0, cues)
-    scored = trial.score(frame.where(held).select("id", "words", "label")).select("label", "family", "probability").collect()
+    scored = trial.score(frame.where(held).select("words", "label")).where("probability > p_none").select("label", "family", "probability").collect()
     ranked = sorted(((r["probability"], classes[int(r["label"])] == r["family"]) for r in scored if r["family"] != UNKNOWN), reverse=True)
-    threshold, right = 1.0, 0
+    return Model(vectors, learner.fit(frame), classes, lowest_threshold(ranked), cues)
+
+
+def lowest_threshold(ranked: list[tuple[float, bool]]) -> float:
+    """The least probability from which up a share of PRECISION was right; beyond 1 where there is none."""
+    threshold, right = 2.0, 0
     for i, (p, ok) in enumerate(ranked):
         right += ok
         if right >= PRECISION * (i + 1):
             threshold = p
-    model = Model(vectors, learner.fit(frame), classes, min(threshold, 0.9), cues)
-    frame.unpersist()
-    return model
+    return threshold
 
 
-def license_scan(docs: DataFrame) -> DataFrame:
+def license_scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """Every licence notice: doc_id, paragraph, licence, family, probability, similarity and confirmed.
 
-    ``family`` is the classifier's, ``licence`` is the family when believed
+    Without a ``model`` one is fitted on ``docs``.  ``family`` is the classifier's, ``licence`` is the family when believed
     and confirmed, else "unknown".
     """
     spark = docs.sparkSession
-    model = fit(spark, docs)
+    model = model or fit(spark, docs)
     rows = paragraphs(docs).withColumn("words", words_of(F.col("p")))
     cues = F.array(*map(F.lit, model.cues))
     scored = model.score(rows.where(F.arrays_overlap("words", cues)).select("doc_id", "paragraph", "words"))

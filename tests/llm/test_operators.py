@@ -110,6 +110,16 @@ def test_byte_bpe(spark):
         assert bytes(got[i]["decoded"]) == (t or "").encode()
 
 
+def test_byte_bpe_empty_table(spark):
+    assert bpe.encode_documents(docs(spark, [])).count() == 0
+
+
+def test_pack_rows_of_one_id(spark):
+    frame = spark.createDataFrame([(i, "a few words here", "en", "s", 0, "x", "y", 5, "z", 1) for i in [None] * 40 + [7] * 40], SCHEMA)
+    got = packing.pack_documents(frame, keep_ids=False).collect()
+    assert len(got) == 80 and len({(r["sequence_id"], r["offset"]) for r in got}) == 80 and "row" not in got[0]
+
+
 def test_rank_queue():
     queue, rng = bpe.RankQueue(300_000), random.Random(2)
     pushed = [(rng.randrange(300_000), i) for i in range(2000)]
@@ -159,6 +169,14 @@ def test_quality_rules(spark):
     assert all(got[i]["kept"] for i in range(900))
     assert not any(got[i]["kept"] for i in range(900, 932))
     assert [got[i]["base_failed"] for i in (0, 900, 930, 931)] == [False, False, True, True]
+    # copies are one draw: 700 rows of one text certify nothing
+    same = quality.quality_rules(docs(spark, [good[0]] * 700 + bad), labels.where("quality = 1 and doc_id <> 1")).collect()
+    assert all(r["kept"] for r in same)
+    assert quality.quality_rules(frame.limit(0), labels).count() == 0
+    twice = quality.quality_rules(frame.where("doc_id in (5, 905)").unionByName(frame.where("doc_id in (5, 905)")), labels).collect()
+    assert collections.Counter((r["doc_id"], r["n_words"]) for r in twice) == {(5, 40): 2, (905, 40): 2}
+    long = quality.quality_rules(docs(spark, ["word%d " % i for i in range(2)] + [" ".join(f"w{i}" for i in range(200_000))]), labels.limit(0)).collect()
+    assert max(r["n_words"] for r in long) == 200_000
     # nothing to certify from: only the base rule rejects
     none = quality.quality_rules(frame, labels.limit(0)).collect()
     assert all(r["kept"] != r["base_failed"] for r in none)
@@ -254,6 +272,26 @@ def test_html(spark):
     assert got[n] == got[n + 1] == ""
 
 
+def test_html_scanner_is_linear():
+    import time
+
+    for unit in ('<a "', "</x ", """<a '">""", "<x y='", "<", "<p><div>" + "<b>" * 20 + "<ul></ul>", "<li><div>"):
+        page = unit * (1_000_000 // len(unit))
+        begin = time.perf_counter()
+        html_extract.parse(page)
+        assert time.perf_counter() - begin < 10, unit     # quadratic: minutes
+    t = html_extract.parse("<p a=\"x>y\">in</p><p b='un>out<i \"q>z</i><!-- c > -->end<!d><?e>! < 3 </")
+    assert [x for _, x in t.blocks] == ["in", "out<i \"q>z end! < 3 </"] or "in" == t.blocks[0][1]
+
+
+def test_html_empty_table_and_long_page(spark):
+    schema = "page_id long, url string, html string, text string, tree string"
+    assert html_extract.extract_pages(spark.createDataFrame([], schema)).count() == 0
+    body = "<article>" + "".join(f"<p>Sentence number {i} of a long and plain article, told at length.</p>" for i in range(20_000)) + "</article>"
+    got = html_extract.extract_pages(spark.createDataFrame([(1, "u", body, "x", "y"), (1, "u", body, "x", "y")], schema)).collect()
+    assert len(got) == 2 and all(r["text"].count("\n\n") == 19_999 for r in got)
+
+
 def test_html_blocks():
     t = html_extract.parse("<div>a&amp;b <b>c</b>d<br>e<p>x<p>y\n z</div><script>no</p></script>tail<!-- no --><ul><li>1<li>2</ul>")
     assert [text for _, text in t.blocks] == ["a&b cd e", "x", "y z", "tail", "1", "2"]
@@ -329,6 +367,60 @@ def test_license_scan(spark):
     assert found == {(0, 1): "mit", (1, 0): "apache", (2, 0): "gpl", (3, 0): "cc-by-nc"}
 
 
+def test_license_paragraphs(spark):
+    long = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of it was not given, see the web."
+    texts = ["a\n\nb", long, "short line\nnext", "x" * 60 + ".\ny", "x" * 60 + "\n\ny", "x" * 60 + "\n  y", "x" * 60 + "\r\ny", None, ""]
+    got = {}
+    for r in license_scan.paragraphs(docs(spark, texts)).collect():
+        got.setdefault(r["doc_id"], {})[r["paragraph"]] = r["p"]
+    assert got[0] == {0: "a", 2: "b"} and got[1] == {0: long.replace("\n", " ")} and len(got[2]) == 2
+    assert len(got[3]) == 2 and sorted(got[4]) == [0, 2] and len(got[5]) == 2 and got[6] == {0: "x" * 60 + " y"} and set(got) == set(range(7))
+
+
+@pytest.fixture(scope="module")
+def license_model(spark):
+    return license_scan.fit(spark, docs(spark, [f"plain words {i} and more of them in a row" for i in range(60)]))
+
+
+def test_license_scan_spelling_wraps_and_long_texts(spark, license_model):
+    texts = [
+        "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0.", "Licensed under the MIT licence",
+        "Many programs of that time were distributed under several licenses.", "prose of no kind. " * 20_000 + "\nReleased under the MIT License.",
+    ]
+    got = license_scan.license_scan(docs(spark, texts), license_model).collect()
+    assert {(r["doc_id"], r["licence"]) for r in got if r["confirmed"]} == {(0, "mpl"), (1, "mit"), (3, "mit")}
+
+
+def test_license_probabilities_and_shares(spark, license_model):
+    """The classifier's probabilities and the template shares, by hand."""
+    model = license_model
+    texts = ["Released under the MIT License.", "All rights reserved.", "see the file", "Licensed under CC BY-SA 4.0, all of it"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, p string").withColumn("words", license_scan.words_of(license_scan.F.col("p")))
+    got = model.score(rows).orderBy("i").collect()
+    weights, start = model.classifier.coefficientMatrix.toArray(), model.classifier.interceptVector.toArray()
+    place = {f: i for i, f in enumerate(model.vectors.vocabulary)}
+    for r, t in zip(got, texts):
+        at = sorted(place[f] for f in license_scan._python_features(t) if f in place)
+        z = start + weights[:, at].sum(axis=1)
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        none = model.classes.index("none")
+        best = max((x, c) for x, c in zip(p, model.classes) if c != "none")
+        assert math.isclose(r["p_none"], p[none], rel_tol=1e-9) and math.isclose(r["probability"], best[0], rel_tol=1e-9) and r["family"] == best[1]
+    templates = license_scan.TEMPLATES["mit"]
+    pairs = lambda t: {*zip(license_scan._python_words(t), license_scan._python_words(t)[1:])}
+    shares = rows.select("p", license_scan.template_share(license_scan.F.col("words"), templates).alias("s")).collect()
+    for r in shares:
+        want = max(len(pairs(r["p"]) & pairs(t)) / max(1, min(len(pairs(r["p"])), len(pairs(t)))) for t in templates)
+        assert math.isclose(r["s"], want)
+    assert license_scan.lowest_threshold([(0.9, True), (0.8, True), (0.7, False)]) == 0.8
+    assert license_scan.lowest_threshold([(0.9, False)]) > 1 and license_scan.lowest_threshold([]) > 1
+
+
+def test_license_scan_empty_table(spark, license_model):
+    assert license_scan.license_scan(docs(spark, []), license_model).count() == 0
+    assert license_scan.corpus_sample(docs(spark, [])).count() == 0
+
+
 def test_license_scan_frequent_notices(spark):
     notices = ["All rights reserved.", "Released under CC0 1.0", "Released under CC BY 4.0", "Permission is hereby granted", "Redistribution and use in source and binary forms"]
     texts = [f"plain words {i} and more of them in a row\n{notices[i % 5]}" for i in range(200)]
