@@ -11,24 +11,28 @@ by shingles.  The product is taken in blocks that can hold a link:
    one of them, which gives clusters that no link leaves.
 3. A cluster is a block: overlaps accumulate over slices of its shingles, and
    pairs below the bound that follows from their sizes are discarded.  A
-   cluster too large for one block is multiplied against pivots first, a slice
-   of members per task; members that the pivots link are one component.
-   Members outside the largest component are then multiplied against the
-   texts of other components that share a rare shingle with them.  Before
-   their sets move, pairs go whose parity bitmaps differ in more places than
-   the sets of a linked pair can (each place that differs is an element of
-   only one of the two sets); then each text is tried with one of its
-   partners, and last the pairs that still join two components.
-
-So no link between different texts is lost, only texts outside a cluster's
-largest component are ever rows of pairs, and a group of copies or near
-copies costs its size, not its square.
+   cluster too large for one block is first tried by stars: under every rare
+   shingle the text that shares most with others is tried with the rest, so
+   that families of copies become components by no more pairs than postings.
+   Members outside the largest component are then tried with the texts of
+   other components that share a rare shingle with them: short posting lists
+   as pairs, long ones by blocks (a list of many parts by pairs of its parts).
+   What moves is a parity bitmap: a pair goes whose bitmaps differ in more
+   places than the sets of a linked pair can (each place that differs is an
+   element of only one of the two sets).  Sets are made only for pairs that
+   pass: one partner of each text first, then those that still join two
+   components.
+
+So no link between different texts is lost, and rows of pairs are only those
+of texts outside their cluster's largest component that sizes and bitmaps
+cannot tell from links.
 Shingles and texts are told apart by 64-bit hashes.
 
 Edge cases: NULL or blank text has no shingles and links with nothing; fewer
 words than a shingle make one shingle; repeated rows and ties join the same
 component; a row with a NULL doc_id takes no part and has a NULL component; an
-empty table gives no rows.
+empty table gives no rows; very long texts are read whole; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -53,14 +57,18 @@ TABLE_BITS = 20
 SLICE = 4096
 #: log2 of the bits that tell which documents' sets are needed; others may pass, none is missed.
 FILTER_BITS = 23
-#: Members of a cluster that are one block; a larger cluster goes by pivots.
+#: Members of a cluster that are one block; a larger cluster goes by stars.
 BLOCK = 2048
-#: Pivots in a task, members in a slice of a large cluster, and numbers in a slice of an incidence matrix.
-PIVOTS = 128
-MEMBERS = 256
+#: Numbers in a slice of an incidence matrix.
 CELLS = 1 << 22
 #: Pairs of texts that a task holds at once, on average.
 PAIRS = 200
+#: Longest posting list that is one block, postings in a task, on average, and rows of bitmaps compared at once.
+LIST = 4096
+POSTINGS = 50_000
+CHUNK = 256
+#: Posting lists up to this length are lists of pairs; in longer ones bitmaps are compared first.
+SHORT = 16
 #: Distinct words whose hashes a worker remembers; beyond it, it starts anew.
 CACHE = 200_000
 NO_ID = -(2**63)
@@ -133,7 +141,8 @@ def count_table(docs: DataFrame, words: int = WORDS) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, table: np.ndarray, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
-    """doc_id, k (hash of the word sequence), n (set size) and the prefix (rarest shingles, as binary) of every document."""
+    """doc_id, k (hash of the word sequence), n (set size), the prefix (rarest shingles, as binary) and the parity
+    bitmap of every document."""
     level = docs.sparkSession.sparkContext.broadcast(table)  # 2**TABLE_BITS numbers
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -144,12 +153,12 @@ def signatures(docs: DataFrame, table: np.ndarray, percent: int = PERCENT, words
                 h = np.unique(shingler.hashes(w))
                 n = len(h)
                 rare = np.lexsort((h, count[_slot(h)]))[: n - (-(-percent * n // 100)) + 1] if n else []
-                rows.append((_text_key(w), n, h[rare].tobytes()))
-            yield pd.DataFrame(rows, columns=["k", "n", "prefix"]).assign(doc_id=pdf["doc_id"])[["doc_id", "k", "n", "prefix"]]
+                rows.append((_text_key(w), n, h[rare].tobytes(), _parity(h)))
+            yield pd.DataFrame(rows, columns=["k", "n", "prefix", "bits"]).assign(doc_id=pdf["doc_id"])[["doc_id", "k", "n", "prefix", "bits"]]
 
     # a NULL id travels as the least number: pandas would make ids beside it inexact
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), text_bytes().alias("t"))
-    return rows.mapInPandas(sign, "doc_id long, k long, n long, prefix binary").withColumn("doc_id", F.nullif(F.col("doc_id"), F.lit(NO_ID)))
+    return rows.mapInPandas(sign, "doc_id long, k long, n long, prefix binary, bits binary").withColumn("doc_id", F.nullif(F.col("doc_id"), F.lit(NO_ID)))
 
 
 def _postings(signed: DataFrame) -> DataFrame:
@@ -273,47 +282,93 @@ def _link_small(percent: int):
     return link
 
 
-def _link_pivots(percent: int):
-    def link(pivots: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
-        if not len(pivots) or not len(members):
-            return pd.DataFrame({"u": np.zeros(0, np.int64), "v": np.zeros(0, np.int64)})
-        p, k = pivots["k"].to_numpy(), members["k"].to_numpy()
-        hit = linked(_sets(pivots["s"]), _sets(members["s"]), percent)
-        # a member needs one of its pivots, and pivots that share a member one edge each
-        first = hit.argmax(axis=0)
-        some = hit.any(axis=0)
-        u, v = [k[some]], [p[first[some]]]
-        for i in range(len(p)):
-            other = np.unique(first[hit[i] & some])
-            u.append(np.full(len(other), p[i]))
-            v.append(p[other])
-        got = pd.DataFrame({"u": np.concatenate(u), "v": np.concatenate(v)})
-        return got[got["u"] != got["v"]]
-
-    return link
-
-
-def _parity(s: bytes) -> bytes:
-    """Bitmap of at least one place per element: the places that an odd number of elements hash to."""
-    h = np.frombuffer(s, np.uint64)
-    size = 1 << max(6, (len(h) - 1).bit_length())
+def _parity(h: np.ndarray) -> bytes:
+    """Bitmap of at least two places per element: the places that an odd number of elements hash to."""
+    size = 1 << max(6, (max(len(h), 1) - 1).bit_length() + 1)
     return np.packbits((np.bincount((h & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8)).tobytes()
 
 
-def parity(s: str) -> Column:
-    """The parity bitmap of the sets in column ``s``."""
-
-    @F.pandas_udf("binary")
-    def bitmap(sets: pd.Series) -> pd.Series:
-        return sets.map(_parity)
+def _folded(bits: list[np.ndarray], words: int) -> np.ndarray:
+    """Bitmaps as rows of ``words`` numbers, larger ones folded: folding adds the parities of places that fall together."""
+    return np.stack([np.bitwise_xor.reduce(x.reshape(-1, words), axis=0) for x in bits])
 
-    return bitmap(s)
 
+def passing(x: np.ndarray, y: np.ndarray, n: np.ndarray, bits: list[np.ndarray], allowed, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (of ``x`` and ``y``, positions) that sizes and bitmaps let reach the threshold; ``allowed(i, j)`` masks others.
 
-def differing(a: bytes, b: bytes) -> int:
-    """Places in which two parity bitmaps differ, the larger one folded: no more than the elements of only one set."""
-    x, y = sorted((np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)), key=len)
-    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum())
+    Bitmaps are compared at the smaller of two lengths, which are powers of
+    two that follow from the sizes; a linked pair's are equal or neighbours.
+    """
+    length = np.array([len(b) for b in bits])
+    out_i, out_j = [], []
+    for p in np.unique(length[x]):
+        for q in np.unique(length[y]):
+            words = int(min(p, q))
+            xs, ys = x[length[x] == p], y[length[y] == q]
+            if not len(xs) or not len(ys) or 100 * n[xs].max() < percent * n[ys].min() or 100 * n[ys].max() < percent * n[xs].min():
+                continue
+            b = _folded([bits[i] for i in ys], words)
+            for lo in range(0, len(xs), CHUNK):
+                some = xs[lo : lo + CHUNK]
+                a = _folded([bits[i] for i in some], words)
+                total = n[some][:, None] + n[ys][None, :]
+                ok = allowed(some[:, None], ys[None, :]) & (100 * np.minimum(n[some][:, None], n[ys][None, :]) >= percent * np.maximum(n[some][:, None], n[ys][None, :]))
+                if not ok.any():
+                    continue
+                differ = np.zeros(ok.shape, np.int64)
+                for w in range(words):
+                    differ += np.bitwise_count(a[:, w, None] ^ b[None, :, w])
+                i, j = np.nonzero(ok & ((total - differ) * (100 + percent) >= 2 * percent * total))
+                out_i.append(some[i])
+                out_j.append(ys[j])
+    if not out_i:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(out_i), np.concatenate(out_j)
+
+
+def _short_pairs(percent: int):
+    """Pairs (k, other, total) of strays and texts of other components in short posting lists, many lists at once."""
+
+    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("token", kind="stable")
+        token, stray, k, comp, n = (pdf[c].to_numpy() for c in ("token", "stray", "k", "comp", "n"))
+        starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+        sizes = np.diff(np.r_[starts, len(token)])
+        out = []
+        for z in np.unique(sizes[sizes > 1]):
+            lists = starts[sizes == z][:, None] + np.arange(z)
+            i, j = (lists[:, c].ravel() for c in np.triu_indices(z, 1))
+            ok = (comp[i] != comp[j]) & (stray[i] | stray[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+            i, j = i[ok], j[ok]
+            turn = ~stray[i] | (stray[j] & (k[j] < k[i]))
+            i, j = np.where(turn, j, i), np.where(turn, i, j)
+            out.append(np.stack([k[i], k[j], n[i] + n[j]], axis=1))
+        got = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), np.int64)
+        return pd.DataFrame({"k": got[:, 0], "other": got[:, 1], "total": got[:, 2]})
+
+    return pairs
+
+
+def _long_pairs(percent: int):
+    """Pairs (k, other) of strays and texts of other components in long posting lists that pass the bitmaps; a
+    token's list is whole in its group, or one of the pairs (a, b) of its parts."""
+
+    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for (_, a, b), part in pdf.groupby(["token", "a", "b"], sort=False):
+            stray, k, comp, slot = (part[c].to_numpy() for c in ("stray", "k", "comp", "slot"))
+            bits = [np.frombuffer(x, np.uint64) for x in part["bits"]]
+
+            def allowed(i, j):
+                ok = (comp[i] != comp[j]) & (~stray[j] | (k[i] < k[j]))
+                return ok if a == b else ok & (slot[i] != slot[j])
+
+            i, j = passing(np.flatnonzero(stray), np.arange(len(k)), part["n"].to_numpy(), bits, allowed, percent)
+            found.append(np.stack([k[i], k[j]], axis=1))
+        got = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        return pd.DataFrame({"k": got[:, 0], "other": got[:, 1]})
+
+    return pairs
 
 
 def may_link(percent: int):
@@ -321,9 +376,10 @@ def may_link(percent: int):
 
     @F.pandas_udf("boolean")
     def may(a: pd.Series, b: pd.Series, total: pd.Series) -> pd.Series:
-        differ = np.fromiter((differing(x, y) for x, y in zip(a, b)), np.int64, len(a))
+        x, y = ([np.frombuffer(v, np.uint64) for v in c] for c in (a, b))
+        differ = np.array([int(np.bitwise_count(np.bitwise_xor(*_folded([p, q], min(len(p), len(q))))).sum()) for p, q in zip(x, y)], np.int64)
         both = total.to_numpy()
-        return pd.Series((both - differ) * (100 + percent) >= 2 * percent * both)
+        return pd.Series((both - differ) * (100 + percent) >= 2 * percent * both, dtype=bool)
 
     return may
 
@@ -341,11 +397,12 @@ def _link_pairs(percent: int):
     return link
 
 
-def links(docs: DataFrame, wanted: DataFrame, held: DataFrame, percent: int = PERCENT, words: int = WORDS, block: int = BLOCK) -> DataFrame:
+def links(docs: DataFrame, wanted: DataFrame, held: DataFrame, bits: DataFrame, percent: int = PERCENT, words: int = WORDS, block: int = BLOCK) -> DataFrame:
     """Edges (u, v) that connect exactly what the links connect.
 
     ``wanted``: doc_id, k, root (its cluster) and size (of the cluster); ``held``:
-    token, k, n of the rare shingles that texts share. Both written.
+    token, k, n of the rare shingles that texts share; ``bits``: doc_id, k and
+    bitmap of documents. All written.
     """
     bins = parts_for(wanted.count(), TOGETHER)
     small = shingle_sets(docs, wanted.where(F.col("size") <= block), words).withColumn("bin", F.pmod(F.xxhash64("root"), F.lit(bins)))
@@ -354,48 +411,70 @@ def links(docs: DataFrame, wanted: DataFrame, held: DataFrame, percent: int = PE
     large = wanted.where(F.col("size") > block)
     if large.isEmpty():
         return edges
-    slices = F.ceil(F.col("size") / MEMBERS).cast("int")
-    big = shingle_sets(docs, large, words).withColumn("slice", F.pmod(F.xxhash64("k"), slices))
-    big = saved(big.select("root", "k", "s", "slice", slices.alias("slices"), parity("s").alias("bits")), "large_clusters")
-    state = big.select("root", "k").withColumn("done", F.lit(False)).withColumn("comp", F.col("k"))
-    # about PIVOTS members of each cluster, drawn by hash, against all its members
-    draw = F.pmod(F.xxhash64("k", F.lit("turn")), F.lit(1 << 30)) / float(1 << 30)
-    chosen = saved(large.where(draw < F.lit(PIVOTS) / F.col("size")).select("root", "k"), "pivots")
-    pivots = big.join(chosen, ["root", "k"], "left_semi").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-    key = ["root", "slice"]
-    members = big.select(*[F.col(c).alias(c) for c in (*key, "k", "s")])  # columns of its own, for the cogroup
-    hits = pivots.select(*key, "k", "s").groupBy(*key).cogroup(members.groupBy(*key)).applyInPandas(_link_pivots(percent), "u long, v long")
-    found = saved(hits.distinct(), "pivot_links")
+    big = saved(large.join(bits, ["doc_id", "k"]).dropDuplicates(["k"]).select("doc_id", "root", "k", "bits"), "large_clusters")
+    post = saved(held.join(big.select("root", "k"), "k"), "large_postings")
+
+    # stars: each list's best text against the others. Of copies edited here and there the best are those nearest
+    # to what all come from: their rare shingles are shared by most
+    often = post.groupBy("token").agg(F.count(F.lit(1)).alias("times"))
+    score = post.join(often, "token").groupBy("k").agg(F.sum("times").alias("score"))
+    scored = saved(post.join(score, "k"), "scored_postings")
+    best = scored.groupBy("token").agg(F.max(F.struct("score", "k", "n")).alias("t"))
+    star = scored.join(best, "token").where(F.col("k") != F.col("t.k")).where(100 * F.least("n", "t.n") >= percent * F.greatest("n", "t.n"))
+    star = star.select("k", F.col("t.k").alias("other"), (F.col("n") + F.col("t.n")).alias("total")).distinct()
+    star = saved(_possible(star, big, percent), "star_pairs")
+    found = _linked_pairs(star, _sets_of(docs, star, big, words, "star_sets"), percent, "star_links")
     comp = components(found).select(F.col("node").alias("k"), F.col("root").alias("comp"))
-    state = large.select("root", "k").join(chosen.withColumn("done", F.lit(True)), ["root", "k"], "left").join(comp, "k", "left")
-    state = saved(state.select("root", "k", F.coalesce("done", F.lit(False)).alias("done"), F.coalesce("comp", "k").alias("comp")), "state")
+    state = saved(big.select("root", "k").join(comp, "k", "left").withColumn("comp", F.coalesce("comp", "k")), "state")
 
-    # those outside their cluster's largest component that were no pivots, with every text that shares a rare shingle
+    # those outside their cluster's largest component, with every text that shares a rare shingle
     top = (
         state.groupBy("root", "comp").count().groupBy("root").agg(F.max(F.struct("count", "comp")).alias("top"))
         .where("top.count > 1").select("root", F.col("top.comp").alias("comp"), F.lit(True).alias("largest"))
     )
-    stray = state.join(top, ["root", "comp"], "left").select("k", "comp", (~F.col("done") & F.col("largest").isNull()).alias("stray"))
-    post = saved(held.join(stray, "k"), "stray_postings")
-    x, y = post.where("stray").alias("x"), post.alias("y")
-    near = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
-    once = (F.col("x.comp") != F.col("y.comp")) & (~F.col("y.stray") | (F.col("x.k") < F.col("y.k")))
-    pairs = x.join(y, F.col("x.token") == F.col("y.token")).where(near & once)
-    pairs = pairs.select(F.col("x.k").alias("k"), F.col("y.k").alias("other"), (F.col("x.n") + F.col("y.n")).alias("total")).distinct()
-    maps = big.select("k", F.col("bits").alias("a"))
-    pairs = pairs.join(maps, "k").join(maps.toDF("other", "b"), "other").where(may_link(percent)("a", "b", "total"))
-    pairs = saved(pairs.select("k", "other"), "stray_pairs")
+    stray = state.join(top, ["root", "comp"], "left").select("k", "comp", F.col("largest").isNull().alias("stray"))
+    # posting lists that hold a stray and a text of another component
+    post = saved(post.select("token", "k", "n").join(stray, "k"), "stray_postings")
+    lists = post.groupBy("token").agg(F.count(F.lit(1)).alias("long"), F.max("stray").alias("some"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    post = post.join(lists.where("some and lo <> hi").select("token", "long"), "token")
+    bins = parts_for(held.count(), POSTINGS)
+    short = post.where(F.col("long") <= SHORT).withColumn("bin", F.pmod(F.xxhash64("token"), F.lit(bins)))
+    pairs = short.groupBy("bin").applyInPandas(_short_pairs(percent), "k long, other long, total long").distinct()
+    pairs = _possible(pairs, big, percent)
+    # a long list is compared by bitmaps where it is; of one of many parts every pair of its parts is a block
+    parts = F.ceil(F.col("long") / LIST).cast("int")
+    post = post.where(F.col("long") > SHORT).join(big.select("k", "bits"), "k").withColumn("slot", F.pmod(F.xxhash64("k"), parts).cast("int"))
+    post = post.withColumn("with", F.explode(F.sequence(F.lit(0), parts - 1))).withColumns({"a": F.least("slot", "with"), "b": F.greatest("slot", "with")})
+    post = post.select("token", "a", "b", "slot", "k", "n", "comp", "stray", "bits", F.pmod(F.xxhash64("token", "a", "b"), F.lit(bins)).alias("bin"))
+    pairs = pairs.unionByName(post.groupBy("bin").applyInPandas(_long_pairs(percent), "k long, other long"))
+    pairs = saved(pairs.distinct(), "stray_pairs")
+    if pairs.isEmpty():
+        return edges.unionByName(found)
+    sets = _sets_of(docs, pairs, big, words, "stray_sets")
     # one partner of each text first: what that joins needs no further pair
     first = saved(pairs.groupBy("k").agg(F.max("other").alias("other")), "first_pairs")
-    found = found.unionByName(_linked_pairs(first, big, percent, "first_links"))
+    found = found.unionByName(_linked_pairs(first, sets, percent, "first_links"))
     comp = saved(components(found), "stray_components")
     for c in ("k", "other"):
         pairs = pairs.join(comp.toDF(c, f"{c}_comp"), c, "left")
     apart = pairs.join(first, ["k", "other"], "left_anti").where("coalesce(k_comp, k) <> coalesce(other_comp, other)")
-    rest = _linked_pairs(saved(apart.select("k", "other"), "apart_pairs"), big, percent, "stray_links")
+    rest = _linked_pairs(saved(apart.select("k", "other"), "apart_pairs"), sets, percent, "stray_links")
     return edges.unionByName(found).unionByName(rest)
 
 
+def _possible(pairs: DataFrame, big: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (k, other, total) those that the bitmaps let reach the threshold."""
+    maps = big.select("k", F.col("bits").alias("x"))
+    return pairs.join(maps, "k").join(maps.toDF("other", "y"), "other").where(may_link(percent)("x", "y", "total")).select("k", "other")
+
+
+def _sets_of(docs: DataFrame, pairs: DataFrame, big: DataFrame, words: int, name: str) -> DataFrame:
+    """k and s (the shingle set) of the texts of the pairs, written."""
+    texts = pairs.select("k").unionByName(pairs.select(F.col("other").alias("k"))).distinct()
+    wanted = saved(big.select("doc_id", "k").join(texts, "k", "left_semi"), f"{name}_wanted")
+    return saved(shingle_sets(docs, wanted, words).select("k", "s"), name)
+
+
 def _linked_pairs(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
     """Edges (u, v) for the pairs (k, other) that are links; ``pairs`` and ``sets`` (k, s) written."""
     bins = parts_for(pairs.count(), PAIRS, 1)
@@ -420,7 +499,8 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, bl
     cluster = saved(cluster, "clusters").withColumnRenamed("node", "k")
     sizes = cluster.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
     wanted = texts.join(cluster, "k").join(sizes, "root").select(F.col("first_id").alias("doc_id"), "k", "root", "size")
-    comp = components(links(docs, saved(wanted, "wanted"), held, percent, words, block)).withColumnRenamed("node", "k")
+    bits = signed.select("doc_id", "k", "bits")
+    comp = components(links(docs, saved(wanted, "wanted"), held, bits, percent, words, block)).withColumnRenamed("node", "k")
     least = comp.join(texts.select("k", "first_id"), "k").groupBy("root").agg(F.min("first_id").alias("component_id"))
     linked_texts = comp.join(least, "root").select("k", "component_id")
     # texts with copies or links; every other document is its own component

@@ -55,10 +55,9 @@ def result(df):
     return {tuple(r) for r in df.collect()}
 
 
-@pytest.mark.parametrize("block,pivots", [(2048, 128), (3, 2)])
-def test_matches_brute_force(spark, monkeypatch, block, pivots):
-    monkeypatch.setattr(jaccard, "PIVOTS", pivots)
-    monkeypatch.setattr(jaccard, "MEMBERS", 3)
+@pytest.mark.parametrize("block,short", [(2048, 16), (3, 16), (3, 1)])
+def test_matches_brute_force(spark, monkeypatch, block, short):
+    monkeypatch.setattr(jaccard, "SHORT", short)
     rows = corpus(groups=12 if block > 3 else 4)
     got = result(jaccard.jaccard_join(spark.createDataFrame(rows, SCHEMA), block=block))
     assert got == brute(rows)
@@ -91,6 +90,54 @@ def test_bitmaps_never_exceed_the_difference():
         common = rng.integers(0, 2**64, shared, np.uint64)
         a = np.unique(np.concatenate([common, rng.integers(0, 2**64, n - shared, np.uint64)]))
         b = np.unique(np.concatenate([common, rng.integers(0, 2**64, m - shared, np.uint64)]))
-        differ = jaccard.differing(jaccard._parity(a.tobytes()), jaccard._parity(b.tobytes()))
+        bits = [np.frombuffer(jaccard._parity(x), np.uint64) for x in (a, b)]
+        x, y = jaccard._folded(bits, min(map(len, bits)))
+        differ = int(np.bitwise_count(x ^ y).sum())
         assert differ <= len(np.setxor1d(a, b))
         assert (differ == 0) == (shared == n == m)
+
+
+def test_passing_pairs_hold_every_link():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**64, 140, np.uint64)
+    sets = [np.unique(np.where(rng.random(len(b := base[: rng.integers(100, 141)])) < 0.05, rng.integers(0, 2**64, len(b), np.uint64), b)) for _ in range(300)]
+    bits = [np.frombuffer(jaccard._parity(x), np.uint64) for x in sets]
+    n = np.array([len(x) for x in sets])
+    every = np.arange(len(sets))
+    i, j = jaccard.passing(every, every, n, bits, lambda a, b: a < b, 85)
+    got, want = set(zip(i.tolist(), j.tolist())), set(zip(*(x.tolist() for x in np.nonzero(np.triu(jaccard.linked(sets), 1)))))
+    assert want and want <= got and len(got) < 0.9 * len(sets) * (len(sets) - 1) / 2
+
+
+@pytest.mark.parametrize("parts", [4096, 400])
+def test_large_cluster_without_links(spark, monkeypatch, parts):
+    """Thousands of texts that share rare shingles and do not link, with a few that do."""
+    monkeypatch.setattr(jaccard, "LIST", parts)
+    rng = random.Random(9)
+    common = [f"c{i}" for i in range(120)]
+    rows = []
+    for i in range(2300):
+        w = list(common)
+        for at in range(3, 120, 6):
+            w[at] = f"v{at}.{rng.randrange(5)}"
+        rows.append([i, w])
+    for i in range(40):                        # copies of some, one or two words changed
+        w = list(rows[i * 31][1])
+        w[rng.randrange(120)] = "other"
+        rows.append([5000 + i, w])
+    rows = [(i, " ".join(w), 1, "x") for i, w in rows]
+    names: dict = {}
+    sets = [{names.setdefault(tuple(w[j : j + 4]), len(names)) for j in range(len(w) - 3)} for w in (t.split() for _, t, *_ in rows)]
+    x = np.zeros((len(sets), len(names)), np.float32)
+    for r, held in enumerate(sets):
+        x[r, list(held)] = 1
+    inter, size = x @ x.T, x.sum(axis=1)
+    link = 100 * inter >= 85 * (size[:, None] + size[None, :] - inter)
+    comp = {i: i for i, *_ in rows}
+    for _ in range(3):
+        for a, b in zip(*np.nonzero(np.triu(link, 1))):
+            least = min(comp[rows[a][0]], comp[rows[b][0]])
+            comp[rows[a][0]] = comp[rows[b][0]] = least
+    got = result(jaccard.jaccard_join(spark.createDataFrame(rows, SCHEMA)))
+    assert got == {(r[0], len(s), comp[r[0]]) for r, s in zip(rows, sets)}
+    assert len(set(comp.values())) > 2200

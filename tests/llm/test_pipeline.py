@@ -74,3 +74,48 @@ def test_near_matches_brute_force(spark):
     assert between >= 10
     got = left(corpus_pipeline.near(spark, docs(spark, rows), SF))
     assert got == {r: 1 for r in rows if root[r[0]] == r[0]}
+
+
+#: Documents with more columns, under names the stages use inside.
+WIDE = SCHEMA + ", row string, rid long, m int, h long, stratum string, `group` int, k int, digest string, piece int, length int"
+
+
+def wide(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s", 0, "r", 1, 2, 3, "x", 4, 5, "d", 6, 7) for i, t in rows], WIDE)
+
+
+def test_language_judges_rows(spark):
+    table = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    rows = table.unionByName(docs(spark, [(None, None), (None, "12 34 !!"), (5, "")])).unionByName(table.where("doc_id < 3"))
+    got = left(corpus_pipeline.language(spark, rows, SF))
+    assert not any((t or "").strip() in ("", "12 34 !!") for _, t in got)
+    assert sum(got.values()) >= 0.97 * (table.count() + 3) and all(got[r["doc_id"], r["text"]] == 2 for r in table.where("doc_id < 3").collect() if got[r["doc_id"], r["text"]])
+
+
+def test_pack_judges_rows(spark):
+    rows = [(None, "a few words"), (None, "a few words"), (7, "a few words"), (7, "others"), (8, None), (9, ""), (10, "long words " * 5000)]
+    got = corpus_pipeline.pack(spark, docs(spark, rows), SF).collect()
+    assert collections.Counter(r["doc_id"] for r in got if r["piece"] == 0) == {None: 2, 7: 2, 8: 1, 9: 1, 10: 1}
+    ends = collections.defaultdict(list)
+    for r in got:
+        ends[r["sequence_id"]].append((r["offset"], r["length"]))
+    for items in ends.values():
+        at = 0
+        for offset, length in sorted(items):
+            assert offset == at
+            at += length
+        assert at <= 4096
+
+
+def test_stages_take_empty_tables_and_clashing_columns(spark):
+    text = " ".join(prose(8))
+    rows = [(1, text), (None, None), (2, text), (3, " ".join(prose(9)))]
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs(spark, []), SF).count() == 0
+        full = wide(spark, rows)
+        out = stage(spark, full, SF)
+        n = out.count()
+        if name == "pack":
+            assert n == 4
+        else:
+            assert out.columns == full.columns and n <= 4, name
