@@ -51,9 +51,9 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     bound_batches(spark)
     measured = docs.select(
         F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
-        quality.stratum_column().alias("stratum"), quality.measures_column().alias("m"),
+        quality.stratum_column().alias("stratum"), quality.text_hash().alias("h"), quality.measures_column().alias("m"),
     )
-    measured = saved(measured, "measured").select("row", "doc_id", "stratum", "m.*")
+    measured = saved(measured, "measured").select("row", "doc_id", "stratum", "h", "m.*")
     cutoffs = quality.calibrate(measured, table(spark, sf_dir, "labels"))
     _, kept = quality.verdict(cutoffs, F.col("stratum"), F.col)
     return measured.where(kept).select("row.*")
