@@ -411,30 +411,31 @@ def links(docs: DataFrame, wanted: DataFrame, held: DataFrame, bits: DataFrame,
     large = wanted.where(F.col("size") > block)
     if large.isEmpty():
         return edges
-    big = saved(large.join(bits, ["doc_id", "k"]).dropDuplicates(["k"]).select("doc_id", "root", "k", "bits"), "large_clusters")
-    post = saved(held.join(big.select("root", "k"), "k"), "large_postings")
+    # all that is known of a text stays in its row, with its shared rare shingles; postings are made from it when needed
+    own = held.join(large.select("k"), "k", "left_semi").groupBy("k").agg(F.first("n").alias("n"), F.collect_list("token").alias("tokens"))
+    big = large.join(bits, ["doc_id", "k"]).dropDuplicates(["k"]).join(own, "k")
+    rare = F.col("n") - F.ceil(percent * F.col("n") / 100) + 1
+    big = saved(big.select("doc_id", "root", "k", "bits", "n", "tokens", (F.size("tokens") / rare).alias("score")), "large_clusters")
 
     # stars: each list's best text against the others. Of copies edited here and there the best are those nearest
-    # to what all come from: their rare shingles are shared by most
-    often = post.groupBy("token").agg(F.count(F.lit(1)).alias("times"))
-    score = post.join(often, "token").groupBy("k").agg(F.sum("times").alias("score"))
-    scored = saved(post.join(score, "k"), "scored_postings")
+    # to what all come from: the most of their rare shingles are shared
+    scored = big.select(F.explode("tokens").alias("token"), "score", "k", "n")
     best = scored.groupBy("token").agg(F.max(F.struct("score", "k", "n")).alias("t"))
     star = scored.join(best, "token").where(F.col("k") != F.col("t.k")).where(100 * F.least("n", "t.n") >= percent * F.greatest("n", "t.n"))
     star = star.select("k", F.col("t.k").alias("other"), (F.col("n") + F.col("t.n")).alias("total")).distinct()
     star = saved(_possible(star, big, percent), "star_pairs")
     found = _linked_pairs(star, _sets_of(docs, star, big, words, "star_sets"), percent, "star_links")
     comp = components(found).select(F.col("node").alias("k"), F.col("root").alias("comp"))
-    state = saved(big.select("root", "k").join(comp, "k", "left").withColumn("comp", F.coalesce("comp", "k")), "state")
+    state = big.select("root", "k", "n", "tokens").join(comp, "k", "left").withColumn("comp", F.coalesce("comp", "k"))
 
     # those outside their cluster's largest component, with every text that shares a rare shingle
     top = (
         state.groupBy("root", "comp").count().groupBy("root").agg(F.max(F.struct("count", "comp")).alias("top"))
         .where("top.count > 1").select("root", F.col("top.comp").alias("comp"), F.lit(True).alias("largest"))
     )
-    stray = state.join(top, ["root", "comp"], "left").select("k", "comp", F.col("largest").isNull().alias("stray"))
+    stray = state.join(top, ["root", "comp"], "left").withColumn("stray", F.col("largest").isNull())
     # posting lists that hold a stray and a text of another component
-    post = saved(post.select("token", "k", "n").join(stray, "k"), "stray_postings")
+    post = saved(stray.select(F.explode("tokens").alias("token"), "k", "n", "comp", "stray"), "stray_postings")
     lists = post.groupBy("token").agg(F.count(F.lit(1)).alias("long"), F.max("stray").alias("some"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     post = post.join(lists.where("some and lo <> hi").select("token", "long"), "token")
     bins = parts_for(held.count(), POSTINGS)
