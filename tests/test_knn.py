@@ -250,3 +250,59 @@ def test_empty_sides(spark, method):
     for q, r in ((none, some), (some, none), (none, none)):
         assert knn_query_ref(q, r, method=method).count() == 0
     assert knn_leave_one_out(none, method=method).count() == knn_leave_one_out(some, method=method).count() == 0
+
+
+def test_counts_by_bits_are_exact():
+    import numpy as np
+
+    from leafwise.operators import knn as K
+
+    rng = np.random.default_rng(4)
+    for low, high, width in ((-5, 5, 64), (0, 2, 3), (-70000, 70000, 70), (0, 1, 64), (-1, 63, 589)):
+        q, r = rng.integers(low, high, (30, width)), rng.integers(-3, 3, (5000, width))
+        r[:30, width // 3 :] = q[:, width // 3 :]
+        assert (K._counter(q, r)(slice(3, 30)) == (q[3:, None] != r[None]).sum(2)).all()
+
+
+@pytest.mark.parametrize("cells,batch", [((1, 1), 10000), ((2, 3), 7), ((1, 100), 5)])
+def test_streamed_grid_matches_brute_force(spark, cells, batch, monkeypatch):
+    """Blocks of unequal size whose vectors come in several batches; a vector with rows of both classes."""
+    from leafwise.operators import knn as K
+
+    for name, value in (("QUERY_CELLS", cells[0]), ("READ_CELLS", cells[1]), ("SYMMETRIC_CELLS", 0), ("MIN_CELL", 8), ("_QUERY_CHUNK", 3)):
+        monkeypatch.setattr(K, name, value)
+    rows = [*fixture_rows(), *((200 + i, i % 2, fixture_rows()[5][2]) for i in range(9)), (300, 1, [9] * 6)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = sorted(map(tuple, knn_leave_one_out(df, k=4, cell_size=11, method="grid").collect()))
+        assert got == brute_knn([(i, v) for i, _, v in rows], rows, 4, True)
+        q = df.where("id < 20").select("id", "leaves")
+        got = sorted(map(tuple, knn_query_ref(q, df, k=3, cell_size=11, method="grid").collect()))
+        assert got == brute_knn([(i, v) for i, _, v in rows if i < 20], rows, 3, False)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_grid_copies_grow_slowly():
+    """At 600,000 vectors a vector is copied to some tens of cells, not to one per 4,096 vectors."""
+    from leafwise.operators import knn as K
+
+    qb, rb = K._grid(600_000, 600_000, K.QUERY_CELLS * K.DEFAULT_CELL, 48, K.READ_CELLS * K.DEFAULT_CELL)
+    assert qb + rb <= 20 and 48 <= qb * rb <= 100
+
+
+def test_index_that_settles_nothing_is_not_used(spark, monkeypatch):
+    from leafwise.operators import knn as K
+
+    monkeypatch.setattr(K, "PROBE", 10)
+    asked = []
+    index = K._index
+    monkeypatch.setattr(K, "_index", lambda q, v, nq, *a: (asked.append(q.count()), index(q, v, nq, *a))[1])
+    rng = random.Random(3)
+    rows = [(i, i % 2, [rng.randint(0, 2) for _ in range(8)]) for i in range(120)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = sorted(map(tuple, knn_leave_one_out(df, k=3, cell_size=4, list_limit=4, candidates=8).collect()))
+    assert got == brute_knn([(i, v) for i, _, v in rows], rows, 3, True)
+    assert len(asked) == 1 and asked[0] < 40
