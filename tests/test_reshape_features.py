@@ -262,3 +262,25 @@ def test_embed_text_default_and_plugin(spark):
     assert len(dflt[1]) == 16 and abs(sum(dflt[1]) - 1.0) < 1e-9 and dflt[1] == dflt[3]
     plug = {r["id"]: r["embedding"] for r in embed_text(df, encoder_factory=_length_encoder, batch_size=1).collect()}
     assert plug == {1: [6.0, 3.0], 2: [5.0, 1.0], 3: [6.0, 3.0]}
+
+
+def test_word_pairs_are_found_without_their_patterns(monkeypatch):
+    import random
+    import re
+
+    from leafwise.operators.features import _matcher
+
+    words = ("a", "b", "ab", "ba", "aa", "bba")
+    entries = [(f"{x}-{y}{s}", f"{x}[{s}]+{y}", needed) for x in words for y in words for s in (" ", ",. ", " ,.", "._?")
+               for needed in ([x], [y], [], ["x", x])]
+    odd = [("other", "a[ ,]+b", ["zz"]), ("range", "a[ -.]+b", ["a"]), ("many", "a[ ]+b[ ]+a", ["a"]), ("star", "a[ ]*b", ["b"]), ("not", "a[^ ]+b", ["a"])]
+    draw = random.Random(1)
+    texts = ["".join(draw.choice("ab ,.-?_\nä") for _ in range(draw.randint(0, 60))) for _ in range(300)] + ["", " ", "a b", "a, .b", "aab bba"]
+    search = _matcher(entries + odd)
+    for t in texts:
+        want = {n for n, p, needed in entries + odd if re.search(p, t, re.ASCII) and (not needed or any(x in t for x in needed))}
+        assert search(t) == sorted(want)
+    # no pattern of a pair is compiled or searched: the time does not grow with the pairs that share a word
+    pairs = _matcher([(str(i), f"a[ ,.]+w{i}", ["a"]) for i in range(3000)])
+    monkeypatch.setattr(re, "compile", lambda *a: 1 / 0)
+    assert pairs("a w5, a. w17 aw6 a  , w2999 " * 3) == sorted(["1", "2", "29", "299", "5", "17", "2999"])
