@@ -171,7 +171,9 @@ def features(words: Column) -> Column:
 def paragraphs(docs: DataFrame) -> DataFrame:
     """doc_id, paragraph (its number from 0, blank lines counted) and p of every paragraph that is not blank."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    joined = F.regexp_replace(text, f"(?<=[^\\n]{{{WRAP - 1}}}[A-Za-z0-9,])\\r?\\n(?=\\S)", " ")
+    # the line end comes first: what lies before it is looked at there only, not at every character
+    full = f"[^\\n]{{{WRAP - 1}}}[A-Za-z0-9,]"
+    joined = F.regexp_replace(text, f"(?:\\r\\n(?<={full}\\r\\n)|\\n(?<={full}\\n))(?=\\S)", " ")
     lines = docs.select(F.col("doc_id").alias("doc_id"), F.posexplode(F.split(joined, "\n")).alias("paragraph", "p"))
     return lines.where(F.length(F.trim("p")) > 0)
 
