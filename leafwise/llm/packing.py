@@ -88,15 +88,14 @@ class Words:
     def learn(self, words: list[bytes]) -> None:
         """Ids of many words from one call: the words joined by a mark that is one token."""
         known = self.known
-        joined = f" {BAR} ".join(w.decode("utf-8", "replace") for w in words)
+        joined = f" {BAR} ".encode().join(words).decode("utf-8", "replace")
         ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
         cuts = np.flatnonzero(ids == self.bar) if self.bar is not None else ids[:0]
         if len(cuts) != len(words) - 1:
             known.update((w, self.one(w)) for w in words)
             return
-        raw, edges = ids.tobytes(), [-1, *cuts.tolist(), len(ids)]
-        for w, lo, hi in zip(words, edges, edges[1:]):
-            known[w] = raw[4 * lo + 4 : 4 * hi]
+        raw, cuts = ids.tobytes(), 4 * cuts
+        known.update(zip(words, map(raw.__getitem__, map(slice, [0, *(cuts + 4).tolist()], [*cuts.tolist(), len(raw)]))))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         known = self.known
