@@ -43,7 +43,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafwise.llm.common import attach_groups, bound_batches, mix64, parts_for, saved, text_bytes
@@ -176,9 +176,10 @@ def _postings(signed: DataFrame) -> DataFrame:
 
 def clusters(signed: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(token, k, n) of shared rare shingles, and (node, root): texts that may be linked, by cluster."""
-    postings = _postings(signed)
-    shared = postings.groupBy("token").agg(F.min("k").alias("a"), F.max("k").alias("b")).where("a <> b").select("token")
-    held = saved(postings.join(shared, "token", "left_semi").dropDuplicates(["token", "k"]), "shared")
+    # most shingles are of one text: all postings move once, and those of a shingle that texts share stay
+    of_token = Window.partitionBy("token")
+    shared = _postings(signed).withColumns({"a": F.min("k").over(of_token), "b": F.max("k").over(of_token)}).where("a <> b")
+    held = saved(shared.select("token", "k", "n").dropDuplicates(["token", "k"]), "shared")
     # bands a little wider than the bound, so that sizes within it are in the same band or the next
     band = F.floor(F.log(F.col("n")) / F.log(F.lit(100.0 / (percent - 0.5))))
     # neighbouring bands meet under the upper one's name

@@ -141,3 +141,20 @@ def test_large_cluster_without_links(spark, monkeypatch, parts):
     got = result(jaccard.jaccard_join(spark.createDataFrame(rows, SCHEMA)))
     assert got == {(r[0], len(s), comp[r[0]]) for r, s in zip(rows, sets)}
     assert len(set(comp.values())) > 2200
+
+
+def test_postings_move_once(spark, monkeypatch):
+    plans, kept = {}, jaccard.saved
+
+    def saved(df, name):
+        plans[name] = df._jdf.queryExecution().toString()
+        return kept(df, name)
+
+    monkeypatch.setattr(jaccard, "saved", saved)
+    rows = [(1, "a b c d e", 1, "x"), (2, "a b c d e f", 1, "x"), (2, "a b c d e f", 1, "x"), (3, "g h i j", 1, "x")]
+    signed = jaccard.signatures(spark.createDataFrame(rows, SCHEMA), np.zeros(1 << jaccard.TABLE_BITS, np.int64), 50)
+    held, _ = jaccard.clusters(kept(signed, "signed"), 50)
+    physical = plans["shared"].split("== Physical Plan ==")[1]
+    assert physical.count("Exchange") == 1 and "Join" not in physical
+    got = held.groupBy("token").count().collect()
+    assert got and all(r["count"] == 2 for r in got)

@@ -119,3 +119,17 @@ def test_stages_take_empty_tables_and_clashing_columns(spark):
             assert n == 4
         else:
             assert out.columns == full.columns and n <= 4, name
+
+
+def test_rules_keep_no_second_copy_of_texts(spark, monkeypatch):
+    written, kept = [], corpus_pipeline.saved
+
+    def saved(df, name):
+        written.append(df.schema.simpleString())
+        return kept(df, name)
+
+    monkeypatch.setattr(corpus_pipeline, "saved", saved)
+    monkeypatch.setattr(corpus_pipeline.quality, "saved", saved)
+    good = " ".join(prose(1))
+    assert left(corpus_pipeline.rules(spark, docs(spark, [(1, good), (2, "too short")]), SF)) == {(1, good): 1}
+    assert written and not any("text:" in x for x in written)
