@@ -37,7 +37,6 @@ ignored.
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,6 +47,7 @@ from pyspark.sql import functions as F
 
 from leafwise.llm.common import attach_groups, bound_batches, mix64, parts_for, saved, text_bytes
 from leafwise.llm.components import components
+from leafwise.llm.words import Words, some_at_once
 
 #: Similarity threshold in per cent, and words in a shingle.
 PERCENT = 85
@@ -69,8 +69,6 @@ POSTINGS = 50_000
 CHUNK = 256
 #: Posting lists up to this length are lists of pairs; in longer ones bitmaps are compared first.
 SHORT = 16
-#: Distinct words whose hashes a worker remembers; beyond it, it starts anew.
-CACHE = 200_000
 NO_ID = -(2**63)
 #: Documents in a task of small clusters, on average.
 TOGETHER = 1000
@@ -79,36 +77,42 @@ TOGETHER = 1000
 _FACTORS = [np.uint64(mix64(np.array([i + 1], np.uint64))[0] | np.uint64(1)) for i in range(32)]
 
 
-class Shingler:
-    def __init__(self, words: int = WORDS):
-        self.words = words
-        self.known: dict[bytes, int] = {}
+def shingles(texts, words: int = WORDS) -> Iterator[tuple[int, np.ndarray]]:
+    """Per text: a hash of its word sequence as a signed 64-bit integer, and the hash of every shingle, repeats included."""
+    for run in some_at_once(texts):
+        found = Words(run)
+        a = found.hashes()
+        every = _windows(a, words)
+        for n, end in zip(found.counts.tolist(), np.cumsum(found.counts).tolist()):
+            own = a[end - n : end]
+            # shorter than a shingle: one of all its words
+            h = every[end - n : end - words + 1] if n >= words else _windows(own, n)
+            yield int(np.uint64(xxhash.xxh3_64_intdigest(own.tobytes())).astype(np.int64)), h
 
-    def split(self, texts) -> list[list[bytes]]:
-        """Words of each text, A-Z lower-cased; their hashes become known."""
-        out = [t.lower().split() for t in texts]
-        if len(self.known) > CACHE:
-            self.known.clear()
-        for w in set(itertools.chain.from_iterable(out)).difference(self.known):
-            self.known[w] = xxhash.xxh3_64_intdigest(w)
-        return out
 
-    def hashes(self, words: list[bytes]) -> np.ndarray:
-        """Hash of every shingle in the order of the text, repeats included."""
-        n = len(words)
-        if not n:
-            return np.zeros(0, np.uint64)
-        a = np.fromiter(map(self.known.__getitem__, words), np.uint64, n)
-        span = min(n, self.words)
-        h = np.full(n - span + 1, np.uint64(span))
-        for i in range(span):
-            h += a[i : n - span + 1 + i] * _FACTORS[i]
-        return mix64(h)
+def _windows(a: np.ndarray, span: int) -> np.ndarray:
+    """Hash of every ``span`` neighbours of the word hashes ``a``."""
+    if not 0 < span <= len(a):
+        return np.zeros(0, np.uint64)
+    h = np.full(len(a) - span + 1, np.uint64(span))
+    for i in range(span):
+        h += a[i : len(a) - span + 1 + i] * _FACTORS[i]
+    return mix64(h)
 
 
-def _text_key(words: list[bytes]) -> int:
-    """Hash of a word sequence as a signed 64-bit integer."""
-    return int(np.uint64(xxhash.xxh3_64_intdigest(b" ".join(words))).astype(np.int64))
+def _distinct(h: np.ndarray) -> np.ndarray:
+    """The hashes in order, each once."""
+    h = np.sort(h)
+    return h[np.append(True, h[1:] != h[:-1])] if len(h) else h
+
+
+def _rarest(h: np.ndarray, count: np.ndarray, m: int) -> np.ndarray:
+    """The ``m`` hashes of least count (of equal counts the smaller hashes); ``h`` in order."""
+    if not m:
+        return h[:0]
+    bar = np.partition(count, m - 1)[m - 1]
+    below = h[count < bar]
+    return np.concatenate([below, h[count == bar][: m - len(below)]])
 
 
 def _slot(h: np.ndarray, bits: int = TABLE_BITS) -> np.ndarray:
@@ -120,9 +124,9 @@ def count_table(docs: DataFrame, words: int = WORDS) -> np.ndarray:
     n = 1 << TABLE_BITS
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table, shingler = np.zeros(n, np.int64), Shingler(words)
+        table = np.zeros(n, np.int64)
         for pdf in batches:
-            got = [shingler.hashes(w) for w in shingler.split(pdf["t"])]
+            got = [h for _, h in shingles(pdf["t"], words)]
             table += np.bincount(_slot(np.concatenate(got)), minlength=n)
         if table.any():
             yield pd.DataFrame({"slice": range(n // SLICE), "counts": [x.tobytes() for x in table.reshape(-1, SLICE)]})
@@ -146,14 +150,14 @@ def signatures(docs: DataFrame, table: np.ndarray, percent: int = PERCENT, words
     level = docs.sparkSession.sparkContext.broadcast(table)  # 2**TABLE_BITS numbers
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        count, shingler = level.value, Shingler(words)
+        count = level.value
         for pdf in batches:
             rows = []
-            for w in shingler.split(pdf["t"]):
-                h = np.unique(shingler.hashes(w))
+            for k, h in shingles(pdf["t"], words):
+                h = _distinct(h)
                 n = len(h)
-                rare = np.lexsort((h, count[_slot(h)]))[: n - (-(-percent * n // 100)) + 1] if n else []
-                rows.append((_text_key(w), n, h[rare].tobytes(), _parity(h)))
+                rare = _rarest(h, count[_slot(h)], n - (-(-percent * n // 100)) + 1 if n else 0)
+                rows.append((k, n, rare.tobytes(), _parity(h)))
             yield pd.DataFrame(rows, columns=["k", "n", "prefix", "bits"]).assign(doc_id=pdf["doc_id"])[["doc_id", "k", "n", "prefix", "bits"]]
 
     # a NULL id travels as the least number: pandas would make ids beside it inexact
@@ -208,16 +212,13 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int = WORDS) -> Data
     level = spark.sparkContext.broadcast(flags)
 
     def shingle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits, shingler = level.value, Shingler(words)
+        bits = level.value
         for pdf in batches:
             b = pdf["b"].to_numpy() - 1
             pdf = pdf[(bits[b // 8] >> (b % 8)) & 1 == 1]
-            split = shingler.split(pdf["t"])
-            if split:
-                yield pd.DataFrame({
-                    "doc_id": pdf["doc_id"].to_numpy(), "k": [_text_key(w) for w in split],
-                    "s": [np.unique(shingler.hashes(w)).tobytes() for w in split],
-                })
+            if len(pdf):
+                sets = [(k, _distinct(h).tobytes()) for k, h in shingles(pdf["t"], words)]
+                yield pd.DataFrame(sets, columns=["k", "s"]).assign(doc_id=pdf["doc_id"].to_numpy())[["doc_id", "k", "s"]]
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), bit.alias("b"), text_bytes().alias("t"))
     sets = rows.where("doc_id is not null").mapInPandas(shingle, "doc_id long, k long, s binary")
