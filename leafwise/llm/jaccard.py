@@ -63,9 +63,11 @@ BLOCK = 2048
 CELLS = 1 << 22
 #: Pairs of texts that a task holds at once, on average.
 PAIRS = 200
+#: Up to so many pairs outside the largest components are tried at once; of more, one partner of each text goes first.
+FEW = 50 * PAIRS
 #: Longest posting list that is one block, postings in a task, on average, and rows of bitmaps compared at once.
 LIST = 4096
-POSTINGS = 50_000
+POSTINGS = 10_000
 CHUNK = 256
 #: Posting lists up to this length are lists of pairs; in longer ones bitmaps are compared first.
 SHORT = 16
@@ -183,14 +185,13 @@ def clusters(signed: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, Data
     # most shingles are of one text: all postings move once, and those of a shingle that texts share stay
     of_token = Window.partitionBy("token")
     shared = _postings(signed).withColumns({"a": F.min("k").over(of_token), "b": F.max("k").over(of_token)}).where("a <> b")
-    held = saved(shared.select("token", "k", "n").dropDuplicates(["token", "k"]), "shared")
+    held = shared.select("token", "k", "n").dropDuplicates(["token", "k"])
     # bands a little wider than the bound, so that sizes within it are in the same band or the next
     band = F.floor(F.log(F.col("n")) / F.log(F.lit(100.0 / (percent - 0.5))))
-    # neighbouring bands meet under the upper one's name
-    banded = held.withColumn("band", F.explode(F.array(band, band + 1)))
-    hubs = banded.groupBy("token", "band").agg(F.min("k").alias("hub"))
-    edges = banded.join(hubs, ["token", "band"]).where("k <> hub").select(F.col("k").alias("u"), F.col("hub").alias("v")).distinct()
-    return held, components(edges)
+    # neighbouring bands meet under the upper one's name; a list's bands lie where the list is
+    banded = held.withColumn("upper", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("band", band + F.col("upper"))
+    banded = saved(banded.withColumn("hub", F.min("k").over(Window.partitionBy("token", "band"))).select("token", "k", "n", "upper", "hub"), "shared")
+    return banded.where("upper = 0").select("token", "k", "n"), components(banded.select(F.col("k").alias("u"), F.col("hub").alias("v")))
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int = WORDS) -> DataFrame:
@@ -267,8 +268,10 @@ def _sets(col: pd.Series) -> list[np.ndarray]:
 
 
 def _link_small(percent: int):
+    """(node, root) of the components, of two texts or more, of whole clusters."""
+
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        out_u, out_v = [], []
+        node, root = [], []
         for _, block in pdf.groupby("root", sort=False):
             k, sets = block["k"].to_numpy(), _sets(block["s"])
             label = np.arange(len(k))
@@ -277,9 +280,10 @@ def _link_small(percent: int):
                     label[label == label[j]] = label[i]
             for x in np.unique(label):
                 own = k[label == x]
-                out_u += own[1:].tolist()
-                out_v += [own[0]] * (len(own) - 1)
-        return pd.DataFrame({"u": np.array(out_u, np.int64), "v": np.array(out_v, np.int64)})
+                if len(own) > 1:
+                    node += own.tolist()
+                    root += [own[0]] * len(own)
+        return pd.DataFrame({"node": np.array(node, np.int64), "root": np.array(root, np.int64)})
 
     return link
 
@@ -400,7 +404,7 @@ def _link_pairs(percent: int):
 
 
 def links(docs: DataFrame, wanted: DataFrame, held: DataFrame, bits: DataFrame, percent: int = PERCENT, words: int = WORDS, block: int = BLOCK) -> DataFrame:
-    """Edges (u, v) that connect exactly what the links connect.
+    """(node, root): texts that links connect, by component; a root is one of its component's texts.
 
     ``wanted``: doc_id, k, root (its cluster) and size (of the cluster); ``held``:
     token, k, n of the rare shingles that texts share; ``bits``: doc_id, k and
@@ -408,11 +412,12 @@ def links(docs: DataFrame, wanted: DataFrame, held: DataFrame, bits: DataFrame,
     """
     bins = parts_for(wanted.count(), TOGETHER)
     small = shingle_sets(docs, wanted.where(F.col("size") <= block), words).withColumn("bin", F.pmod(F.xxhash64("root"), F.lit(bins)))
-    edges = saved(small.select("bin", "root", "k", "s").groupBy("bin").applyInPandas(_link_small(percent), "u long, v long"), "links")
+    # a small cluster is whole in its task, and so are its components
+    joined = saved(small.select("bin", "root", "k", "s").groupBy("bin").applyInPandas(_link_small(percent), "node long, root long"), "links")
 
     large = wanted.where(F.col("size") > block)
     if large.isEmpty():
-        return edges
+        return joined
     # all that is known of a text stays in its row, with its shared rare shingles; postings are made from it when needed
     own = held.join(large.select("k"), "k", "left_semi").groupBy("k").agg(F.first("n").alias("n"), F.collect_list("token").alias("tokens"))
     big = large.join(bits, ["doc_id", "k"]).dropDuplicates(["k"]).join(own, "k")
@@ -427,8 +432,8 @@ def links(docs: DataFrame, wanted: DataFrame, held: DataFrame, bits: DataFrame,
     star = star.select("k", F.col("t.k").alias("other"), (F.col("n") + F.col("t.n")).alias("total")).distinct()
     star = saved(_possible(star, big, percent), "star_pairs")
     found = _linked_pairs(star, _sets_of(docs, star, big, words, "star_sets"), percent, "star_links")
-    comp = components(found).select(F.col("node").alias("k"), F.col("root").alias("comp"))
-    state = big.select("root", "k", "n", "tokens").join(comp, "k", "left").withColumn("comp", F.coalesce("comp", "k"))
+    comp = components(found)
+    state = big.select("root", "k", "n", "tokens").join(comp.toDF("k", "comp"), "k", "left").withColumn("comp", F.coalesce("comp", "k"))
 
     # those outside their cluster's largest component, with every text that shares a rare shingle
     top = (
@@ -451,18 +456,24 @@ def links(docs: DataFrame, wanted: DataFrame, held: DataFrame, bits: DataFrame,
     post = post.select("token", "a", "b", "slot", "k", "n", "comp", "stray", "bits", F.pmod(F.xxhash64("token", "a", "b"), F.lit(bins)).alias("bin"))
     pairs = pairs.unionByName(post.groupBy("bin").applyInPandas(_long_pairs(percent), "k long, other long"))
     pairs = saved(pairs.distinct(), "stray_pairs")
-    if pairs.isEmpty():
-        return edges.unionByName(found)
+    many = pairs.count()
+    if not many:
+        return joined.unionByName(comp)
     sets = _sets_of(docs, pairs, big, words, "stray_sets")
-    # one partner of each text first: what that joins needs no further pair
-    first = saved(pairs.groupBy("k").agg(F.max("other").alias("other")), "first_pairs")
-    found = found.unionByName(_linked_pairs(first, sets, percent, "first_links"))
-    comp = saved(components(found), "stray_components")
-    for c in ("k", "other"):
-        pairs = pairs.join(comp.toDF(c, f"{c}_comp"), c, "left")
-    apart = pairs.join(first, ["k", "other"], "left_anti").where("coalesce(k_comp, k) <> coalesce(other_comp, other)")
-    rest = _linked_pairs(saved(apart.select("k", "other"), "apart_pairs"), sets, percent, "stray_links")
-    return edges.unionByName(found).unionByName(rest)
+    if many > FEW:
+        # one partner of each text first: what that joins needs no further pair
+        first = saved(pairs.groupBy("k").agg(F.max("other").alias("other")), "first_pairs")
+        comp = saved(_with_links(comp, _linked_pairs(first, sets, percent, "first_links")), "stray_components")
+        pairs = pairs.join(first, ["k", "other"], "left_anti")
+        for c in ("k", "other"):
+            pairs = pairs.join(comp.toDF(c, f"{c}_comp"), c, "left")
+        pairs = saved(pairs.where("coalesce(k_comp, k) <> coalesce(other_comp, other)").select("k", "other"), "apart_pairs")
+    return joined.unionByName(_with_links(comp, _linked_pairs(pairs, sets, percent, "stray_links")))
+
+
+def _with_links(comp: DataFrame, found: DataFrame) -> DataFrame:
+    """Components (node, root) after the links ``found`` (u, v; written)."""
+    return comp if found.isEmpty() else components(comp.toDF("u", "v").unionByName(found))
 
 
 def _possible(pairs: DataFrame, big: DataFrame, percent: int) -> DataFrame:
@@ -503,15 +514,15 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, bl
     sizes = cluster.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
     wanted = texts.join(cluster, "k").join(sizes, "root").select(F.col("first_id").alias("doc_id"), "k", "root", "size")
     bits = signed.select("doc_id", "k", "bits")
-    comp = components(links(docs, saved(wanted, "wanted"), held, bits, percent, words, block)).withColumnRenamed("node", "k")
-    least = comp.join(texts.select("k", "first_id"), "k").groupBy("root").agg(F.min("first_id").alias("component_id"))
-    linked_texts = comp.join(least, "root").select("k", "component_id")
-    # texts with copies or links; every other document is its own component
-    groups = (
-        texts.select("k", "first_id", "copies").join(linked_texts, "k", "left")
-        .where("copies > 1 or component_id is not null")
-        .select("k", F.coalesce("component_id", "first_id").alias("component_id"), "copies")
+    comp = links(docs, saved(wanted, "wanted"), held, bits, percent, words, block)
+    # texts with copies or links, each beside the root of its component; every other document is its own component
+    marked = texts.select("k", "first_id", "copies", F.lit(None).cast("long").alias("root")).unionByName(
+        comp.select(F.col("node").alias("k"), F.lit(None).cast("long").alias("first_id"), F.lit(None).cast("long").alias("copies"), "root")
     )
+    marked = marked.groupBy("k").agg(F.max("first_id").alias("first_id"), F.max("copies").alias("copies"), F.max("root").alias("root"))
+    marked = saved(marked.where("copies > 1 or root is not null").withColumn("root", F.coalesce("root", "k")), "marked")
+    least = marked.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    groups = marked.join(least, "root").select("k", "component_id", "copies")
     alone = signed.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     rows = signed.where("n > 0 and doc_id is not null").select("doc_id", "k", "n")
     rows = attach_groups(rows, saved(groups, "groups"), "k", "copies", total)
