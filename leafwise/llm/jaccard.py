@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafwise.llm.common import attach_groups, bound_batches, mix64, parts_for, saved, text_bytes
+from leafwise.llm.common import attach_groups, bound_batches, mix64, no_wider, parts_for, saved, text_bytes
 from leafwise.llm.components import components
 from leafwise.llm.words import Words, some_at_once
 
@@ -74,6 +74,8 @@ SHORT = 16
 NO_ID = -(2**63)
 #: Documents in a task of small clusters, on average.
 TOGETHER = 1000
+#: Rows of texts (their ids and sizes) in a task.
+TEXTS = 50_000
 
 #: Odd factors of the shingle hash.
 _FACTORS = [np.uint64(mix64(np.array([i + 1], np.uint64))[0] | np.uint64(1)) for i in range(32)]
@@ -416,13 +418,15 @@ def links(docs: DataFrame, wanted: DataFrame, held: DataFrame, bits: DataFrame,
     joined = saved(small.select("bin", "root", "k", "s").groupBy("bin").applyInPandas(_link_small(percent), "node long, root long"), "links")
 
     large = wanted.where(F.col("size") > block)
-    if large.isEmpty():
+    members = large.count()
+    if not members:
         return joined
     # all that is known of a text stays in its row, with its shared rare shingles; postings are made from it when needed
     own = held.join(large.select("k"), "k", "left_semi").groupBy("k").agg(F.first("n").alias("n"), F.collect_list("token").alias("tokens"))
     big = large.join(bits, ["doc_id", "k"]).dropDuplicates(["k"]).join(own, "k")
     rare = F.col("n") - F.ceil(percent * F.col("n") / 100) + 1
-    big = saved(big.select("doc_id", "root", "k", "bits", "n", "tokens", (F.size("tokens") / rare).alias("score")), "large_clusters")
+    big = big.select("doc_id", "root", "k", "bits", "n", "tokens", (F.size("tokens") / rare).alias("score"))
+    big = saved(no_wider(big, members, TOGETHER), "large_clusters")
 
     # stars: each list's best text against the others. Of copies edited here and there the best are those nearest
     # to what all come from: the most of their rare shingles are shared
@@ -442,19 +446,20 @@ def links(docs: DataFrame, wanted: DataFrame, held: DataFrame, bits: DataFrame,
     )
     stray = state.join(top, ["root", "comp"], "left").withColumn("stray", F.col("largest").isNull())
     # posting lists that hold a stray and a text of another component
-    post = saved(stray.select(F.explode("tokens").alias("token"), "k", "n", "comp", "stray"), "stray_postings")
+    post = no_wider(stray, members, TOGETHER).select(F.explode("tokens").alias("token"), "k", "n", "comp", "stray")
+    post = saved(post, "stray_postings")
     lists = post.groupBy("token").agg(F.count(F.lit(1)).alias("long"), F.max("stray").alias("some"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     post = post.join(lists.where("some and lo <> hi").select("token", "long"), "token")
     bins = parts_for(held.count(), POSTINGS)
     short = post.where(F.col("long") <= SHORT).withColumn("bin", F.pmod(F.xxhash64("token"), F.lit(bins)))
-    pairs = short.groupBy("bin").applyInPandas(_short_pairs(percent), "k long, other long, total long").distinct()
-    pairs = _possible(pairs, big, percent)
+    pairs = no_wider(short.groupBy("bin").applyInPandas(_short_pairs(percent), "k long, other long, total long"), bins, 1)
+    pairs = _possible(pairs.distinct(), big, percent)
     # a long list is compared by bitmaps where it is; of one of many parts every pair of its parts is a block
     parts = F.ceil(F.col("long") / LIST).cast("int")
     post = post.where(F.col("long") > SHORT).join(big.select("k", "bits"), "k").withColumn("slot", F.pmod(F.xxhash64("k"), parts).cast("int"))
     post = post.withColumn("with", F.explode(F.sequence(F.lit(0), parts - 1))).withColumns({"a": F.least("slot", "with"), "b": F.greatest("slot", "with")})
     post = post.select("token", "a", "b", "slot", "k", "n", "comp", "stray", "bits", F.pmod(F.xxhash64("token", "a", "b"), F.lit(bins)).alias("bin"))
-    pairs = pairs.unionByName(post.groupBy("bin").applyInPandas(_long_pairs(percent), "k long, other long"))
+    pairs = pairs.unionByName(no_wider(post.groupBy("bin").applyInPandas(_long_pairs(percent), "k long, other long"), bins, 1))
     pairs = saved(pairs.distinct(), "stray_pairs")
     many = pairs.count()
     if not many:
@@ -496,7 +501,7 @@ def _linked_pairs(pairs: DataFrame, sets: DataFrame, percent: int, name: str) ->
     own = sets.select("k", "s").join(dealt.select("k", "bin").distinct(), "k").groupBy("bin")
     others = dealt.join(sets.select(F.col("k").alias("other"), F.col("s").alias("t")), "other")
     others = others.select(F.col("bin").alias("bin"), F.col("k").alias("k"), "other", F.col("t").alias("s")).groupBy("bin")
-    return saved(own.cogroup(others).applyInPandas(_link_pairs(percent), "u long, v long"), name)
+    return saved(no_wider(own.cogroup(others).applyInPandas(_link_pairs(percent), "u long, v long"), bins, 1), name)
 
 
 def jaccard_join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, block: int = BLOCK) -> DataFrame:
@@ -504,23 +509,24 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, bl
     bound_batches(docs.sparkSession)
     signed = saved(signatures(docs, count_table(docs, words), percent, words), "signatures")
     total = signed.count()
-    texts = saved(
-        signed.where("n > 0 and doc_id is not null").groupBy("k").agg(
-            F.first("n").alias("n"), F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies")
-        ), "texts",
+    texts = signed.where("n > 0 and doc_id is not null").groupBy("k").agg(
+        F.first("n").alias("n"), F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies")
     )
+    texts = saved(no_wider(texts, total, TEXTS), "texts")
     held, cluster = clusters(signed.where("n > 0 and doc_id is not null"), percent)
-    cluster = saved(cluster, "clusters").withColumnRenamed("node", "k")
+    cluster = saved(no_wider(cluster, total, TEXTS), "clusters").withColumnRenamed("node", "k")
     sizes = cluster.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
     wanted = texts.join(cluster, "k").join(sizes, "root").select(F.col("first_id").alias("doc_id"), "k", "root", "size")
     bits = signed.select("doc_id", "k", "bits")
-    comp = links(docs, saved(wanted, "wanted"), held, bits, percent, words, block)
+    wanted = saved(no_wider(wanted, total, TEXTS), "wanted")
+    comp = links(docs, wanted, held, bits, percent, words, block)
     # texts with copies or links, each beside the root of its component; every other document is its own component
     marked = texts.select("k", "first_id", "copies", F.lit(None).cast("long").alias("root")).unionByName(
         comp.select(F.col("node").alias("k"), F.lit(None).cast("long").alias("first_id"), F.lit(None).cast("long").alias("copies"), "root")
     )
     marked = marked.groupBy("k").agg(F.max("first_id").alias("first_id"), F.max("copies").alias("copies"), F.max("root").alias("root"))
-    marked = saved(marked.where("copies > 1 or root is not null").withColumn("root", F.coalesce("root", "k")), "marked")
+    marked = marked.where("copies > 1 or root is not null").withColumn("root", F.coalesce("root", "k"))
+    marked = saved(no_wider(marked, total, TEXTS), "marked")
     least = marked.groupBy("root").agg(F.min("first_id").alias("component_id"))
     groups = marked.join(least, "root").select("k", "component_id", "copies")
     alone = signed.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))

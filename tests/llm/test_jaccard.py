@@ -158,3 +158,45 @@ def test_postings_move_once(spark, monkeypatch):
     assert physical.count("Exchange") == 1 and "Join" not in physical
     got = held.groupBy("token").count().collect()
     assert got and all(r["count"] == 2 for r in got)
+
+
+def test_stars_take_no_round(spark, monkeypatch):
+    """Rounds end with the first whose edges are stars; a round that changes nothing is not run."""
+    from leafwise.llm import components as module
+
+    names, kept = [], module.saved
+    monkeypatch.setattr(module, "saved", lambda df, name: names.append(name) or kept(df, name))
+    stars = [(1, 2), (3, 1), (1, 9), (9, 1), (20, 21), (7, 7)]
+    got = {tuple(r) for r in components(spark.createDataFrame(stars, "u long, v long")).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (9, 1), (20, 20), (21, 20)} and names == ["edges"]
+    names.clear()
+    got = {tuple(r) for r in components(spark.createDataFrame([(1, 5), (5, 3), (3, 8)], "u long, v long")).collect()}
+    assert got == {(i, 1) for i in (1, 3, 5, 8)} and names[-1] == "small_star"
+
+
+def test_small_clusters_need_no_second_components(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(jaccard, "components", lambda edges: calls.append(1) or components(edges))
+    rows = corpus(groups=3)
+    assert result(jaccard.jaccard_join(spark.createDataFrame(rows, SCHEMA))) == brute(rows)
+    assert len(calls) == 1
+
+
+def test_many_strays_by_first_partners(spark, monkeypatch):
+    """Above FEW pairs the strays go by one partner each first: the same components."""
+    names, kept = [], jaccard.saved
+    monkeypatch.setattr(jaccard, "saved", lambda df, name: names.append(name) or kept(df, name))
+    monkeypatch.setattr(jaccard, "FEW", 0)
+    rows = corpus(groups=4)
+    assert result(jaccard.jaccard_join(spark.createDataFrame(rows, SCHEMA), block=3)) == brute(rows)
+    assert "first_pairs" in names
+
+
+def test_tasks_follow_rows(spark):
+    from leafwise.llm.common import no_wider
+
+    wide = spark.range(1000).repartition(40)
+    assert no_wider(wide, 1000, 500).rdd.getNumPartitions() == 8
+    assert no_wider(wide, 1000, 50).rdd.getNumPartitions() == 20
+    assert no_wider(wide, 1000, 1).rdd.getNumPartitions() == 40
+    assert no_wider(wide, 1000, 500).count() == 1000
