@@ -20,8 +20,8 @@ by shingles.  The product is taken in blocks that can hold a link:
    What moves is a parity bitmap: a pair goes whose bitmaps differ in more
    places than the sets of a linked pair can (each place that differs is an
    element of only one of the two sets).  Sets are made only for pairs that
-   pass: one partner of each text first, then those that still join two
-   components.
+   pass: all at once where few, else one partner of each text first, then
+   those that still join two components.
 
 So no link between different texts is lost, and rows of pairs are only those
 of texts outside their cluster's largest component that sizes and bitmaps
