@@ -12,9 +12,9 @@ held out in all its frames), and it is
 confirmed when the paragraph shares enough word pairs with a template of the
 family; a notice that is not believed or not confirmed is "unknown".
 
-A paragraph without any feature word has no features, and the model's answer
-to it is the intercepts' "none"; so only paragraphs with such a word are
-vectorised, with the same result.  All steps are DataFrame operations and
+A paragraph without any feature that weighs something gets the intercepts'
+answer, "none"; so only paragraphs with one of a few words that every such
+feature holds are split into words and vectorised, with the same result.  All steps are DataFrame operations and
 Spark's own (JVM) estimators.
 
 Training rows: the notices below, and as "none" a bounded sample of the
@@ -34,6 +34,7 @@ from __future__ import annotations
 
 import itertools
 import re
+from collections import Counter
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel
@@ -155,13 +156,32 @@ PARAGRAPH_WORD = r"[^a-z0-9]+"
 def words_of(text: Column) -> Column:
     """Lower-cased words (a to z and digits) of a paragraph, British spelling of the trade's word undone."""
     low = F.replace(F.lower(text), F.lit("licenc"), F.lit("licens"))
-    return F.filter(F.split(low, PARAGRAPH_WORD), lambda w: w != "")
+    return F.array_remove(F.split(low, PARAGRAPH_WORD), "")
+
+
+def holds_word(text: Column, words: list[str]) -> Column:
+    """Whether ``words_of(text)`` has one of ``words``: looked for where a word begins, without splitting the text."""
+    if not words:
+        return F.lit(False)
+    tails: dict[str, list[str]] = {}
+    for w in sorted(words):
+        tails.setdefault(w[0], []).append(w.replace("licens", "licen[cs]")[1:])
+    begin = "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in tails.items())
+    return F.concat(F.lit(" "), F.lower(text)).rlike(f"[^a-z0-9](?:{begin})(?![a-z0-9])")
+
+
+def once(value: Column, use) -> Column:
+    """``use(value)``, with ``value`` worked out once however often it is used."""
+    return F.transform(F.array(value), use)[0]
 
 
 def grams(words: Column, n: int) -> Column:
-    starts = F.sequence(F.lit(0), F.size(words) - n)
-    made = F.transform(starts, lambda i: F.concat_ws(" ", F.slice(words, i + 1, n)))
-    return F.when(F.size(words) >= n, made).otherwise(F.array().cast("array<string>"))
+    def made(w: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.concat_ws(" ", F.slice(w, i + 1, n)))
+        return F.when(F.size(w) >= n, runs).otherwise(F.array().cast("array<string>"))
+
+    # bound, as a filter would put what makes the words in their place, for every gram anew
+    return once(words, made)
 
 
 def features(words: Column) -> Column:
@@ -174,7 +194,7 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     # the line end comes first: what lies before it is looked at there only, not at every character
     full = f"[^\\n]{{{WRAP - 1}}}[A-Za-z0-9,]"
     joined = F.regexp_replace(text, f"(?:\\r\\n(?<={full}\\r\\n)|\\n(?<={full}\\n))(?=\\S)", " ")
-    lines = docs.select(F.col("doc_id").alias("doc_id"), F.posexplode(F.split(joined, "\n")).alias("paragraph", "p"))
+    lines = docs.select(F.col("doc_id").alias("doc_id"), F.posexplode_outer(F.split(joined, "\n")).alias("paragraph", "p"))
     return lines.where(F.length(F.trim("p")) > 0)
 
 
@@ -202,13 +222,18 @@ def cue_words() -> list[str]:
 
 def template_share(words: Column, templates: list[str]) -> Column:
     """Largest share of the shorter text's word pairs that a template shares with a paragraph."""
-    own = F.array_distinct(grams(words, 2))
-    shared = F.lit(0.0)
-    for t in templates:
-        pairs = sorted({" ".join(x) for x in itertools.pairwise(_python_words(t))})
-        lit = F.array(*map(F.lit, pairs))
-        shared = F.greatest(shared, F.size(F.array_intersect(own, lit)) / F.greatest(F.least(F.size(own), F.lit(len(pairs))), F.lit(1)))
-    return shared
+    known = [sorted({" ".join(x) for x in itertools.pairwise(_python_words(t))}) for t in templates]
+    every = F.array(*map(F.lit, sorted(set(itertools.chain(*known)))))
+
+    def share(found: Column, size: Column) -> Column:
+        shared = F.lit(0.0)
+        for pairs in known:
+            lit = F.array(*map(F.lit, pairs))
+            shared = F.greatest(shared, F.size(F.array_intersect(found, lit)) / F.greatest(F.least(size, F.lit(len(pairs))), F.lit(1)))
+        return F.when(F.size(found) > 0, shared).otherwise(F.lit(0.0))
+
+    # only pairs of some template are held against each of them
+    return once(F.array_distinct(grams(words, 2)), lambda own: once(F.array_intersect(own, every), lambda found: share(found, F.size(own))))
 
 
 def like_template(words: Column) -> Column:
@@ -221,7 +246,7 @@ def like_template(words: Column) -> Column:
 
 
 class Model:
-    """Vectoriser, classifier, threshold and the words without which there are no features."""
+    """Vectoriser, classifier, threshold and the words without which no feature weighs anything."""
 
     def __init__(self, vectors, classifier, classes: list[str], threshold: float, cues: list[str]):
         self.vectors, self.classifier, self.classes, self.threshold, self.cues = vectors, classifier, classes, threshold, cues
@@ -238,6 +263,12 @@ class Model:
             *rows.columns, F.col("best.c").alias("family"), F.col("best.p").alias("probability"), F.element_at("probs", none + 1).alias("p_none")
         )
 
+    def notices(self, rows: DataFrame) -> DataFrame:
+        """The scored rows that are likelier some licence than none."""
+        # by a generator: a filter on plain columns would be pushed below the scores and work them out a second time
+        said = F.inline_outer(F.array(F.struct("family", "probability", "p_none")))
+        return self.score(rows).select(*rows.columns, said).where("probability > p_none")
+
 
 def corpus_sample(docs: DataFrame) -> DataFrame:
     """Column ``words`` of at most SAMPLE paragraphs that are no notices."""
@@ -246,7 +277,7 @@ def corpus_sample(docs: DataFrame) -> DataFrame:
     # copies give their paragraphs once
     drawn = docs.where(draw < rate).select("doc_id", "text").dropDuplicates(["text"])
     heavy = F.array(*[F.lit(w) for w in ("license", "licensed", "copyright", "spdx")])
-    rows = paragraphs(drawn).withColumn("words", words_of(F.col("p"))).where(~F.arrays_overlap("words", heavy) & ~like_template(F.col("words")))
+    rows = paragraphs(drawn).withColumn("words", words_of(F.col("p"))).where(~once(F.col("words"), lambda w: F.arrays_overlap(w, heavy) | like_template(w)))
     return rows.orderBy(F.xxhash64("doc_id", "paragraph", "words")).limit(SAMPLE).select("words")
 
 
@@ -276,9 +307,23 @@ def fit(spark: SparkSession, docs: DataFrame) -> Model:
     # the threshold: on one notice in FOLDS, in all its frames, learnt from the others
     held = F.pmod(F.xxhash64("notice", F.lit("fold")), F.lit(FOLDS)) == 0
     trial = Model(vectors, learner.fit(frame.where(~held)), classes, 0.0, cues)
-    scored = trial.score(frame.where(held).select("words", "label")).where("probability > p_none").select("label", "family", "probability").collect()
+    scored = trial.notices(frame.where(held).select("words", "label")).select("label", "family", "probability").collect()
     ranked = sorted(((r["probability"], classes[int(r["label"])] == r["family"]) for r in scored if r["family"] != UNKNOWN), reverse=True)
-    return Model(vectors, learner.fit(frame), classes, lowest_threshold(ranked), cues)
+    learnt = learner.fit(frame)
+    weighs = (learnt.coefficientMatrix.toArray() != 0).any(axis=0)
+    return Model(vectors, learnt, classes, lowest_threshold(ranked), deciding_words(vocabulary, weighs.tolist(), cues))
+
+
+def deciding_words(vocabulary: list[str], weighs: list[bool], cues: list[str]) -> list[str]:
+    """Cues of which every feature that weighs something holds one: a paragraph without them is scored as one without features."""
+    known, chosen = set(cues), set()
+    left = [known & set(f.split()) for f, x in zip(vocabulary, weighs) if x]
+    while left:
+        forced = {w for f in left if len(f) == 1 for w in f}
+        often = Counter(w for f in left for w in f)
+        chosen |= forced or {min(often, key=lambda w: (-often[w], w))}
+        left = [f for f in left if not f & chosen]
+    return sorted(chosen)
 
 
 def lowest_threshold(ranked: list[tuple[float, bool]]) -> float:
@@ -299,10 +344,9 @@ def license_scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """
     spark = docs.sparkSession
     model = model or fit(spark, docs)
-    rows = paragraphs(docs).withColumn("words", words_of(F.col("p")))
-    cues = F.array(*map(F.lit, model.cues))
-    scored = model.score(rows.where(F.arrays_overlap("words", cues)).select("doc_id", "paragraph", "words"))
-    found = scored.where((F.col("probability") + 0.0) > F.col("p_none"))
+    # texts without such a word are not split into paragraphs, paragraphs without one not into words
+    some = paragraphs(docs.where(holds_word(F.col("text").cast("string"), model.cues))).where(holds_word(F.col("p"), model.cues))
+    found = model.notices(some.select("doc_id", "paragraph", words_of(F.col("p")).alias("words")))
 
     shared = F.lit(0.0)
     for family, templates in TEMPLATES.items():

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -431,6 +432,30 @@ def test_license_scan_frequent_notices(spark):
     assert all(r["family"] == families[r["doc_id"] % 5] for r in got)
 
 
+def test_license_words_are_looked_for_as_they_are_split(spark):
+    words = license_scan.cue_words()
+    texts = [None, "", "license", "Licence", "LICENCED x", "xlicense", "license2", "a\nmpl", "mpl-2.0", "(BSD)", "\u212aind of cc0", "cc by", "licens e", "sub-licenses", "free\u00e9", "no such one"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    F = license_scan.F
+    for some in (words, words[:3], ["license"], []):
+        want = F.arrays_overlap(license_scan.words_of(F.col("t")), F.array(*map(F.lit, some)).cast("array<string>"))
+        for r in rows.select("t", license_scan.holds_word(F.col("t"), some).alias("got"), want.alias("want")).collect():
+            assert bool(r["got"]) == bool(r["want"]), r
+
+
+def test_license_deciding_words():
+    assert license_scan.deciding_words(["a", "a b", "b c", "c d", "d"], [True, True, True, True, False], ["a", "b", "c", "d"]) == ["a", "c"]
+    assert license_scan.deciding_words(["the mit"], [False], ["mit"]) == []
+
+
+def test_license_sample_of_long_paragraphs(spark):
+    """Was quadratic in a paragraph's words: the text was split again for every gram, for every template."""
+    texts = [f"{n} " + " ".join(f"w{i}x{n}" for i in range(8000)) for n in range(4)]
+    began = time.time()
+    got = license_scan.corpus_sample(docs(spark, texts)).collect()
+    assert sorted(len(r["words"]) for r in got) == [8001] * 4 and time.time() - began < 60
+
+
 # registry and pipeline --------------------------------------------------------------------------
 
 
