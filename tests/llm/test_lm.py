@@ -95,3 +95,114 @@ def test_chunk_numbers_words_by_part_and_hash():
     assert list(zip(hashes[token].tolist(), context.tolist(), text.tolist())) == want
     assert part.tolist() == (hashes % np.uint64(3)).tolist()
     assert list(zip(part.tolist(), hashes.tolist())) == sorted(set(zip(part.tolist(), hashes.tolist())))
+
+
+TEXTS = [f"the {a}n sat on {b} mat{i % 9}. A b {i % 4}" for i in range(60) for a, b in [(f"cat{i % 3}", "a" if i % 3 else "no")]] + ["", "one", None, "é b é"]
+
+
+def frame_of(spark, texts):
+    return spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+
+
+def tokens_of(text):
+    return [*(text or "").encode().lower().split(), lm.END]
+
+
+def model_of(spark, frame, parts):
+    train = frame.where(lm.fold("doc_id") != 1).select(lm.text_bytes().alias("t"))
+    model = lm.fit(train, parts)
+    homes = {}
+    for r in model.homes.collect():
+        v = np.frombuffer(bytes(r["hv"]), np.uint64)
+        c, ts = lm.unpack(r["hc"], len(v)), [lm.unpack(t, len(v)) for t in r["ht"]]
+        homes |= {int(x): (int(c[i]), [int(t[i]) for t in ts]) for i, x in enumerate(v)}
+    return model, [lm.Part(r) for r in model.state.toPandas().to_dict("records")], homes
+
+
+def by_hand(model, parts, homes):
+    """Probability of a word (None: unknown) after a context, by plain loops."""
+    low, mid, top, total = {}, {}, {}, model.totals
+    for p in parts:
+        for i, w in enumerate(p.w.tolist()):
+            top[w] = [(int(p.to_root(t)[i]), int(t0[i])) for t, t0 in zip(p.t, p.t0)]
+        for j, w in enumerate(p.w[p.word].tolist()):
+            mid[w, int(p.u[j])] = [(int(c[j]), int(t[j])) for c, t in zip(p.cs, p.t)]
+        for j, w in enumerate(p.w[p.of].tolist()):
+            low[w, int(p.v[p.x[j]])] = [(int(p.b[j]), int(t[j])) for t in p.tb]
+    none = [(0, 0)] * len(total)
+
+    def probability(w, u, k):
+        out = []
+        for i, x in enumerate(total):
+            (c0, t0), (c, t), (b, tb) = top.get(w, none)[i], mid.get((w, k), none)[i], low.get((w, u), none)[i]
+            root = (max(c0 - x.d0 * t0, 0) + (lm.STRENGTH + x.d0 * x.tables0) / (x.words + 1)) / (lm.STRENGTH + x.tables.sum())
+            parent = (max(c - x.d * t, 0) + (lm.STRENGTH + x.d * x.tables[k]) * root) / (lm.STRENGTH + x.customers[k])
+            customers, opened = homes.get(u, (0, [0] * len(total)))
+            out.append((max(b - x.d_b * tb, 0) + (lm.STRENGTH + x.d_b * opened[i]) * parent) / (lm.STRENGTH + customers))
+        return np.mean(out)
+
+    return probability, top, low
+
+
+def hashed(w):
+    return lm.xxhash.xxh3_64_intdigest(w)
+
+
+def test_scores_are_of_words_after_words(spark, monkeypatch):
+    """Every context is the preceding word: counts, totals and scores against plain loops."""
+    monkeypatch.setattr(lm, "LEAST_PARTS", 3)
+    frame = frame_of(spark, TEXTS)
+    model, parts, homes = model_of(spark, frame, 3)
+    probability, words, low = by_hand(model, parts, homes)
+    klass = lambda u: int(lm._CLASS[u[-1]]) if u else lm.START
+    held = {r["doc_id"] for r in frame.where(lm.fold("doc_id") == 1).collect()}
+    want, context = {}, {}
+    for i, t in enumerate(TEXTS):
+        for u, w in zip([lm.END, *tokens_of(t)], tokens_of(t)):
+            if i not in held:
+                want[hashed(w), hashed(u)] = want.get((hashed(w), hashed(u)), 0) + 1
+                context[u] = context.get(u, 0) + 1
+    assert {x: b[-1][0] for x, b in low.items()} == want and set(words) == {w for w, _ in want}
+    assert {u: c for u, (c, _) in homes.items()} == {hashed(u): n for u, n in context.items()}
+    for i in range(len(model.totals)):
+        opened = {}
+        for (_, u), b in low.items():
+            opened[u] = opened.get(u, 0) + b[i][1]
+        assert opened == {u: t[i] for u, (_, t) in homes.items()}
+    for u in (*context, b"unseen"):
+        assert abs(sum(probability(w, hashed(u), klass(u)) for w in (*words, None)) - 1) < 1e-9
+    for r in lm.lm_scores(frame).collect():
+        t = tokens_of(TEXTS[r["doc_id"]])
+        score = sum(np.log10(probability(hashed(w), hashed(u), klass(u))) for u, w in zip([lm.END, *t], t))
+        assert abs(r["score"] - score) < 1e-9 * len(t), r
+
+
+def test_pairs_of_words_are_learnt(spark):
+    """Texts of the same words after words of the same class: only the pairs tell them apart."""
+    pairs = [("aax", "bby"), ("ccx", "ddy"), ("eex", "ffy")]
+    texts = [f"{a} {b}" for a, b in pairs] * 40
+    held = [r["doc_id"] for r in frame_of(spark, texts).where(lm.fold("doc_id") == 1).orderBy("doc_id").collect()]
+    wrong = {}
+    for n, i in enumerate(held):
+        a, b = pairs[n % 3][0], pairs[(n // 3 + n) % 3][1]
+        texts[i], wrong[i] = f"{a} {b}", (a, b) not in pairs
+    got = {r["doc_id"]: r["score"] for r in lm.lm_scores(frame_of(spark, texts)).collect()}
+    assert len(set(wrong.values())) == 2
+    assert min(got[i] for i in held if not wrong[i]) > max(got[i] for i in held if wrong[i]) + 0.5
+
+
+def test_pack():
+    x = np.array([0, 1, 254, 255, 256, 2**40, 3])
+    assert lm.unpack(lm.pack(x), len(x)).tolist() == x.tolist() and lm.pack(x[:3]) == bytes([0, 1, 254])
+    assert lm.unpack(b"", 0).tolist() == []
+
+
+def test_rows_of_a_part_merge_alike():
+    """Whether or not the chunks meet in groups first; counts beyond 32 bits included."""
+    u64 = lambda *x: np.array(x, np.uint64).tobytes()
+    u32, u8 = (lambda *x, kind=kind: np.array(x, kind).tobytes() for kind in (np.uint32, np.uint8))
+    rows = [(0, u64(5, 9), u32(2, 1), u64(7, 8, 7), u8(1, 2, 1), u32(2**32 - 1, 1, 4)), (0, u64(9), u32(1), u64(7), u8(1), u32(3)), (0, u64(5), u32(1), u64(7), u8(1), u32(9))]
+    frame = lm.pd.DataFrame(rows, columns=lm._names(lm.PAIRS))
+    want = [[5, 5, 9], [7, 8, 7], [1, 2, 1], [2**32 + 8, 1, 7]]
+    assert [x.tolist() for x in lm._merge(frame)] == want
+    assert [x.tolist() for x in lm._merge(lm._merge_rows(frame))] == want
